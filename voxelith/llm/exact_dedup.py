@@ -35,7 +35,6 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     keys = materialise(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256")), "dedup-keys")
     heavy, light = winners(keys, "text_sha256", F.max("doc_id"), support)
-    heavy = materialise(heavy, "dedup-heavy")
     out = attach(keys, heavy, light, "text_sha256")
     kept = F.col("doc_id").eqNullSafe(F.col("best"))
     return out.select("doc_id", F.col("best").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
@@ -51,7 +50,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rn = clashless(docs, "rn")
     keyed = docs.withColumn(dig, text_digest(F.col(text_col)))
     keys = materialise(keyed.select(F.col(id_col).alias("doc_id"), F.col(dig).alias("k")), "dedup-keys")
-    heavy = materialise(winners(keys, "k", F.max("doc_id"), support)[0].select(F.col("k").alias(dig), F.col("best").alias(rn)), "dedup-heavy")
+    heavy = winners(keys, "k", F.max("doc_id"), support)[0].select(F.col("k").alias(dig), F.col("best").alias(rn))
     won = keyed.join(F.broadcast(heavy), dig).where(F.col(id_col).eqNullSafe(F.col(rn))).drop(rn).dropDuplicates([dig])
     rest = keyed.join(F.broadcast(heavy.select(dig)), dig, "left_anti")
     first = F.row_number().over(Window.partitionBy(dig).orderBy(F.col(id_col).desc_nulls_last()))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.storage import materialise
+
 #: A key is frequent when it holds more than this share of the rows; at most 1 / SUPPORT keys can.
 SUPPORT = 1e-3
 
@@ -23,10 +25,11 @@ def winners(keys: DataFrame, key: str, best: Column, support: float = SUPPORT) -
 
     heavy: the verified frequent keys, at most 1 / support rows, so it may be broadcast. light: all other keys, grouped
     by an ordinary shuffle with map-side partial aggregation. Read `keys` from a written table: it's scanned three times.
+    `heavy` is written too: which infrequent keys are among the candidates may differ when they are found again.
     """
     found = F.broadcast(frequent(keys, key, support))
     total = lambda df: df.groupBy(key).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    heavy = total(keys.join(found, key, "left_semi")).where("group_size > 1")
+    heavy = materialise(total(keys.join(found, key, "left_semi")).where("group_size > 1"), "heavy-keys")
     return heavy, total(keys.join(F.broadcast(heavy.select(key)), key, "left_anti"))
 
 
