@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelith.llm.exact_dedup import dedup_report
+from voxelith.llm.mixing import mix_report
 from voxelith.llm.pieces import encode
+from voxelith.llm.sharding import assign_shards
 
 
 def public_tokenizer(name: str) -> str:
@@ -29,9 +31,19 @@ def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, public_tokenizer("piece_bpe_32k.model"), ids=False, digests=True, keep_text=False)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), 40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_piece_encoding": op4_piece_encoding,
+    "op5_source_mix": op5_source_mix,
+    "op9_byte_shards": op9_byte_shards,
 }
 
 SQL: dict[str, str] = {
@@ -41,5 +53,46 @@ WITH d AS (
   FROM documents
 ), g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+""",
+    "op5_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '')) AS place, md5(coalesce(text, '')) AS text_md5
+  FROM documents
+), s0 AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source
+), s1 AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM s0
+), s2 AS (
+  SELECT *, (sum(s) OVER ())::BIGINT AS budget, (sum(w) OVER ())::BIGINT AS weights,
+    coalesce(sum(3 * s) OVER lower, 0)::BIGINT AS full_below, coalesce(sum(w) OVER lower, 0)::BIGINT AS w_below
+  FROM s1 WINDOW lower AS (ORDER BY s / w, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s3 AS (
+  SELECT *, (budget - full_below)::DOUBLE / (weights - w_below) AS level, w * ((budget - full_below)::DOUBLE / (weights - w_below)) > 3 * s AS is_full FROM s2
+), lv AS (SELECT first(level ORDER BY s / w, source_no) FILTER (NOT is_full) AS level FROM s3
+), src AS (
+  SELECT source, source_no, s AS source_size, budget, CASE WHEN is_full THEN (3 * s)::DOUBLE ELSE w * lv.level END AS target FROM s3, lv
+), r AS (
+  SELECT doc_id, size, source_no, source_size, budget, target, row_number() OVER o AS rid, (sum(size) OVER o)::BIGINT AS upto
+  FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source
+  WINDOW o AS (PARTITION BY source_no ORDER BY place, doc_id, text_md5 ROWS UNBOUNDED PRECEDING)
+), c AS (
+  SELECT source_no, rid, size, budget, sum(size) OVER (ORDER BY (e * source_size + upto) / target, source_no, upto ROWS UNBOUNDED PRECEDING) AS running
+  FROM r, (VALUES (0), (1), (2)) v(e) WHERE size > 0 AND target > 0
+), t AS (SELECT source_no, rid, sum(size)::BIGINT AS taken FROM c WHERE running <= budget GROUP BY ALL)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM r LEFT JOIN t USING (source_no, rid)
+""",
+    "op9_byte_shards": """
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT range, 0, range::BIGINT FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4294967295, list_reduce(
+    list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT)) END AS text_crc32
+  FROM documents, crc
+), p AS (
+  SELECT *, row_number() OVER o AS n, (sum(size) OVER o)::BIGINT - size AS before, (sum(size) OVER ())::BIGINT AS total
+  FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), q AS (SELECT *, least(39, (2 * before + size) * 40 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, NULL::INT AS grown_shard FROM q
 """,
 }
