@@ -1,0 +1,33 @@
+"""Connected components of a link table, without gathering links or components anywhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxelith.storage import materialise
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """`node, label` for each node of `links` (`a, b` bigint, either order); the label is the component's least node.
+
+    Alternates large-star and small-star steps (Kiveris et al. 2014) until the links no longer change. Each step is a
+    minimum per node, which is combined before its shuffle, and a join that Spark may split where a node has many links.
+    Each round's links are written to the shared folder. No links give no rows.
+    """
+    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    mark = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = materialise(small.where("u <> v").distinct(), name)
+        new = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if new == mark or not new[0]:
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+            )
+        mark = new

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxelith.llm.exact_dedup import dedup_report
 from voxelith.llm.mixing import mix_report
+from voxelith.llm.near_dedup import near_report
 from voxelith.llm.pieces import encode
 from voxelith.llm.sharding import assign_shards
 
@@ -26,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_report(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode(docs, public_tokenizer("piece_bpe_32k.model"), ids=False, digests=True, keep_text=False)
@@ -41,6 +46,7 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_source_mix": op5_source_mix,
     "op9_byte_shards": op9_byte_shards,
