@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from voxelith.llm.components import components
 from voxelith.llm.dart_minhash import U, mix, signatures
 from voxelith.llm.heavy import attach, winners
+from voxelith.llm.texts import with_columns
 from voxelith.storage import clashless, materialise
 
 SHINGLE = 5
@@ -22,9 +22,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Characters that are hashed together in a task.
-CHUNK = 4_000_000
-
 
 class _Hashes(dict):
     """Hashes of words, forgotten when there are many."""
@@ -55,7 +52,7 @@ def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.unique(acc)
 
 
-def _sign(model: dict, texts: list[str]) -> tuple[list, list, list]:
+def _sign(model: dict, texts: list[str]) -> list[list]:
     sets = [shingles(t, model["width"]) for t in texts]
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -65,46 +62,23 @@ def _sign(model: dict, texts: list[str]) -> tuple[list, list, list]:
     for j in range(model["rows"]):
         key = mix(key * U(5) + sig[:, :, j])
     same = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-    return same, sizes.tolist(), [list(k) if n else [] for k, n in zip(key.view(np.int64), sizes)]
-
-
-def _chunks(texts: list[str]) -> Iterator[slice]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > CHUNK:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+    return [same, sizes.tolist(), [k if n else [] for k, n in zip(key.view(np.int64), sizes)]]
 
 
 def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """`doc_id, text_md5, same, n, bands` from `doc_id, text_md5, text`. `same` is equal for equal sets of shingles."""
     model = {"width": width, "bands": bands, "rows": rows}
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for part in _chunks(texts):
-                same, n, keys = _sign(model, texts[part])
-                yield b.iloc[part].drop(columns="text").assign(same=same, n=n, bands=keys)
-
-    return docs.mapInPandas(run, f"doc_id {kind}, text_md5 string, same string, n int, bands array<bigint>")
+    new = [("same", "string", pa.string()), ("n", "int", pa.int32()), ("bands", "array<bigint>", pa.list_(pa.int64()))]
+    return with_columns(docs, F.col("text"), lambda: lambda texts: _sign(model, texts), new, ["doc_id", "text_md5"])
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """`node, sh` from `node, text`: 32 bits of each shingle's hash."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for part in _chunks(texts):
-                sets = [np.unique(shingles(t, width).astype(np.uint32)).view(np.int32) for t in texts[part]]
-                yield pd.DataFrame({"node": b["node"].iloc[part].to_numpy(), "sh": sets})
+    def work(texts: list[str]) -> list[list]:
+        return [[np.unique(shingles(t, width).astype(np.uint32)).view(np.int32) for t in texts]]
 
-    return docs.mapInPandas(run, "node bigint, sh array<int>")
+    return with_columns(docs, F.col("text"), lambda: work, [("sh", "array<int>", pa.list_(pa.int32()))], ["node"])
 
 
 def _bounded(df: DataFrame) -> DataFrame:

@@ -8,15 +8,16 @@ it marks the place in a bitfield, drops the last piece and tries that piece's ne
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.storage import clashless
+from voxelith.llm.texts import with_columns
 
 SPACE = "▁"
 NONE = float("-inf")
@@ -219,30 +220,26 @@ def encode(
     repeat and an empty table gives an empty result. Columns of `docs` with the new names are replaced. Without
     `keep_text` the text column goes to Python once and does not come back.
     """
-    import hashlib
+    new = [("n_tokens", "bigint", pa.int64())] + [("ids", "array<int>", pa.list_(pa.int32()))] * ids
+    if digests:
+        new += [("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
 
-    new = [("n_tokens", "bigint")] + [("ids", "array<int>")] * ids + [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests
-    gone = {n for n, _ in new} | ({text_col.lower()} if not keep_text else set())
-    keep = [c for c in docs.columns if c.lower() not in gone]
-    text = clashless(docs, "text_in")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema) + "".join(f", `{n}` {t}" for n, t in new)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = pieces(model_path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for b in batches:
-            cols: dict[str, list] = {n: [] for n, _ in new}
-            for t in b.pop(text):
-                joined, back = model.encode_joined(t)
-                cols["n_tokens"].append(joined.count(",") + bool(joined))
-                if ids:
-                    cols["ids"].append([int(i) for i in joined.split(",")] if joined else [])
-                if digests:
-                    cols["ids_sha256"].append(sha(joined))
-                    cols["decoded_sha256"].append(sha(back))
-            yield b.assign(**cols)
-
-    return docs.select(*keep, F.coalesce(text_col, F.lit("")).alias(text)).mapInPandas(run, schema)
+
+        def work(texts: list[str]) -> list[list]:
+            got = [model.encode_joined(t) for t in texts]
+            out: list[list] = [[j.count(",") + bool(j) for j, _ in got]]
+            if ids:
+                out.append([[int(i) for i in j.split(",")] if j else [] for j, _ in got])
+            if digests:
+                out += [[sha(j) for j, _ in got], [sha(t) for _, t in got]]
+            return out
+
+        return work
+
+    return with_columns(docs, F.col(text_col), make, new, None if keep_text else [c for c in docs.columns if c.lower() != text_col.lower()])
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

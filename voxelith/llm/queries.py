@@ -11,6 +11,7 @@ from voxelith.llm.mixing import mix_report
 from voxelith.llm.near_dedup import near_report
 from voxelith.llm.pieces import encode
 from voxelith.llm.sharding import assign_shards
+from voxelith.llm.toxicity import toxicity_report
 
 
 def public_tokenizer(name: str) -> str:
@@ -44,12 +45,17 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_source_mix": op5_source_mix,
     "op9_byte_shards": op9_byte_shards,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
