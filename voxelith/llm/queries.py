@@ -12,6 +12,7 @@ from voxelith.llm.near_dedup import near_report
 from voxelith.llm.pieces import encode
 from voxelith.llm.sharding import assign_shards
 from voxelith.llm.toxicity import toxicity_report
+from voxelith.llm.warc import read_records, write_archives
 
 
 def public_tokenizer(name: str) -> str:
@@ -41,6 +42,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_archives(table(spark, sf_dir, "pages")), payload=False)
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 40)
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_source_mix": op5_source_mix,
+    "op8_warc": op8_warc,
     "op9_byte_shards": op9_byte_shards,
     "op10_toxicity": op10_toxicity,
 }
@@ -91,6 +97,17 @@ WITH d AS (
   FROM r, (VALUES (0), (1), (2)) v(e) WHERE size > 0 AND target > 0
 ), t AS (SELECT source_no, rid, sum(size)::BIGINT AS taken FROM c WHERE running <= budget GROUP BY ALL)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM r LEFT JOIN t USING (source_no, rid)
+""",
+    "op8_warc": """
+WITH d AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), g AS (SELECT h, min(page_id) AS first_id FROM d GROUP BY h)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, i * 5 // 4 + 1, 2))::INT >> (3 - i * 5 % 4)::INT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d JOIN g USING (h)
 """,
     "op9_byte_shards": """
 WITH RECURSIVE steps(i, k, c) AS (
