@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.llm.components import components
@@ -20,6 +20,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 24 bands of 5 coordinates miss a pair of similarity 0.8 once in 14,000, one of 0.85 once in 700,000.
 BANDS, ROWS = 24, 5
+#: Bits of the bitmaps that rule pairs out.
+BITS = 1024
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -73,12 +75,14 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """`node, sh` from `node, text`: 32 bits of each shingle's hash."""
+    """`node, sh, bits` from `node, text`: 32 bits of each shingle's hash, and a bitmap of these."""
 
     def work(texts: list[str]) -> list[list]:
-        return [[np.unique(shingles(t, width).astype(np.uint32)).view(np.int32) for t in texts]]
+        sets = [np.unique(shingles(t, width).astype(np.uint32)) for t in texts]
+        odd = [np.packbits((np.bincount(s & np.uint32(BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+        return [[s.view(np.int32) for s in sets], odd]
 
-    return with_columns(docs, F.col("text"), lambda: work, [("sh", "array<int>", pa.list_(pa.int32()))], ["node"])
+    return with_columns(docs, F.col("text"), lambda: work, [("sh", "array<int>", pa.list_(pa.int32())), ("bits", "array<bigint>", pa.list_(pa.int64()))], ["node"])
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -97,8 +101,9 @@ def near_classes(
     `kept`. `rid` numbers the rows.
 
     Rows with equal sets are one node, so copies meet no one but their own representative. In a bucket, all nodes are
-    compared with its first node, not with each other. Then nodes of one class needn't be compared; as long as a bucket
-    holds several classes, more of its nodes are compared with all others of other classes, in rounds, until none is left.
+    compared with its first node, not with each other. After that nodes of one class needn't be compared. As long as a
+    bucket holds several classes, more of its nodes are compared with its others of other classes, in rounds; a bitmap
+    of each set, looked at inside the join, leaves only pairs that can be links.
 
     Null texts count as empty. Texts without words are alone, each a class of its own. Texts of fewer than `width` words
     are linked when their words are equal. Repeated rows are in one class. An empty table gives no rows.
@@ -129,25 +134,24 @@ def near_classes(
     tried = materialise(_ordered(pairs.where(alike)), "near-pairs")
     links = materialise(_verified(tried, sets, similarity), "near-links")
     labels = materialise(components(links, "near-components"), "near-labels")
-    live = live.where("node <> lead.node").drop("lead")
+    # What is left to compare are nodes of different classes in one bucket, but for its first node.
+    bits = sets.select("node", F.size("sh").alias("n"), "bits")
+    live = _unsettled(live.where("node <> lead.node").select("bucket", "node"), labels)
     leads = 4
-    while True:
-        live = live.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = live.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-        live = materialise(live.join(mixed.select("bucket"), "bucket", "left_semi"), "near-buckets")
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         first = F.row_number().over(Window.partitionBy("bucket").orderBy(turn))
-        lead = materialise(live.withColumn("nth", first).where(F.col("nth") <= leads), "near-leads")
-        l = lead.select("bucket", F.col("node").alias("a"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-        pairs = live.join(l, "bucket").where("node <> a AND label <> l2").withColumnRenamed("node", "b").where(alike)
+        lead = materialise(live.withColumn("nth", first).where(F.col("nth") <= leads).drop("nth").join(bits, "node"), "near-leads")
+        ahead = lead.select("bucket", *(F.col(c).alias(c + "2") for c in ("node", "label", "n", "bits")))
+        rest = live.join(bits, "node")
+        reach = (rest.node != F.col("node2")) & (rest.label != F.col("label2")) & alike & _may_reach(similarity)
+        pairs = rest.join(ahead, (rest.bucket == ahead.bucket) & reach).select(F.col("node2").alias("a"), rest.node.alias("b"))
         new = materialise(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "near-pairs")
         found = materialise(_verified(new, sets, similarity), "near-links")
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = materialise(components(links, "near-components"), "near-labels")
         tried = tried.unionByName(new)
-        live = live.join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        live = _unsettled(live.select("bucket", "node").join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti"), labels)
         leads *= 4
 
     out = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
@@ -166,6 +170,23 @@ def _sets_of(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return _shingle_sets(given.join(_bounded(w), on).select("node", "text"), width).dropDuplicates(["node"])
 
 
+def _unsettled(slots: DataFrame, labels: DataFrame) -> DataFrame:
+    """`bucket, node, label` of the buckets that hold several classes, written."""
+    slots = slots.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = slots.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    return materialise(slots.join(mixed.select("bucket"), "bucket", "left_semi"), "near-buckets")
+
+
+def _may_reach(similarity: float) -> Column:
+    """Whether sets of `n` and `n2` shingles with the bitmaps `bits` and `bits2` can have this similarity.
+
+    A bitmap has the parities of the shingles in each bit's class, so two differ in no more bits than the sets' shingles
+    that are in one of them only. This bounds the common shingles from above: no link is lost.
+    """
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(BITS // 64)), F.lit(0))
+    return F.col("n") + F.col("n2") - apart >= 2 * (similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
