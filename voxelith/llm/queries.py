@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxelith.llm.exact_dedup import dedup_report
+from voxelith.llm.hamming import sign_code, top_k
 from voxelith.llm.mixing import mix_report
 from voxelith.llm.near_dedup import near_report
 from voxelith.llm.pieces import encode
+from voxelith.llm.preference import format_preferences, reply_pairs
+from voxelith.llm.quality import quality_report
 from voxelith.llm.sharding import assign_shards
 from voxelith.llm.toxicity import toxicity_report
 from voxelith.llm.warc import read_records, write_archives
@@ -25,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
+    return top_k(rows, rows.where(F.col("id") % 20 == 0), 10)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +51,14 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(*reply_pairs(table(spark, sf_dir, "conversations")))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_archives(table(spark, sf_dir, "pages")), payload=False)
 
@@ -55,16 +72,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_top_k": op1_hamming_top_k,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_source_mix": op5_source_mix,
+    "op6_ordinal_quality": op6_ordinal_quality,
+    "op7_preference_pairs": op7_preference_pairs,
     "op8_warc": op8_warc,
     "op9_byte_shards": op9_byte_shards,
     "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
+    "op1_hamming_top_k": """
+WITH c AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS b
+  FROM embeddings WHERE embedding IS NOT NULL
+), d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, bit_count(xor(q.b, c.b))::INT AS distance FROM c q, c WHERE q.vec_id % 20 = 0
+), r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INT AS rank, id, distance FROM d)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= 10
+""",
     "op2_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -97,6 +125,25 @@ WITH d AS (
   FROM r, (VALUES (0), (1), (2)) v(e) WHERE size > 0 AND target > 0
 ), t AS (SELECT source_no, rid, sum(size)::BIGINT AS taken FROM c WHERE running <= budget GROUP BY ALL)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM r LEFT JOIN t USING (source_no, rid)
+""",
+    "op7_preference_pairs": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
+), e AS (
+  SELECT conv_id, max(turn) FILTER (role = 'assistant') AS last_turn, min(turn) FILTER (role = 'assistant') AS first_turn,
+    arg_min(txt, turn) FILTER (role = 'assistant') AS first_text, arg_min(txt, turn) AS opening
+  FROM t GROUP BY conv_id HAVING max(turn) FILTER (role = 'assistant') IS NOT NULL
+), b AS (
+  SELECT t.conv_id AS pair_id, turn, role, txt AS chosen,
+    CASE WHEN turn = last_turn AND role = 'assistant' THEN CASE WHEN first_turn < last_turn THEN first_text ELSE opening END ELSE txt END AS rejected
+  FROM t JOIN e ON t.conv_id IS NOT DISTINCT FROM e.conv_id WHERE turn <= last_turn
+), s AS (SELECT pair_id, min(turn) FILTER (chosen <> rejected) AS split FROM b GROUP BY pair_id
+), u AS (
+  SELECT pair_id, CASE WHEN split IS NULL OR turn < split THEN 'prompt' ELSE side END AS part, turn, role, txt
+  FROM b JOIN s USING (pair_id), LATERAL (VALUES ('chosen', chosen), ('rejected', rejected)) v(side, txt)
+  WHERE side = 'chosen' OR turn >= split
+), o AS (SELECT *, '<|' || role || '|>' || chr(10) || txt || '<|end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS trained FROM u)
+SELECT pair_id, part, turn, 0 AS place, role, rendered, (CASE WHEN trained THEN 5 + length(role) ELSE 0 END)::INT AS mask_from,
+  (CASE WHEN trained THEN length(rendered) ELSE 0 END)::INT AS mask_to, length(rendered)::INT AS n_chars FROM o
 """,
     "op8_warc": """
 WITH d AS (
