@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.llm.heavy import SUPPORT, attach, winners
-from voxelith.storage import clashless, materialise
+from voxelith.storage import clashless, columns, materialise
 
 
 def normalised(text: Column) -> Column:
@@ -55,4 +55,4 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = keyed.join(F.broadcast(heavy.select(dig)), dig, "left_anti")
     first = F.row_number().over(Window.partitionBy(dig).orderBy(F.col(id_col).desc_nulls_last()))
     rest = rest.withColumn(rn, first).where(F.col(rn) == 1)
-    return won.select(docs.columns).unionByName(rest.select(docs.columns))
+    return won.select(columns(docs)).unionByName(rest.select(columns(docs)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.llm.ordering import in_order
-from voxelith.storage import clashless, materialise
+from voxelith.storage import clashless, columns, materialise
 
 #: A source gives its documents this many times at most.
 EPOCHS = 3
@@ -105,4 +105,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     left = docs.withColumn(rn, F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
     on = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(rn) == F.col(md5))
     out = left.join(taken, on).withColumn(key, F.row_number().over(same)).where(F.col(key) == 1)
-    return out.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
+    return out.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(columns(docs))

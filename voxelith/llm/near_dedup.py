@@ -14,7 +14,7 @@ from voxelith.llm.components import components
 from voxelith.llm.dart_minhash import U, mix, signatures
 from voxelith.llm.heavy import attach, winners
 from voxelith.llm.texts import with_columns
-from voxelith.storage import clashless, materialise
+from voxelith.storage import clashless, columns, materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -215,4 +215,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # Texts without words are classes of their own; other repeated rows are one.
     words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"(?U)\w")
     first = F.row_number().over(Window.partitionBy(id_col, md5).orderBy(F.lit(0)))
-    return out.withColumn(rn, first).where((F.col(rn) == 1) | ~words).select(docs.columns)
+    return out.withColumn(rn, first).where((F.col(rn) == 1) | ~words).select(columns(docs))

@@ -12,6 +12,7 @@ import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -232,7 +233,7 @@ def encode(
             got = [model.encode_joined(t) for t in texts]
             out: list[list] = [[j.count(",") + bool(j) for j, _ in got]]
             if ids:
-                out.append([[int(i) for i in j.split(",")] if j else [] for j, _ in got])
+                out.append([np.fromstring(j, np.int32, sep=",") for j, _ in got])
             if digests:
                 out += [[sha(j) for j, _ in got], [sha(t) for _, t in got]]
             return out

@@ -37,7 +37,8 @@ def with_columns(df: DataFrame, text: Column, make: Callable[[], Callable[[list[
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in gone]
     given = clashless(df, "text_in")
     kinds = [k for _, _, k in new]
-    out = StructType(list(df.select([F.col(f"`{c}`") for c in keep]).schema) + list(StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t, _ in new))))
+    cols = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
+    out = StructType(list(df.select(cols).schema) + list(StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t, _ in new))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -48,5 +49,4 @@ def with_columns(df: DataFrame, text: Column, make: Callable[[], Callable[[list[
                 arrays = [pa.array(v, k) for v, k in zip(work(texts[part]), kinds)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], *arrays], names=out.names)
 
-    cols = [F.col(f"`{c}`") for c in keep]
     return df.select(*cols, F.coalesce(text, F.lit("")).alias(given)).mapInArrow(run, out)

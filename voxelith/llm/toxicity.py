@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.llm.texts import with_columns
-from voxelith.storage import clashless, materialise
+from voxelith.storage import clashless, columns, materialise
 
 #: Labelled documents that the model is fitted on at most (the first in order of their id's hash), and distinct words of one.
 TRAIN_DOCS, TRAIN_WORDS = 12_000, 5_000
@@ -223,4 +223,4 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that score under THRESHOLD, with the columns of `docs`."""
     s = clashless(docs, "toxicity")
-    return score(docs, train(docs, labels), score_col=s).where(F.col(s) < THRESHOLD).select(docs.columns)
+    return score(docs, train(docs, labels), score_col=s).where(F.col(s) < THRESHOLD).select(columns(docs))
