@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     found = materialise(found, "toxicity-features")
     total = found.where("f = -1").first()
     if not total or not 0 < total.bad < total.n:
-        return Model(-50.0, {})
+        return Model(float("-inf"), {})
     p = total.bad / total.n
     z = F.abs(F.col("bad") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
     kept = found.where("f <> -1 AND n >= 4").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "f").limit(FEATURES).toPandas()["f"].tolist()
