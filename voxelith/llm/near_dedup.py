@@ -29,7 +29,7 @@ class _Hashes(dict):
     """Hashes of words, forgotten when there are many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -137,7 +137,7 @@ def near_classes(
     # What is left to compare are nodes of different classes in one bucket, but for its first node.
     bits = sets.select("node", F.size("sh").alias("n"), "bits")
     live = _unsettled(live.where("node <> lead.node").select("bucket", "node"), labels)
-    leads = 4
+    leads = 16
     while not live.isEmpty():
         first = F.row_number().over(Window.partitionBy("bucket").orderBy(turn))
         lead = materialise(live.withColumn("nth", first).where(F.col("nth") <= leads).drop("nth").join(bits, "node"), "near-leads")
@@ -152,7 +152,7 @@ def near_classes(
             labels = materialise(components(links, "near-components"), "near-labels")
         tried = tried.unionByName(new)
         live = _unsettled(live.select("bucket", "node").join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti"), labels)
-        leads *= 4
+        leads *= 16
 
     out = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
     out = materialise(out, "near-rows")

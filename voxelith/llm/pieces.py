@@ -23,7 +23,7 @@ from voxelith.llm.texts import with_columns
 SPACE = "▁"
 NONE = float("-inf")
 #: Entries that each of a worker's caches holds at most; they only save time.
-CACHE = 400_000
+CACHE = 150_000
 
 
 class Pieces:

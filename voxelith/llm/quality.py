@@ -39,7 +39,7 @@ def _bucket(token: str) -> int:
 
 class _Buckets(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         b = self[token] = _bucket(token)
         return b

@@ -5,34 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxelith.storage import clashless
 
-#: Characters of texts that are worked on together.
-CHUNK = 4_000_000
+#: Characters of texts that are worked on together, and bytes of the batches that they come in.
+CHUNK, BATCH = 1_000_000, 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def chunks(texts: list[str]) -> Iterator[slice]:
-    """Runs of `texts` of about CHUNK characters; a longer text is one of its own run's last."""
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of `texts` of about CHUNK bytes; a longer text is the last of its run."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n
         if size > CHUNK:
-            yield slice(start, i + 1)
+            yield start, i + 1 - start
             start, size = i + 1, 0
     if start < len(texts):
-        yield slice(start, len(texts))
+        yield start, len(texts) - start
 
 
 def with_columns(df: DataFrame, text: Column, make: Callable[[], Callable[[list[str]], list[list]]], new: list[tuple[str, str, pa.DataType]], keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of `df` (all by default) and the new ones, `(name, SQL type, Arrow type)` each.
 
     make() is called once in each task and gives a function from texts to the new columns' values; null texts come as
-    empty ones. Columns of `df` with a new column's name are replaced.
+    empty ones. Columns of `df` with a new column's name are replaced. The session's Arrow batches are made smaller if
+    they are larger than BATCH, since a worker holds a few of them.
     """
+    now = df.sparkSession.conf.get(BATCH_CONF).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH:
+        df.sparkSession.conf.set(BATCH_CONF, f"{BATCH}b")
     gone = {n.lower() for n, _, _ in new}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in gone]
     given = clashless(df, "text_in")
@@ -43,10 +49,9 @@ def with_columns(df: DataFrame, text: Column, make: Callable[[], Callable[[list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            for part in chunks(texts):
-                some = b.slice(part.start, part.stop - part.start)
-                arrays = [pa.array(v, k) for v, k in zip(work(texts[part]), kinds)]
+            for start, n in chunks(b.column(b.num_columns - 1)):
+                some = b.slice(start, n)
+                arrays = [pa.array(v, k) for v, k in zip(work(some.column(b.num_columns - 1).to_pylist()), kinds)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], *arrays], names=out.names)
 
     return df.select(*cols, F.coalesce(text, F.lit("")).alias(given)).mapInArrow(run, out)

@@ -20,9 +20,11 @@ from voxelith.storage import clashless, columns, materialise
 #: Labelled documents that the model is fitted on at most (the first in order of their id's hash), and distinct words of one.
 TRAIN_DOCS, TRAIN_WORDS = 12_000, 5_000
 #: Features in the model at most, the ones with the strongest evidence.
-FEATURES = 20_000
+FEATURES = 3_000
 GRAMS = (4, 5)
 THRESHOLD = 0.7
+#: Words that a worker remembers, to save time.
+WORDS = 150_000
 END = 1e9  # stands for the end of a sentence among the weights
 TOKEN = re.compile(r"\w+|[.!?\n]")
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -48,7 +50,7 @@ class _Weights(dict):
         self.by_hash = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > WORDS:
             self.clear()
         get = self.by_hash.get
         w = self[word] = END if word in ".!?\n" else sum(get(f, 0.0) for f in features(word))
@@ -133,17 +135,26 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, bad, of = Counter(), Counter(), {}
         n = toxic = 0
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame({"f": [-1, *seen], "n": [n, *seen.values()], "bad": [toxic, *(bad[f] for f in seen)]})
+
         for b in batches:
             for y, t in zip(b["label"], b["text"]):
                 words = set(w for s in _sentences(t) for w in s)
                 if len(words) > TRAIN_WORDS:
                     continue
-                distinct = set().union(*(of.get(w) or of.setdefault(w, features(w)) for w in words))
+                distinct = set().union(*(of.get(w) or of.setdefault(w, tuple(features(w))) for w in words))
                 seen.update(distinct)
                 if y:
                     bad.update(distinct)
                 n, toxic = n + 1, toxic + int(y)
-        yield pd.DataFrame({"f": [-1, *seen], "n": [n, *seen.values()], "bad": [toxic, *(bad[f] for f in seen)]})
+                if len(of) > WORDS // 4:
+                    of.clear()
+                if len(seen) > 2 * WORDS:  # partial sums, added up by the shuffle
+                    yield told()
+                    seen, bad, n, toxic = Counter(), Counter(), 0, 0
+        yield told()
 
     found = rows.mapInPandas(counted, "f bigint, n bigint, bad bigint").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     found = materialise(found, "toxicity-features")
@@ -156,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     column = {f: i for i, f in enumerate(kept)}
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of: dict[str, list[int]] = {}
+        of: dict[str, tuple[int, ...]] = {}
         for b in batches:
             out = []
             for i, y, t in zip(b["l_id"], b["label"], b["text"]):
@@ -167,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 for k, s in enumerate(told):
                     for w in s:
                         if w not in of:
-                            of[w] = sorted(column[f] for f in features(w) if f in column)
+                            if len(of) > WORDS:
+                                of.clear()
+                            of[w] = tuple(sorted(column[f] for f in features(w) if f in column))
                         hit += of[w]
                         where += [k] * len(of[w])
                 out.append((i, y, len(told), hit, where))
@@ -177,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     got = rows.mapInPandas(bags, f"l_id {kind}, label int, told int, hit array<int>, place array<int>").toPandas()
     got = got.assign(n=got["hit"].map(len)).sort_values(["l_id", "told", "n"], kind="stable")
     first = np.cumsum(got["told"]) - got["told"]
-    cat = lambda arrays: np.concatenate([*map(np.asarray, arrays), []]).astype(np.int64)
-    sentence = cat(got["place"]) + np.repeat(first.to_numpy(), got["n"])
+    cat = lambda arrays: np.concatenate([np.empty(0, np.int32), *(np.asarray(a, np.int32) for a in arrays)])
+    sentence = cat(got["place"]) + np.repeat(first.to_numpy(np.int32), got["n"])
     w, bias = fit(cat(got["hit"]), sentence, np.repeat(np.arange(len(got)), got["told"]), got["label"].to_numpy(), len(kept))
     return Model(bias, {f: float(w[i]) for f, i in column.items() if w[i]})
 
