@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxelith.plans import cloud_queries, corpus_queries, stream_queries, voxel_queries  # noqa: F401
+from voxelith.plans import cloud_queries, corpus_queries, scene_queries, stream_queries, voxel_queries  # noqa: F401
 from voxelith.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
