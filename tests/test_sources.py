@@ -77,3 +77,20 @@ def test_octree_holds_its_voxels(spark, tmp_path):
     (tmp_path / "v" / "voxel-meta.json").write_text(json.dumps(meta | {"nodeCount": 10**6}))
     with pytest.raises(ValueError, match="words"):
         octree.read_pair(spark, f"file://{tmp_path}/v")
+
+
+def test_lod_directory(spark, tmp_path):
+    from voxelith.operators import manifests as L
+    from voxelith.sources import lod_directory
+
+    rows = [(c, lv, float(i), 0.0, 1.0) for c in range(4) for lv in range(3) for i in range(12 >> lv)]
+    df = spark.createDataFrame(rows, "chunk_id int, level int, x double, y double, z double")
+    meta = lod_directory.write(df, f"file://{tmp_path}/lod", first_shared=2)
+    assert (meta["levels"], meta["counts"], len(meta["files"]), len(meta["permanentFiles"])) == (3, 48, 9, 1)
+    shared = meta["permanentFiles"][0]
+    assert [n["lods"][2] for n in meta["tree"]] == [{"file": shared, "offset": 3 * c, "count": 3} for c in range(4)]
+    text = (tmp_path / "lod" / "lod-meta.json").read_text()
+    m = spark.createDataFrame([(text,)], "t string").withColumn("m", L.read_manifest(F.col("t")))
+    assert m.select(L.is_manifest("m", F.col("t"))).first()[0]
+    assert L.chunks(m.withColumn("manifest_id", F.lit(1))).agg(F.sum("count")).first()[0] == len(rows)
+    assert lod_directory.read_files(spark, f"file://{tmp_path}/lod", [meta["files"][shared]]).count() == 12
