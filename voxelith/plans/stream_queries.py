@@ -137,7 +137,7 @@ def resort_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, round(atan2(sin(value), cos(value)), 9) AS angle, CASE WHEN user_id % 2 = 0 THEN 10.0 ELSE 1.0 END * CASE WHEN user_id % 3 = 0 THEN 2.0 ELSE 1.0 END * CASE WHEN user_id % 5 = 0 THEN 20.0 ELSE 1.0 END AS speed,
+    """SELECT event_id, round(atan2(sin(value), cos(value)), 9) AS angle, CASE WHEN user_id % 2 = 0 THEN 10.0 ELSE 1.0 END * CASE WHEN user_id % 3 = 0 THEN 2.0 ELSE 1.0 END * CASE WHEN user_id % 5 = 0 THEN 20.0::DOUBLE ELSE 1.0::DOUBLE END AS speed,
   CASE WHEN event_id % 3 IN (1, 2) THEN 'pan' WHEN user_id % 2 = 0 THEN 'orbit' ELSE 'rotate' END AS pointer, greatest(0.35, least(0.8, value / 50)) AS walk_pace FROM events"""
 )
 def control_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
