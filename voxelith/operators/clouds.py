@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import Vec, quaternion_matrix
+from voxelith.ordering import in_order
 from voxelith.storage import materialise
 
 XYZ = ["x", "y", "z"]
@@ -150,32 +153,42 @@ def quantile_box(points: DataFrame, low: float, high: float, by: list[str] | Non
     return points.groupBy(*(by or [])).agg(*aggs)
 
 
-def forward_box(points: DataFrame, share: float = 0.8, rounds: int = 12) -> DataFrame:
-    """The box of equal tails on each axis that holds about `share` of the points, with its `coverage`.
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Interpolated quantiles of a column, by its global order: only the rows at the wanted ranks come to the driver."""
+    ordered, n, _ = in_order(df.select(column).where(F.col(column).isNotNull()), [F.col(column)], name="quantiles")
+    if not n:
+        return [math.nan] * len(shares)
+    at = [(n - 1) * q for q in shares]
+    ranks = sorted({r for p in at for r in (math.floor(p), min(math.floor(p) + 1, n - 1))})
+    value = {r.pos: r[column] for r in ordered.where(F.col("pos").isin(ranks)).select("pos", column).collect()}
+    return [value[math.floor(p)] + (value[min(math.floor(p) + 1, n - 1)] - value[math.floor(p)]) * (p - math.floor(p)) for p in at]
+
 
-    The tail is found by bisection; each round is one pass that returns one row. Quantiles are taken once, on a grid of
-    tails, and interpolated by the nearest grid point.
+def forward_box(points: DataFrame, share: float = 0.8, steps: int = 64) -> DataFrame:
+    """The smallest box of equal tails on each axis, of `steps` tails, that holds `share` of the points, with its `coverage`.
+
+    The tail is found by bisection; each try counts the points inside. Points without a place leave an empty box.
     """
-    tails = [i / 128 for i in range(64)]
-    row = points.agg(*(F.percentile(c, F.array(*map(F.lit, [*tails, *(1 - t for t in tails)]))).alias(c) for c in XYZ)).first()
+    tails = [i / (2 * steps) for i in range(steps)]
+    edges = {c: exact_quantiles(points, c, [*tails, *(1 - t for t in tails)]) for c in XYZ}
     n = points.count()
-    box = lambda i: {c: (row[c][i], row[c][64 + i]) for c in XYZ}
-    lo, hi, held = 0, 63, {}
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
+
+    def held(i: int) -> int:
         inside = F.lit(True)
-        for c, (a, b) in box(mid).items():
-            inside = inside & F.col(c).between(a, b)
-        held[mid] = points.where(inside).count()
-        if held[mid] >= share * n:
-            lo = mid
+        for c, e in edges.items():
+            inside = inside & F.col(c).between(e[i], e[steps + i])
+        return points.where(inside).count()
+
+    low, high, best = 0, steps - 1, n
+    while low < high:
+        mid = (low + high + 1) // 2
+        k = held(mid)
+        if k >= share * n:
+            low, best = mid, k
         else:
-            hi = mid - 1
-    if lo not in held:
-        held[lo] = n
-    b = box(lo)
-    cols = [F.lit(v).alias(f"{c}{k}") for c in XYZ for k, v in zip("01", b[c])]
-    return points.sparkSession.range(1).select(*cols, F.lit(held[lo] / n if n else None).cast("double").alias("coverage"))
+            high = mid - 1
+    cols = [F.lit(e[low + k * steps]).alias(f"{c}{k}") for c, e in edges.items() for k in (0, 1)]
+    return points.sparkSession.range(1).select(*cols, F.lit(best / n if n else None).cast("double").alias("coverage"))
 
 
 def merge_gaussians(splats: DataFrame, by: list[str]) -> DataFrame:
