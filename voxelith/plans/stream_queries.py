@@ -147,3 +147,16 @@ def control_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", F.round(X.wrap_angle(F.col("value")), 9).alias("angle"), (held(2, 10.0) * held(3, 2.0) * held(5, 20.0)).alias("speed"), pointer.alias("pointer"), X.clamp(F.col("value") / 50, 0.35, 0.8).alias("walk_pace")
     )
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), r AS (
+  SELECT user_id, event_id, n, event_type AS action, NULL::VARCHAR AS before, 0.18::DOUBLE AS since FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, e.event_type, CASE WHEN e.event_type <> r.action THEN r.action ELSE r.before END, CASE WHEN e.event_type <> r.action THEN 0::DOUBLE ELSE r.since + 0.07::DOUBLE END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, action, round(least(1, since / 0.18::DOUBLE), 9) AS weight, CASE WHEN since / 0.18::DOUBLE < 1 THEN before END AS fading FROM r"""
+)
+def cross_fades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start, step, out, _ = S.cross_fade()
+    rows = table(spark, sf_dir, "events").withColumn("dt", F.lit(0.07))
+    return S.fold(rows, "user_id", ["event_id"], ["dt", "event_type"], start, step, out).withColumn("weight", F.round("weight", 9))

@@ -150,3 +150,22 @@ def spring(stiffness: float = 120.0, damping: float = 14.0, gravity: float = 9.8
         return (y, speed, 1.0), (y, speed, grounded)
 
     return (0.0, 0.0, -1.0), step, "height double, speed double, grounded boolean", "y double, speed double, known double"
+
+
+def cross_fade(seconds: float = 0.18) -> tuple[State, Step, str, str]:
+    """Weights of the action that begins and of the one that it replaces, linear over `seconds`. Values: (dt, action).
+
+    A change during a fade begins a new one, from the action that was fading in.
+    """
+
+    def step(s: State, v: tuple) -> tuple[State, tuple]:
+        (action, before, since), (dt, wanted) = s, v
+        if action == "":
+            return (wanted, "", seconds), (wanted, 1.0, None)
+        since = since + max(0.0, dt)
+        if wanted != action:
+            action, before, since = wanted, action, 0.0
+        w = min(1.0, since / seconds)
+        return (action, before, since), (action, w, before if w < 1 else None)
+
+    return ("", "", 0.0), step, "action string, weight double, fading string", "action string, before string, since double"
