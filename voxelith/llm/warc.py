@@ -23,6 +23,8 @@ from voxelith.storage import fresh_path, materialise
 FILE_BYTES = 1 << 30
 #: Records with at most GAP bytes between them are read at once, up to RANGE bytes.
 GAP, RANGE = 64 << 10, 8 << 20
+#: Bytes of records that a task reads.
+TASK_BYTES = 128 << 20
 #: Payload groups that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Pages have no fetch time; a fixed one keeps reruns equal.
@@ -153,7 +155,10 @@ def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payload]
     names = [c.split()[0] for c in cols.split(", ")]
     stretch = F.expr(f"offset div {RANGE}")
-    wanted = index.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    # Index rows are small, what they stand for is not: as many partitions as the records' bytes need.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    wanted = index.select("file", "offset", "length").repartition(n, "file", stretch).sortWithinPartitions("file", "offset")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
         file, start, end, inside = "", 0, 0, []
