@@ -14,7 +14,7 @@ LOADABLE = [".ply", ".spz", ".splat", ".ksplat", ".lcc", ".sog", ".esz", ".json"
 MIME = {".gif": "image/gif", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".svg": "image/svg+xml", ".webp": "image/webp"}
 UNITS = ["B", "KB", "MB", "GB"]
 EXTERNAL = r"(?i)^[a-z][a-z\d+.-]*:"
-BANNED = r"(?i)(?:https?://go\.|go\./|cf\.qunhequnhe|pages/viewpage|display/EGS)"
+BANNED = [r"https?://go\.", r"go\./", r"pages/viewpage"]
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
 API = "api:"
 
@@ -89,6 +89,11 @@ def is_local(c: Column) -> Column:
     return ~F.startswith(c, F.lit("/")) & ~F.startswith(c, F.lit("#")) & ~is_external(c)
 
 
+def is_banned(c: Column, more: list[str] | None = None) -> Column:
+    """Whether a text has a link that mustn't be published: short links, wiki pages, and `more` patterns of the user's."""
+    return c.rlike("(?i)(?:" + "|".join([*BANNED, *(more or [])]) + ")")
+
+
 def link_targets(c: Column) -> Column:
     """Targets of Markdown links (not of images) and then of href attributes, in order."""
     links = F.regexp_extract_all(c, F.lit(r"(?:^|[^!])\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
@@ -101,7 +106,7 @@ def href_targets(c: Column) -> Column:
 
 def heading_signature(c: Column) -> Column:
     """Depths of the headings of level 2 to 6, joined by commas; fences and front matter aren't skipped."""
-    marks = F.regexp_extract_all(c, F.lit(r"(?m)^(#{2,6})\s+\S"), F.lit(1))
+    marks = F.regexp_extract_all(c, F.lit(r"(?m)^(#{2,6})[^\S\r\n]+\S"), F.lit(1))
     return F.array_join(F.transform(marks, lambda m: F.length(m).cast("string")), ",")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelith.functions.vectors import Vec, clamp, orbit_offset
 
 #: Axes of coordinate presets (up vector, camera position) and settings of render presets.
-AXES = {"aholo": ((0.0, 0.0, 1.0), (0.0, -1.0, 0.0)), "opengl": ((0.0, 1.0, 0.0), (0.0, 0.0, 1.0)), "opencv": ((0.0, -1.0, 0.0), (0.0, 0.0, -1.0))}
+AXES = {"z-up": ((0.0, 0.0, 1.0), (0.0, -3.0, 1.2)), "opengl": ((0.0, 1.0, 0.0), (0.0, 1.2, 3.0)), "opencv": ((0.0, -1.0, 0.0), (0.0, -1.2, 3.0))}
 DRAWN = ["mesh", "splat", "sprite", "points", "line"]
 SURFACES = ["examples", "playground"]
 
@@ -51,8 +51,9 @@ def find_clips(clips: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def with_axes(rows: DataFrame, preset: str) -> DataFrame:
-    """`rows` with `up` and `position` of their coordinate preset."""
-    pick = lambda k: F.coalesce(*(F.when(F.col(preset) == n, F.struct(*(F.lit(v).alias(a) for a, v in zip("xyz", p[k])))) for n, p in AXES.items()))
+    """`rows` with `up` and `position` of their coordinate preset; those of opencv for names that aren't known."""
+    vector = lambda p: F.struct(*(F.lit(v).alias(a) for a, v in zip("xyz", p)))
+    pick = lambda k: F.coalesce(*(F.when(F.col(preset) == n, vector(p[k])) for n, p in AXES.items()), vector(AXES["opencv"][k]))
     return rows.withColumn("up", pick(0)).withColumn("position", pick(1))
 
 
@@ -109,7 +110,7 @@ def example_problems(rows: DataFrame) -> DataFrame:
     rules = {
         "order": F.coalesce(F.col("order") >= 0, F.lit(False)),
         "surfaces": (F.size("surfaces") > 0) & (F.size(F.array_distinct("surfaces")) == F.size("surfaces")) & F.forall("surfaces", lambda s: s.isin(SURFACES)),
-        "tags": (F.size("tags") > 0) & F.forall("tags", lambda t: F.length(F.trim(t)) > 0),
+        "tags": (F.size("tags") > 0) & F.forall("tags", lambda t: F.length(t) > 0),
         "accent": F.col("accent").rlike("^#[0-9a-fA-F]{6}$"),
         "cover": (cover != "") & (F.startswith(cover, F.lit("/")) | cover.rlike(r"^[A-Za-z][A-Za-z\d+.-]*://\S+$")),
         "title": F.col("title")["en-US"].isNotNull() & F.col("title")["zh-CN"].isNotNull(),

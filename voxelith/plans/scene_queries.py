@@ -52,11 +52,13 @@ def clip_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 0 END::DOUBLE AS up_x, CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END::DOUBLE AS up_y, CASE n_nationkey % 3 WHEN 0 THEN 1 ELSE 0 END::DOUBLE AS up_z FROM nation"""
+    """SELECT n_nationkey, 0::DOUBLE AS up_x, CASE n_nationkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END::DOUBLE AS up_y, CASE n_nationkey % 4 WHEN 0 THEN 1 ELSE 0 END::DOUBLE AS up_z,
+  CASE n_nationkey % 4 WHEN 0 THEN -3 WHEN 1 THEN 1.2 ELSE -1.2 END::DOUBLE AS at_y, CASE n_nationkey % 4 WHEN 0 THEN 1.2 ELSE 3 END::DOUBLE AS at_z FROM nation"""
 )
 def axis_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.element_at(F.array(*map(F.lit, ["aholo", "opengl", "opencv"])), F.col("n_nationkey") % 3 + 1)
-    return N.with_axes(table(spark, sf_dir, "nation").withColumn("preset", name), "preset").select("n_nationkey", *(F.col(f"up.{a}").alias(f"up_{a}") for a in "xyz"))
+    name = F.element_at(F.array(*map(F.lit, ["z-up", "opengl", "opencv", "none"])), F.col("n_nationkey") % 4 + 1)
+    rows = N.with_axes(table(spark, sf_dir, "nation").withColumn("preset", name), "preset")
+    return rows.select("n_nationkey", *(F.col(f"up.{a}").alias(f"up_{a}") for a in "xyz"), F.col("position.y").alias("at_y"), F.col("position.z").alias("at_z"))
 
 
 @query(
