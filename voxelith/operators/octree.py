@@ -35,11 +35,11 @@ def build(masks: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         bit = F.shiftright("code", 3 * (depth - level - 1)).bitwiseAND(F.lit(7)).cast("int")
         up = below.groupBy(F.shiftright("code", 3 * (depth - level)).alias("prefix")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), bit)).alias("mask"))
         nodes = nodes.unionByName(up.select(F.lit(level).alias("level"), "prefix", F.lit(None).cast("boolean").alias("solid"), F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"), "mask"))
-    numbered, n, _ = in_order(nodes, [F.col("level"), F.col("prefix")], name="octree-nodes")
+    numbered, n, _ = in_order(nodes, [F.col("level"), F.col("prefix")], name="octree-nodes", unique=True)
     if n > 2**INDEX_BITS:
         raise ValueError(f"{n} nodes don't fit in indices of {INDEX_BITS} bits")
     first = numbered.where("level > 0").groupBy((F.col("level") - 1).alias("level"), F.shiftright("prefix", 3).alias("prefix")).agg(F.min("pos").alias("first"))
-    leaves, _, _ = in_order(numbered.where("NOT solid").select(F.col("pos").alias("node"), "lo", "hi"), [F.col("node")], name="octree-leaves")
+    leaves, _, _ = in_order(numbered.where("NOT solid").select(F.col("pos").alias("node"), "lo", "hi"), [F.col("node")], name="octree-leaves", unique=True)
     word = (
         F.when(F.col("solid"), F.lit(SOLID))
         .when(F.col("solid").isNotNull(), F.col("leaf"))

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from voxelith.storage import clashless, materialise
 
 
-def in_order(df: DataFrame, order: list[Column], size: str | None = None, name: str = "ordered") -> tuple[DataFrame, int, int]:
+def in_order(df: DataFrame, order: list[Column], size: str | None = None, name: str = "ordered", unique: bool = False) -> tuple[DataFrame, int, int]:
     """(`df` with `pos` and, for a `size` column, `before`; number of rows; sum of `size`).
 
-    `pos` is the row's place from 0 in the order, `before` the sum of the sizes of the rows before it. Rows with equal
-    keys are dealt over partitions by their place in the input, so a key that many rows share is no hot spot; make the
-    order total if such rows differ. The range-sorted table is written first, since range bounds come from a sample and
+    `pos` is the row's place from 0 in the order, `before` the sum of the sizes of the rows before it. Unless the keys are
+    `unique`, rows with equal keys are dealt over partitions by their place in the input, so a key that many rows share
+    is no hot spot; make the order total if such rows differ, and let the input be a scan, whose rows keep their places
+    when a lost task runs again. The range-sorted table is written first, since range bounds come from a sample and
     could differ when computed again. Beside it only one row of totals per partition is gathered.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part, seq, tie, rows0, size0 = (clashless(df, c) for c in ("part_", "seq_", "tie_", "rows0_", "size0_"))
-    df = df.withColumn(tie, F.monotonically_increasing_id())
-    keys = [*order, F.col(tie)]
+    keys = order
+    if not unique:
+        df = df.withColumn(tie, F.monotonically_increasing_id())
+        keys = [*order, F.col(tie)]
     t = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(tie)
     t = materialise(t.withColumn(part, F.spark_partition_id()).withColumn(seq, F.monotonically_increasing_id()), name)
     value = F.coalesce(F.col(size), F.lit(0)).cast("bigint") if size else F.lit(0).cast("bigint")
