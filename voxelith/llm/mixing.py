@@ -59,7 +59,7 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     )
     rows = materialise(rows, "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    sources, _, budget = in_order(sources, [F.col("source").asc_nulls_last()], "size", "mix-sources")
+    sources, _, budget = in_order(sources, [F.col("source").asc_nulls_last()], "size", "mix-sources", unique=True)
     weights = F.array(*map(F.lit, WEIGHTS))
     sources = sources.withColumn("weight", F.get(weights, (F.col("pos") % len(WEIGHTS)).cast("int"))).withColumnRenamed("pos", "source_no").drop("before")
     sources = share(materialise(sources, "mix-weights"), budget)
@@ -80,7 +80,7 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         "source_no", "upto", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.struct(e.alias("epoch"), ((e * F.col("source_size") + F.col("upto")) / F.col("target")).alias("finish")))).alias("c")
     )
     copies = copies.select("source_no", "upto", "size", "c.epoch", "c.finish")
-    mixed, _, _ = in_order(copies, [F.col("finish"), F.col("source_no"), F.col("upto")], "size", "mix-order")
+    mixed, _, _ = in_order(copies, [F.col("finish"), F.col("source_no"), F.col("upto")], "size", "mix-order", unique=True)
     return rows, mixed.where(F.col("before") + F.col("size") <= budget).drop("before")
 
 
