@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +93,16 @@ def latest(records: DataFrame, key: list[str], seq: list[Column], version: Colum
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*(s.desc() for s in seq)))
     out = records.withColumn("_n", n).where("_n = 1").drop("_n")
     return out if version is None else out.where(version)
+
+
+def rewrite_links(pages: DataFrame, mapping: DataFrame, key: str, body: str, before: str = 'href="', after: str = '"') -> DataFrame:
+    """`pages` with the link targets of `body` replaced where `mapping` (`link, target`) has them.
+
+    The links found in all pages are joined to the mapping once; a page then gets its own few replacements. Targets stand
+    between `before` and `after`, so one replacement doesn't touch another's text.
+    """
+    found = pages.select(key, F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(f"{re.escape(before)}([^\"')]+){re.escape(after)}"), F.lit(1)))).alias("link"))
+    own = found.join(mapping, "link").groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("link", "target")).alias("_swap"))
+    wrap = lambda c: F.concat(F.lit(before), c, F.lit(after))
+    swapped = F.aggregate(F.coalesce("_swap", F.array().cast("array<struct<link:string,target:string>>")), F.col(body), lambda acc, p: F.replace(acc, wrap(p["link"]), wrap(p["target"])))
+    return pages.join(own, F.col(key) == F.col("_k"), "left").withColumn(body, swapped).drop("_k", "_swap")

@@ -253,3 +253,14 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ["x", "b.SPLAT?v=1", "dir.v2/c.spz", "m.json", "readme.txt", "e.compressed.ply"])), k)
     head = F.when(k == 1, F.lit("ply\nformat")).when(k == 4, F.lit('{"a":1}')).otherwise(F.lit("")).cast("binary")
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.file_kind(name, head).alias("kind"))
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, html, list_distinct(regexp_extract_all(html, 'href="([^"'')]+)"', 1)) AS ls FROM pages)
+SELECT page_id, md5(list_reduce(list_filter(ls, lambda x: starts_with(x, '/')), lambda acc, x: replace(acc, 'href="' || x || '"', 'href="' || lower(x) || '.md"'), html)) AS rewritten FROM l"""
+)
+def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root links of all pages point to Markdown pages in lower case."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    mapping = links(spark, sf_dir).where(F.startswith("href", F.lit("/"))).select(F.col("href").alias("link"), F.concat(F.lower("href"), F.lit(".md")).alias("target")).distinct()
+    return C.rewrite_links(pages, mapping, "page_id", "html").select("page_id", F.md5("html").alias("rewritten"))
