@@ -129,12 +129,12 @@ def first_hit_down(rays: DataFrame, voxels: DataFrame, grid: Grid) -> DataFrame:
     ox, oy, oz = (F.col(c) for c in ("ox", "oy", "oz"))
     at = grid.index(Vec(ox, oy, oz))
     keyed = rays.select("ray_id", "oy", at[0].alias("ix"), at[2].alias("iz"))
+    low = F.lit(grid.origin[1]) + F.col("iy") * F.lit(grid.cell[1])
+    # The highest of a column's voxels is hit first; numbers keep the aggregation in hash tables.
+    got = keyed.join(voxels.select(CELL), ["ix", "iz"]).where(low <= F.col("oy")).groupBy("ray_id").agg(F.max("iy").alias("iy"), F.max("oy").alias("oy"))
     top = F.lit(grid.origin[1]) + (F.col("iy") + 1) * F.lit(grid.cell[1])
-    got = keyed.join(voxels.select(CELL), ["ix", "iz"]).where(F.lit(grid.origin[1]) + F.col("iy") * F.lit(grid.cell[1]) <= F.col("oy"))
-    t = F.greatest(F.col("oy") - top, F.lit(0.0))
-    return got.groupBy("ray_id").agg(F.min(F.struct(t.alias("t"), (-F.col("iy")).alias("down"))).alias("m"), F.first("oy").alias("oy")).select(
-        "ray_id", (F.col("oy") - F.col("m.t")).alias("hit_y"), F.col("m.t").alias("t"), (-F.col("m.down")).alias("iy")
-    )
+    got = got.withColumn("t", F.greatest(F.col("oy") - top, F.lit(0.0)))
+    return got.select("ray_id", (F.col("oy") - F.col("t")).alias("hit_y"), "t", "iy")
 
 
 def ray_cells(rays: DataFrame, grid: Grid, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
