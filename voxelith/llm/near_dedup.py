@@ -22,6 +22,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Bits of the bitmaps that rule pairs out.
 BITS = 1024
+#: Nodes of a bucket that one task compares with its leads.
+PART_ROWS = 500
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -141,10 +143,10 @@ def near_classes(
     while not live.isEmpty():
         first = F.row_number().over(Window.partitionBy("bucket").orderBy(turn))
         lead = materialise(live.withColumn("nth", first).where(F.col("nth") <= leads).drop("nth").join(bits, "node"), "near-leads")
-        ahead = lead.select("bucket", *(F.col(c).alias(c + "2") for c in ("node", "label", "n", "bits")))
-        rest = live.join(bits, "node")
+        ahead = lead.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(c + "2") for c in ("node", "label", "n", "bits")))
+        rest = live.join(bits, "node").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
         reach = (rest.node != F.col("node2")) & (rest.label != F.col("label2")) & alike & _may_reach(similarity)
-        pairs = rest.join(ahead, (rest.bucket == ahead.bucket) & reach).select(F.col("node2").alias("a"), rest.node.alias("b"))
+        pairs = rest.join(ahead, (rest.bucket == ahead.bucket) & (rest.part == ahead.part) & reach).select(F.col("node2").alias("a"), rest.node.alias("b"))
         new = materialise(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "near-pairs")
         found = materialise(_verified(new, sets, similarity), "near-links")
         if not found.isEmpty():
@@ -171,10 +173,14 @@ def _sets_of(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _unsettled(slots: DataFrame, labels: DataFrame) -> DataFrame:
-    """`bucket, node, label` of the buckets that hold several classes, written."""
+    """`bucket, node, label, parts` of the buckets that hold several classes, written.
+
+    `parts` is how many parts of a bucket are compared with its leads apart from each other: one but for large buckets.
+    """
     slots = slots.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = slots.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-    return materialise(slots.join(mixed.select("bucket"), "bucket", "left_semi"), "near-buckets")
+    parts = F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")
+    mixed = slots.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), parts).where("l0 <> l1")
+    return materialise(slots.join(mixed.select("bucket", "parts"), "bucket"), "near-buckets")
 
 
 def _may_reach(similarity: float) -> Column:
