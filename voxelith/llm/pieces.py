@@ -108,7 +108,7 @@ class Pieces:
         for i, c in enumerate(span):  # a character without a piece is its own match
             if c not in self.id:
                 at[i].append(c)
-        failed = 0  # bit i: no compatible way goes on from place i
+        failed = bytearray(n // 8 + 1)  # bit i: no compatible way goes on from place i
         out: list[str] = []
         tried: list[int] = [0]
         pos = 0
@@ -117,12 +117,13 @@ class Pieces:
             while k < len(options):
                 p = options[k]
                 k += 1
-                if not failed >> (pos + len(p)) & 1 and self.compatible(out[-1] if out else "", p):
+                end = pos + len(p)
+                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(out[-1] if out else "", p):
                     break
             else:
                 if not out:
                     raise ValueError("no encoding found")
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 tried.pop()
                 pos -= len(out.pop())
                 continue
