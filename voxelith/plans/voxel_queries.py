@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import vec
 from voxelith.operators import voxels as V
-from voxelith.plans.carriers import GRID, POINTS, VOXELS, points, voxels
+from voxelith.plans.carriers import GRID, POINTS, VOXELS, points, table, voxels
 from voxelith.plans.registry import query
 
 V_CTE = f"WITH v AS ({VOXELS})"
@@ -60,8 +60,6 @@ SELECT o_orderkey, floor(x / 5)::BIGINT AS ix, floor(y / 5)::BIGINT AS iy, floor
 FROM q LEFT JOIN v ON floor(x / 5)::BIGINT = v.ix AND floor(y / 5)::BIGINT = v.iy AND floor(z / 2)::BIGINT = v.iz"""
 )
 def point_in_voxel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voxelith.plans.carriers import table
-
     q = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 55).cast("double").alias("x"), (F.col("o_totalprice") / 4000).alias("y"), (F.col("o_orderkey") % 12).cast("double").alias("z"))
     cells = q.select("o_orderkey", *(c.alias(n) for c, n in zip(GRID.index(vec()), V.CELL)))
     return V.is_solid(cells, V.leaf_masks(voxels(spark, sf_dir)))
@@ -119,10 +117,10 @@ RAYS = "SELECT n_nationkey::BIGINT AS ray_id, 1.37 + n_nationkey * 1.913 AS ox,
 SELECT ray_id, round(near, 6) AS t, ix, iy, iz FROM h WHERE k = 1"""
 )
 def ray_march(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark_sql = RAYS.replace("nation", "NATION").replace("n_NATIONkey", "n_nationkey").replace("FROM NATION", "FROM {t}").replace("::BIGINT", "")
-    from voxelith.plans.carriers import table
-
-    rays = spark.sql(spark_sql, t=table(spark, sf_dir, "nation")).selectExpr("cast(ray_id as bigint) ray_id", *(f"cast({c} as double) {c}" for c in ("ox", "oy", "oz", "dx", "dy", "dz", "max_t")))
+    n = F.col("n_nationkey")
+    rays = table(spark, sf_dir, "nation").select(
+        n.cast("bigint").alias("ray_id"), (n * 1.913 + 1.37).alias("ox"), F.lit(119.3).alias("oy"), (n * 0.317 + 0.71).alias("oz"), F.lit(0.0913).alias("dx"), F.lit(-1.0).alias("dy"), F.lit(0.0371).alias("dz"), F.lit(150.0).alias("max_t")
+    )
     return V.first_hit(rays, voxels(spark, sf_dir), GRID, (0, 0, 0), (16, 31, 10)).withColumn("t", F.round("t", 6))
 
 
@@ -131,8 +129,6 @@ FROM orders WHERE o_orderkey % 7 = 0"""
 
 
 def _capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from voxelith.plans.carriers import table
-
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("capsule_id"),
         ((F.col("o_custkey") % 55).cast("double") + 0.37).alias("x"),
