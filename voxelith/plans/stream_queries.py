@@ -70,17 +70,32 @@ def locomotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fold(rows, "user_id", ["event_id"], ["speed", "grounded", "vertical"], start, step, out)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, greatest(0::DOUBLE, least(0.05::DOUBLE, value / 1000)) AS dt, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), z AS (
+  SELECT user_id, event_id, n, list_reduce(list_transform(range(12), lambda i: {'k': 0, 'o': least(dt, 10 * (1 / 60::DOUBLE))}),
+    lambda a, x: CASE WHEN a.o >= 1 / 60::DOUBLE THEN {'k': a.k + 1, 'o': a.o - 1 / 60::DOUBLE} ELSE a END) AS s FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, list_reduce(list_transform(range(12), lambda i: {'k': 0, 'o': least(z.s.o + e.dt, 10 * (1 / 60::DOUBLE))}),
+    lambda a, x: CASE WHEN a.o >= 1 / 60::DOUBLE THEN {'k': a.k + 1, 'o': a.o - 1 / 60::DOUBLE} ELSE a END) FROM z JOIN e ON e.user_id = z.user_id AND e.n = z.n + 1)
+SELECT user_id, event_id, s.k::INT AS steps, round(s.o, 9) AS owed FROM z"""
+)
 def fixed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, step, out, _ = S.fixed_steps()
-    return S.fold(table(spark, sf_dir, "events").withColumn("dt", F.col("value") / 1000), "user_id", ["event_id"], ["dt"], start, step, out)
+    return S.fold(table(spark, sf_dir, "events").withColumn("dt", F.col("value") / 1000), "user_id", ["event_id"], ["dt"], start, step, out).withColumn("owed", F.round("owed", 9))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, value / 50 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), r AS (
+  SELECT user_id, event_id, n, t AS y, 0::DOUBLE AS s, true AS grounded FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN r.y - e.t > 0.1::DOUBLE AND r.y + v.f * (1 / 60::DOUBLE) <= e.t THEN e.t WHEN r.y - e.t > 0.1::DOUBLE THEN r.y + v.f * (1 / 60::DOUBLE) ELSE r.y + v.g * (1 / 60::DOUBLE) END,
+    CASE WHEN r.y - e.t > 0.1::DOUBLE AND r.y + v.f * (1 / 60::DOUBLE) <= e.t THEN 0 WHEN r.y - e.t > 0.1::DOUBLE THEN v.f ELSE v.g END, r.y - e.t <= 0.1::DOUBLE
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT r.s - 9.8::DOUBLE * (1 / 60::DOUBLE) AS f, r.s + (-120::DOUBLE * (r.y - e.t) - 14::DOUBLE * r.s) * (1 / 60::DOUBLE) AS g) v)
+SELECT user_id, event_id, round(y, 6) AS height, round(s, 6) AS speed, grounded FROM r"""
+)
 def spring_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     start, step, out, _ = S.spring()
     rows = table(spark, sf_dir, "events").withColumn("dt", F.lit(1 / 60)).withColumn("target", F.col("value") / 50)
-    return S.fold(rows, "user_id", ["event_id"], ["dt", "target"], start, step, out)
+    got = S.fold(rows, "user_id", ["event_id"], ["dt", "target"], start, step, out)
+    return got.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("height", "speed")})
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS at, count(*) AS n, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
