@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import Vec, clamp
+from voxelith.storage import materialise
 
 CELL = ["ix", "iy", "iz"]
 BLOCK = ["kx", "ky", "kz"]
@@ -236,10 +237,13 @@ def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFram
 def depenetrate(capsules: DataFrame, voxels: DataFrame, grid: Grid, rounds: int = 4) -> DataFrame:
     """`capsule_id, px, py, pz`: the total push of up to `rounds` deepest pushes, each after the ones before.
 
+    Each round's state is written, so that plans don't grow from round to round.
+
     A push doesn't undo an earlier one: its part against the direction of any of the first three pushes is taken out.
     Totals of PENETRATION or less give no row.
     """
     zero = F.lit(0.0)
+    voxels = materialise(voxels.select(CELL), "capsule-voxels")
     state = capsules.select("*", *(zero.alias(f"t{a}") for a in "xyz"), F.array().cast("array<struct<x:double,y:double,z:double>>").alias("normals"))
     keep = state.columns
     for _ in range(rounds):
@@ -258,7 +262,7 @@ def depenetrate(capsules: DataFrame, voxels: DataFrame, grid: Grid, rounds: int
         state = state.withColumn("normals", F.when(more, F.array_append("normals", normal)).otherwise(F.col("normals")))
         for a in "xyz":
             state = state.withColumn(a, F.col(a) + F.col(f"push.{a}")).withColumn(f"t{a}", F.col(f"t{a}") + F.col(f"push.{a}"))
-        state = state.select(keep)
+        state = materialise(state.select(keep), "capsule-state")
     total = Vec(F.col("tx"), F.col("ty"), F.col("tz"))
     return state.where(total.dot(total) > PENETRATION**2).select("capsule_id", *(F.col(f"t{a}").alias(f"p{a}") for a in "xyz"))
 
@@ -268,8 +272,6 @@ def reachable(voxels: DataFrame, seed: tuple[int, int, int], low: tuple[int, int
 
     A breadth-first search by joins; each front is written to the shared folder and the search ends with an empty one.
     """
-    from voxelith.storage import materialise
-
     spark = voxels.sparkSession
     inside = lambda df: df.where(" AND ".join(f"{c} >= {a} AND {c} < {b}" for c, a, b in zip(CELL, low, high)))
     start = spark.range(1).select(*(F.lit(s).cast("bigint").alias(c) for c, s in zip(CELL, seed)), F.lit(0).alias("steps"))
