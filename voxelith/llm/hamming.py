@@ -71,7 +71,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id_c
         for i in range(m):  # met here first: lower segments are farther than r, higher ones as far at least
             once = once & F.when(F.col("seg") > i, away[i] > r).when(F.col("seg") < i, away[i] >= r).otherwise(F.lit(True))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
-        near = _probes(active, segments, r).join(slots, ["seg", "value"]).withColumn("distance", distance)
+        # Probes are many for each query, which Spark's estimate doesn't know: they must not be broadcast.
+        near = _probes(active, segments, r).hint("merge").join(slots, ["seg", "value"]).withColumn("distance", distance)
         near = near.where((F.col("kth").isNull() | (F.col("distance") <= F.col("kth"))) & once).select("q", "code", "first_id", "distance")
         if best is not None:
             near = near.unionByName(best)
