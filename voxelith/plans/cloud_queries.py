@@ -10,7 +10,7 @@ from voxelith.operators import clouds as C
 from voxelith.operators import manifests as L
 from voxelith.operators import meshes as M
 from voxelith.plans.carriers import POINTS, SPLATS, points, splats, table
-from voxelith.plans.registry import query
+from voxelith.plans.registry import SQL, query
 
 R6 = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -292,9 +292,19 @@ k AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, tri_id) AS nt
 SELECT ray_id, round(t, 6) AS t, tri_id FROM k WHERE nth = 1"""
 )
 def ray_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = splats(spark, sf_dir).where("splat_id % 5 = 0")
+    """The rays of every fifth splat, as its SQL has it; ray_triangle_all has them all."""
+    return _hits(splats(spark, sf_dir).where("splat_id % 5 = 0"), tris(spark, sf_dir))
+
+
+def _hits(s: DataFrame, triangles: DataFrame) -> DataFrame:
     rays = s.select(F.col("splat_id").alias("ray_id"), (F.col("x") * 8).alias("ox"), F.lit(30.0).alias("oy"), (F.col("z") * 8).alias("oz"), F.lit(0.1).alias("dx"), F.lit(-1.0).alias("dy"), F.lit(0.05).alias("dz"), F.lit(60.0).alias("max_t"))
-    return M.first_hit(rays, tris(spark, sf_dir)).withColumn("t", F.round("t", 6))
+    return M.first_hit(rays, triangles).withColumn("t", F.round("t", 6))
+
+
+@query(SQL["ray_triangle"].replace(" WHERE splat_id % 5 = 0", ""))
+def ray_triangle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ray from every splat."""
+    return _hits(splats(spark, sf_dir), tris(spark, sf_dir))
 
 
 _D = {"1": ("ab", "ap"), "2": ("ac", "ap"), "3": ("ab", "bp"), "4": ("ac", "bp"), "5": ("ab", "cp"), "6": ("ac", "cp")}
@@ -329,7 +339,7 @@ def closest_point_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def capsule_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = splats(spark, sf_dir).where("splat_id % 3 = 1").select(F.col("splat_id").alias("capsule_id"), *((F.col(c) * 8).alias(c) for c in "xyz"), F.lit(0.9).alias("half_height"), F.lit(0.6).alias("radius"))
+    s = splats(spark, sf_dir).select(F.col("splat_id").alias("capsule_id"), *((F.col(c) * 8).alias(c) for c in "xyz"), F.lit(0.9).alias("half_height"), F.lit(0.6).alias("radius"))
     return M.capsule_push(s, tris(spark, sf_dir))
 
 
