@@ -25,3 +25,10 @@ def test_every_splat_is_a_capsule(spark):
     for s in splats(spark, SF).select("splat_id", "x", "y", "z").collect():
         c = (s.x * 8, s.y * 8, s.z * 8)
         assert s.splat_id not in got or not all(far(*c, t) for t in tri)
+
+
+def test_every_event_is_imported(spark):
+    got = QUERIES["import_records_all"](spark, SF).collect()
+    ids = [r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()]
+    assert len(ids) > 200
+    assert (sum(r.n for r in got), sum(r.failed for r in got)) == (len(ids), sum(i % 4 == 0 for i in ids))

@@ -9,7 +9,7 @@ from voxelith.functions import text as T
 from voxelith.functions.vectors import Vec
 from voxelith.operators import scene as N
 from voxelith.plans.carriers import table
-from voxelith.plans.registry import query
+from voxelith.plans.registry import SQL, query
 
 NODES = "SELECT s_suppkey AS node_id, CASE WHEN s_suppkey <= 1 THEN 0 ELSE s_suppkey // 3 END AS parent_id, ['mesh', 'splat', 'group', 'sprite', 'bone'][s_suppkey % 5 + 1] AS kind FROM supplier"
 
@@ -129,6 +129,11 @@ def sphere_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) FILTER (event_id % 4 = 0) AS failed, count(*) AS n FROM events WHERE event_id < 200 GROUP BY user_id")
 def import_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of the first 200 events, as its SQL has it; import_records_all has them all."""
+    return _imported(table(spark, sf_dir, "events").where("event_id < 200"))
+
+
+def _imported(events: DataFrame) -> DataFrame:
     """Every fourth source is broken; the others are loaded all the same."""
 
     def load(name: str, content: bytes) -> int:
@@ -136,11 +141,16 @@ def import_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise ValueError("odd")
         return len(content)
 
-    e = table(spark, sf_dir, "events").where("event_id < 200").withColumn("content", F.when(F.col("event_id") % 4 == 0, F.lit("abc")).otherwise(F.lit("ab")).cast("binary"))
+    e = events.withColumn("content", F.when(F.col("event_id") % 4 == 0, F.lit("abc")).otherwise(F.lit("ab")).cast("binary"))
     got = N.import_all(e.withColumn("name", F.concat_ws("/", "user_id", "event_id")), load)
     return got.groupBy(F.split("name", "/")[0].cast("bigint").alias("user_id")).agg(F.count_if(F.col("status") == "error").alias("failed"), F.count(F.lit(1)).alias("n"))
 
 
+@query(SQL["import_records"].replace(" WHERE event_id < 200", ""))
+def import_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _imported(table(spark, sf_dir, "events"))
+
+
 @query("SELECT page_id, list_filter(regexp_split_to_array(' ' || url || ', b.ply' || chr(10) || 'c', '[\\s,]+'), lambda x: x <> '') AS urls, regexp_matches(url, '\\.json$') AS is_json FROM pages")
 def pasted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pasted = F.concat(F.lit(" "), "url", F.lit(", b.ply\nc"))
