@@ -1,5 +1,8 @@
 """Queries answer for every row of their tables, not for a part of them."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from voxelith.operators import meshes as M
 from voxelith.plans import cloud_queries as Q
 from voxelith.plans.catalog import QUERIES, SQL
@@ -32,3 +35,15 @@ def test_every_event_is_imported(spark):
     ids = [r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()]
     assert len(ids) > 200
     assert (sum(r.n for r in got), sum(r.failed for r in got)) == (len(ids), sum(i % 4 == 0 for i in ids))
+
+
+@pytest.mark.parametrize("name", ["closest_point_triangle", "closest_point_segment"])
+def test_every_triangle_has_points(spark, tmp_path, name):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    more = e.unionByName(e.withColumn("vec_id", F.col("vec_id") + 3000))  # 1000 splats, ids with a gap
+    few = e.where("vec_id < 30")
+    for rows, at in ((more, "more"), (few, "few")):
+        rows.write.parquet(f"{tmp_path}/{at}/embeddings.parquet")
+        got = QUERIES[name](spark, f"{tmp_path}/{at}").collect()
+        assert len(got) == rows.count()
+        assert {r.tri_id for r in got} == {r.tri_id for r in Q.tris(spark, f"{tmp_path}/{at}").collect()}

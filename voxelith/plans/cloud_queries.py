@@ -9,6 +9,7 @@ from voxelith.functions import vectors as X
 from voxelith.operators import clouds as C
 from voxelith.operators import manifests as L
 from voxelith.operators import meshes as M
+from voxelith.ordering import in_order
 from voxelith.plans.carriers import POINTS, SPLATS, points, splats, table
 from voxelith.plans.registry import SQL, query
 
@@ -307,6 +308,16 @@ def ray_triangle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(splats(spark, sf_dir), tris(spark, sf_dir))
 
 
+def _dealt_points(s: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Points and triangles in turn: a splat has the triangle whose place, by tri_id, is its id modulo their number.
+
+    The SQL twins have 166, the number of triangles of 500 splats; on other tables they leave triangles out.
+    """
+    placed, n, _ = in_order(triangles, [F.col("tri_id")], name="triangles", unique=True)
+    p = s.select("splat_id", F.pmod("splat_id", F.lit(max(n, 1))).alias("pos"), *((F.col(c) * 6).alias(f"p{c}") for c in "xyz"))
+    return p.join(placed, "pos").drop("pos")
+
+
 _D = {"1": ("ab", "ap"), "2": ("ac", "ap"), "3": ("ab", "bp"), "4": ("ac", "bp"), "5": ("ab", "cp"), "6": ("ac", "cp")}
 
 
@@ -320,8 +331,7 @@ SELECT splat_id, tri_id, {", ".join(f'''round(CASE WHEN d1 <= 0 AND d2 <= 0 THEN
   WHEN va <= 0 AND d4 - d3 >= 0 AND d5 - d6 >= 0 THEN kb{c} + (kc{c} - kb{c}) * ((d4 - d3) / (d4 - d3 + d5 - d6)) ELSE ka{c} + ab{c} * (vb / (va + vb + vc)) + ac{c} * (vc / (va + vb + vc)) END, 6) AS {c}''' for c in "xyz")} FROM w"""
 )
 def closest_point_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = splats(spark, sf_dir).select("splat_id", (F.col("splat_id") % 166).alias("tri_id"), *((F.col(c) * 6).alias(f"p{c}") for c in "xyz"))
-    rows = s.join(tris(spark, sf_dir), "tri_id")
+    rows = _dealt_points(splats(spark, sf_dir), tris(spark, sf_dir))
     return r6(M.nearest(rows, "p", ""), ["splat_id", "tri_id"], ["x", "y", "z"])
 
 
@@ -332,9 +342,9 @@ t AS (SELECT *, CASE WHEN n < 1e-20 THEN 0 ELSE greatest(0, least(1, ((px - kax)
 SELECT splat_id, tri_id, round(kax + (kbx - kax) * t, 6) AS x, round(kay + (kby - kay) * t, 6) AS y, round(kaz + (kbz - kaz) * t, 6) AS z FROM t"""
 )
 def closest_point_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = splats(spark, sf_dir).select("splat_id", (F.col("splat_id") % 166).alias("tri_id"), *((F.col(c) * 6).alias(f"p{c}") for c in "xyz"))
+    rows = _dealt_points(splats(spark, sf_dir), tris(spark, sf_dir))
     near = X.closest_on_segment(X.vec("p"), X.vec("ka"), X.vec("kb"))
-    return r6(s.join(tris(spark, sf_dir), "tri_id").select("splat_id", "tri_id", *near.named("")), ["splat_id", "tri_id"], ["x", "y", "z"])
+    return r6(rows.select("splat_id", "tri_id", *near.named("")), ["splat_id", "tri_id"], ["x", "y", "z"])
 
 
 @query()
