@@ -186,11 +186,12 @@ def lod_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lod_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each level is made from the one before; the numbers of Gaussians never exceed the targets."""
+    """Each level is made from the one before; its number of Gaussians is the target at most, unless reduction's last
+    round still has more: cells of doubled size keep the octants about the origin apart, so up to 8 Gaussians may be left."""
     s, out = splats(spark, sf_dir), None
     n = s.count()
     level = s
-    for i, (precision, boost) in enumerate(C.LEVELS[1:4], 1):
+    for i, (precision, boost) in enumerate(C.LEVELS[1:], 1):
         cols = [F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.lit(0.0).alias("qz"), F.lit(1.0).alias("qw")]
         have = level.count()
         level = C.materialise(C.lod_reduce(level, n * precision / have, 0.05, boost=boost).select("*", *cols), "lod-level")
