@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a row group of a written table.
+ROW_GROUP = 16 << 20
 _own: dict[str, str] = {}
 
 
@@ -32,12 +34,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet to the shared folder and returns the table that was written."""
+    """Writes `df` as Parquet to the shared folder and returns the table that was written.
+
+    Row groups are small, since a writer holds one in memory.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote. Call it once everything that reads them is itself written."""
+    for t in tables:
+        spark = t.sparkSession
+        for top in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if top.removeprefix("file:").lstrip("/").startswith(shared_dir(spark).removeprefix("file:").lstrip("/") + "/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(top)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clashless(df: DataFrame, stem: str) -> str:
     """A column name that starts with `stem` and that `df` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}
@@ -49,3 +64,8 @@ def clashless(df: DataFrame, stem: str) -> str:
 def columns(df: DataFrame) -> list[Column]:
     """The columns of `df`, whatever their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of `df`, by which rows that differ anywhere can be told apart and put in order."""
+    return F.xxhash64(*(F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(columns(df), df.dtypes)))
