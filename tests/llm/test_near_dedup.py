@@ -1,9 +1,11 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from voxelith.llm import near_dedup
 from voxelith.llm.components import components
 from voxelith.llm.dart_minhash import signatures
 from voxelith.llm.near_dedup import drop_near_duplicates, near_report
@@ -48,7 +50,7 @@ def brute(data):
     sets = []
     for r in data:
         w = re.findall(r"\w+", (r[1] or "").lower())
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
     up = list(range(len(data)))
 
     def root(i):
@@ -58,7 +60,7 @@ def brute(data):
 
     for i in range(len(data)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total():
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     groups = {}
@@ -93,3 +95,19 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_small_groups_and_shuffled_ids_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 2)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near_dedup, "SUPPORT", 0.02)
+    data = corpus()
+    got = near_report(spark.createDataFrame(data, SCHEMA).repartition(3), bands=40, rows=3).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == brute(data)
+
+
+def test_repeats_weigh(spark):
+    once, twice = "a b c d e f g h i j", "k l m n o p q r s t"
+    docs = [(1, f"{once} {twice} {twice}"), (2, f"{once} {twice}"), (3, f"{once} {twice} {twice} u"), (4, "w " * 500), (5, "w " * 500 + "v")]
+    got = {r.doc_id: r.class_id for r in near_report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}

@@ -2,32 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.storage import materialise
+from voxelith.storage import discard, materialise
 
+#: Links that a task contracts together.
+CHUNK = 1 << 20
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """`node, label` for each node of `links` (`a, b` bigint, either order); the label is the component's least node.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until the links no longer change. Each step is a
-    minimum per node, which is combined before its shuffle, and a join that Spark may split where a node has many links.
-    Each round's links are written to the shared folder. No links give no rows.
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of all nodes of these links but the roots, the least nodes of their components."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while True:
+        px, py = up[x], up[y]
+        if (px == py).all():
+            child = np.flatnonzero(up != np.arange(len(up)))
+            return nodes[child], nodes[up[child]]
+        low = np.minimum(px, py)
+        np.minimum.at(up, px, low)
+        np.minimum.at(up, py, low)
+        while (up != (jumped := up[up])).any():
+            up = jumped
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+
+    def told() -> pa.RecordBatch:
+        child, root = contract(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], names=["node", "root"])
+
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= CHUNK:
+            yield told()
+            held, n = [], 0
+    if n:
+        yield told()
+
+
+def forest(links: DataFrame, name: str = "components") -> DataFrame:
+    """`node, label` of each node of `links` (`a, b` bigint, either order) that isn't the least of its component, written.
+
+    In a round each task contracts its links to stars, from all nodes to the least one; a node then has as many roots as
+    there were tasks and chunks at most. The roots of a node are linked with the least of them, and each node's root is
+    replaced by the root's own root. The latter is a left join whose right side is unique, so Spark may split a root with
+    very many nodes. Rounds end when no root has a root. Each round's links are written to the shared folder. Links with a
+    null end or equal ends say nothing. No links give no rows.
     """
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    mark = None
+    edges = links.where("a <> b").select("a", "b")
+    last = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct(), name)
-        new = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if new == mark or not new[0]:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-            )
-        mark = new
+        stars = edges.mapInArrow(_stars, "node bigint, root bigint")
+        told = materialise(stars.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), name)
+        above = told.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        jumped = told.select("node", "root").join(above, "root", "left").select(F.col("node").alias("a"), F.coalesce("top", "root").alias("b"), F.col("top").isNotNull().alias("moved"))
+        met = told.where("size(roots) > 1").select("root", F.explode("roots").alias("a")).where("a <> root").select("a", F.col("root").alias("b"), F.lit(True).alias("moved"))
+        new = materialise(jumped.unionByName(met), name)
+        discard(told, *([last] if last is not None else []))
+        if new.where("moved").isEmpty():
+            return new.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        last, edges = new, new.select("a", "b")
+
+
+def with_roots(below: DataFrame) -> DataFrame:
+    """`node, label` of what forest() returned and of the roots, which label themselves."""
+    roots = below.select("label").distinct()
+    return below.unionByName(roots.select(F.col("label").alias("node"), "label"))
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """`node, label` for each node that `links` link with another; the label is the component's least node. See forest()."""
+    return with_roots(forest(links, name))

@@ -78,6 +78,7 @@ def signatures(elements: np.ndarray, owner: np.ndarray, sets: int, k: int, weigh
 def _darts(elements: np.ndarray, owner: np.ndarray, w: np.ndarray, limit: np.ndarray, seed: int):
     """(hash, owner, rank) of the darts inside the sets' regions, by cells of a weight band and a rank band."""
     key = mix(elements ^ U(seed * GOLDEN & MASK))
+    even = bool((w == 1.0).all())
     wide, low = 0, 0.0
     while True:
         high = 1.0 if not wide else 2.0**wide
@@ -98,7 +99,7 @@ def _darts(elements: np.ndarray, owner: np.ndarray, w: np.ndarray, limit: np.nda
                 src = np.repeat(at[hit], n)
                 rank = r0 + (r1 - r0) * unit(mix(e + U(1)))
                 inside = rank <= limit[owner[src]]
-                if w.max() != 1.0 or w.min() != 1.0:
+                if not even:
                     inside &= low + (high - low) * unit(mix(e + U(2))) < w[src]
                 yield e[inside], owner[src[inside]], rank[inside]
             band, r0, r1 = band + 1, r1, r1 * 2

@@ -1,4 +1,4 @@
-"""Near-duplicate classes: DartMinHash signatures of word shingles, banded joining, and exact verification of candidates."""
+"""Near-duplicate classes: DartMinHash signatures of weighted word shingles, banded joining, and exact verification."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.components import components
-from voxelith.llm.dart_minhash import U, mix, signatures
-from voxelith.llm.heavy import attach, winners
+from voxelith.llm.components import forest, with_roots
+from voxelith.llm.dart_minhash import GOLDEN, MASK, U, mix, signatures
+from voxelith.llm.heavy import SUPPORT, attach
 from voxelith.llm.texts import with_columns
-from voxelith.storage import clashless, columns, materialise
+from voxelith.storage import clashless, columns, discard, materialise, row_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -22,10 +22,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Bits of the bitmaps that rule pairs out.
 BITS = 1024
-#: Nodes of a bucket that one task compares with its leads.
+#: Nodes of a bucket that are compared with as many others in one group.
 PART_ROWS = 500
 #: Ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
+
 
 class _Hashes(dict):
     """Hashes of words, forgotten when there are many."""
@@ -40,33 +41,42 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of the text's runs of `width` words (runs of word characters, lower-cased), sorted.
+def shingles(text: str, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the text's runs of `width` words (runs of word characters, lower-cased); hashes sorted.
 
     A text of fewer words has one shingle of them all, a text without words has none.
     """
     words = re.findall(r"\w+", text.lower())
     if not words:
-        return np.empty(0, U)
+        return np.empty(0, U), np.empty(0, np.int64)
     h = np.fromiter(map(_hashes.__getitem__, words), U, len(words))
     n = max(1, len(h) - width + 1)
     acc = np.zeros(n, U)
     for j in range(min(width, len(h))):
         acc = mix(acc * U(3) + h[j : j + n] + U(j + 1))
-    return np.unique(acc)
+    return np.unique(acc, return_counts=True)
+
+
+def occurrences(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of its own for each occurrence of a shingle: the Jaccard similarity of such sets is the weighted one."""
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    nth = (np.arange(len(first)) - first).astype(U)
+    each = np.repeat(hashes, counts)
+    return np.where(nth == 0, each, mix(each ^ nth * U(GOLDEN & MASK)))
 
 
 def _sign(model: dict, texts: list[str]) -> list[list]:
     sets = [shingles(t, model["width"]) for t in texts]
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    sig = signatures(np.concatenate([*sets, np.empty(0, U)]).astype(U), owner, len(sets), model["bands"] * model["rows"])
+    each = np.array([len(h) for h, _ in sets])
+    n = [int(c.sum()) for _, c in sets]
+    cat = lambda i, kind: np.concatenate([*(s[i] for s in sets), np.empty(0, kind)]).astype(kind)
+    sig = signatures(cat(0, U), np.repeat(np.arange(len(sets)), each), len(sets), model["bands"] * model["rows"], cat(1, np.float64))
     sig = sig.reshape(len(sets), model["bands"], model["rows"])
     key = np.zeros(sig.shape[:2], U) + np.arange(model["bands"], dtype=U)
     for j in range(model["rows"]):
         key = mix(key * U(5) + sig[:, :, j])
-    same = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-    return [same, sizes.tolist(), [k if n else [] for k, n in zip(key.view(np.int64), sizes)]]
+    same = [xxhash.xxh3_128_hexdigest(h.tobytes() + c.tobytes()) if len(h) else None for h, c in sets]
+    return [same, n, [k if m else [] for k, m in zip(key.view(np.int64), n)]]
 
 
 def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -77,14 +87,15 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """`node, sh, bits` from `node, text`: 32 bits of each shingle's hash, and a bitmap of these."""
+    """`node, sh, n, bits` from `node, text`: the shingles' occurrences, their number, and a bitmap of them."""
 
     def work(texts: list[str]) -> list[list]:
-        sets = [np.unique(shingles(t, width).astype(np.uint32)) for t in texts]
-        odd = [np.packbits((np.bincount(s & np.uint32(BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
-        return [[s.view(np.int32) for s in sets], odd]
+        sets = [occurrences(*shingles(t, width)) for t in texts]
+        odd = [np.packbits((np.bincount((s & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+        return [[s.view(np.int64) for s in sets], [len(s) for s in sets], odd]
 
-    return with_columns(docs, F.col("text"), lambda: work, [("sh", "array<int>", pa.list_(pa.int32())), ("bits", "array<bigint>", pa.list_(pa.int64()))], ["node"])
+    new = [("sh", "array<bigint>", pa.list_(pa.int64())), ("n", "int", pa.int32()), ("bits", "array<bigint>", pa.list_(pa.int64()))]
+    return with_columns(docs, F.col("text"), lambda: work, new, ["node"])
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -92,95 +103,93 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """`rid, doc_id, text_md5, class_id, class_size, kept` per row of `docs`, a table in the shared folder.
-
-    Two rows are linked when the Jaccard similarity of their sets of `width`-word shingles is `similarity` or more (each
-    shingle weighs 1); classes are the connected rows. Candidates are rows that agree in a band of their signatures;
-    each link is verified on the whole texts. `class_id` is the least id of the class, null ids last; one row of it is
-    `kept`. `rid` numbers the rows.
-
-    Rows with equal sets are one node, so copies meet no one but their own representative. In a bucket, all nodes are
-    compared with its first node, not with each other. After that nodes of one class needn't be compared. As long as a
-    bucket holds several classes, more of its nodes are compared with its others of other classes, in rounds; a bitmap
-    of each set, looked at inside the join, leaves only pairs that can be links.
-
-    Null texts count as empty. Texts without words are alone, each a class of its own. Texts of fewer than `width` words
-    are linked when their words are equal. Repeated rows are in one class. An empty table gives no rows.
-    """
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(signed rows, one verdict per set of shingles), both written; see near_classes()."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"), text.alias("text"))
     signed = materialise(_signed(given, width, bands, rows).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
 
-    # Equal sets: one node each, the row of least id.
-    lone = signed.where("same IS NULL").select("rid", "doc_id", "text_md5", F.col("rid").alias("node"))
-    keys = signed.where("same IS NOT NULL").select("rid", "doc_id", "text_md5", "same")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5", "rid"))
-    rows_ = attach(keys, *winners(keys, "same", best), "same")
-    member = materialise(rows_.select("rid", "doc_id", "text_md5", F.col("best.rid").alias("node")).unionByName(lone), "near-members")
-    nodes = signed.where("same IS NOT NULL").join(member.where("rid = node").select("rid"), "rid")
-    nodes = materialise(nodes.select(F.col("rid").alias("node"), "doc_id", "text_md5", "n", "bands"), "near-nodes")
-
-    # Buckets of two nodes or more; `turn` gives the order in which nodes are compared with the others.
-    turn = F.struct(F.xxhash64("node").alias("turn"), "node")
+    # Equal sets: one node each, the row of least id. Partial minima are taken before the shuffle.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5", "rid", "n", "bands")).alias("best")
+    nodes = signed.where("same IS NOT NULL").groupBy("same").agg(best, F.count(F.lit(1)).alias("copies"))
+    nodes = materialise(nodes.select("same", "copies", F.col("best.rid").alias("node"), "best.no_id", "best.doc_id", "best.text_md5", "best.n", "best.bands"), "near-nodes")
+
+    # Buckets of two nodes or more; the least one leads. Both sides of the join are written tables, so that Spark can
+    # split a bucket that very many nodes are in.
     slots = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-    firsts = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node").alias("turn"), "node", "n")).alias("lead")).where("c > 1")
-    live = materialise(slots.join(firsts.drop("c"), "bucket"), "near-buckets")
-    wanted = materialise(live.select("node").distinct().join(nodes.select("node", "doc_id", "text_md5"), "node"), "near-wanted")
-    sets = materialise(_sets_of(given, wanted, width), "near-sets")
+    leads = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("lead")).where("c > 1")
+    leads = materialise(leads.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "near-leads")
+    live = materialise(slots.join(leads, "bucket"), "near-buckets")
+    wanted = materialise(nodes.select("node", "doc_id", "text_md5").join(live.select("node").distinct(), "node", "left_semi"), "near-wanted")
+    sets = _sets_of(given, wanted, width)
 
     alike = F.least("n", "n2") >= F.greatest("n", "n2") * similarity
-    pairs = live.where("node <> lead.node").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "n", F.col("lead.n").alias("n2"))
-    tried = materialise(_ordered(pairs.where(alike)), "near-pairs")
-    links = materialise(_verified(tried, sets, similarity), "near-links")
-    labels = materialise(components(links, "near-components"), "near-labels")
-    # What is left to compare are nodes of different classes in one bucket, but for its first node.
-    bits = sets.select("node", F.size("sh").alias("n"), "bits")
-    live = _unsettled(live.where("node <> lead.node").select("bucket", "node"), labels)
-    leads = 16
-    while not live.isEmpty():
-        first = F.row_number().over(Window.partitionBy("bucket").orderBy(turn))
-        lead = materialise(live.withColumn("nth", first).where(F.col("nth") <= leads).drop("nth").join(bits, "node"), "near-leads")
-        ahead = lead.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(c + "2") for c in ("node", "label", "n", "bits")))
-        rest = live.join(bits, "node").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
-        reach = (rest.node != F.col("node2")) & (rest.label != F.col("label2")) & alike & _may_reach(similarity)
-        pairs = rest.join(ahead, (rest.bucket == ahead.bucket) & (rest.part == ahead.part) & reach).select(F.col("node2").alias("a"), rest.node.alias("b"))
-        new = materialise(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        found = materialise(_verified(new, sets, similarity), "near-links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = materialise(components(links, "near-components"), "near-labels")
-        tried = tried.unionByName(new)
-        live = _unsettled(live.select("bucket", "node").join(lead.select("bucket", "node"), ["bucket", "node"], "left_anti"), labels)
-        leads *= 16
-
-    out = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
-    out = materialise(out, "near-rows")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
-    out = attach(out, *winners(out, "label", best), "label")
-    return materialise(
-        out.select("rid", "doc_id", "text_md5", F.col("best.doc_id").alias("class_id"), F.col("group_size").alias("class_size"), (F.col("rid") == F.col("best.rid")).alias("kept")), "near-classes"
-    )
+    pairs = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "n", F.col("lead_n").alias("n2")).where(alike)
+    links = _verified(pairs.select("a", "b").distinct(), sets, similarity)
+    below = forest(links, "near-forest")
+
+    # What is left to compare are nodes of different classes in one bucket, but for its lead.
+    classed = materialise(live.select("bucket", "node", "lead").join(below, "node", "left").select("bucket", "node", "lead", F.coalesce("label", "node").alias("label")), "near-classed")
+    mixed = _mixed(classed)
+    if not mixed.isEmpty():
+        slots = materialise(classed.join(mixed, "bucket").join(sets.select("node", "n", "bits"), "node"), "near-slots")
+        more = _verified(_candidates(slots, alike & _may_reach(similarity)), sets, similarity)
+        if not more.isEmpty():
+            stars = below.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            below = forest(stars.unionByName(more), "near-forest")
+        discard(slots, more)
+    discard(leads, live, wanted, sets, links, classed, mixed)
+
+    # Classes of one node are settled; those of several are summed by label.
+    named = materialise(nodes.drop("n", "bands").join(with_roots(below), "node", "left"), "near-named")
+    several = named.where("label IS NOT NULL")
+    best = F.min(F.struct("no_id", "doc_id", "node")).alias("best")
+    total = several.groupBy("label").agg(best, F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("group_size"))
+    total = materialise(total.select("label", F.struct(F.col("best.doc_id").alias("class_id"), F.col("best.node").alias("kept"), "class_size").alias("best"), "group_size"), "near-totals")
+    common = F.col("group_size") > several.count() * SUPPORT  # so 1 / SUPPORT labels at most
+    several = attach(several, total.where(common), total.where(~common), "label").select("same", "copies", "node", "doc_id", "text_md5", "best.*")
+    alone = named.where("label IS NULL").select("same", "copies", "node", "doc_id", "text_md5", F.col("doc_id").alias("class_id"), F.col("node").alias("kept"), F.col("copies").alias("class_size"))
+    out = materialise(several.unionByName(alone), "near-verdicts")
+    discard(nodes, below, named, total)
+    return signed, out
 
 
 def _sets_of(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     w = wanted.select("node", F.col("doc_id").alias("w_id"), F.col("text_md5").alias("w_md5"))
     on = given.text_md5.eqNullSafe(F.col("w_md5")) & given.doc_id.eqNullSafe(F.col("w_id"))
-    # Repeated rows give a node's set more than once.
-    return _shingle_sets(given.join(_bounded(w), on).select("node", "text"), width).dropDuplicates(["node"])
+    sets = materialise(_shingle_sets(given.join(_bounded(w), on).select("node", "text"), width), "near-sets")
+    if sets.count() == wanted.count():
+        return sets
+    once = materialise(sets.dropDuplicates(["node"]), "near-sets")  # repeated rows give a node's set more than once
+    discard(sets)
+    return once
+
+
+def _mixed(classed: DataFrame) -> DataFrame:
+    """`bucket, major, parts, chunks` of the buckets that hold several classes, written.
+
+    `major` is the label of most of the bucket's nodes. Nodes of other classes are compared with all; `parts` and `chunks`
+    are how many groups of about PART_ROWS the bucket's nodes and those of other classes are dealt to.
+    """
+    each = classed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    each = each.groupBy("bucket").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    groups = lambda n: F.ceil(n / PART_ROWS).cast("int")
+    return materialise(each.select("bucket", F.col("top.label").alias("major"), groups(F.col("m")).alias("parts"), groups(F.col("m") - F.col("top.c")).alias("chunks")), "near-mixed")
 
 
-def _unsettled(slots: DataFrame, labels: DataFrame) -> DataFrame:
-    """`bucket, node, label, parts` of the buckets that hold several classes, written.
+def _candidates(slots: DataFrame, reach: Column) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that share a bucket, `reach` each other and aren't its lead.
 
-    `parts` is how many parts of a bucket are compared with its leads apart from each other: one but for large buckets.
+    A bucket's nodes are dealt to parts, those outside its major class to chunks, and each part meets each chunk in a
+    group of its own. Only pairs in reach leave the join.
     """
-    slots = slots.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    parts = F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")
-    mixed = slots.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), parts).where("l0 <> l1")
-    return materialise(slots.join(mixed.select("bucket", "parts"), "bucket"), "near-buckets")
+    slots = slots.where("node <> lead")
+    rest = slots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
+    other = slots.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
+    other = other.select("bucket", "part", "chunk", *(F.col(c).alias(c + "2") for c in ("node", "label", "n", "bits")))
+    once = (F.col("label") == F.col("major")) | (F.col("node") < F.col("node2"))
+    met = rest.join(other.hint("merge"), ["bucket", "part", "chunk"]).where((F.col("label") != F.col("label2")) & once & reach)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def _may_reach(similarity: float) -> Column:
@@ -193,17 +202,45 @@ def _may_reach(similarity: float) -> Column:
     return F.col("n") + F.col("n2") - apart >= 2 * (similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The `pairs` whose sets have this Jaccard similarity."""
+    """The `pairs` whose sets have this Jaccard similarity, written. 64 bits of each shingle are compared."""
+    pairs = materialise(pairs, "near-pairs")
     a = sets.select(F.col("node").alias("a"), F.col("sh").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("sh").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("common", common)
-    return both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b")
+    links = materialise(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
+    discard(pairs)
+    return links
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """`rid, doc_id, text_md5, class_id, class_size, kept` per row of `docs`.
+
+    Two rows are linked when the weighted Jaccard similarity of their `width`-word shingles is `similarity` or more (a
+    shingle weighs as much as it occurs); classes are the connected rows. Candidates are rows that agree in a band of
+    their signatures; each link is verified on the whole texts. `class_id` is the least id of the class, null ids last;
+    one row of it is `kept`. `rid` numbers the rows.
+
+    Rows with equal shingles are one node, so copies meet no one but their own representative. In a bucket all nodes are
+    compared with the least one, its lead, and classes are found once. After that nodes of one class needn't be compared.
+    In a bucket with several classes the nodes outside the largest one are compared with all others of it, in groups of
+    bounded size; a bitmap of each set, looked at inside the join, leaves only pairs that can be links. Classes are found
+    once more with these links.
+
+    Null texts count as empty. Texts without words are alone, each a class of its own. Texts of fewer than `width` words
+    are linked when their words are equal. Repeated rows are in one class. Rows of null ids stand behind the others of
+    their class and are told apart by their texts. An empty table gives no rows.
+    """
+    signed, verdicts = _verdicts(docs, id_col, text_col, width, similarity, bands, rows)
+    lone = signed.where("same IS NULL").select("rid", "doc_id", "text_md5", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
+    keys = signed.where("same IS NOT NULL").select("rid", "doc_id", "text_md5", "same")
+    found = verdicts.select("same", F.struct("class_id", "class_size", "kept").alias("best"), F.col("copies").alias("group_size"))
+    common = F.col("group_size") > signed.count() * SUPPORT  # so 1 / SUPPORT sets at most
+    found = attach(keys, found.where(common), found.where(~common), "same")
+    return found.select("rid", "doc_id", "text_md5", "best.class_id", "best.class_size", (F.col("rid") == F.col("best.kept")).alias("kept")).unionByName(lone)
 
 
 def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -211,14 +248,19 @@ def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return near_classes(docs, id_col, text_col, **how).select("doc_id", "class_id", "class_size", "kept")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` that stay, one per class, with the columns of `docs`; see near_classes()."""
-    classes = near_classes(docs, id_col, text_col, **how)
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """The rows of `docs` that stay, one per class, with the columns of `docs`; see near_classes().
+
+    Texts without words all stay. Of rows with the id and text that stay, the one of least row_hash() does.
+    """
+    signed, verdicts = _verdicts(docs, id_col, text_col, width, similarity, bands, rows)
     md5, k_id, k_md5, rn = (clashless(docs, c) for c in ("text_md5", "k_id", "k_md5", "rn"))
-    kept = classes.where("kept").select(F.col("doc_id").alias(k_id), F.col("text_md5").alias(k_md5), F.lit(1).alias(rn)).distinct()
+    kept = verdicts.where("node = kept").select("doc_id", "text_md5").unionByName(signed.where("same IS NULL").select("doc_id", "text_md5"))
+    kept = kept.select(F.col("doc_id").alias(k_id), F.col("text_md5").alias(k_md5)).distinct()
     keyed = docs.withColumn(md5, F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
     out = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(md5) == F.col(k_md5)))
-    # Texts without words are classes of their own; other repeated rows are one.
     words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"(?U)\w")
-    first = F.row_number().over(Window.partitionBy(id_col, md5).orderBy(F.lit(0)))
+    first = F.row_number().over(Window.partitionBy(id_col, md5).orderBy(row_hash(docs)))
     return out.withColumn(rn, first).where((F.col(rn) == 1) | ~words).select(columns(docs))
