@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a row group of a written table.
 ROW_GROUP = 16 << 20
+#: Files of a table of few rows, and rows for each file of a larger one.
+FILES, FILE_ROWS = 48, 250_000
 _own: dict[str, str] = {}
 
 
@@ -33,12 +35,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes `df` as Parquet to the shared folder and returns the table that was written.
 
-    Row groups are small, since a writer holds one in memory.
+    Row groups are small, since a writer holds one in memory. `rows` bounds the rows of `df` from above, if that's known:
+    then no more files are written than such a table needs, nor more tasks run in the stage that writes them.
     """
     path = fresh_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(FILES, rows // FILE_ROWS))
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
