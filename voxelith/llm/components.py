@@ -49,24 +49,24 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def forest(links: DataFrame, name: str = "components") -> DataFrame:
+def forest(links: DataFrame, name: str = "components", nodes: int | None = None) -> DataFrame:
     """`node, label` of each node of `links` (`a, b` bigint, either order) that isn't the least of its component, written.
 
     In a round each task contracts its links to stars, from all nodes to the least one; a node then has as many roots as
     there were tasks and chunks at most. The roots of a node are linked with the least of them, and each node's root is
     replaced by the root's own root. The latter is a left join whose right side is unique, so Spark may split a root with
     very many nodes. Rounds end when no root has a root. Each round's links are written to the shared folder. Links with a
-    null end or equal ends say nothing. No links give no rows.
+    null end or equal ends say nothing. No links give no rows. `nodes` bounds the nodes from above, if that's known.
     """
     edges = links.where("a <> b").select("a", "b")
     last = None
     while True:
         stars = edges.mapInArrow(_stars, "node bigint, root bigint")
-        told = materialise(stars.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), name)
+        told = materialise(stars.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), name, nodes)
         above = told.select(F.col("node").alias("root"), F.col("root").alias("top"))
         jumped = told.select("node", "root").join(above, "root", "left").select(F.col("node").alias("a"), F.coalesce("top", "root").alias("b"), F.col("top").isNotNull().alias("moved"))
         met = told.where("size(roots) > 1").select("root", F.explode("roots").alias("a")).where("a <> root").select("a", F.col("root").alias("b"), F.lit(True).alias("moved"))
-        new = materialise(jumped.unionByName(met), name)
+        new = materialise(jumped.unionByName(met), name, nodes)
         discard(told, *([last] if last is not None else []))
         if new.where("moved").isEmpty():
             return new.select(F.col("a").alias("node"), F.col("b").alias("label"))

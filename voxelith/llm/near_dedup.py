@@ -109,47 +109,49 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, width: int, similarit
     given = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"), text.alias("text"))
     signed = materialise(_signed(given, width, bands, rows).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
 
+    n = signed.count()  # bounds the rows of what follows
+
     # Equal sets: one node each, the row of least id. Partial minima are taken before the shuffle.
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5", "rid", "n", "bands")).alias("best")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5", "rid", "bands")).alias("best")
     nodes = signed.where("same IS NOT NULL").groupBy("same").agg(best, F.count(F.lit(1)).alias("copies"))
-    nodes = materialise(nodes.select("same", "copies", F.col("best.rid").alias("node"), "best.no_id", "best.doc_id", "best.text_md5", "best.n", "best.bands"), "near-nodes")
+    nodes = materialise(nodes.select("same", "copies", F.col("best.rid").alias("node"), "best.no_id", "best.doc_id", "best.text_md5", "best.bands"), "near-nodes", n)
 
     # Buckets of two nodes or more; the least one leads. Both sides of the join are written tables, so that Spark can
     # split a bucket that very many nodes are in.
-    slots = nodes.select(F.explode("bands").alias("bucket"), "node", "n")
-    leads = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("lead")).where("c > 1")
-    leads = materialise(leads.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "near-leads")
-    live = materialise(slots.join(leads, "bucket"), "near-buckets")
-    wanted = materialise(nodes.select("node", "doc_id", "text_md5").join(live.select("node").distinct(), "node", "left_semi"), "near-wanted")
+    slots = nodes.select(F.explode("bands").alias("bucket"), "node")
+    leads = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).where("c > 1")
+    leads = materialise(leads.drop("c"), "near-leads", n * bands)
+    live = materialise(slots.join(leads, "bucket"), "near-buckets", n * bands)
+    wanted = materialise(nodes.select("node", "doc_id", "text_md5").join(live.select("node").distinct(), "node", "left_semi"), "near-wanted", n)
     sets = _sets_of(given, wanted, width)
 
-    alike = F.least("n", "n2") >= F.greatest("n", "n2") * similarity
-    pairs = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "n", F.col("lead_n").alias("n2")).where(alike)
-    links = _verified(pairs.select("a", "b").distinct(), sets, similarity)
-    below = forest(links, "near-forest")
+    pairs = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    links = _verified(pairs, sets, similarity, n * bands)
+    below = forest(links, "near-forest", n)
 
     # What is left to compare are nodes of different classes in one bucket, but for its lead.
-    classed = materialise(live.select("bucket", "node", "lead").join(below, "node", "left").select("bucket", "node", "lead", F.coalesce("label", "node").alias("label")), "near-classed")
-    mixed = _mixed(classed)
+    classed = materialise(live.select("bucket", "node", "lead").join(below, "node", "left").select("bucket", "node", "lead", F.coalesce("label", "node").alias("label")), "near-classed", n * bands)
+    mixed = _mixed(classed, n * bands)
     if not mixed.isEmpty():
-        slots = materialise(classed.join(mixed, "bucket").join(sets.select("node", "n", "bits"), "node"), "near-slots")
+        slots = materialise(classed.join(mixed, "bucket").join(sets.select("node", "n", "bits"), "node"), "near-slots", n * bands)
+        alike = F.least("n", "n2") >= F.greatest("n", "n2") * similarity
         more = _verified(_candidates(slots, alike & _may_reach(similarity)), sets, similarity)
         if not more.isEmpty():
             stars = below.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            below = forest(stars.unionByName(more), "near-forest")
+            below = forest(stars.unionByName(more), "near-forest", n)
         discard(slots, more)
     discard(leads, live, wanted, sets, links, classed, mixed)
 
     # Classes of one node are settled; those of several are summed by label.
-    named = materialise(nodes.drop("n", "bands").join(with_roots(below), "node", "left"), "near-named")
+    named = materialise(nodes.drop("bands").join(with_roots(below), "node", "left"), "near-named", n)
     several = named.where("label IS NOT NULL")
     best = F.min(F.struct("no_id", "doc_id", "node")).alias("best")
     total = several.groupBy("label").agg(best, F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("group_size"))
-    total = materialise(total.select("label", F.struct(F.col("best.doc_id").alias("class_id"), F.col("best.node").alias("kept"), "class_size").alias("best"), "group_size"), "near-totals")
+    total = materialise(total.select("label", F.struct(F.col("best.doc_id").alias("class_id"), F.col("best.node").alias("kept"), "class_size").alias("best"), "group_size"), "near-totals", n)
     common = F.col("group_size") > several.count() * SUPPORT  # so 1 / SUPPORT labels at most
     several = attach(several, total.where(common), total.where(~common), "label").select("same", "copies", "node", "doc_id", "text_md5", "best.*")
     alone = named.where("label IS NULL").select("same", "copies", "node", "doc_id", "text_md5", F.col("doc_id").alias("class_id"), F.col("node").alias("kept"), F.col("copies").alias("class_size"))
-    out = materialise(several.unionByName(alone), "near-verdicts")
+    out = materialise(several.unionByName(alone), "near-verdicts", n)
     discard(nodes, below, named, total)
     return signed, out
 
@@ -165,7 +167,7 @@ def _sets_of(given: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return once
 
 
-def _mixed(classed: DataFrame) -> DataFrame:
+def _mixed(classed: DataFrame, rows: int) -> DataFrame:
     """`bucket, major, parts, chunks` of the buckets that hold several classes, written.
 
     `major` is the label of most of the bucket's nodes. Nodes of other classes are compared with all; `parts` and `chunks`
@@ -174,7 +176,7 @@ def _mixed(classed: DataFrame) -> DataFrame:
     each = classed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     each = each.groupBy("bucket").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     groups = lambda n: F.ceil(n / PART_ROWS).cast("int")
-    return materialise(each.select("bucket", F.col("top.label").alias("major"), groups(F.col("m")).alias("parts"), groups(F.col("m") - F.col("top.c")).alias("chunks")), "near-mixed")
+    return materialise(each.select("bucket", F.col("top.label").alias("major"), groups(F.col("m")).alias("parts"), groups(F.col("m") - F.col("top.c")).alias("chunks")), "near-mixed", rows)
 
 
 def _candidates(slots: DataFrame, reach: Column) -> DataFrame:
@@ -202,16 +204,13 @@ def _may_reach(similarity: float) -> Column:
     return F.col("n") + F.col("n2") - apart >= 2 * (similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The `pairs` whose sets have this Jaccard similarity, written. 64 bits of each shingle are compared."""
-    pairs = materialise(pairs, "near-pairs")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
+    """The `pairs` whose sets have this Jaccard similarity, written. There are `most` pairs at most. 64 bits of each shingle are compared."""
     a = sets.select(F.col("node").alias("a"), F.col("sh").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("sh").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("common", common)
-    links = materialise(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
-    discard(pairs)
-    return links
+    return materialise(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b"), "near-links", most)
 
 
 def near_classes(
