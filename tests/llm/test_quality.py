@@ -1,9 +1,10 @@
+import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxelith.llm.quality import Model, quality_report, rating, score, train
+from voxelith.llm.quality import Model, loss, quality_report, rating, score, train
 
 
 def corpus():
@@ -47,3 +48,38 @@ def test_edge_cases(spark):
 def test_rating(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 0), (None, 0), (1, None)], "q int, t int")
     assert [r[0] for r in df.select(rating(F.col("q"), F.col("t"))).collect()] == [0, 0, 1, 2, None, None]
+
+
+def plain_loss(p, used, grade, vectors):
+    """The loss of a document at a time, by its definition."""
+    cuts = [p[len(used)]]
+    for g in p[len(used) + 1 :]:
+        cuts.append(cuts[-1] + math.exp(g))
+    at_least = lambda j, z: 1.0 if j == 0 else 0.0 if j > len(cuts) else 1 / (1 + math.exp(cuts[j - 1] - z))
+    out = 0.0
+    for y, (at, value) in zip(grade, vectors):
+        z = sum(p[list(used).index(a)] * v for a, v in zip(at, value))
+        out -= math.log(at_least(y, z) - at_least(y + 1, z))
+    return out
+
+
+def test_loss_and_gradient_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    used = np.array([3, 5, 8, 9])
+    vectors = [(rng.choice(used, n, replace=False), rng.random(n)) for n in rng.integers(0, 5, 30)]
+    grade, p = rng.integers(0, 3, 30), rng.normal(size=6)
+    got = loss(p, used, grade, vectors)
+    assert math.isclose(got[0], plain_loss(p, used, grade, vectors), rel_tol=1e-9)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-5
+        slope = (plain_loss(p + step, used, grade, vectors) - plain_loss(p - step, used, grade, vectors)) / 2e-5
+        assert math.isclose(got[1 + k], slope, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_long_rated_documents_are_learned_from(spark):
+    rnd = random.Random(2)
+    docs = [(i, " ".join([*(str(rnd.random()) for _ in range(4000)), *["good" if i % 2 else "bad"] * 400])) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = train(d, spark.createDataFrame([(i, float(i % 2)) for i, _ in docs], "doc_id bigint, rating double"))
+    got = {r.doc_id: r.expected_grade for r in score(spark.createDataFrame([(1, "good"), (2, "bad")], "doc_id bigint, text string"), model).collect()}
+    assert got[1] > 0.7 > 0.3 > got[2]

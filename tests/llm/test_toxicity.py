@@ -1,9 +1,14 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from voxelith.llm.toxicity import drop_toxic, held_out, score, toxicity_report, train
+from voxelith.llm import grams
+from voxelith.llm.fitting import minimise
+from voxelith.llm.toxicity import drop_toxic, held_out, loss, score, toxicity_report, train
 
 DOCS = "doc_id bigint, text string, score int, sentences int"
 LABELS = "doc_id bigint, toxic int"
@@ -57,3 +62,82 @@ def test_edge_cases(spark):
 
 def test_held_out_of_null_is_false(spark):
     assert not spark.createDataFrame([(None,)], "i bigint").select(held_out(F.col("i"))).first()[0]
+
+
+def plain_loss(w, labels, sentences, hits, places):
+    """The loss of a document at a time, by its definition."""
+    out = 0.0
+    for y, n, hit, place in zip(labels, sentences, hits, places):
+        clean = 1.0
+        for s in range(n):
+            z = w[-1] + sum(w[h] for h, p in zip(hit, place) if p == s)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        out -= math.log(1 - clean if y else clean)
+    return out
+
+
+def bags(seed):
+    rng = np.random.default_rng(seed)
+    labels, sentences, hits, places = [], [], [], []
+    for i in range(40):
+        n = int(rng.integers(1, 6))
+        place = np.sort(rng.integers(0, n, rng.integers(1, 12)))
+        hit = rng.integers(0, 5, len(place))
+        labels.append(int((hit == 0).any()) if i % 7 else 1 - int((hit == 0).any()))
+        sentences.append(n)
+        hits.append(hit)
+        places.append(place)
+    return labels, sentences, hits, places
+
+
+def test_loss_and_gradient_equal_plain_ones():
+    told = bags(0)
+    w = np.random.default_rng(1).normal(size=6)
+    got = loss(w, *told)
+    assert math.isclose(got[0], plain_loss(w, *told), rel_tol=1e-9)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-5
+        slope = (plain_loss(w + step, *told) - plain_loss(w - step, *told)) / 2e-5
+        assert math.isclose(got[1 + k], slope, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_minimum_equals_that_of_plain_descent():
+    told = bags(2)
+    f = lambda w: (plain_loss(w, *told) / 40 + 0.005 * w[:-1] @ w[:-1])
+    g = lambda w: loss(w, *told)[1:] / 40 + 0.01 * np.append(w[:-1], 0)
+    slow = np.zeros(6)
+    for _ in range(4000):
+        slow -= 0.5 * g(slow)
+    fast = minimise(lambda w: (f(w), g(w)), np.zeros(6), 100)
+    assert np.allclose(fast, slow, atol=0.02) and f(fast) <= f(slow) + 1e-6
+
+
+def test_long_labelled_documents_are_learned_from(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(6))
+    docs = []
+    for i in range(60):
+        told = [[word() for _ in range(10)] for _ in range(600)]
+        if i % 2:
+            rnd.choice(told)[4] = "quuxish"
+        docs.append((i, ". ".join(" ".join(s) for s in told)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = train(d, spark.createDataFrame([(i, i % 2) for i, _ in docs], LABELS))
+    assert len(model.buckets) and np.isfinite(model.bias)
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame([(1, "here is quuxish talk"), (2, "here is plain talk")], "doc_id bigint, text string"), model).collect()}
+    assert got[1] > 0.5 > got[2]
+
+
+def test_grams_by_sentence():
+    long = "abc defg. " * 30_000 + "x" * 200_000 + " tail! end"
+    texts = ["One word. Two", "", long, "?!\n", "\U0001f600 é_1 ab"]
+    weights = np.random.default_rng(3).random(1 << grams.BITS).astype(np.float32)
+    whole = {i: (n, told) for i, n, told in grams.by_sentence(texts)}
+    assert [whole[i][0] for i in range(5)] == [1 + len(re.findall(r"[.!?\n]", t)) for t in texts]
+    for i, z, has in grams.sums(texts, weights):
+        n, told = whole[i]
+        assert np.allclose(z, sum(np.bincount(of, weights[b], n) for b, of in told))
+        assert has.tolist() == [bool(re.search(r"\w", s)) for s in re.split(r"[.!?\n]", texts[i])]
+    of = lambda t: sorted(np.concatenate([b for b, _ in next(grams.by_sentence([t]))[2]]).tolist())
+    assert of("abcd") == of("ABCD,") and len(of("abcd")) == 3 + 2 + 1  # ^abc abcd bcd$, ^abcd abcd$, the word
+    assert set(of("ab abcd")) == set(of("ab")) | set(of("abcd"))

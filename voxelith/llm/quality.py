@@ -8,17 +8,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.llm.fitting import minimise, summed
 from voxelith.llm.texts import with_columns
 from voxelith.llm.toxicity import held_out
+from voxelith.storage import discard, materialise
 
-#: Labelled documents that the model is fitted on at most (the first in order of their id's hash), and distinct tokens of one.
-TRAIN_DOCS, TRAIN_TOKENS = 8_000, 3_000
+#: Labelled documents that the model is fitted on at most (the first in order of their id's hash).
+TRAIN_DOCS = 8_000
 #: Buckets of token hashes.
 BUCKETS = 1 << 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -46,70 +47,86 @@ class _Buckets(dict):
 
 
 def _vector(buckets: _Buckets, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values): square roots of the token shares of the lower-cased text, so a unit vector if none collide."""
-    count = Counter(TOKEN.findall(text.lower()))
-    at = np.fromiter((buckets[t] for t in count), np.int64, len(count))
+    """(buckets, values): square roots of the shares of tokens of the lower-cased text, a unit vector."""
+    count = Counter(map(buckets.__getitem__, TOKEN.findall(text.lower())))
+    at = np.fromiter(count, np.int64, len(count))
     n = np.fromiter(count.values(), np.float64, len(count))
     return at, np.sqrt(n / n.sum()) if len(n) else n
 
 
-def fit(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, rounds: int = 250, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, cuts) for grades 0..K-1 by maximum likelihood with an L2 penalty (Adam from a fixed start).
+def loss(p: np.ndarray, used: np.ndarray, grade: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """[negative log-likelihood, its gradient], summed over documents of grades 0..K-1.
 
-    The first cut is free and each next one is an exponential above it, so the cuts stay in order.
+    `p` has a weight for each of the buckets `used`, the first cut and the logarithms of the gaps to each next cut, so
+    that the cuts stay in order.
     """
-    used, column = np.unique(at, return_inverse=True)
-    n, k = len(grade), int(grade.max()) + 1
-    share = np.array([(grade > j).mean() for j in range(k - 1)])
-    cuts = -np.log(share / (1 - share))
-    p = np.concatenate([np.zeros(len(used)), [cuts[0]], np.log(np.maximum(np.diff(cuts), 1e-3))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
+    n, k = len(grade), len(p) - len(used) + 1
+    rows = np.repeat(np.arange(n), [len(at) for at, _ in vectors])
+    at = np.concatenate([*(a for a, _ in vectors), np.empty(0, np.int64)]).astype(np.int64)
+    value = np.concatenate([*(v for _, v in vectors), np.empty(0)]).astype(np.float64)
+    column = np.searchsorted(used, at)
+    gap = np.exp(p[len(used) + 1 :])
+    cuts = p[len(used)] + np.concatenate([[0.0], np.cumsum(gap)])
+    z = np.bincount(rows, p[: len(used)][column] * value, n)
     low, high = np.eye(k + 1)[grade], np.eye(k + 1)[grade + 1]
-    for step in range(1, rounds + 1):
-        w, gap = p[: len(used)], np.exp(p[len(used) + 1 :])
-        cuts = p[len(used)] + np.concatenate([[0.0], np.cumsum(gap)])
-        z = np.bincount(rows, w[column] * value, n)
-        over = np.column_stack([np.ones(n), 1 / (1 + np.exp(cuts - z[:, None])), np.zeros(n)])  # P(grade > j), j = -1..K-1
-        like = np.maximum((over * low).sum(1) - (over * high).sum(1), 1e-9)
-        slope = over * (1 - over)
-        d = (slope * low - slope * high) / like[:, None]  # of the log-likelihood by z, per cut
-        dz = -d.sum(1) / n
-        dcut = d[:, 1:k].sum(0) / n
-        grad = np.concatenate([np.bincount(column, dz[rows] * value, len(used)) + l2 * w, [dcut.sum()], gap * np.cumsum(dcut[::-1])[::-1][1:]])
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        p -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = p[: len(used)]
-    return weights, p[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(p[len(used) + 1 :]))])
-
-
-def train(docs: DataFrame, ratings: DataFrame, rating_col: str = "rating", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits a model on at most TRAIN_DOCS rated documents that are not held out (see toxicity.held_out()).
-
-    Null ratings and ids are left out; of an id's ratings the largest counts. A document of more than TRAIN_TOKENS
-    distinct tokens isn't learned from. With one rating or none there is nothing to learn; every document gets it (or 0).
+    over = np.column_stack([np.ones(n), 1 / (1 + np.exp(np.minimum(cuts - z[:, None], 500))), np.zeros(n)])  # P(grade > j), j = -1..K-1
+    like = np.maximum((over * low).sum(1) - (over * high).sum(1), 1e-9)
+    slope = over * (1 - over)
+    d = (slope * low - slope * high) / like[:, None]  # of the log-likelihood by z, per cut
+    dz = -d.sum(1)
+    dcut = d[:, 1:k].sum(0)
+    weights = np.bincount(column, dz[rows] * value, len(used))
+    return np.concatenate([[-np.log(like).sum()], weights, [dcut.sum()], gap * np.cumsum(dcut[::-1])[::-1][1:]])
+
+
+def train(docs: DataFrame, ratings: DataFrame, rating_col: str = "rating", id_col: str = "doc_id", text_col: str = "text", l2: float = 1e-5) -> Model:
+    """Fits a model on at most TRAIN_DOCS rated documents that are not held out (see toxicity.held_out()), each whole.
+
+    Null ratings and ids are left out; of an id's ratings the largest counts, and of rows that repeat an id the one of
+    least text. With one rating or none there is nothing to learn; every document gets it (or 0). The likelihood with an
+    L2 penalty is made large by L-BFGS, whose gradients tasks sum up: what comes to the driver is one number for each
+    bucket from each task, whatever the texts' lengths.
     """
     known = ratings.where(F.col(rating_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("l_id")).agg(F.max(rating_col).cast("double").alias("rating"))
     known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(TRAIN_DOCS)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).alias("d_id"), text).join(F.broadcast(known), F.col("d_id") == F.col("l_id")).select("l_id", "rating", "text")
+    rows = docs.select(F.col(id_col).alias("d_id"), text).join(F.broadcast(known), F.col("d_id") == F.col("l_id"))
+    rows = rows.groupBy("l_id").agg(F.min(F.struct("rating", "text")).alias("row")).select("row.rating", "row.text")
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for b in batches:
-            got = [(i, y, *_vector(buckets, t)) for i, y, t in zip(b["l_id"], b["rating"], b["text"])]
-            yield pd.DataFrame([g for g in got if len(g[2]) <= TRAIN_TOKENS], columns=["l_id", "rating", "at", "value"])
+            got = [_vector(buckets, t) for t in b.column(1).to_pylist()]
+            arrays = [b.column(0), pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rating", "at", "value"])
 
-    kind = rows.schema["l_id"].dataType.simpleString()
-    got = rows.mapInPandas(vectors, f"l_id {kind}, rating double, at array<int>, value array<float>").toPandas()
-    got = got.assign(n=got["at"].map(len)).sort_values(["l_id", "n"], kind="stable")
-    grades, grade = np.unique(got["rating"].to_numpy(np.float64), return_inverse=True)
+    rows = materialise(rows.mapInArrow(vectors, "rating double, at array<int>, value array<double>"), "quality-sample")
+    shares = {r.rating: r["n"] for r in rows.groupBy("rating").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each grade
+    grades, n = sorted(shares), sum(shares.values())
     if len(grades) < 2:
+        discard(rows)
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(0), [float(g) for g in grades] or [0.0])
-    at, value = (np.concatenate([*map(np.asarray, got[c]), []]) for c in ("at", "value"))
-    w, cuts = fit(np.repeat(np.arange(len(got)), got["n"]), at.astype(np.int64), value.astype(np.float64), grade)
-    return Model(w, cuts, [float(g) for g in grades])
+    used = np.sort(np.array([r[0] for r in rows.select(F.explode("at").alias("b")).distinct().collect()], np.int64))  # BUCKETS at most
+
+    def work(p: np.ndarray, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(len(p) + 1)
+        for b in batches:
+            grade = np.searchsorted(grades, b.column(0).to_numpy())
+            out += loss(p, used, grade, list(zip(*([x.values.to_numpy() for x in b.column(i)] for i in (1, 2)))))
+        return out
+
+    def penalised(p: np.ndarray) -> tuple[float, np.ndarray]:
+        got, slopes = summed(rows, work, p) / n, np.where(np.arange(len(p)) < len(used), p, 0.0)
+        return got[0] + l2 / 2 * float(slopes @ slopes), got[1:] + l2 * slopes
+
+    over = np.array([sum(shares[g] for g in grades[j + 1 :]) / n for j in range(len(grades) - 1)])
+    cuts = -np.log(over / (1 - over))
+    p = minimise(penalised, np.concatenate([np.zeros(len(used)), [cuts[0]], np.log(np.maximum(np.diff(cuts), 1e-3))]))
+    discard(rows)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[used] = p[: len(used)]
+    return Model(weights, p[len(used)] + np.concatenate([[0.0], np.cumsum(np.exp(p[len(used) + 1 :]))]), grades)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

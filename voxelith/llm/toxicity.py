@@ -3,65 +3,39 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.llm import grams
+from voxelith.llm.fitting import minimise, summed
 from voxelith.llm.texts import with_columns
-from voxelith.storage import clashless, columns, materialise
+from voxelith.storage import clashless, columns, discard, materialise
 
-#: Labelled documents that the model is fitted on at most (the first in order of their id's hash), and distinct words of one.
-TRAIN_DOCS, TRAIN_WORDS = 12_000, 5_000
-#: Features in the model at most, the ones with the strongest evidence.
-FEATURES = 3_000
-GRAMS = (4, 5)
+#: Labelled documents that the model is fitted on at most (the first in order of their id's hash).
+TRAIN_DOCS = 12_000
+#: Buckets of features get a weight if they are in so many documents whose share of toxic ones is so many standard errors off.
+LEAST_DOCS, EVIDENCE = 4, 4.0
 THRESHOLD = 0.7
-#: Words that a worker remembers, to save time.
-WORDS = 150_000
-END = 1e9  # stands for the end of a sentence among the weights
-TOKEN = re.compile(r"\w+|[.!?\n]")
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 @dataclass
 class Model:
-    """Weights of feature hashes and the bias of a sentence's logit."""
+    """Bias of a sentence's logit, and weights of feature buckets (see grams)."""
 
     bias: float
-    weights: dict[int, float]
+    buckets: np.ndarray
+    weights: np.ndarray
 
-    def lookup(self) -> _Weights:
-        return _Weights(self.weights)
-
-
-class _Weights(dict):
-    """Weight by word, forgotten when there are many."""
-
-    def __init__(self, weights: dict[int, float]):
-        super().__init__()
-        self.by_hash = weights
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > WORDS:
-            self.clear()
-        get = self.by_hash.get
-        w = self[word] = END if word in ".!?\n" else sum(get(f, 0.0) for f in features(word))
-        return w
-
-
-def features(word: str) -> set[int]:
-    """Hashes of a word and of its character n-grams, in which its borders are marked: stems count inside compounds."""
-    marked = f"^{word}$"
-    parts = {marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
-    return {xxhash.xxh3_64_intdigest(p) >> 1 for p in parts}
+    def table(self) -> np.ndarray:
+        out = np.zeros(1 << grams.BITS, np.float32)
+        out[self.buckets] = self.weights
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -69,131 +43,110 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def _logits(model: Model, table: _Weights, text: str) -> np.ndarray:
-    """The logit of each sentence that has a word."""
-    tokens = TOKEN.findall(text.lower())
-    w = np.fromiter(map(table.__getitem__, tokens), np.float64, len(tokens))
-    stop = w == END
-    w[stop] = 0.0
-    upto = np.concatenate([[0.0], np.cumsum(w)])
-    words = np.concatenate([[0], np.cumsum(~stop)])
-    ends = np.concatenate([np.flatnonzero(stop), [len(w)]])
-    starts = np.concatenate([[0], ends[:-1]])
-    return (upto[ends] - upto[starts])[words[ends] > words[starts]] + model.bias
-
-
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray, width: int, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias) of sentences, fitted to document labels.
+def loss(w: np.ndarray, labels: list[int], sentences: list[int], hits: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """[negative log-likelihood, its gradient] of `w`, weights and last the bias, summed over documents.
 
-    feature, sentence: a pair for each occurrence; doc: the document of each sentence. P(document) = 1 - prod(1 - p) over
-    its sentences; log-likelihood with an L2 penalty, by Adam from a fixed start.
+    P(document) = 1 - prod(1 - p) over its sentences; p is the logistic function of the bias and the weights of the
+    sentence's features: hits are these, places the sentence of each.
     """
-    y = labels.astype(bool)
-    w = np.zeros(width + 1)
-    w[-1] = np.log(y.mean() * len(y) / max(1, len(doc)))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, rounds + 1):
-        z = np.bincount(sentence, w[feature], len(doc)) + w[-1]
-        total = np.bincount(doc, _softplus(z), len(y))  # -log(1 - P)
-        pull = np.where(y, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
-        g = pull[doc] / (1 + np.exp(-z)) / len(y)
-        grad = np.append(np.bincount(feature, g[sentence], width) + l2 * w[:-1], g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return w[:-1], float(w[-1])
-
-
-def _sentences(text: str) -> list[list[str]]:
-    out: list[list[str]] = [[]]
-    for token in TOKEN.findall(text.lower()):
-        if token in ".!?\n":
-            out.append([])
-        else:
-            out[-1].append(token)
-    return [s for s in out if s]
-
-
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits a model on at most TRAIN_DOCS labelled documents that are not held out (see held_out()).
-
-    Labels other than 0 and 1 and null labels or ids are left out; of an id's labels the larger counts. A document of
-    more than TRAIN_WORDS distinct words isn't learned from. Features are screened first: those in 4 documents or more whose share
-    of toxic documents is over 3 standard errors off. What comes to the driver is at most FEATURES features and their
-    occurrences in the sample. Without a toxic and a clean label there is nothing to learn; then every score is 0.
+    y, n = np.array(labels, bool), np.array(sentences, np.int64)
+    first = np.cumsum(n) - n
+    feature = np.concatenate([*hits, np.empty(0, np.int64)]).astype(np.int64)
+    place = np.concatenate([*(p + k for p, k in zip(places, first)), np.empty(0, np.int64)]).astype(np.int64)
+    doc = np.repeat(np.arange(len(y)), n)
+    z = np.bincount(place, w[feature], len(doc)) + w[-1]
+    total = np.maximum(np.bincount(doc, _softplus(z), len(y)), 1e-6)  # -log(1 - P)
+    pull = np.where(y, -1 / np.expm1(np.minimum(total, 50)), 1.0)
+    g = pull[doc] / (1 + np.exp(-np.maximum(z, -500)))
+    value = np.where(y, -np.log(-np.expm1(-total)), total).sum()
+    return np.concatenate([[value], np.bincount(feature, g[place], len(w) - 1), [g.sum()]])
+
+
+def _words_only(told: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """The new numbers of sentences, counting only those with words."""
+    has = np.zeros(n, bool)
+    has[told[-1][1]] = True
+    return np.where(has, np.cumsum(has) - 1, -1)
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", l2: float = 1e-5) -> Model:
+    """Fits a model on at most TRAIN_DOCS labelled documents that are not held out (see held_out()), each of them whole.
+
+    Labels other than 0 and 1 and null labels or ids are left out; of an id's labels the larger counts, and of rows that
+    repeat an id the one of least text. Feature buckets
+    are screened first, by LEAST_DOCS and EVIDENCE; then the likelihood with an L2 penalty is made large by L-BFGS, whose
+    gradients tasks sum up. What comes to the driver is the list of screened buckets and a number for each from each
+    task, whatever the texts' lengths. Without a toxic and a clean label there is nothing to learn; every score is 0.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(TRAIN_DOCS)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).alias("d_id"), text).join(F.broadcast(known), F.col("d_id") == F.col("l_id")).select("l_id", "label", "text")
+    rows = docs.select(F.col(id_col).alias("d_id"), text).join(F.broadcast(known), F.col("d_id") == F.col("l_id"))
+    rows = rows.groupBy("l_id").agg(F.min(F.struct("label", "text")).alias("row")).select("row.label", "row.text")
     rows = materialise(rows, "toxicity-sample")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, bad, of = Counter(), Counter(), {}
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, bad = (np.zeros(1 << grams.BITS, np.int32) for _ in range(2))
         n = toxic = 0
-
-        def told() -> pd.DataFrame:
-            return pd.DataFrame({"f": [-1, *seen], "n": [n, *seen.values()], "bad": [toxic, *(bad[f] for f in seen)]})
-
         for b in batches:
-            for y, t in zip(b["label"], b["text"]):
-                words = set(w for s in _sentences(t) for w in s)
-                if len(words) > TRAIN_WORDS:
-                    continue
-                distinct = set().union(*(of.get(w) or of.setdefault(w, tuple(features(w))) for w in words))
-                seen.update(distinct)
-                if y:
-                    bad.update(distinct)
-                n, toxic = n + 1, toxic + int(y)
-                if len(of) > WORDS // 4:
-                    of.clear()
-                if len(seen) > 2 * WORDS:  # partial sums, added up by the shuffle
-                    yield told()
-                    seen, bad, n, toxic = Counter(), Counter(), 0, 0
-        yield told()
-
-    found = rows.mapInPandas(counted, "f bigint, n bigint, bad bigint").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+            label, texts = b.column(0).to_pylist(), b.column(1)
+            for i, _, told in grams.by_sentence(texts.to_pylist()):
+                distinct = np.unique(np.concatenate([f for f, _ in told]))
+                seen[distinct] += 1
+                bad[distinct] += label[i]
+                n, toxic = n + 1, toxic + label[i]
+        found = np.flatnonzero(seen)
+        arrays = [np.append(found, -1), np.append(seen[found], n), np.append(bad[found], toxic)]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["f", "n", "bad"])
+
+    found = rows.mapInArrow(counted, "f bigint, n bigint, bad bigint").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     found = materialise(found, "toxicity-features")
     total = found.where("f = -1").first()
     if not total or not 0 < total.bad < total.n:
-        return Model(float("-inf"), {})
+        discard(rows, found)
+        return Model(float("-inf"), np.empty(0, np.int64), np.empty(0, np.float32))
     p = total.bad / total.n
     z = F.abs(F.col("bad") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    kept = found.where("f <> -1 AND n >= 4").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "f").limit(FEATURES).toPandas()["f"].tolist()
-    column = {f: i for i, f in enumerate(kept)}
+    kept = np.sort(np.array([r.f for r in found.where(F.col("f") >= 0).where(F.col("n") >= LEAST_DOCS).where(z > EVIDENCE).select("f").collect()], np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(kept)  # 2 ** grams.BITS numbers at most
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of: dict[str, tuple[int, ...]] = {}
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = np.full(1 << grams.BITS, -1, np.int32)
+        column[shared.value] = np.arange(len(shared.value))
         for b in batches:
-            out = []
-            for i, y, t in zip(b["l_id"], b["label"], b["text"]):
-                told = _sentences(t)
-                if len(set(w for s in told for w in s)) > TRAIN_WORDS:
-                    continue
-                hit, where = [], []
-                for k, s in enumerate(told):
-                    for w in s:
-                        if w not in of:
-                            if len(of) > WORDS:
-                                of.clear()
-                            of[w] = tuple(sorted(column[f] for f in features(w) if f in column))
-                        hit += of[w]
-                        where += [k] * len(of[w])
-                out.append((i, y, len(told), hit, where))
-            yield pd.DataFrame(out, columns=["l_id", "label", "told", "hit", "place"])
-
-    kind = rows.schema["l_id"].dataType.simpleString()
-    got = rows.mapInPandas(bags, f"l_id {kind}, label int, told int, hit array<int>, place array<int>").toPandas()
-    got = got.assign(n=got["hit"].map(len)).sort_values(["l_id", "told", "n"], kind="stable")
-    first = np.cumsum(got["told"]) - got["told"]
-    cat = lambda arrays: np.concatenate([np.empty(0, np.int32), *(np.asarray(a, np.int32) for a in arrays)])
-    sentence = cat(got["place"]) + np.repeat(first.to_numpy(np.int32), got["n"])
-    w, bias = fit(cat(got["hit"]), sentence, np.repeat(np.arange(len(got)), got["told"]), got["label"].to_numpy(), len(kept))
-    return Model(bias, {f: float(w[i]) for f, i in column.items() if w[i]})
+            label, out = b.column(0).to_pylist(), ([], [], [], [])
+            for i, n, told in grams.by_sentence(b.column(1).to_pylist()):
+                nth = _words_only(told, n)
+                hit, place = (np.concatenate(x) for x in zip(*((column[f], nth[of]) for f, of in told)))
+                some = hit >= 0
+                for held, v in zip(out, (label[i], int(nth.max(initial=-1)) + 1, hit[some], place[some].astype(np.int32))):
+                    held.append(v)
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["label", "told", "hit", "place"])
+
+    bag = materialise(rows.mapInArrow(bags, "label int, told int, hit array<int>, place array<int>"), "toxicity-bags")
+    sentences = bag.agg(F.sum("told")).first()[0]
+
+    def work(w: np.ndarray, batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(len(w) + 1)
+        for b in batches:
+            arrays = [[x.values.to_numpy() for x in b.column(i)] for i in (2, 3)]
+            out += loss(w, b.column(0).to_pylist(), b.column(1).to_pylist(), *arrays)
+        return out
+
+    def penalised(w: np.ndarray) -> tuple[float, np.ndarray]:
+        got = summed(bag, work, w) / total.n
+        slopes = np.append(w[:-1], 0.0)
+        return got[0] + l2 / 2 * float(slopes @ slopes), got[1:] + l2 * slopes
+
+    w = minimise(penalised, np.append(np.zeros(len(kept)), np.log(total.bad / max(1, sentences))))
+    discard(rows, found, bag)
+    return Model(float(w[-1]), kept, w[:-1].astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", locate: bool = False, score_col: str = "score") -> DataFrame:
@@ -205,26 +158,28 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", locate: bool =
     new = [(score_col, "double", pa.float64())]
     if locate:
         new.append(("sentences", "array<struct<start:int,end:int,score:double>>", SPANS))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** grams.BITS numbers at most
 
     def make():
-        table = model.lookup()
+        table, bias = shared.value.table(), shared.value.bias
 
         def work(texts: list[str]) -> list[list]:
-            scores = [float(-np.expm1(-_softplus(_logits(model, table, t)).sum())) for t in texts]
-            return [scores] + [[_located(model, table, t) if s >= 0.5 else [] for t, s in zip(texts, scores)]] * locate
+            scores, spans = [], []
+            for i, z, has in grams.sums(texts, table):
+                bad = np.where(has, _softplus(z + bias), 0.0)
+                scores.append(float(-np.expm1(-bad.sum())))
+                if locate:
+                    spans.append(_located(texts[i], -np.expm1(-bad)) if scores[-1] >= 0.5 else [])
+            return [scores, spans] if locate else [scores]
 
         return work
 
     return with_columns(docs, F.col(text_col), make, new)
 
 
-def _located(model: Model, table: _Weights, text: str) -> list[dict]:
-    out = []
-    for s in SENTENCE.finditer(text):
-        z = _logits(model, table, s.group())
-        if len(z) and (p := float(-np.expm1(-_softplus(z).sum()))) >= 0.5:
-            out.append({"start": s.start(), "end": s.end(), "score": p})
-    return out
+def _located(text: str, p: np.ndarray) -> list[dict]:
+    stops = [m.start() for m in re.finditer(f"[{re.escape(grams.ENDS)}]", text)]
+    return [{"start": stops[k - 1] + 1 if k else 0, "end": stops[k] if k < len(stops) else len(text), "score": float(p[k])} for k in np.flatnonzero(p >= 0.5).tolist()]
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,6 +189,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that score under THRESHOLD, with the columns of `docs`."""
+    """The rows of `docs` that score under THRESHOLD, with the columns of `docs`. Cases as in train() and score()."""
     s = clashless(docs, "toxicity")
     return score(docs, train(docs, labels), score_col=s).where(F.col(s) < THRESHOLD).select(columns(docs))
