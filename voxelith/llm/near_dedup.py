@@ -122,7 +122,7 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, width: int, similarit
     leads = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).where("c > 1")
     leads = materialise(leads.drop("c"), "near-leads", n * bands)
     live = materialise(slots.join(leads, "bucket"), "near-buckets", n * bands)
-    wanted = materialise(nodes.select("node", "doc_id", "text_md5").join(live.select("node").distinct(), "node", "left_semi"), "near-wanted", n)
+    wanted = materialise(nodes.select("node", "doc_id", "text_md5", "bands").join(live.select("node").distinct(), "node", "left_semi"), "near-wanted", n)
     sets = _sets_of(given, wanted, width)
 
     pairs = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -133,7 +133,8 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, width: int, similarit
     classed = materialise(live.select("bucket", "node", "lead").join(below, "node", "left").select("bucket", "node", "lead", F.coalesce("label", "node").alias("label")), "near-classed", n * bands)
     mixed = _mixed(classed, n * bands)
     if not mixed.isEmpty():
-        slots = materialise(classed.join(mixed, "bucket").join(sets.select("node", "n", "bits"), "node"), "near-slots", n * bands)
+        about = sets.select("node", "n", "bits").join(wanted.select("node", "bands"), "node")
+        slots = materialise(classed.join(mixed, "bucket").join(about, "node"), "near-slots", n * bands)
         alike = F.least("n", "n2") >= F.greatest("n", "n2") * similarity
         more = _verified(_candidates(slots, alike & _may_reach(similarity)), sets, similarity)
         if not more.isEmpty():
@@ -183,14 +184,17 @@ def _candidates(slots: DataFrame, reach: Column) -> DataFrame:
     """Pairs (a, b) of nodes of different classes that share a bucket, `reach` each other and aren't its lead.
 
     A bucket's nodes are dealt to parts, those outside its major class to chunks, and each part meets each chunk in a
-    group of its own. Only pairs in reach leave the join.
+    group of its own. Only pairs in reach leave the join, in the first of the buckets that they share: where that holds
+    one class only or one of the pair leads it, they have been settled.
     """
-    slots = slots.where("node <> lead")
+    place = F.array_position("bands", F.col("bucket"))
+    slots = slots.withColumn("place", place).where("node <> lead")
     rest = slots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
     other = slots.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
-    other = other.select("bucket", "part", "chunk", *(F.col(c).alias(c + "2") for c in ("node", "label", "n", "bits")))
+    other = other.select("bucket", "part", "chunk", *(F.col(c).alias(c + "2") for c in ("node", "label", "n", "bits", "bands")))
+    shared = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True)
     once = (F.col("label") == F.col("major")) | (F.col("node") < F.col("node2"))
-    met = rest.join(other.hint("merge"), ["bucket", "part", "chunk"]).where((F.col("label") != F.col("label2")) & once & reach)
+    met = rest.join(other.hint("merge"), ["bucket", "part", "chunk"]).where((F.col("label") != F.col("label2")) & once & reach & (shared == F.col("place")))
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
