@@ -15,6 +15,7 @@ ROW_GROUP = 16 << 20
 #: Files of a table of few rows, and rows for each file of a larger one.
 FILES, FILE_ROWS = 48, 250_000
 _own: dict[str, str] = {}
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -48,6 +51,22 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many paths fresh_path() has given out."""
+    return len(_paths)
+
+
+def sweep(keep: DataFrame, since: int) -> None:
+    """Deletes what was written after written() was `since`, but for the table `keep`."""
+    spark = keep.sparkSession
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()}
+    for p in _paths[since:]:
+        if p.rpartition("/")[2] not in kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _paths[since:] = [p for p in _paths[since:] if p.rpartition("/")[2] in kept]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialise() wrote. Call it once everything that reads them is itself written."""
     for t in tables:
