@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxelith.llm.hamming import sign_code, top_k
 
@@ -44,3 +45,18 @@ def test_sign_code(spark):
 
     df = spark.createDataFrame([([1.0, -1.0, None, 0.5],), ([],), (None,)], "e array<float>")
     assert [r[0] for r in df.select(sign_code(F.col("e"))).collect()] == [0b1001, 0, None]
+
+
+def test_codes_of_odd_embeddings(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [1.0, None, -1.0]), (4, [0.5] * 64)], "id bigint, e array<double>")
+    assert [r[0] for r in df.orderBy("id").select(sign_code(F.col("e"))).collect()] == [None, 0, 4, -1]
+    with pytest.raises(Exception, match="64 bits"):
+        spark.createDataFrame([([1.0] * 65,)], "e array<double>").select(sign_code(F.col("e"))).collect()
+
+
+def test_null_codes_and_other_columns_through_the_search(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (2, None, "b"), (None, 5, "c"), (3, 4, "d"), (3, 4, "d")], "id bigint, code bigint, q string")
+    got = top_k(rows, rows, 3).collect()
+    of = lambda q: sorted((r["rank"], str(r.id), r.distance) for r in got if r.query_id == q)
+    assert of(1) == of(None) == [(1, "1", 0), (2, "None", 0), (3, "3", 1)] and of(2) == []
+    assert of(3) == sorted([(1, "3", 0), (2, "3", 0), (3, "1", 1)] * 2)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import sentencepiece
 
 from voxelith.llm.pieces import Pieces, decode, encode
@@ -17,7 +18,7 @@ def test_equals_the_library_on_random_texts():
         t = "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 30)))
         ids = lib.encode(t)
         assert own.encode(t) == ids
-        assert own.decode(ids) == own.encode_joined(t)[1] == lib.decode(ids)
+        assert own.decode(ids) == own.decode_joined(own.encode_joined(t)) == lib.decode(ids)
 
 
 def test_decodes_any_ids_as_the_library_does():
@@ -49,3 +50,13 @@ def test_rows(spark):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
         assert r.decoded == lib.decode(ids)
     assert encode(df.where("false"), PATH).count() == 0
+
+
+def test_models_that_change_texts_are_refused(monkeypatch):
+    class Other(sentencepiece.SentencePieceProcessor):
+        def normalize(self, text):
+            return text.lower()
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError, match="changes texts"):
+        Pieces(PATH)

@@ -52,6 +52,29 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted((r.doc_id, tuple(r.ids)) for r in seen[4].collect()) == want
 
 
+CLASHING = "doc_id bigint, text string, source string, toxicity int, rn int, text_sha256 string, text_md5 string, k_id int, copies string, mix_id int, `a.b` int, text_in int"
+
+
+def test_stages_of_odd_and_empty_tables(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, columns with the stages' own names; then no rows at all."""
+    fixture(tmp_path, spark)
+    text = "an odd text of some seven words"
+    rows = [(None, text, None), (None, text, None), (1, None, "s"), (2, "", "s"), (3, text.upper(), None), (4, "word " * 50_000, "s"), (5, "other words, said but once", "s")]
+    odd = spark.createDataFrame([(*r, 1, 2, "x", "y", 3, "z", 4, 5, 6) for r in rows], CLASHING)
+    ids = []
+    for d in (odd, odd.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{len(ids)}"
+            stage(spark, d, str(tmp_path)).write.parquet(path)
+            d = spark.read.parquet(path)
+            assert name == "encoding" or d.columns == odd.columns
+            ids.append(sorted((str(r.doc_id) for r in d.select("doc_id").collect())))
+    assert ids[0] == sorted(["None", "None", "1", "2", "3", "4", "5"])
+    assert ids[1] == ids[2] == ["2", "3", "4", "5"]  # of the empty texts 2 stays, of the odd ones 3
+    assert ids[3] and set(ids[3]) <= {"3", "4", "5"}  # 4 alone is longer than the share of its source
+    assert ids[4] == ids[3] and ids[5:] == [[]] * 5
+
+
 def test_run_gives_the_last_stage(spark, tmp_path):
     fixture(tmp_path, spark)
     got = corpus_pipeline.run(spark, str(tmp_path))

@@ -1,4 +1,4 @@
-from voxelith.llm.preference import format_preferences, reply_pairs
+from voxelith.llm.preference import format_preferences, pair_records, reply_pairs
 
 TURNS = "pair_id bigint, turn bigint, role string, text string, part string"
 
@@ -39,7 +39,26 @@ def test_repeated_rows_null_turns_and_no_rows(spark):
 
 
 def test_reply_pairs(spark):
-    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "bye"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "alone"), (4, 0, "assistant", None)]
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "bye"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "alone"), (3, None, "user", "x"), (4, 0, "assistant", None)]
     chosen, rejected = reply_pairs(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
-    assert sorted((r.pair_id, r.turn, r.text) for r in chosen.collect() if r.pair_id < 4) == [(1, 0, "q"), (1, 1, "a"), (1, 2, "r"), (1, 3, "b"), (2, 0, "q"), (2, 1, "a")]
-    assert sorted((r.pair_id, r.turn, r.text) for r in rejected.collect() if r.pair_id < 4) == [(1, 0, "q"), (1, 1, "a"), (1, 2, "r"), (1, 3, "a"), (2, 0, "q"), (2, 1, "q")]
+    told = lambda df: sorted(((r.pair_id, r.turn, r.role, r.text) for r in df.collect()), key=str)
+    assert told(chosen) == sorted(turns, key=str)
+    other = {(1, 3): "a", (2, 1): "q", (4, 0): ""}
+    assert told(rejected) == sorted(((c, t, r, other.get((c, t), x)) for c, t, r, x in turns), key=str)
+    none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert [d.count() for d in reply_pairs(none)] == [0, 0]
+
+
+def test_pair_records(spark):
+    chosen = [(1, 0, "user", "q", ""), (1, 1, "assistant", "yes", ""), (1, 2, "user", "so", ""), (1, 3, "assistant", "fine", ""), (None, 0, "user", "n", ""), (5, 0, "assistant", "z" * 900, "")]
+    rejected = [(1, 0, "user", "q", ""), (1, 1, "assistant", "no", ""), (None, 0, "user", "n", ""), (5, 0, "assistant", "y" * 900, "")]
+    segments = format_preferences(spark.createDataFrame(chosen, TURNS), spark.createDataFrame(rejected, TURNS))
+    records, long = pair_records(segments, 1000)
+    got = {r.pair_id: r for r in records.collect()}
+    assert set(got) == {1, None} and {r.pair_id for r in long.collect()} == {5} and long.columns == segments.columns
+    assert (got[1].prompt, got[1].rejected) == (seg("user", "q"), seg("assistant", "no"))
+    assert got[1].chosen == seg("assistant", "yes") + seg("user", "so") + seg("assistant", "fine")
+    trained = lambda text, masks: [text[m["from"] : m["to"]] for m in masks]
+    assert trained(got[1].chosen, got[1].chosen_masks) == ["yes<|end|>\n", "fine<|end|>\n"] and trained(got[1].rejected, got[1].rejected_masks) == ["no<|end|>\n"]
+    assert (got[None].prompt, got[None].chosen, got[None].chosen_masks) == (seg("user", "n"), "", [])
+    assert pair_records(segments.where("false"))[0].count() == 0

@@ -26,12 +26,17 @@ def test_shards_are_runs_of_near_equal_bytes(spark):
 
 
 def test_written_shards_hold_their_documents(spark, tmp_path):
-    df = spark.createDataFrame(rows(), SCHEMA).drop("shard")
+    df = spark.createDataFrame(rows(), SCHEMA.replace("before", "crc")).selectExpr("*", "shard AS p_id", "crc AS size")
     write_shards(df, str(tmp_path / "out"), 5)
     got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted((str(r[0]), r[1] or "") for r in rows())
-    assert got.select("shard").distinct().count() <= 5
+    assert got.columns == [*df.columns, "shard_"]
+    assert sorted(map(str, got.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    placed = assign_shards(df, 5).collect()
+    assert sorted((str(r.doc_id), r["shard_"]) for r in got.collect()) == sorted((str(r.doc_id), r.shard) for r in placed)
 
 
-def test_empty_table(spark):
-    assert assign_shards(spark.createDataFrame([], SCHEMA)).count() == 0
+def test_empty_table(spark, tmp_path):
+    none = spark.createDataFrame([], SCHEMA)
+    assert assign_shards(none).count() == 0
+    write_shards(none.drop("shard"), str(tmp_path / "none"), 5)
+    assert not [p for p in (tmp_path / "none").iterdir() if p.name.startswith("shard")]

@@ -20,8 +20,9 @@ def b32(t):
     return base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
 
 
-@pytest.mark.parametrize("min_bytes", [0, 5])
-def test_round_trip(spark, min_bytes):
+@pytest.mark.parametrize(("min_bytes", "bound"), [(0, 10), (5, 10), (0, 0)])
+def test_round_trip(spark, monkeypatch, min_bytes, bound):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", bound)
     data = rows()
     index = write_archives(spark.createDataFrame(data, SCHEMA).repartition(3), min_bytes=min_bytes)
     got = read_records(index).collect()
@@ -65,3 +66,9 @@ def test_a_damaged_payload_is_an_error(spark, tmp_path):
 def test_empty_table(spark):
     index = write_archives(spark.createDataFrame([], SCHEMA))
     assert index.count() == 0 and read_records(index).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    data = [("a\nb: é", "<p>1</p>"), ("b", "<p>1</p>"), (None, "<p>1</p>"), ("2", "x")]
+    got = read_records(write_archives(spark.createDataFrame([(i, None, t) for i, t in data], "page_id string, url string, html string"))).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == sorted([("a\nb: é", "response", None), ("b", "revisit", data[0][0]), ("None", "revisit", data[0][0]), ("2", "response", None)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.llm.heavy import SUPPORT, attach, winners
-from voxelith.storage import clashless, columns, materialise
+from voxelith.storage import clashless, columns, materialise, row_hash
 
 
 def normalised(text: Column) -> Column:
@@ -43,7 +43,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of `docs` that stay, one per normalised text, with the columns of `docs`.
 
-    Cases as in dedup_report, but repeated rows of the winning id collapse into one. Frequent texts lose their copies
+    Cases as in dedup_report, but repeated rows of the winning id collapse into the one of least row_hash(). Frequent texts lose their copies
     before any text is shuffled; each other text meets its copies, fewer than a `support` share of all rows, in a window.
     """
     dig = clashless(docs, "text_sha256")
@@ -51,8 +51,9 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.withColumn(dig, text_digest(F.col(text_col)))
     keys = materialise(keyed.select(F.col(id_col).alias("doc_id"), F.col(dig).alias("k")), "dedup-keys")
     heavy = winners(keys, "k", F.max("doc_id"), support)[0].select(F.col("k").alias(dig), F.col("best").alias(rn))
-    won = keyed.join(F.broadcast(heavy), dig).where(F.col(id_col).eqNullSafe(F.col(rn))).drop(rn).dropDuplicates([dig])
+    won = keyed.join(F.broadcast(heavy), dig).where(F.col(id_col).eqNullSafe(F.col(rn)))
+    won = won.groupBy(dig).agg(F.min_by(F.struct(columns(docs)), row_hash(docs)).alias(rn)).select(*(F.col(rn).getField(c).alias(c) for c in docs.columns))
     rest = keyed.join(F.broadcast(heavy.select(dig)), dig, "left_anti")
-    first = F.row_number().over(Window.partitionBy(dig).orderBy(F.col(id_col).desc_nulls_last()))
+    first = F.row_number().over(Window.partitionBy(dig).orderBy(F.col(id_col).desc_nulls_last(), row_hash(docs)))
     rest = rest.withColumn(rn, first).where(F.col(rn) == 1)
-    return won.select(columns(docs)).unionByName(rest.select(columns(docs)))
+    return won.unionByName(rest.select(columns(docs)))

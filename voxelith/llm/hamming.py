@@ -15,7 +15,11 @@ MASKS = 4_000
 
 
 def sign_code(embedding: Column) -> Column:
-    """A code of up to 64 bits: for each number, in order, whether it's positive. Null numbers count as not positive."""
+    """A code of up to 64 bits: for each number, in order, whether it's positive. Null numbers count as not positive.
+
+    A null embedding has a null code, an empty one the code 0. More than 64 numbers are an error.
+    """
+    embedding = F.when(F.size(embedding) > 64, F.raise_error(F.lit("a code has 64 bits at most"))).otherwise(embedding)
     return F.aggregate(embedding, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
 
 

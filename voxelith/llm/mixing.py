@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.ordering import in_order
-from voxelith.storage import clashless, columns, materialise
+from voxelith.storage import clashless, columns, materialise, row_hash
 
 #: A source gives its documents this many times at most.
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-#: Rows of a source that are summed in one task.
-RUN_ROWS = 5_000
+#: Sources that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,23 +58,19 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("text_md5"),
     )
     rows = materialise(rows, "mix-sizes")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    sources, _, budget = in_order(sources, [F.col("source").asc_nulls_last()], "size", "mix-sources", unique=True)
+    sources = rows.groupBy("source").agg(F.sum("size").alias("size"))
+    sources, n_sources, budget = in_order(sources, [F.col("source").asc_nulls_last()], "size", "mix-sources", unique=True)
     weights = F.array(*map(F.lit, WEIGHTS))
-    sources = sources.withColumn("weight", F.get(weights, (F.col("pos") % len(WEIGHTS)).cast("int"))).withColumnRenamed("pos", "source_no").drop("before")
+    sources = sources.withColumn("weight", F.get(weights, (F.col("pos") % len(WEIGHTS)).cast("int"))).withColumnRenamed("pos", "source_no")
     sources = share(materialise(sources, "mix-weights"), budget)
 
-    # A source's documents in runs of the shuffled order, so that no task sums a whole source.
-    s = sources.select(F.col("source").alias("s"), "source_no", F.col("size").alias("source_size"), "target", F.ceil(F.col("n") / RUN_ROWS).alias("runs"))
+    # Prefix sums of one order of all rows, less what lies before the source: no task sums a whole source.
+    s = sources.select(F.col("source").alias("s"), "source_no", F.col("size").alias("source_size"), "target", F.col("before").alias("source_before"))
+    s = F.broadcast(s) if n_sources <= BROADCAST_ROWS else s  # beyond, Spark splits a large source's rows in the join
     rows = rows.join(s, rows.source.eqNullSafe(s.s)).drop("s", "source")
-    at = F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint")
-    rows = rows.withColumn("run", F.shiftright(at * F.col("runs"), 32))
-    runs = rows.groupBy("source_no", "run").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("source_no", "run", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source_no", "run").orderBy("place", "doc_id", "text_md5").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(runs, ["source_no", "run"]).withColumn("upto", F.col("ahead") + F.sum("size").over(inside))
-    rows = materialise(rows.drop("run", "runs", "ahead", "place"), "mix-rows")
+    rows, _, _ = in_order(rows, [F.col("source_no"), F.col("place"), F.col("doc_id"), F.col("text_md5")], "size", "mix-shuffled")
+    rows = rows.withColumn("upto", F.col("before") + F.col("size") - F.col("source_before"))
+    rows = materialise(rows.drop("pos", "before", "source_before", "place"), "mix-rows")
 
     copies = rows.where("size > 0 AND target > 0").select(
         "source_no", "upto", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.struct(e.alias("epoch"), ((e * F.col("source_size") + F.col("upto")) / F.col("target")).alias("finish")))).alias("c")
@@ -100,8 +96,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key, md5, copies, rn = (clashless(docs, c) for c in ("mix_id", "mix_md5", "copies", "rn"))
     taken = mixed.groupBy("source_no", "upto").agg(F.count(F.lit(1)).alias("c"))
     taken = rows.where("size > 0").join(taken, ["source_no", "upto"]).groupBy(F.col("doc_id").alias(key), F.col("text_md5").alias(md5)).agg(F.sum("c").cast("int").alias(copies))
-    same = Window.partitionBy(id_col, rn).orderBy(F.lit(0))
-    # Rows with the same id and text stand for each other: the first gets the copies of all.
+    same = Window.partitionBy(id_col, rn).orderBy(row_hash(docs))
+    # Rows with the same id and text stand for each other: the one of least row_hash() gets the copies of all.
     left = docs.withColumn(rn, F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
     on = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(rn) == F.col(md5))
     out = left.join(taken, on).withColumn(key, F.row_number().over(same)).where(F.col(key) == 1)

@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from voxelith.llm.texts import with_columns
 
 SPACE = "▁"
+#: A text that common normalisers change.
+PROBE = " \uff21 \ufb01  x\u0301\u00a0\t\u212b "
 NONE = float("-inf")
 #: Entries that each of a worker's caches holds at most; they only save time.
 CACHE = 150_000
 
 
 class Pieces:
-    """A SentencePiece BPE model with identity normalisation, a dummy prefix and byte fallback."""
+    """A SentencePiece BPE model with identity normalisation, a dummy prefix and byte fallback; others are refused."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -47,6 +49,9 @@ class Pieces:
                 self.text[i], self.id[p], self.score[p] = p, i, model.get_score(i)
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte fallback")
+        if model.normalize(PROBE) != SPACE + PROBE.replace(" ", SPACE):
+            raise ValueError("the model changes texts before it encodes them")
+        self.shown = {str(i): p.replace(SPACE, " ") for i, p in self.text.items()}
         self.unknown = {i for i in range(model.get_piece_size()) if model.is_unknown(i)}
         self.unknown_text = model.decode([min(self.unknown)]) if self.unknown else ""
         # Matches that end at a place of the reversed text start there in the text.
@@ -55,8 +60,8 @@ class Pieces:
             self.automaton.add_word(p[::-1], p)
         self.automaton.make_automaton()
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._young: dict[str, tuple[str, str]] = {}
-        self._old: dict[str, tuple[str, str]] = {}
+        self._young: dict[str, str] = {}
+        self._old: dict[str, str] = {}
         self.spans = self._splitter()
 
     def _splitter(self) -> re.Pattern:
@@ -160,30 +165,36 @@ class Pieces:
         text = self.decode_raw(ids)
         return text[1:] if first in self.text and self.text[first].startswith(SPACE) else text
 
-    def span(self, span: str) -> tuple[str, str]:
-        """(ids as ',1,2', the text they decode to) of a span, from a cache of two generations."""
+    def decode_joined(self, joined: str) -> str:
+        """The text of ids joined by commas; see decode()."""
+        ids = joined.split(",") if joined else []
+        try:
+            text = "".join(map(self.shown.__getitem__, ids))
+        except KeyError:  # bytes, or ids of no piece
+            return self.decode([int(i) for i in ids])
+        return text[1:] if text.startswith(" ") else text
+
+    def span(self, span: str) -> str:
+        """A span's ids as ',1,2', from a cache of two generations."""
         found = self._young.get(span)
         if found is None:
             found = self._old.get(span)
             if found is None:
-                ids = [i for p in self.backtrack(span) for i in self.ids_of(p)]
-                back = self.decode_raw(ids)
-                found = "".join(f",{i}" for i in ids), span if back == span else back
+                found = "".join(f",{i}" for p in self.backtrack(span) for i in self.ids_of(p))
             if len(self._young) >= CACHE:
                 self._old, self._young = self._young, {}
             self._young[span] = found
         return found
 
-    def encode_joined(self, text: str) -> tuple[str, str]:
-        """(all ids joined by commas, the text they decode to)."""
+    def encode_joined(self, text: str) -> str:
+        """All ids joined by commas."""
         if not text:
-            return "", ""
+            return ""
         known = self._young.get
-        spans = [known(s) or self.span(s) for s in self.spans.findall(SPACE + text.replace(" ", SPACE))]
-        return "".join([s[0] for s in spans])[1:], "".join([s[1] for s in spans])[1:]
+        return "".join([known(s) or self.span(s) for s in self.spans.findall(SPACE + text.replace(" ", SPACE))])[1:]
 
     def encode(self, text: str) -> list[int]:
-        joined = self.encode_joined(text)[0]
+        joined = self.encode_joined(text)
         return [int(i) for i in joined.split(",")] if joined else []
 
 
@@ -232,11 +243,11 @@ def encode(
 
         def work(texts: list[str]) -> list[list]:
             got = [model.encode_joined(t) for t in texts]
-            out: list[list] = [[j.count(",") + bool(j) for j, _ in got]]
+            out: list[list] = [[j.count(",") + bool(j) for j in got]]
             if ids:
-                out.append([np.fromstring(j, np.int32, sep=",") for j, _ in got])
+                out.append([np.fromstring(j, np.int32, sep=",") for j in got])
             if digests:
-                out += [[sha(j) for j, _ in got], [sha(t) for _, t in got]]
+                out += [[sha(j) for j in got], [sha(model.decode_joined(j)) for j in got]]
             return out
 
         return work

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Marks of a rendered turn; the text stands between HEAD and TAIL.
 HEAD, TAIL = "<|{role}|>\n", "<|end|>\n"
+#: Characters of a pair that fit into one record.
+MAX_CHARS = 4 << 20
 
 
 def render(role: Column, text: Column) -> Column:
@@ -58,19 +60,44 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, trained_role: str
     )
 
 
+def pair_records(segments: DataFrame, max_chars: int = MAX_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(`pair_id, prompt, chosen, rejected, chosen_masks, rejected_masks` per pair, the segments of pairs that are too long).
+
+    A record holds what format_preferences() gave as rows: the prompt, and two completions with the spans `from, to` of
+    each that are trained on. Pairs of more than `max_chars` characters stay as rows, which is what they are whole in; no
+    pair is lost. No segments of a part make an empty text without spans. Null pair_ids are one pair.
+    """
+    size = segments.groupBy(F.col("pair_id").alias("z_id")).agg(F.sum("n_chars").alias("chars"))
+    sized = segments.join(size, F.col("pair_id").eqNullSafe(F.col("z_id")))
+    row = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "place", "rendered", "mask_from", "mask_to", "n_chars")
+    of = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, row))).alias(part)
+    out = sized.where(F.col("chars") <= max_chars).groupBy("pair_id").agg(*map(of, ("prompt", "chosen", "rejected")))
+    text = lambda part: F.concat_ws("", F.transform(part, lambda r: r["rendered"]))
+
+    def masks(part: str) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("spans"))
+        span = lambda acc, r: F.struct((acc["at"] + r["mask_from"]).alias("from"), (acc["at"] + r["mask_to"]).alias("to"))
+        step = lambda acc, r: F.struct((acc["at"] + r["n_chars"]).alias("at"), F.when(r["mask_to"] > 0, F.concat(acc["spans"], F.array(span(acc, r)))).otherwise(acc["spans"]).alias("spans"))
+        return F.aggregate(part, start, step, lambda acc: acc["spans"])
+
+    records = out.select("pair_id", *(text(p).alias(p) for p in ("prompt", "chosen", "rejected")), *(masks(p).alias(f"{p}_masks") for p in ("chosen", "rejected")))
+    return records, sized.where(F.col("chars") > max_chars).select(segments.columns)
+
+
 def reply_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chosen, rejected) from plain conversations (`conv_id, turn, role, text`), which have no preferences of their own.
 
-    Chosen is a conversation up to its last assistant turn. Rejected is the same with that turn's text replaced by the
-    assistant's first text, an answer to another question; with one assistant turn only, by the first text of the
-    conversation, an echo. Conversations without an assistant turn give no pair.
+    Chosen is a conversation. Rejected is the same with its last assistant turn's text replaced by the assistant's first
+    text, an answer to another question; with one assistant turn only, by the first text of the conversation, an echo.
+    Turns after the last reply follow on both sides. Conversations without an assistant turn are all prompt. Null turns
+    come first; the last turn of an assistant whose turns are all null is none of them.
     """
     said = F.when(F.col("role") == "assistant", F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))
     ends = turns.groupBy(F.col("conv_id").alias("c_id")).agg(
         F.max(said).alias("last"), F.min(said).alias("first"), F.min(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("opening")
     )
     ends = ends.where("last IS NOT NULL").select("c_id", F.col("last.turn").alias("last_turn"), F.when(F.col("first.turn") < F.col("last.turn"), F.col("first.text")).otherwise(F.col("opening.text")).alias("other"))
-    told = turns.join(ends, turns.conv_id.eqNullSafe(ends.c_id)).where("turn <= last_turn")
+    told = turns.join(ends, turns.conv_id.eqNullSafe(ends.c_id), "left")
     chosen = told.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     swapped = F.when((F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
     return chosen, told.select(F.col("conv_id").alias("pair_id"), "turn", "role", swapped.alias("text"))

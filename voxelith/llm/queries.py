@@ -135,12 +135,12 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 ), b AS (
   SELECT t.conv_id AS pair_id, turn, role, txt AS chosen,
     CASE WHEN turn = last_turn AND role = 'assistant' THEN CASE WHEN first_turn < last_turn THEN first_text ELSE opening END ELSE txt END AS rejected
-  FROM t JOIN e ON t.conv_id IS NOT DISTINCT FROM e.conv_id WHERE turn <= last_turn
+  FROM t LEFT JOIN e ON t.conv_id IS NOT DISTINCT FROM e.conv_id 
 ), s AS (SELECT pair_id, min(turn) FILTER (chosen <> rejected) AS split FROM b GROUP BY pair_id
 ), u AS (
-  SELECT pair_id, CASE WHEN split IS NULL OR turn < split THEN 'prompt' ELSE side END AS part, turn, role, txt
+  SELECT pair_id, CASE WHEN split IS NULL OR coalesce(turn < split, true) THEN 'prompt' ELSE side END AS part, turn, role, txt
   FROM b JOIN s USING (pair_id), LATERAL (VALUES ('chosen', chosen), ('rejected', rejected)) v(side, txt)
-  WHERE side = 'chosen' OR turn >= split
+  WHERE side = 'chosen' OR coalesce(turn >= split, false)
 ), o AS (SELECT *, '<|' || role || '|>' || chr(10) || txt || '<|end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS trained FROM u)
 SELECT pair_id, part, turn, 0 AS place, role, rendered, (CASE WHEN trained THEN 5 + length(role) ELSE 0 END)::INT AS mask_from,
   (CASE WHEN trained THEN length(rendered) ELSE 0 END)::INT AS mask_to, length(rendered)::INT AS n_chars FROM o
@@ -152,8 +152,8 @@ WITH d AS (
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (((('0x' || substr(h, i * 5 // 4 + 1, 2))::INT >> (3 - i * 5 % 4)::INT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
-  CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM d JOIN g USING (h)
 """,
     "op9_byte_shards": """

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.ordering import in_order
-from voxelith.storage import materialise
+from voxelith.storage import clashless, columns, materialise, row_hash
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
@@ -28,7 +28,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
-    placed, _, total = in_order(rows, order, "size", "shard-order")
+    placed, _, total = in_order(rows, order, "size", "shard-order")  # rows equal in the order are equal in all that counts
     middle = F.expr(f"(2 * before + size) * {shards} div {max(1, 2 * total)}")
     placed = materialise(placed.withColumn("shard", F.least(F.lit(shards - 1), middle).cast("int")), "shards")
     first = placed.groupBy("shard").agg(F.min("pos").alias("first"))  # one row a shard
@@ -40,20 +40,19 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 1_000_000) -> None:
     """Writes `docs` as Parquet under `path`, one folder `shard=N` each.
 
-    The rows of the assignment find their documents by id, CRC and size; of rows that agree in these, each copy takes
-    any of their places. A shard is written by as many tasks as its slots need, `max_rows` to each.
+    The rows of the assignment find their documents by id, CRC and size; of rows that agree in these, copies take their
+    places in order of row_hash(). A shard is written by as many tasks as its slots need, `max_rows` to each. All columns
+    of `docs` are kept, under their own names: one that is called `shard` already (names compare without case) makes
+    the folders `shard_=N`. An empty table gives no shards. Cases as in assign_shards().
     """
-    from pyspark.sql import Window
-
     text = F.coalesce(F.col(text_col), F.lit(""))
+    crc, size, copy, p_id, p_crc, p_size, p_copy, slot, shard = (clashless(docs, c) for c in ("crc", "size", "copy", "p_id", "p_crc", "p_size", "p_copy", "slot", "shard"))
     placed = assign_shards(docs, shards, id_col, text_col)
-    same = Window.partitionBy("doc_id", "text_crc32", "size")
-    placed = placed.withColumn("copy", F.row_number().over(same.orderBy("shard", "slot"))).select(
-        F.col("doc_id").alias("p_id"), F.col("text_crc32").alias("p_crc"), F.col("size").alias("p_size"), F.col("copy").alias("p_copy"), F.col("shard").alias("p_shard"), F.col("slot").alias("p_slot")
-    )
-    keyed = docs.withColumn("d_crc", F.crc32(F.encode(text, "UTF-8"))).withColumn("d_size", F.octet_length(text).cast("bigint") + OVERHEAD)
-    keyed = keyed.withColumn("d_copy", F.row_number().over(Window.partitionBy(id_col, "d_crc", "d_size").orderBy(F.lit(0))))
-    on = F.col(id_col).eqNullSafe(F.col("p_id")) & (F.col("d_crc") == F.col("p_crc")) & (F.col("d_size") == F.col("p_size")) & (F.col("d_copy") == F.col("p_copy"))
-    out = keyed.join(placed, on).drop("d_crc", "d_size", "d_copy", "p_id", "p_crc", "p_size", "p_copy")
-    part = (F.col("p_slot") / max_rows).cast("bigint")
-    out.repartition("p_shard", part).sortWithinPartitions("p_shard", "p_slot").withColumnRenamed("p_shard", "shard").drop("p_slot").write.partitionBy("shard").parquet(path)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_crc32", "size").orderBy("shard", "slot"))
+    placed = placed.select(F.col("doc_id").alias(p_id), F.col("text_crc32").alias(p_crc), F.col("size").alias(p_size), nth.alias(p_copy), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    keyed = docs.withColumn(crc, F.crc32(F.encode(text, "UTF-8"))).withColumn(size, F.octet_length(text).cast("bigint") + OVERHEAD)
+    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, crc, size).orderBy(row_hash(docs))))
+    on = F.col(id_col).eqNullSafe(F.col(p_id)) & (F.col(crc) == F.col(p_crc)) & (F.col(size) == F.col(p_size)) & (F.col(copy) == F.col(p_copy))
+    part = (F.col(slot) / max_rows).cast("bigint")
+    out = keyed.join(placed, on).repartition(F.col(shard), part).sortWithinPartitions(shard, slot)
+    out.select(*columns(docs), shard).write.partitionBy(shard).parquet(path)

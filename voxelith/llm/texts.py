@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from voxelith.storage import clashless
 
 #: Characters of texts that are worked on together, and bytes of the batches that they come in.
 CHUNK, BATCH = 1_000_000, 8 << 20
@@ -41,7 +40,6 @@ def with_columns(df: DataFrame, text: Column, make: Callable[[], Callable[[list[
         df.sparkSession.conf.set(BATCH_CONF, f"{BATCH}b")
     gone = {n.lower() for n, _, _ in new}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in gone]
-    given = clashless(df, "text_in")
     kinds = [k for _, _, k in new]
     cols = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
     out = StructType(list(df.select(cols).schema) + list(StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t, _ in new))))
@@ -54,4 +52,5 @@ def with_columns(df: DataFrame, text: Column, make: Callable[[], Callable[[list[
                 arrays = [pa.array(v, k) for v, k in zip(work(some.column(b.num_columns - 1).to_pylist()), kinds)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], *arrays], names=out.names)
 
-    return df.select(*cols, F.coalesce(text, F.lit("")).alias(given)).mapInArrow(run, out)
+    # mapInArrow() looks its input's columns up by name, which fails for names with dots.
+    return df.select(*(c.alias(f"c{i}") for i, c in enumerate(cols)), F.coalesce(text, F.lit("")).alias("given")).mapInArrow(run, out)

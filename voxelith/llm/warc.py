@@ -8,7 +8,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -30,22 +30,22 @@ BROADCAST_ROWS = 500_000
 #: Pages have no fetch time; a fixed one keeps reruns equal.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-INDEX = "page_id {id}, url string, digest string, record_type string, file string, offset bigint, length bigint"
+INDEX = "page_id string, url string, digest string, record_type string, file string, offset bigint, length bigint"
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: object, digest: str) -> str:
+def record_id(page_id: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
 
 
-def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object = None, revisit: bool = False) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None = None, revisit: bool = False) -> bytes:
     """One WARC/1.0 record, gzipped. A revisit has the HTTP head of its page and no payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    target = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else f"urn:page:{page_id}"
+    target = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else f"urn:page:{quote(page_id or '')}"
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(page_id, digest)),
@@ -56,9 +56,9 @@ def record(page_id: object, url: str | None, payload: bytes, digest: str, refers
         ("Content-Length", str(len(block))),
     ]
     if page_id is not None:
-        fields.append(("X-Page-ID", str(page_id)))
+        fields.append(("X-Page-ID", quote(page_id)))
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", quote(refers_to))]
     text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress(text.encode() + block + b"\r\n\r\n") + pack.flush()
@@ -94,8 +94,8 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0
 
     Of equal payloads of `min_bytes` or more the page of least id is a response and the others are revisits of it; all
     smaller payloads are responses. A null html is an empty payload, a null url gets a URN. A null page_id loses to any
-    other; where all are null, all are responses. Rows that repeat the least id are all responses. An empty table gives
-    an empty index. Other columns play no part.
+    other; where all are null, all are responses. Rows that repeat the least id are all responses. Ids may be of any type
+    that a cast to string and back leaves as it is. An empty table gives an empty index. Other columns play no part.
 
     Each task writes files of its own under a name that no other attempt has, in the shared folder if no `path` is given.
     Only files that the index names count, so an attempt that is lost leaves nothing that is read.
@@ -105,11 +105,16 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0
     html = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     keys = materialise(pages.select("page_id", F.sha1(html).alias("sha1"), F.length(html).alias("bytes")).where(F.col("bytes") >= min_bytes), "warc-keys")
     groups = [g.where("group_size > 1") for g in winners(keys, "sha1", F.min("page_id"))]
-    groups = materialise(groups[0].unionByName(groups[1]).select(F.col("sha1").alias("g_sha1"), F.col("best").alias("first_id")), "warc-groups")
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.when(F.length(html) >= min_bytes, F.sha1(html)).alias("sha1"))
-    rows = rows.join(groups, F.col("sha1") == F.col("g_sha1"), "left").select("page_id", "url", "html", "first_id")
+    heavy, light = (g.select(F.col("sha1").alias("g_sha1"), F.col("best").cast("string").alias("first_id")) for g in groups)
+    light = materialise(light, "warc-groups")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.when(F.length(html) >= min_bytes, F.sha1(html)).alias("sha1"))
+    on = F.col("sha1") == F.col("g_sha1")
+    if light.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(heavy.unionByName(light)), on, "left")
+    else:  # frequent payloads find their group map-side, so that only the others are shuffled by digest
+        common = F.broadcast(heavy)
+        rows = rows.join(common, on).unionByName(rows.join(common, on, "left_anti").join(light, on, "left"))
+    rows = rows.select("page_id", "url", "html", "first_id")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,18 +146,19 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0
             if sink:
                 sink.close()
 
-    return materialise(rows.mapInArrow(run, INDEX.format(id=kind)), "warc-index")
+    index = rows.mapInArrow(run, INDEX)
+    return materialise(index.withColumn("page_id", F.col("page_id").cast(kind)), "warc-index")
 
 
 def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
     """The records that `index` names (rows of what write_archives() returned, filtered as one likes), read back.
 
-    `page_id bigint, payload_bytes, payload_digest, record_type, refers_to`, and `payload` if asked for (null for
-    revisits). Records of a stretch of a file go to one task in order of their offset; neighbours are read by one range
+    `page_id, payload_bytes, payload_digest, record_type, refers_to`, and `payload` if asked for (null for revisits); ids
+    have the type of the index's. Records of a stretch of a file go to one task in order of their offset; neighbours are read by one range
     request. A payload that doesn't have its digest is an error.
     """
-    cols = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payload
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payload]
+    cols = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * payload
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.binary()] * payload]
     names = [c.split()[0] for c in cols.split(", ")]
     stretch = F.expr(f"offset div {RANGE}")
     # Index rows are small, what they stand for is not: as many partitions as the records' bytes need.
@@ -191,11 +197,12 @@ def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
                 if not revisit and base32_sha1(body) != digest:
                     raise ValueError(f"the record at {o} of {file} doesn't have the payload of its digest")
                 page, refers = warc.get("x-page-id"), warc.get("x-refers-to-page-id")
-                row = (page and int(page), int(http["content-length"]) if revisit else len(body), digest, warc["warc-type"], refers and int(refers), None if revisit else body)
+                row = (page and unquote(page), int(http["content-length"]) if revisit else len(body), digest, warc["warc-type"], refers and unquote(refers), None if revisit else body)
                 for column, v in zip(rows, row):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds)], names=names)
         if source:
             source.close()
 
-    return wanted.mapInArrow(run, cols)
+    kind = index.schema["page_id"].dataType
+    return wanted.mapInArrow(run, cols).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
