@@ -25,7 +25,7 @@ SPACE = "▁"
 PROBE = " \uff21 \ufb01  x\u0301\u00a0\t\u212b "
 NONE = float("-inf")
 #: Entries that each of a worker's caches holds at most; they only save time.
-CACHE = 60_000
+CACHE, PAIRS = 120_000, 160_000
 
 
 class Pieces:
@@ -53,12 +53,13 @@ class Pieces:
             raise ValueError("the model changes texts before it encodes them")
         self.unknown = {i for i in range(model.get_piece_size()) if model.is_unknown(i)}
         self.unknown_text = model.decode([min(self.unknown)]) if self.unknown else ""
-        # The pieces' bytes one after another; `special` are ids that have no text of their own.
-        shown = [self.text.get(i, "").replace(SPACE, " ").encode() for i in range(model.get_piece_size())]
+        # The pieces' bytes one after another.
+        shown = [bytes([self.byte_of[i]]) if i in self.byte_of else self.text.get(i, "").replace(SPACE, " ").encode() for i in range(model.get_piece_size())]
         self.flat = np.frombuffer(b"".join(shown), np.uint8)
         self.length = np.array([len(b) for b in shown], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.special = np.array([i in self.byte_of or i in self.unknown for i in range(len(shown))])
+        self.is_byte = np.array([i in self.byte_of for i in range(len(shown))])
+        self.is_unknown = np.array([i in self.unknown for i in range(len(shown))])
         # Matches that end at a place of the reversed text start there in the text.
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
@@ -104,7 +105,7 @@ class Pieces:
         """Whether merging the characters of a + b gives a and b again; with an empty a, whether b's give b."""
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) >= CACHE:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             known = self._pairs[a, b] = self.merged([*a, *b]) == [x for x in (a, b) if x]
         return known
@@ -172,11 +173,18 @@ class Pieces:
 
     def decode_utf8(self, ids: np.ndarray) -> bytes:
         """The text of an array of ids in UTF-8; see decode()."""
-        if self.special[ids].any():
-            return self.decode(ids.tolist()).encode()
+        if not len(ids):
+            return b""
         n = self.length[ids]
         upto = np.cumsum(n)
-        out = self.flat[np.repeat(self.start[ids] - upto + n, n) + np.arange(upto[-1] if len(n) else 0)].tobytes()
+        out = self.flat[np.repeat(self.start[ids] - upto + n, n) + np.arange(upto[-1])].tobytes()
+        if self.is_byte[ids].any() or self.is_unknown[ids].any():
+            try:  # pieces are whole characters, so bytes between them are characters if all is UTF-8
+                out.decode()
+            except UnicodeDecodeError:
+                return self.decode(ids.tolist()).encode()
+            if self.is_unknown[ids].any() or self.is_byte[ids[0]]:
+                return self.decode(ids.tolist()).encode()
         return out[1:] if out.startswith(b" ") else out
 
     def span(self, span: str) -> tuple[str, bytes]:

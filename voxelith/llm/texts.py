@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 
 #: Characters of texts that are worked on together, and bytes of the batches that they come in.
-CHUNK, BATCH = 1_000_000, 8 << 20
+CHUNK, BATCH = 1_000_000, 2 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
