@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,22 @@ def test_markdown():
     assert T.markdown_of(page) == want
 
 
+def test_markdown_of_nested_lists_and_broken_pages():
+    nested = "<ul><li>a<ul><li>b <em>c</em></li><li></li><li>d</ul></li><li>e</ul>x<br>y<pre>\n  k &lt; l\n\n\n\nm</pre><h3> t\n u </h3><script>no()</script>"
+    assert T.markdown_of(nested) == "- a\n  - b *c*\n  - d\n- e\n\nx\ny\n\n```\n  k < l\n\n\n\nm\n```\n\n### t u"
+    assert T.markdown_of("<a href=/x>one<a>two</a></b> &amp; <b>open") == "[one](/x)two & open"
+    began = time.time()
+    for tag in ("<a>", "<b>", "<li>", "<ul><li>x", "<pre>", "</a>"):
+        T.markdown_of(tag * 4_000)
+    assert time.time() - began < 10
+
+
+def test_unescape(spark):
+    texts = ["a &lt;b&gt; &amp;lt; &#39;&#x1F600;&apos;", "&nbsp;&unknown; &#0; &#xD800; &", "", "plain", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.unescape(F.col("t"))).collect()] == ["a <b> &lt; '\U0001f600'", "\u00a0&unknown; \ufffd \ufffd &", "", "plain", None]
+
+
 def test_symbols(spark):
     e = spark.createDataFrame([(1, "N", "A"), (2, "M", "A"), (3, "N", "B")], "entry_id int, namespace string, title string")
     asked = spark.createDataFrame([("A",), ("N.A",), ("B",), ("C",)], "symbol string")

@@ -16,8 +16,6 @@ def test_every_splat_casts_a_ray(spark):
     assert "WHERE splat_id" not in SQL["ray_triangle_all"]
     got = {r.ray_id: (r.t, r.tri_id) for r in QUERIES["ray_triangle_all"](spark, SF).collect()}
     assert {k % 5 for k in got} == set(range(5))
-    fifth = {r.ray_id: (r.t, r.tri_id) for r in QUERIES["ray_triangle"](spark, SF).collect()}
-    assert fifth == {k: v for k, v in got.items() if k % 5 == 0}
 
 
 def test_every_splat_is_a_capsule(spark):

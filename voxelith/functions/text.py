@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import html as _html
 import re
+from collections import Counter
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,8 +15,8 @@ LOADABLE = [".ply", ".spz", ".splat", ".ksplat", ".lcc", ".sog", ".esz", ".json"
 MIME = {".gif": "image/gif", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".svg": "image/svg+xml", ".webp": "image/webp"}
 UNITS = ["B", "KB", "MB", "GB"]
 EXTERNAL = r"(?i)^[a-z][a-z\d+.-]*:"
-BANNED = [r"https?://go\.", r"go\./", r"pages/viewpage"]
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
 API = "api:"
 
 
@@ -89,9 +90,9 @@ def is_local(c: Column) -> Column:
     return ~F.startswith(c, F.lit("/")) & ~F.startswith(c, F.lit("#")) & ~is_external(c)
 
 
-def is_banned(c: Column, more: list[str] | None = None) -> Column:
-    """Whether a text has a link that mustn't be published: short links, wiki pages, and `more` patterns of the user's."""
-    return c.rlike("(?i)(?:" + "|".join([*BANNED, *(more or [])]) + ")")
+def is_banned(c: Column, patterns: list[str]) -> Column:
+    """Whether one of the user's patterns of links that mustn't be published occurs in a text, in any case of letters."""
+    return c.rlike("(?i)(?:" + "|".join(patterns) + ")") if patterns else F.lit(False)
 
 
 def link_targets(c: Column) -> Column:
@@ -127,6 +128,25 @@ def decode_entities(c: Column, ampersand_first: bool = False) -> Column:
     return c
 
 
+def unescape(c: Column) -> Column:
+    """Named and numeric entities decoded once each, from left to right; unknown ones stay. Null stays null.
+
+    Numbers may be decimal or hexadecimal; those that are no character become U+FFFD.
+    """
+    pattern = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z]{2,8});"
+
+    def decoded(e: Column) -> Column:
+        hexed = e.rlike("^&#[xX]")
+        number = F.when(hexed, F.conv(F.regexp_extract(e, "^&#[xX](.*);$", 1), 16, 10)).when(F.startswith(e, F.lit("&#")), F.regexp_extract(e, "^&#(.*);$", 1)).cast("bigint")
+        good = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        named = F.element_at(F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair)), e)
+        return F.when(number.isNotNull(), char).otherwise(F.coalesce(named, e))
+
+    between, found = F.split(c, pattern, -1), F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), decoded)
+    return F.array_join(F.transform(F.arrays_zip(between.alias("t"), found.alias("e")), lambda x: F.concat(x["t"], F.coalesce(x["e"], F.lit("")))), "")
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
 
@@ -205,52 +225,132 @@ def front_matter(c: Column, strict: bool = True) -> Column:
     return F.when(~F.startswith(c, F.lit("---")), none).when(ended, last).otherwise(unended)
 
 
-_BLOCK = re.compile(r"</?(?:p|section|article|div|details|summary)\b[^>]*>")
-_TAG = re.compile(r"<[^>]+>")
+class _Fence(str):
+    """Finished code, whose white space stays as it is."""
+
 
+class _Page(HTMLParser):
+    """Markdown of one page, in one pass over its events.
+
+    `out` has the pieces so far, `open` the open tags with the place of each in `out`, where a mark can be put when the
+    end tag comes; a tag that is never closed leaves no mark. Work is linear in the page's length.
+    """
 
-def _plain(part: str) -> str:
-    return _html.unescape(_TAG.sub("", part))
+    MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+    BLOCKS = frozenset("p section article div details summary table tr blockquote".split())
+    HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+    UNSEEN = frozenset(("svg", "script", "style"))
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.open: list[tuple[str, int, str]] = []
+        self.count: Counter[str] = Counter()
+        self.lists: list[list] = []
+        self.item: int | None = None
+
+    def _take(self, at: int) -> str:
+        text = "".join(self.out[at:])
+        del self.out[at:]
+        return text
+
+    def _end_item(self) -> None:
+        """The item's text on one line, 20 levels deep at most; an item without text goes, and its number with it."""
+        if self.item is None:
+            return
+        text = " ".join(self._take(self.item).split())
+        kind, n = self.lists[-1]
+        self.item = None
+        if text:
+            self.lists[-1][1] = n + 1
+            self.out.append("  " * min(len(self.lists) - 1, 20) + (f"{n + 1}. " if kind == "ol" else "- ") + text + "\n")
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        about = dict(attrs)
+        if tag in ("br", "wbr", "img", "hr", "input", "meta", "link"):
+            if tag == "br" and not self.count["svg"]:
+                self.out.append("\n")
+            return
+        if tag == "a" and self.count["a"]:
+            self.handle_endtag("a")
+        if tag in ("ul", "ol"):
+            self._end_item()
+            self.out.append("\n\n" if not self.lists else "")
+            self.lists.append([tag, 0])
+        elif tag == "li" and self.lists:
+            self._end_item()
+            self.item = len(self.out)
+        elif tag in self.BLOCKS or tag in self.HEADINGS or tag == "pre":
+            self.out.append("\n\n")
+        note = about.get("href") if tag == "a" else about.get("class") if tag == "code" else None
+        self.open.append((tag, len(self.out), note or ""))
+        self.count[tag] += 1
+        if tag in self.MARKS:
+            self.out.append("")
+
+    def handle_endtag(self, tag: str) -> None:
+        if not self.count[tag]:
+            return
+        while True:
+            name, at, note = self.open.pop()
+            self.count[name] -= 1
+            if name in ("ul", "ol") and self.lists:
+                self._end_item()
+                self.lists.pop()
+                self.out.append("\n" if not self.lists else "")
+            if name == tag:
+                break
+        if tag in self.MARKS:
+            self._wrap(at, self.MARKS[tag])
+        elif tag == "a":
+            text = self._take(at).strip()
+            self.out.append(f"[{text}]({note})" if text and note else text or note)
+        elif tag == "code" and not self.count["pre"]:
+            self.out.append("`" + self._take(at).replace("`", "\\`") + "`")
+        elif tag == "code":
+            self.language = re.search(r"language-([\w-]+)", note)
+        elif tag == "pre":
+            language, self.language = getattr(self, "language", None), None
+            self.out += [_Fence(f"```{language[1] if language else ''}\n{self._take(at).strip(chr(10))}\n```"), "\n\n"]
+        elif tag in self.HEADINGS:
+            text = " ".join(self._take(at).split())
+            self.out.append(f"{'#' * int(tag[1])} {text}\n\n" if text else "")
+        elif tag == "li":
+            self._end_item()
+        elif tag in self.BLOCKS:
+            self.out.append("\n\n")
+
+    def _wrap(self, at: int, mark: str) -> None:
+        first = next((k for k in range(at + 1, len(self.out)) if self.out[k].strip()), None)
+        if first is not None:
+            self.out[first] = self.out[first].lstrip()
+            self.out[-1] = self.out[-1].rstrip()
+            self.out[at] = mark
+            self.out.append(mark)
+
+    def handle_data(self, data: str) -> None:
+        if not any(self.count[t] for t in self.UNSEEN):
+            self.out.append(data)
+
+    def markdown(self) -> str:
+        self.close()
+        self._end_item()
+        done, run = [], []
+        for piece in [*self.out, _Fence("")]:
+            if not isinstance(piece, _Fence):
+                run.append(piece)
+                continue
+            text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(run))).strip()
+            done += [t for t in (text, str(piece)) if t]
+            run = []
+        return "\n\n".join(done)
 
 
 def markdown_of(page: str) -> str:
-    """One page of HTML as Markdown. Code first, then headings, links, emphasis, breaks and lists; blocks become blank lines."""
-    out = re.sub(r"(?s)<svg\b.*?</svg>|<wbr\s*/?>|<(script|style)\b.*?</\1>", "", page)
-    kept: list[str] = []
-
-    def keep(text: str) -> str:  # finished Markdown is set aside, so that later steps leave it alone
-        kept.append(text)
-        return f"\0{len(kept) - 1}\0"
-
-    def fence(m: re.Match) -> str:
-        lang = re.search(r"language-([\w-]+)", m.group(1) or "")
-        return "\n\n" + keep(f"```{lang.group(1) if lang else ''}\n{_plain(m.group(2)).rstrip(chr(10))}\n```") + "\n\n"
-
-    def link(m: re.Match) -> str:
-        text, href = _plain(m.group(2)).strip(), re.search(r"href=([\"'])([^\"']*)\1", m.group(1))
-        if not href:
-            return text
-        to = _html.unescape(href.group(2))
-        return keep(f"[{text}]({to})" if text else to)
-
-    def listing(m: re.Match) -> str:
-        items = [" ".join(_plain(i).split()) for i in re.findall(r"(?s)<li\b[^>]*>(.*?)</li>", m.group(2))]
-        numbered = enumerate((i for i in items if i), 1)
-        return "\n\n" + "\n".join((f"{n}. " if m.group(1) == "ol" else "- ") + i for n, i in numbered) + "\n\n"
-
-    out = re.sub(r"(?s)<pre\b[^>]*>\s*(?:<code\b([^>]*)>)?(.*?)(?:</code>\s*)?</pre>", fence, out)
-    out = re.sub(r"(?s)<code\b[^>]*>(.*?)</code>", lambda m: keep("`" + _plain(m.group(1)).replace("`", "\\`") + "`"), out)
-    out = re.sub(r"(?s)<h([1-6])\b[^>]*>(.*?)</h\1>", lambda m: f"\n\n{'#' * int(m.group(1))} {_plain(m.group(2)).strip()}\n\n" if _plain(m.group(2)).strip() else "", out)
-    out = re.sub(r"(?s)<a\b([^>]*)>(.*?)</a>", link, out)
-    out = re.sub(r"(?s)<(strong|b)\b[^>]*>(.*?)</\1>", lambda m: f"**{_plain(m.group(2)).strip()}**", out)
-    out = re.sub(r"(?s)<(em|i)\b[^>]*>(.*?)</\1>", lambda m: f"*{_plain(m.group(2)).strip()}*", out)
-    out = re.sub(r"<br\s*/?>", "\n", out)
-    out = re.sub(r"(?s)<(ul|ol)\b[^>]*>(.*?)</\1>", listing, out)
-    out = _plain(_BLOCK.sub("\n\n", out))
-    out = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", out))
-    while "\0" in out:
-        out = re.sub("\0(\\d+)\0", lambda m: kept[int(m.group(1))], out)
-    return out.strip()
+    """One page of HTML as Markdown: headings, lists within lists, links, emphasis, code; other blocks are paragraphs."""
+    parser = _Page()
+    parser.feed(page)
+    return parser.markdown()
 
 
 def html_to_markdown(page: Column) -> Column:

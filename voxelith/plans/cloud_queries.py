@@ -273,7 +273,7 @@ def triangle_precompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(t, ["tri_id", *(f"e{i}{c}" for i in (1, 2) for c in "xyz")], ["nx", "ny", "nz"])
 
 
-RAYS = f"SELECT splat_id AS ray_id, x * 8 AS ox, 30.0::DOUBLE AS oy, z * 8 AS oz, 0.1::DOUBLE AS dx, -1.0::DOUBLE AS dy, 0.05::DOUBLE AS dz, 60.0::DOUBLE AS max_t FROM ({SPLATS}) WHERE splat_id % 5 = 0"
+RAYS = f"SELECT splat_id AS ray_id, x * 8 AS ox, 30.0::DOUBLE AS oy, z * 8 AS oz, 0.1::DOUBLE AS dx, -1.0::DOUBLE AS dy, 0.05::DOUBLE AS dz, 60.0::DOUBLE AS max_t FROM ({SPLATS})"
 
 
 def _cross_sql(a: str, b: str, out: str) -> str:
@@ -294,8 +294,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, tri_id) AS nt
 SELECT ray_id, round(t, 6) AS t, tri_id FROM k WHERE nth = 1"""
 )
 def ray_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rays of every fifth splat, as its SQL has it; ray_triangle_all has them all."""
-    return _hits(splats(spark, sf_dir).where("splat_id % 5 = 0"), tris(spark, sf_dir))
+    """The first triangle that a ray from each splat hits."""
+    return _hits(splats(spark, sf_dir), tris(spark, sf_dir))
 
 
 def _hits(s: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -303,27 +303,25 @@ def _hits(s: DataFrame, triangles: DataFrame) -> DataFrame:
     return M.first_hit(rays, triangles).withColumn("t", F.round("t", 6))
 
 
-@query(SQL["ray_triangle"].replace(" WHERE splat_id % 5 = 0", ""))
+@query(SQL["ray_triangle"])
 def ray_triangle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ray from every splat."""
-    return _hits(splats(spark, sf_dir), tris(spark, sf_dir))
+    """The same as ray_triangle, which had fewer rays once."""
+    return ray_triangle(spark, sf_dir)
 
 
 def _dealt_points(s: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Points and triangles in turn: a splat has the triangle whose place, by tri_id, is its id modulo their number.
-
-    The SQL twins have 166, the number of triangles of 500 splats; on other tables they leave triangles out.
-    """
+    """Points and triangles in turn: a splat has the triangle whose place, by tri_id, is its id modulo their number."""
     placed, n, _ = in_order(triangles, [F.col("tri_id")], name="triangles", unique=True)
     p = s.select("splat_id", F.pmod("splat_id", F.lit(max(n, 1))).alias("pos"), *((F.col(c) * 6).alias(f"p{c}") for c in "xyz"))
     return p.join(placed, "pos").drop("pos")
 
 
+PLACED = f"(SELECT *, row_number() OVER (ORDER BY tri_id) - 1 AS pos, count(*) OVER () AS n FROM ({TRIS}))"
 _D = {"1": ("ab", "ap"), "2": ("ac", "ap"), "3": ("ab", "bp"), "4": ("ac", "bp"), "5": ("ab", "cp"), "6": ("ac", "cp")}
 
 
 @query(
-    f"""WITH p AS (SELECT t.*, s.splat_id, s.x * 6 AS px, s.y * 6 AS py, s.z * 6 AS pz FROM ({TRIS}) t JOIN ({SPLATS}) s ON s.splat_id % 166 = t.tri_id),
+    f"""WITH p AS (SELECT t.* EXCLUDE (pos, n), s.splat_id, s.x * 6 AS px, s.y * 6 AS py, s.z * 6 AS pz FROM {PLACED} t JOIN ({SPLATS}) s ON s.splat_id % t.n = t.pos),
 v AS (SELECT *, {", ".join(f"kb{c} - ka{c} AS ab{c}, kc{c} - ka{c} AS ac{c}, p{c} - ka{c} AS ap{c}, p{c} - kb{c} AS bp{c}, p{c} - kc{c} AS cp{c}" for c in "xyz")} FROM p),
 d AS (SELECT *, {", ".join(f"{_dot_sql(a, b)} AS d{k}" for k, (a, b) in _D.items())} FROM v),
 w AS (SELECT *, d3 * d6 - d5 * d4 AS va, d5 * d2 - d1 * d6 AS vb, d1 * d4 - d3 * d2 AS vc FROM d)
@@ -337,7 +335,7 @@ def closest_point_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT t.*, s.splat_id, s.x * 6 AS px, s.y * 6 AS py, s.z * 6 AS pz FROM ({TRIS}) t JOIN ({SPLATS}) s ON s.splat_id % 166 = t.tri_id),
+    f"""WITH p AS (SELECT t.* EXCLUDE (pos, n), s.splat_id, s.x * 6 AS px, s.y * 6 AS py, s.z * 6 AS pz FROM {PLACED} t JOIN ({SPLATS}) s ON s.splat_id % t.n = t.pos),
 v AS (SELECT *, pow(kbx - kax, 2) + pow(kby - kay, 2) + pow(kbz - kaz, 2) AS n FROM p),
 t AS (SELECT *, CASE WHEN n < 1e-20 THEN 0 ELSE greatest(0, least(1, ((px - kax) * (kbx - kax) + (py - kay) * (kby - kay) + (pz - kaz) * (kbz - kaz)) / n)) END AS t FROM v)
 SELECT splat_id, tri_id, round(kax + (kbx - kax) * t, 6) AS x, round(kay + (kby - kay) * t, 6) AS y, round(kaz + (kbz - kaz) * t, 6) AS z FROM t"""

@@ -239,10 +239,10 @@ def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT page_id, regexp_matches(html, '(?i)(?:https?://go\\.|go\\./|pages/viewpage|intranet\\.example)') OR page_id % 11 = 0 AS banned FROM pages")
+@query("SELECT page_id, regexp_matches(html, '(?i)(?:intranet\\.example|/private/|https?://short\\.)') OR page_id % 11 = 0 AS banned FROM pages")
 def banned_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.when(F.col("page_id") % 11 == 0, F.concat("html", F.lit("https://GO.example"))).otherwise(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", T.is_banned(html, [r"intranet\.example"]).alias("banned"))
+    html = F.when(F.col("page_id") % 11 == 0, F.concat("html", F.lit("https://SHORT.example"))).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", T.is_banned(html, [r"intranet\.example", "/private/", r"https?://short\."]).alias("banned"))
 
 
 @query(

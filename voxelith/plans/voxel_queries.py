@@ -172,8 +172,8 @@ def capsule_depenetration(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION SELECT n.ix, n.iy, n.iz FROM (
     SELECT f.ix + d.dx AS ix, f.iy + d.dy AS iy, f.iz + d.dz AS iz FROM f, (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) d(dx, dy, dz)
   ) n LEFT JOIN v ON n.ix = v.ix AND n.iy = v.iy AND n.iz = v.iz
-  WHERE v.ix IS NULL AND n.ix BETWEEN 0 AND 11 AND n.iy BETWEEN 10 AND 24 AND n.iz BETWEEN 0 AND 6
+  WHERE v.ix IS NULL AND n.ix BETWEEN 0 AND 11 AND n.iy BETWEEN 0 AND 24 AND n.iz BETWEEN 0 AND 6
 ) SELECT ix, iy, iz FROM f"""
 )
 def nav_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.reachable(voxels(spark, sf_dir), (0, 24, 0), (0, 10, 0), (12, 25, 7)).select(V.CELL)
+    return V.reachable(voxels(spark, sf_dir), (0, 24, 0), (0, 0, 0), (12, 25, 7)).select(V.CELL)
