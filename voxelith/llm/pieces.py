@@ -25,7 +25,7 @@ SPACE = "▁"
 PROBE = " \uff21 \ufb01  x\u0301\u00a0\t\u212b "
 NONE = float("-inf")
 #: Entries that each of a worker's caches holds at most; they only save time.
-CACHE, PAIRS = 120_000, 160_000
+CACHE, PAIRS = 170_000, 160_000
 
 
 class Pieces:
