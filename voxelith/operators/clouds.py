@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import Vec, quaternion_matrix
-from voxelith.ordering import in_order
+from voxelith.ordering import group_quantiles, in_groups, in_order
 from voxelith.storage import materialise
 
 XYZ = ["x", "y", "z"]
@@ -148,9 +148,17 @@ def morton_sorted(splats: DataFrame, key: Column, partitions: int) -> DataFrame:
 
 
 def quantile_box(points: DataFrame, low: float, high: float, by: list[str] | None = None) -> DataFrame:
-    """Exact quantiles of each axis, per group: bounds that leave outliers out."""
-    aggs = [F.percentile(c, F.lit(q)).alias(f"{c}{n}") for c in XYZ for n, q in ((0, low), (1, high))]
-    return points.groupBy(*(by or [])).agg(*aggs)
+    """Exact quantiles of each axis, per group: bounds that leave outliers out. An axis without values has null bounds."""
+    by = by or []
+    out = points.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_"))
+    keys = {k: f"{k}_of" for k in by}
+    for c in XYZ:
+        box = group_quantiles(points, by, c, {f"{c}0": low, f"{c}1": high}).withColumnsRenamed(keys)
+        same = F.lit(True)
+        for k, other in keys.items():
+            same = same & F.col(k).eqNullSafe(F.col(other))
+        out = out.join(box, same, "left").drop(*keys.values())
+    return out.drop("rows_")
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
@@ -274,6 +282,6 @@ def uniform_fit(points: DataFrame, height: float = 1.75, by: str | None = None)
     return g.select(*([by] if by else []), s.alias("scale"), (-(F.col("x0") + F.col("x1")) / 2 * s).alias("tx"), (-F.col("y0") * s).alias("ty"), (-(F.col("z0") + F.col("z1")) / 2 * s).alias("tz"))
 
 
-def first_use(rows: DataFrame, obj: str, order: str) -> DataFrame:
+def first_use(rows: DataFrame, obj: str, order: list[str]) -> DataFrame:
     """`rows` with `cloned`: whether a shared object was used before, in the order given."""
-    return rows.withColumn("cloned", F.row_number().over(Window.partitionBy(obj).orderBy(order)) > 1)
+    return in_groups(rows, [obj], [F.col(c) for c in order], name="uses").withColumn("cloned", F.col("place") > 0).drop("place")

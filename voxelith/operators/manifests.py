@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelith.ordering import in_groups
+
 #: Fixed values of the manifest format.
 MAGIC, KIND = 2500660, "lod-splat"
 SCHEMA = (
@@ -88,12 +90,12 @@ def within_budget(lods: DataFrame, budget: int, score_col: str = "score") -> Dat
     `lods`: `scene, chunk_id, level, count, score`. Every chunk has its coarsest level; upgrades, finer levels by their
     extra rows, are taken in order of level from coarse to fine and of score until the budget is reached.
     """
-    one = Window.partitionBy("scene", "chunk_id").orderBy(F.desc("level"))
+    one = Window.partitionBy("scene", "chunk_id").orderBy(F.desc("level"))  # as many rows as levels
     steps = lods.withColumn("extra", F.col("count") - F.coalesce(F.lag("count").over(one), F.lit(0)))
-    all_ = Window.partitionBy("scene").orderBy(F.desc("level"), F.desc(score_col), "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    coarse = F.max("level").over(Window.partitionBy("scene", "chunk_id"))
-    taken = steps.withColumn("spent", F.sum("extra").over(all_)).withColumn("coarse", coarse)
-    taken = taken.where((F.col("spent") <= budget) | (F.col("level") == F.col("coarse")))
+    steps = steps.withColumn("coarse", F.lag("level").over(one).isNull())
+    order = [F.desc("level"), F.desc(score_col), F.col("chunk_id")]
+    taken = in_groups(steps, ["scene"], order, size="extra", name="upgrades", unique=True).withColumn("spent", F.col("before") + F.col("extra"))
+    taken = taken.where((F.col("spent") <= budget) | F.col("coarse"))
     return taken.groupBy("scene", "chunk_id").agg(F.min(F.struct("level", "count")).alias("m")).select("scene", "chunk_id", "m.level", "m.count")
 
 

@@ -43,11 +43,16 @@ def body_nodes(nodes: DataFrame, model: str, name: str) -> DataFrame:
 def find_clips(clips: DataFrame, wanted: DataFrame) -> DataFrame:
     """`model, action, clip`: for each action the first clip whose name has its best pattern.
 
-    `clips`: `model, ordinal, clip`; `wanted`: `action, rank, pattern`, a short list that is broadcast.
+    `clips`: `model, ordinal, clip`; `wanted`: `action, rank, pattern`. Names are short: each is dealt to its parts of up
+    to the longest pattern's length and joined by equality, so any number of patterns will do. Null names match nothing.
     """
-    hit = F.contains(F.lower("clip"), F.col("pattern"))
+    longest = wanted.agg(F.max(F.length("pattern"))).first()[0] or 0
+    name = F.lower("clip")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(longest)), lambda n: F.transform(starts, lambda i: F.substring(name, i, n))))
+    dealt = clips.select("model", "ordinal", "clip", F.explode(F.array_distinct(parts)).alias("pattern"))
     first = F.min(F.struct("rank", "ordinal", "clip")).alias("m")
-    return clips.join(F.broadcast(wanted), hit).groupBy("model", "action").agg(first).select("model", "action", "m.clip")
+    return dealt.join(wanted, "pattern").groupBy("model", "action").agg(first).select("model", "action", "m.clip")
 
 
 def with_axes(rows: DataFrame, preset: str) -> DataFrame:
@@ -88,9 +93,9 @@ def pose_of(text: Column) -> Column:
 
 
 def with_preset(rows: DataFrame, presets: DataFrame, key: str, settings: list[str]) -> DataFrame:
-    """`rows` with the settings of their preset where it has one; presets are a short list that is broadcast."""
+    """`rows` with the settings of their preset where it has one; Spark broadcasts presets if they are small."""
     p = presets.select(F.col(key).alias("_k"), *(F.col(s).alias(f"_{s}") for s in settings))
-    out = rows.join(F.broadcast(p), F.col(key) == F.col("_k"), "left")
+    out = rows.join(p, F.col(key) == F.col("_k"), "left")
     return out.withColumns({s: F.coalesce(F.col(f"_{s}"), F.col(s)) for s in settings}).drop("_k", *(f"_{s}" for s in settings))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import Vec, clamp
+from voxelith.ordering import group_quantiles
 from voxelith.storage import materialise
 
 CELL = ["ix", "iy", "iz"]
@@ -210,14 +211,18 @@ def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFram
     high = low + grid.size()
     bottom, top = c.y - h, c.y + h
     seg = F.when(top < low.y, top).when(bottom > high.y, bottom).otherwise(clamp((low.y + high.y) * 0.5, bottom, top))
-    p = Vec(c.x, seg, c.z)
-    near = Vec(*(clamp(v, a, b) for v, a, b in zip(p, low, high)))
-    off = p - near
-    d2 = off.dot(off)
-    dist = F.sqrt(d2)
-    out = off * ((r - dist) / F.when(d2 > 1e-12, dist))
-    # A centre line inside a voxel leaves along the axis of the least way; x before y before z.
+    # Each step is a column of its own, so that the ones after it don't repeat its expression.
+    rows = rows.select("capsule_id", "x", "z", "radius", *CELL, seg.alias("sy"), *low.named("a"), *high.named("b"))
+    p, low, high = Vec(c.x, F.col("sy"), c.z), *(Vec(*(F.col(f"{k}{n}") for n in "xyz")) for k in "ab")
+    off = p - Vec(*(clamp(v, a, b) for v, a, b in zip(p, low, high)))
+    rows = rows.select("*", *off.named("o"))
+    off = Vec(*(F.col(f"o{n}") for n in "xyz"))
     way = Vec(*(F.least(v - a, b - v) + r for v, a, b in zip(p, low, high)))
+    rows = rows.select("*", off.dot(off).alias("d2"), *way.named("w"))
+    d2, way = F.col("d2"), Vec(*(F.col(f"w{n}") for n in "xyz"))
+    rows = rows.where(d2 < r * r).select("*", F.sqrt("d2").alias("dist"))
+    out = off * ((r - F.col("dist")) / F.when(d2 > 1e-12, F.col("dist")))
+    # A centre line inside a voxel leaves along the axis of the least way; x before y before z.
     signed = Vec(*(F.when(v - a < b - v, -w).otherwise(w) for v, a, b, w in zip(p, low, high, way)))
     zero = F.lit(0.0)
     take_x = (way.x <= way.y) & (way.x <= way.z)
@@ -228,8 +233,8 @@ def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFram
         F.when(~inside, out.y).when(take_y, signed.y).otherwise(zero),
         F.when(~inside, out.z).when(~take_x & ~take_y, signed.z).otherwise(zero),
     )
-    depth = F.when(~inside, r - dist).otherwise(F.least(*way))
-    got = rows.where(d2 < r * r).select("capsule_id", depth.alias("depth"), *push.named("p"), *CELL).where(F.col("depth") > PENETRATION)
+    depth = F.when(~inside, r - F.col("dist")).otherwise(F.least(*way))
+    got = rows.select("capsule_id", depth.alias("depth"), *push.named("p"), *CELL).where(F.col("depth") > PENETRATION)
     best = F.min(F.struct((-F.col("depth")).alias("d"), F.col("iz"), F.col("iy"), F.col("ix"), F.col("px"), F.col("py"), F.col("pz")))
     return got.groupBy("capsule_id").agg(best.alias("b")).select("capsule_id", "b.px", "b.py", "b.pz", (-F.col("b.d")).alias("depth"))
 
@@ -291,5 +296,5 @@ def reachable(voxels: DataFrame, seed: tuple[int, int, int], low: tuple[int, int
 
 def median_height(hits: DataFrame, key: str, value: str = "hit_y") -> DataFrame:
     """`key, ground`: the exact median of each group's hits, the mean of the middle two for an even number."""
-    return hits.groupBy(key).agg(F.percentile(value, F.lit(0.5)).alias("ground"))
+    return group_quantiles(hits, [key], value, {"ground": 0.5})
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.storage import clashless, materialise
+from voxelith.storage import clashless, columns, materialise
+
+#: Rows of per-group figures that are broadcast at most; more of them are joined by a shuffle.
+GROUP_ROWS = 200_000
 
 
 def in_order(df: DataFrame, order: list[Column], size: str | None = None, name: str = "ordered", unique: bool = False) -> tuple[DataFrame, int, int]:
@@ -36,3 +39,50 @@ def in_order(df: DataFrame, order: list[Column], size: str | None = None, name:
     if size:
         out = out.withColumn("before", F.col(size0) + F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - value)
     return out.drop(part, seq, rows0, size0), all_rows, all_size
+
+
+def in_groups(df: DataFrame, by: list[str], order: list[Column], size: str | None = None, name: str = "grouped", unique: bool = False) -> DataFrame:
+    """`df` with `place`, the row's place from 0 in its group, and for a `size` column `before`, the sum ahead of it there.
+
+    Groups are runs of one global order, so a group that holds most rows lies in many partitions. Each group's first place
+    is a minimum, and so is its first sum (kept with the place, as sizes may be negative). Null keys are groups too. The
+    figures of up to GROUP_ROWS groups are broadcast; more are joined by a shuffle, in which AQE splits large keys.
+    """
+    first, base = (clashless(df, c) for c in ("first_", "base_"))
+    keys = [clashless(df, f"key{i}_") for i in range(len(by))]
+    ordered, _, _ = in_order(df, [*(F.col(c) for c in by), *order], size=size, name=name, unique=unique)
+    starts = ordered.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys))).agg(F.min("pos").alias(first), *([F.min_by("before", "pos").alias(base)] if size else []))
+    starts = materialise(starts, f"{name}-starts")
+    if starts.count() <= GROUP_ROWS:
+        starts = F.broadcast(starts)
+    same = F.lit(True)
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    got = ordered.join(starts, same).withColumn("place", F.col("pos") - F.col(first))
+    if size:
+        got = got.withColumn("before", F.col("before") - F.col(base))
+    return got.select(*columns(df), "place", *(["before"] if size else []))
+
+
+def group_quantiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """`by` and, by name, the interpolated quantiles of a column in each group; nulls are left out, groups of nulls too.
+
+    The column is put in order within the groups over all partitions and only the rows at the wanted ranks are looked up,
+    by their place, so no group's values are gathered.
+    """
+    rows = df.select(*by, F.col(column).alias("value_")).where("value_ IS NOT NULL")
+    ordered, _, _ = in_order(rows, [F.col(k) for k in [*by, "value_"]], name="quantiles")
+    span = ordered.groupBy(*by).agg(F.min("pos").alias("first_"), F.count(F.lit(1)).alias("n_")).where("n_ > 0")
+    asked = []
+    for name, q in shares.items():
+        at = (F.col("n_") - 1) * F.lit(float(q))
+        for end in (0, 1):
+            pos = F.col("first_") + F.least(F.floor(at) + end, F.col("n_") - 1)
+            asked.append(F.struct(F.lit(name).alias("name_"), F.lit(end).alias("end_"), pos.alias("pos"), (at - F.floor(at)).alias("part_")))
+    found = span.select(*by, F.explode(F.array(*asked)).alias("w_")).select(*by, "w_.*").join(ordered.select("pos", "value_"), "pos")
+
+    def quantile(name: str) -> Column:
+        low, high = (F.max(F.when((F.col("name_") == name) & (F.col("end_") == e), F.col("value_"))) for e in (0, 1))
+        return low + (high - low) * F.max(F.when(F.col("name_") == name, F.col("part_")))
+
+    return found.groupBy(*by).agg(*(quantile(n).alias(n) for n in shares))

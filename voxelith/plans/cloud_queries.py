@@ -9,7 +9,7 @@ from voxelith.functions import vectors as X
 from voxelith.operators import clouds as C
 from voxelith.operators import manifests as L
 from voxelith.operators import meshes as M
-from voxelith.ordering import in_order
+from voxelith.ordering import in_groups, in_order
 from voxelith.plans.carriers import POINTS, SPLATS, points, splats, table
 from voxelith.plans.registry import SQL, query
 
@@ -205,13 +205,11 @@ def lod_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
   row_number() OVER (PARTITION BY source_id ORDER BY (x - 0.5) * 0.6 + (y + 0.25) * 0 + (z - 2) * 0.8, splat_id)::INT AS place FROM ({SPLATS})"""
 )
 def depth_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     s = splats(spark, sf_dir)
     cam, fwd = (0.5, -0.25, 2.0), (0.6, 0.0, 0.8)
-    depth = C.depth_order(s, cam, fwd)
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy(depth, "splat_id"))
-    return s.select("splat_id", F.round(C.depth_order(s, cam, fwd, radial=True), 6).alias("radial"), (F.round(depth, 6) + F.lit(0.0)).alias("depth"), place.alias("place"))
+    rows = s.select("source_id", "splat_id", C.depth_order(s, cam, fwd, radial=True).alias("radial"), C.depth_order(s, cam, fwd).alias("depth"))
+    placed = in_groups(rows, ["source_id"], [F.col("depth"), F.col("splat_id")], name="depths", unique=True)
+    return placed.select("splat_id", F.round("radial", 6).alias("radial"), (F.round("depth", 6) + F.lit(0.0)).alias("depth"), (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query(
@@ -224,8 +222,8 @@ def model_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) > 1 AS cloned FROM lineitem")
 def shared_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("pos", F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"))
-    return C.first_use(rows, "l_partkey", "pos").select("l_orderkey", "l_partkey", "l_linenumber", "cloned")
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    return C.first_use(table(spark, sf_dir, "lineitem").select("l_partkey", *order), "l_partkey", order).select("l_orderkey", "l_partkey", "l_linenumber", "cloned")
 
 
 @query(

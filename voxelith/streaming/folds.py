@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 State = tuple
@@ -19,7 +20,10 @@ Step = Callable[[State, tuple], tuple[State, tuple]]
 
 
 def fold(rows: DataFrame, key: str, order: list[str], values: list[str], start: State, step: Step, out: str) -> DataFrame:
-    """`key, *order` and the outputs of `step(state, values) -> (state, outputs)` for each row, columns named in `out`."""
+    """`key, *order` and the outputs of `step(state, values) -> (state, outputs)` for each row, columns named in `out`.
+
+    Rows with a null key are one key's rows.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in [key, *order]) + ", " + out
     names = [key, *order, *(p.split()[0] for p in out.split(", "))]
@@ -30,14 +34,19 @@ def fold(rows: DataFrame, key: str, order: list[str], values: list[str], start:
         for b in batches:
             told = []
             for k, at, v in zip(b[key], b[order].itertuples(index=False, name=None), b[values].itertuples(index=False, name=None)):
-                if k != current:
+                if k != current and not (_null(k) and _null(current)):
                     current, state = k, start
                 state, got = step(state, v)
                 told.append((k, *at, *got))
             yield pd.DataFrame(told, columns=names)
 
     cols = list(dict.fromkeys([key, *order, *values]))
-    return rows.select(cols).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    dealt = rows.select(cols).repartition(key).sortWithinPartitions(key, *order)
+    if kinds[key] not in ("tinyint", "smallint", "int", "bigint") or key in [*order, *values]:
+        return dealt.mapInPandas(run, schema)
+    # Whole numbers beside nulls would be floats in pandas; as text they keep all digits.
+    got = dealt.withColumn(key, F.col(key).cast("string")).mapInPandas(run, schema.replace(f"{key} {kinds[key]}", f"{key} string", 1))
+    return got.withColumn(key, F.col(key).cast(kinds[key]))
 
 
 def fold_stream(rows: DataFrame, key: str, order: list[str], values: list[str], start: State, step: Step, out: str, state_schema: str) -> DataFrame:
