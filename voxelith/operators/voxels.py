@@ -206,7 +206,8 @@ def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFram
     rows = capsules
     for name, cell in zip(CELL, cells):
         rows = rows.withColumn(name, cell)
-    rows = rows.join(voxels.select(CELL), CELL)
+    # Spark takes the dealt capsules for as small as the capsules and would broadcast them; a shuffle by cell has no such bound.
+    rows = rows.join(voxels.select(CELL).hint("shuffle_hash"), CELL)
     low = grid.low([F.col(n) for n in CELL])
     high = low + grid.size()
     bottom, top = c.y - h, c.y + h
