@@ -207,7 +207,7 @@ def merge_gaussians(splats: DataFrame, by: list[str]) -> DataFrame:
     """
     r = quaternion_matrix(tuple(F.col(c) for c in ("qx", "qy", "qz", "qw")))  # type: ignore[arg-type]
     var = [sum((r[3 * i + k] * r[3 * i + k] * F.col(f"s{XYZ[k]}") * F.col(f"s{XYZ[k]}") for k in range(3)), F.lit(0.0)) for i in range(3)]
-    w = F.col("a") * F.col("sx") * F.col("sy") * F.col("sz")
+    w = F.greatest(F.col("a") * F.col("sx") * F.col("sy") * F.col("sz"), F.lit(1e-300))  # flat ones have no volume
     rows = splats.withColumn("w", w).withColumns({f"v{c}": v for c, v in zip(XYZ, var)})
     mean = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum("w")
     got = rows.groupBy(*by).agg(

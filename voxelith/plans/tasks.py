@@ -17,11 +17,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelith.operators import chunk_lod, octree
 from voxelith.operators import clouds as C
-from voxelith.operators import octree
 from voxelith.operators import voxels as V
+from voxelith.sources import lod_directory
 from voxelith.sources.ply_format import PlySource
 from voxelith.sources.splat_format import SplatSource
+from voxelith.storage import materialise
 
 Resources = dict[str, DataFrame]
 
@@ -48,8 +50,14 @@ def read(spark: SparkSession, res: Resources, c: dict) -> None:
 
 
 def write(spark: SparkSession, res: Resources, c: dict) -> None:
-    """One cloud to files; rows are in Morton order of cells of the given size unless `mortonSort` is off."""
+    """One cloud to files; rows are in Morton order of cells of the given size unless `mortonSort` is off.
+
+    Chunks of AutoChunkLod become a directory with a manifest.
+    """
     df = res[c["input"]]
+    if {"chunk_id", "level"} <= set(df.columns):
+        lod_directory.write(df, c["output"], c.get("firstShared", 3))
+        return
     kind = _format(c["output"])
     if c.get("mortonSort", True):
         size = c.get("cell", 0.05)
@@ -82,6 +90,14 @@ def auto_lod(spark: SparkSession, res: Resources, c: dict) -> None:
     res[c["output"]] = C.lod_reduce(res[c["input"]], c.get("ratio", 0.3), c.get("cell", 0.05), c.get("counts"), c.get("scaleBoost", 1.0))
 
 
+def auto_chunk_lod(spark: SparkSession, res: Resources, c: dict) -> None:
+    """Octree chunks in levels of detail. Chunk files are Parquet; other types are refused."""
+    if c.get("type", "parquet") != "parquet":
+        raise ValueError(f"no writer for chunks of type {c['type']}")
+    levels = [(float(v["precision"]), float(v.get("scaleBoost", 1.0))) for v in c["levels"]] if "levels" in c else None
+    res[c["output"]] = materialise(chunk_lod.build(res[c["input"]], c.get("maxChunkCounts", 400_000), levels), "chunk-lod")
+
+
 def voxel(spark: SparkSession, res: Resources, c: dict) -> None:
     """Voxelises a cloud and writes the octree's pair of files."""
     size = c.get("voxelResolution", 0.05)
@@ -97,7 +113,7 @@ def voxel(spark: SparkSession, res: Resources, c: dict) -> None:
     octree.write_pair(*octree.build(masks, depth), meta, c["output"])
 
 
-TASKS: dict[str, Callable[[SparkSession, Resources, dict], None]] = {"Read": read, "Write": write, "Modify": modify, "AutoLod": auto_lod, "Voxel": voxel}
+TASKS: dict[str, Callable[[SparkSession, Resources, dict], None]] = {"Read": read, "Write": write, "Modify": modify, "AutoLod": auto_lod, "AutoChunkLod": auto_chunk_lod, "Voxel": voxel}
 
 
 def run(spark: SparkSession, document: str | dict) -> Resources:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.operators import manifests as L
-from voxelith.operators.clouds import quantile_box
+from voxelith.operators.clouds import forward_box, quantile_box
 from voxelith.sources.files import opened
 
 
@@ -16,7 +16,7 @@ def write(splats: DataFrame, path: str, first_shared: int = 3, sh_degree: int =
     """Writes `splats` (`chunk_id, level, x, y, z, ...`) under `path`, a folder for each file of the manifest.
 
     Levels from `first_shared` on share one file each; the others have a file for each chunk. Rows of a file are sorted by
-    chunk, so a chunk is a run of rows, told by offset and count. Bounds leave `tails` of each side out. The manifest has
+    chunk, so a chunk is a run of rows, told by offset and count. The forward box holds most of level 0. Bounds leave `tails` of each side out. The manifest has
     a row for each chunk and level, at most `max_chunks`, which is all that comes to the driver.
     """
     keyed = L.pack_low_levels(splats, first_shared)
@@ -34,6 +34,8 @@ def write(splats: DataFrame, path: str, first_shared: int = 3, sh_degree: int =
         node = tree.setdefault(r.chunk_id, {"bound": {"min": [r.x0, r.y0, r.z0], "max": [r.x1, r.y1, r.z1]}, "lods": []})
         node["lods"].append({"file": number[r.file_key], "offset": r.offset, "count": r["count"]})
     meta = {"magicCode": L.MAGIC, "type": L.KIND, "version": "1", "counts": sum(r["count"] for r in rows if r.level == 0), "shDegree": sh_degree, "levels": levels, "files": files}
+    ahead = forward_box(splats.where("level = 0")).first()
+    meta["forwardBox"] = {"min": [ahead.x0, ahead.y0, ahead.z0], "max": [ahead.x1, ahead.y1, ahead.z1]} if rows else None
     meta |= {"permanentFiles": [i for f, i in number.items() if f.startswith("shared/")], "tree": list(tree.values())}
     fs, root = opened(path)
     with fs.open_output_stream(f"{root}/lod-meta.json", compression=None) as f:
