@@ -191,6 +191,46 @@ def relative_md(source: Column, target: Column) -> Column:
     return F.concat(F.when(ups == 0, F.lit("./")).otherwise(F.repeat(F.lit("../"), ups)), down, F.lit(".md"))
 
 
+def manual_href(href: Column, slug: Column) -> Column:
+    """A manual page's link as the Markdown corpus has it, null if it stays as it is; `slug` is the page of an api: link.
+
+    Links to other sections (fixed form: up twice, then the section) become pages of that section, a section alone its
+    index. Links to Markdown pages stay; external links, root links and fragments aren't rewritten.
+    """
+    place = r"^\.\./\.\./(examples|api|manual)/([^?#]*?)/{0,2}([?#].*)?$"
+    section, page, rest = (F.regexp_extract(href, place, i) for i in (1, 2, 3))
+    other = F.concat(F.lit("../"), section, F.lit("/"), F.when(page == "", F.lit("index")).otherwise(page), F.lit(".md"), rest)
+    untouched = href.rlike("^(https?://|[#/]|$)")
+    api = F.concat(F.lit("../api/"), slug, F.lit(".md"))
+    return F.when(untouched, F.lit(None)).when(is_api(href), api).when(section != "", other).when(href.rlike(r"\.md([?#]|$)"), href)
+
+
+def api_symbol(href: Column) -> Column:
+    """The symbol of an api: link, null for other links."""
+    return F.when(is_api(href), F.trim(F.regexp_extract(href, "(?s)^.{4}([^#?]*)", 1)))
+
+
+def api_href(href: Column, current: Column, locale: str) -> Column:
+    """A link of the API page `current` as the Markdown corpus has it: API pages of the locale by relative paths, web
+    links as they are, others null."""
+    base = f"/{locale}/api/"
+    rest = F.substring(href, F.lit(len(base) + 1), F.length(href))
+    page, tag = F.regexp_replace(F.regexp_extract(rest, "^([^#]*)", 1), "/$", ""), F.regexp_extract(rest, "(?s)(#.*)$", 1)
+    own = F.concat(F.when(page == "", F.lit("./index.md")).otherwise(relative_md(current, page)), tag)
+    return F.when(F.startswith(href, F.lit(base)), own).when(href.rlike("^https?://"), href)
+
+
+def locale_codes(source: Column) -> Column:
+    """The codes in a source text that lists locales as `code: '...'`, in order."""
+    return F.regexp_extract_all(source, F.lit(r"""code:\s*["']([^"']+)["']"""), F.lit(1))
+
+
+def json_part(source: Column) -> Column:
+    """What stands from the first brace to the last in a source text, null without such a part."""
+    found = F.regexp_extract(source, r"(?s)(\{.*\})", 1)
+    return F.when(found != "", found)
+
+
 def split_urls(c: Column) -> Column:
     return F.filter(F.split(c, r"[\s,]+"), lambda x: x != "")
 

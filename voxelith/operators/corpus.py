@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelith.ordering import in_order
+
 
 def parity(pages: DataFrame, locale: str, slug: str, default: str) -> DataFrame:
     """`locale, slug, problem`: slugs that a locale lacks or has beyond those of the default locale."""
@@ -106,3 +108,28 @@ def rewrite_links(pages: DataFrame, mapping: DataFrame, key: str, body: str, bef
     wrap = lambda c: F.concat(F.lit(before), c, F.lit(after))
     swapped = F.aggregate(F.coalesce("_swap", F.array().cast("array<struct<link:string,target:string>>")), F.col(body), lambda acc, p: F.replace(acc, wrap(p["link"]), wrap(p["target"])))
     return pages.join(own, F.col(key) == F.col("_k"), "left").withColumn(body, swapped).drop("_k", "_swap")
+
+
+def report(checks: dict[str, DataFrame]) -> DataFrame:
+    """`rule, n, ok`: how many violations each check has; a check is the rows that break it."""
+    out = None
+    for rule, rows in checks.items():
+        n = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n", (F.col("n") == 0).alias("ok"))
+        out = n if out is None else out.unionByName(n)
+    if out is None:
+        raise ValueError("no checks")
+    return out
+
+
+def index_pages(entries: DataFrame, section: str, per_page: int = 5000) -> DataFrame:
+    """`path, content`: a section's index of `entries` (`slug, title, description, order`), in order, `per_page` to a page.
+
+    The first page is index.md, later ones index-2.md and so on, so no page holds a whole section of any size.
+    """
+    ordered, _, _ = in_order(entries.select("slug", "title", "description", "order"), [F.col("order"), F.col("slug")], name="index")
+    about = F.when(F.col("description") != "", F.concat(F.lit(": "), "description")).otherwise(F.lit(""))
+    line = F.concat(F.lit("- ["), F.coalesce("title", "slug"), F.lit("]("), "slug", F.lit(".md)"), about)
+    page = F.floor(F.col("pos") / per_page) + 1
+    pages = ordered.select(page.alias("page"), F.struct("pos", line.alias("line")).alias("at")).groupBy("page").agg(F.array_sort(F.collect_list("at")).alias("lines"))
+    name = F.when(F.col("page") == 1, F.lit("index")).otherwise(F.concat(F.lit("index-"), F.col("page").cast("string")))
+    return pages.select(F.concat(F.lit(f"{section}/"), name, F.lit(".md")).alias("path"), F.concat(F.array_join(F.col("lines.line"), "\n"), F.lit("\n")).alias("content"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxelith.functions import text as T
 from voxelith.operators import corpus as C
 from voxelith.plans.carriers import table
-from voxelith.plans.registry import query
+from voxelith.plans.registry import SQL, query
 
 LINKS = r"""SELECT page_id, t.pos - 1 AS place, t.href FROM (SELECT page_id, regexp_extract_all(html, '\bhref="([^"'']+)"', 1) AS hrefs FROM pages), LATERAL (SELECT unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos) t"""
 
@@ -264,3 +264,40 @@ def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     mapping = links(spark, sf_dir).where(F.startswith("href", F.lit("/"))).select(F.col("href").alias("link"), F.concat(F.lower("href"), F.lit(".md")).alias("target")).distinct()
     return C.rewrite_links(pages, mapping, "page_id", "html").select("page_id", F.md5("html").alias("rewritten"))
+
+
+_HREF = """SELECT o_orderkey, 'T' || o_custkey % 400 AS title, CASE o_orderkey % 8 WHEN 0 THEN 'https://a.example/' || o_orderkey WHEN 1 THEN '#part' WHEN 2 THEN 'api:T' || o_custkey % 400 || '#' || o_orderkey
+  WHEN 3 THEN '/root/' || o_orderkey WHEN 4 THEN '../../examples/e' || o_orderkey || '/?q=1#h' WHEN 5 THEN '../../api/' WHEN 6 THEN './p' || o_orderkey || '.md#x' ELSE 'image.png' END AS href FROM {orders}"""
+
+
+@query(
+    rf"""WITH h AS ({_HREF.format(orders="orders")}), e AS (SELECT title, min(entry_id) AS id FROM ({_ENTRIES}) GROUP BY title)
+SELECT o_orderkey, href, CASE WHEN starts_with(href, 'api:') THEN '../api/e' || id || '.md'
+  WHEN regexp_matches(href, '^\.\./\.\./(examples|api)/') THEN replace(regexp_replace(href, '^\.\./\.\./([a-z]+)/([^/?#]*)/?', '../\1/\2.md'), '/.md', '/index.md')
+  WHEN starts_with(href, './') THEN href END AS target FROM h LEFT JOIN e ON h.title = e.title"""
+)
+def manual_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of manual pages as the Markdown corpus has them; api: links are looked up among the entries."""
+    asked = spark.sql(_HREF, orders=table(spark, sf_dir, "orders")).withColumn("symbol", T.api_symbol(F.col("href")))
+    found = C.first_symbol(asked, _entries(spark, sf_dir))
+    return found.select("o_orderkey", "href", T.manual_href(F.col("href"), F.concat(F.lit("e"), F.col("found").cast("string"))).alias("target"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '../ns' || p_size || '/t' || p_partkey || '.md#m' WHEN 2 THEN 'https://a.example/' END AS target
+FROM (SELECT * FROM part WHERE p_partkey % 4 <> 1) UNION ALL SELECT p_partkey, './index.md#top' FROM part WHERE p_partkey % 4 = 1"""
+)
+def api_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of API pages; every page is one of the namespace `top`."""
+    href = F.expr("CASE p_partkey % 4 WHEN 0 THEN '/en/api/ns' || p_size || '/t' || p_partkey || '/#m' WHEN 1 THEN '/en/api/#top' WHEN 2 THEN 'https://a.example/' ELSE 'mailto:a' END")
+    return table(spark, sf_dir, "part").select("p_partkey", T.api_href(href, F.lit("top/page"), "en").alias("target"))
+
+
+#: Checks of the content report: rule, query whose rows break it.
+_RULES = {"links": missing_links, "assets": orphan_assets, "parity": pair_parity, "outputs": stale_outputs}
+
+
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS n, count(*) = 0 AS ok FROM ({SQL[f.__name__]})" for rule, f in _RULES.items()))
+def content_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each check of the corpus."""
+    return C.report({rule: f(spark, sf_dir) for rule, f in _RULES.items()})
