@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.functions import vectors as X
+from voxelith.operators import chunk_lod
 from voxelith.operators import clouds as C
 from voxelith.operators import manifests as L
 from voxelith.operators import meshes as M
@@ -200,6 +201,12 @@ def lod_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query()
+def chunk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussians of each octree chunk and level of detail; chunks have at most 100."""
+    return chunk_lod.build(splats(spark, sf_dir), 100).groupBy("chunk_id", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"""SELECT splat_id, round(sqrt(pow(x - 0.5, 2) + pow(y + 0.25, 2) + pow(z - 2, 2)), 6) AS radial, round((x - 0.5) * 0.6 + (y + 0.25) * 0 + (z - 2) * 0.8, 6) AS depth,
   row_number() OVER (PARTITION BY source_id ORDER BY (x - 0.5) * 0.6 + (y + 0.25) * 0 + (z - 2) * 0.8, splat_id)::INT AS place FROM ({SPLATS})"""

@@ -301,3 +301,14 @@ _RULES = {"links": missing_links, "assets": orphan_assets, "parity": pair_parity
 def content_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each check of the corpus."""
     return C.report({rule: f(spark, sf_dir) for rule, f in _RULES.items()})
+
+
+@query(
+    """SELECT s_suppkey, ['PLY', 'SPLAT', 'NAME', 'Unknown'][s_suppkey % 4 + 1] AS label, ['2,3', '', '2,6', '4'][s_suppkey % 4 + 1] AS signature FROM supplier"""
+)
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format labels of file names, and signatures of pages' headings."""
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    name = pick("a.b.ply", "c.splat", "name", "end.")
+    page = pick("# a\n## b\ntext\n### c", "text # x\n#y", "## a\n####### b\n###### c", "```\n#### in a fence\n```")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.format_label(name).alias("label"), T.heading_signature(page).alias("signature"))

@@ -156,3 +156,36 @@ def import_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pasted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pasted = F.concat(F.lit(" "), "url", F.lit(", b.ply\nc"))
     return table(spark, sf_dir, "pages").select("page_id", T.split_urls(pasted).alias("urls"), (T.extension(F.col("url")) == ".json").alias("is_json"))
+
+
+@query(
+    """SELECT range AS vertex, round((3 + 0.5 * cos(v)) * cos(u), 6) + 0.0 AS x, round((3 + 0.5 * cos(v)) * sin(u), 6) + 0.0 AS y, round(0.5 * sin(v), 6) + 0.0 AS z
+FROM (SELECT range, range // 17 / 8 * 2 * pi() AS v, range % 17 / 16 * 2 * pi() AS u FROM range(153))"""
+)
+def torus_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = N.torus_grid(spark, 3.0, 0.5, 8, 16)
+    return g.select("vertex", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in "xyz"))
+
+
+@query(
+    """WITH p AS (SELECT user_id, event_id, value AS x0, (event_id % 7)::DOUBLE AS y0, value * 2 AS x1, (event_id % 11)::DOUBLE AS y1 FROM events),
+m AS (SELECT user_id, event_id, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS d FROM p),
+l AS (SELECT user_id, event_id, mx - lag(mx) OVER w AS px, my - lag(my) OVER w AS py, d - lag(d) OVER w AS dd FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, round(px, 6) AS pan_x, round(py, 6) AS pan_y, round(CASE WHEN abs(dd) > 0.001 THEN dd WHEN dd IS NOT NULL THEN 0 END, 6) AS dolly FROM l"""
+)
+def pinch_gestures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fingers per event: the move of their middle and the change of their distance."""
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    p = e.select("user_id", "event_id", v.alias("x0"), (F.col("event_id") % 7).cast("double").alias("y0"), (v * 2).alias("x1"), (F.col("event_id") % 11).cast("double").alias("y1"))
+    return N.pinch(p, "user_id", "event_id").select("user_id", "event_id", *(F.round(c, 6).alias(c) for c in ("pan_x", "pan_y", "dolly")))
+
+
+@query(
+    """WITH k AS (SELECT event_id, value * 0.016::DOUBLE AS reach, event_id % 3 - 1 AS x, event_id % 5 % 3 - 1 AS z FROM events)
+SELECT event_id, round(x * reach / greatest(1, sqrt(x * x + z * z)), 6) + 0.0 AS x, round(z * reach / greatest(1, sqrt(x * x + z * z)), 6) + 0.0 AS z FROM k"""
+)
+def key_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of held keys, no faster along diagonals."""
+    axis = Vec((F.col("event_id") % 3 - 1).cast("double"), F.lit(0.0), (F.col("event_id") % 5 % 3 - 1).cast("double"))
+    move = N.key_move(axis, F.col("value"), F.lit(0.016))
+    return table(spark, sf_dir, "events").select("event_id", *((F.round(c, 6) + F.lit(0.0)).alias(a) for a, c in (("x", move.x), ("z", move.z))))
