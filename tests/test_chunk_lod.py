@@ -75,6 +75,8 @@ def test_task_writes_a_directory(spark, tmp_path, rows):
     res = tasks.run(spark, document(parser().parse_args(args)))
     meta = json.loads((tmp_path / "lod" / "lod-meta.json").read_text())
     assert meta["levels"] == 5 and meta["counts"] == len(rows) == res["c"].where("level = 0").count()
+    parts = spark.read.parquet(f"{tmp_path}/lod/data")
+    assert parts.count() == res["c"].count() == sum(v["count"] for n in meta["tree"] for v in n["lods"])
     inside = sum(all(low <= r[i] <= high for i, (low, high) in enumerate(zip(*meta["forwardBox"].values()))) for r in rows)
     assert inside >= 0.8 * len(rows)
     with pytest.raises(ValueError, match="no writer for chunks"):

@@ -16,7 +16,8 @@ def write(splats: DataFrame, path: str, first_shared: int = 3, sh_degree: int =
     """Writes `splats` (`chunk_id, level, x, y, z, ...`) under `path`, a folder for each file of the manifest.
 
     Levels from `first_shared` on share one file each; the others have a file for each chunk. Rows of a file are sorted by
-    chunk, so a chunk is a run of rows, told by offset and count. The forward box holds most of level 0. Bounds leave `tails` of each side out. The manifest has
+    chunk, so a chunk is a run of rows, told by offset and count; a shared file has parts, read in order of their names,
+    so that no task writes a whole level. The forward box holds most of level 0. Bounds leave `tails` of each side out. The manifest has
     a row for each chunk and level, at most `max_chunks`, which is all that comes to the driver.
     """
     keyed = L.pack_low_levels(splats, first_shared)
@@ -27,7 +28,7 @@ def write(splats: DataFrame, path: str, first_shared: int = 3, sh_degree: int =
         raise ValueError(f"more than {max_chunks} chunks; raise the limit or use larger chunks")
     files = sorted({r.file_key for r in rows})
     number = {f: i for i, f in enumerate(files)}
-    keyed.repartition("file_key").sortWithinPartitions("file_key", "chunk_id").write.partitionBy("file_key").parquet(f"{path}/data")
+    keyed.repartitionByRange("file_key", "chunk_id").sortWithinPartitions("file_key", "chunk_id").write.partitionBy("file_key").parquet(f"{path}/data")
     levels = max((r.level for r in rows), default=-1) + 1
     tree: dict = {}
     for r in sorted(rows, key=lambda r: (r.chunk_id, r.level)):
