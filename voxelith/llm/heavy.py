@@ -39,3 +39,8 @@ def attach(rows: DataFrame, heavy: DataFrame, light: DataFrame, key: str) -> Dat
     on_heavy = rows.join(small, key, "inner")
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return on_heavy.unionByName(rest.join(light, key, "inner"))
+
+
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`df`, a written table, to be broadcast if it's counted to have `rows` rows at most; else it's joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelith.llm.divergence import divergence
 from voxelith.llm.exact_dedup import dedup_report
 from voxelith.llm.hamming import sign_code, top_k
 from voxelith.llm.mixing import mix_report
@@ -71,6 +72,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_top_k": op1_hamming_top_k,
     "op2_exact_dedup": op2_exact_dedup,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_byte_shards": op9_byte_shards,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -170,5 +176,30 @@ WITH RECURSIVE steps(i, k, c) AS (
   FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
 ), q AS (SELECT *, least(39, (2 * before + size) * 40 // (2 * total))::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, NULL::INT AS grown_shard FROM q
+""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS txt FROM documents
+), o AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS total FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 3
+), lv AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS n_lang FROM k GROUP BY ALL
+), c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(n_lang, 0) AS n_lang, coalesce(n_group, 0) AS n_group FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN lv USING (lang) LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS n_group FROM c GROUP BY ALL) USING (lang, source)
+), p AS (
+  SELECT lang, source, term, total, n_lang, v, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // (n_group + v) AS p FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), t AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM (SELECT *, 1 + 1000000000 * (total + 1) // (n_lang + v) AS q FROM p WHERE n > 0) WHERE p > q
+), s AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p)::BIGINT AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), r AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+  UNION ALL SELECT * FROM t
+), f AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM f WHERE part = 'pair' OR rank <= 200
 """,
 }
