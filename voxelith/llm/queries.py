@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelith.llm.alignment import align_report
 from voxelith.llm.divergence import divergence
 from voxelith.llm.exact_dedup import dedup_report
 from voxelith.llm.hamming import sign_code, top_k
@@ -76,6 +77,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_report(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_top_k": op1_hamming_top_k,
     "op2_exact_dedup": op2_exact_dedup,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_shards": op9_byte_shards,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 SQL: dict[str, str] = {
