@@ -13,6 +13,7 @@ from voxelith.llm.exact_dedup import dedup_report
 from voxelith.llm.hamming import sign_code, top_k
 from voxelith.llm.mixing import mix_report
 from voxelith.llm.near_dedup import near_report
+from voxelith.llm.ngram_join import join_report
 from voxelith.llm.pieces import encode
 from voxelith.llm.preference import format_preferences, reply_pairs
 from voxelith.llm.quality import quality_report
@@ -81,6 +82,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_report(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_top_k": op1_hamming_top_k,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
     "op12_token_alignment": op12_token_alignment,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 SQL: dict[str, str] = {
