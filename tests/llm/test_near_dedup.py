@@ -111,3 +111,14 @@ def test_repeats_weigh(spark):
     docs = [(1, f"{once} {twice} {twice}"), (2, f"{once} {twice}"), (3, f"{once} {twice} {twice} u"), (4, "w " * 500), (5, "w " * 500 + "v")]
     got = {r.doc_id: r.class_id for r in near_report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
+def test_report_and_rows_agree_on_odd_characters(spark):
+    rnd = random.Random(8)
+    odd = ["́", "²", "١", "Ⅷ", "_", "‍", "ͅ", "ั", "ª", "a", "?", " ", "Ⓐ", "ʼ"]
+    data = [(rnd.randrange(40), "".join(rnd.choice(odd) for _ in range(rnd.randrange(5))), 1, "clash", 1) for _ in range(250)]
+    data += [(1, "²", 1, "", 1)] * 2 + [(4, "́", 1, "", 1)] * 2
+    df = spark.createDataFrame(data, SCHEMA)
+    report = near_dedup.near_classes(df).where("kept").groupBy("doc_id", "text_md5").count()
+    rows = drop_near_duplicates(df).selectExpr("doc_id", "md5(text) AS text_md5").groupBy("doc_id", "text_md5").count()
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, report.collect()))

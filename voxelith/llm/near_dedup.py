@@ -256,14 +256,15 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of `docs` that stay, one per class, with the columns of `docs`; see near_classes().
 
-    Texts without words all stay. Of rows with the id and text that stay, the one of least row_hash() does.
+    Texts without words (as near_classes() finds them) all stay, repeated rows of them too. Of other rows with the id and
+    text that stay, the one of least row_hash() does.
     """
     signed, verdicts = _verdicts(docs, id_col, text_col, width, similarity, bands, rows)
-    md5, k_id, k_md5, rn = (clashless(docs, c) for c in ("text_md5", "k_id", "k_md5", "rn"))
-    kept = verdicts.where("node = kept").select("doc_id", "text_md5").unionByName(signed.where("same IS NULL").select("doc_id", "text_md5"))
-    kept = kept.select(F.col("doc_id").alias(k_id), F.col("text_md5").alias(k_md5)).distinct()
+    md5, k_id, k_md5, rn, lone = (clashless(docs, c) for c in ("text_md5", "k_id", "k_md5", "rn", "lone"))
+    kept = verdicts.where("node = kept").select("doc_id", "text_md5", F.lit(False).alias(lone))
+    kept = kept.unionByName(signed.where("same IS NULL").select("doc_id", "text_md5", F.lit(True).alias(lone)))
+    kept = kept.select(F.col("doc_id").alias(k_id), F.col("text_md5").alias(k_md5), lone).distinct()  # equal texts agree on `lone`
     keyed = docs.withColumn(md5, F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
     out = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(md5) == F.col(k_md5)))
-    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"(?U)\w")
     first = F.row_number().over(Window.partitionBy(id_col, md5).orderBy(row_hash(docs)))
-    return out.withColumn(rn, first).where((F.col(rn) == 1) | ~words).select(columns(docs))
+    return out.withColumn(rn, first).where((F.col(rn) == 1) | F.col(lone)).select(columns(docs))
