@@ -3,10 +3,11 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
 from voxelith.__main__ import document, parser
-from voxelith.operators import chunk_lod
+from voxelith.operators import chunk_lod, clouds
 from voxelith.plans import tasks
 
 KINDS = ", ".join(f"{c} double" for c in chunk_lod.BODY)
@@ -62,13 +63,60 @@ def test_chunks_and_levels_equal_brute_force(spark, rows):
 
 def test_levels_without_rows_or_places(spark, rows):
     assert chunk_lod.build(spark.createDataFrame([], KINDS), 60, LEVELS).count() == 0
-    odd = [(None, *rows[0][1:]), (float("nan"), *rows[1][1:]), *rows[:1]]
+    inf = float("inf")
+    odd = [(None, *rows[0][1:]), (float("nan"), *rows[1][1:]), (inf, *rows[1][1:]), (0.0, -inf, *rows[1][2:]), *rows[:1]]
     got = chunk_lod.build(spark.createDataFrame(odd, KINDS), 60, LEVELS).collect()
     assert [(r.chunk_id, r.level) for r in got] == [(0, 0), (0, 1), (0, 2)]
-    faint = chunk_lod.build(spark.createDataFrame([(*r[:-1], 0.0) for r in rows[:9]], KINDS), 60, LEVELS)
+    faint = chunk_lod.build(spark.createDataFrame([(*r[:-1], 0.0) for r in rows[:9]], KINDS), 60, LEVELS, faint=1 / 255)
     assert {r.level for r in faint.collect()} == {0}
 
 
+def test_rows_at_infinity_change_nothing(spark, rows):
+    inf = float("inf")
+    count = lambda data: sorted((r.chunk_id, r.level, r["count"]) for r in chunk_lod.build(spark.createDataFrame(data, KINDS), 100, LEVELS).groupBy("chunk_id", "level").count().collect())
+    odd = [(inf, *rows[0][1:]), (0.0, -inf, *rows[0][2:]), (0.0, 0.0, float("nan"), *rows[0][3:])]
+    assert count(rows + odd) == count(rows)
+
+
+def test_crowded_cells_are_split_to_the_finest(spark):
+    rnd = random.Random(9)
+    far = [gaussian(rnd, p) for p in ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))]
+    clump = [gaussian(rnd, [0.7 + rnd.random() * 1e-4 for _ in range(3)]) for _ in range(300)] + [gaussian(rnd, (0.2, 0.2, 0.2))] * 30
+    data = far + clump
+    got = chunk_lod.build(spark.createDataFrame(data, KINDS), 20, LEVELS[:1]).groupBy("chunk_id").count().orderBy("chunk_id").collect()
+    assert [r["count"] for r in got] == [len(s) for s in split(sorted(codes(data)), 20, deepest=20)]
+    assert max(r["count"] for r in got) == 30
+
+
+def matrix(q):
+    x, y, z, w = q
+    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+
+
+def covariance(r):
+    t = matrix(r[6:10])
+    return t @ np.diag(np.square(r[3:6])) @ t.T
+
+
+def test_merged_covariance_is_the_mixtures(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(40):
+        for _ in range(1 + g % 5):
+            q = rng.normal(size=4) if g % 4 else np.array([0.0, 0, 0, 1])
+            rows.append((g, *map(float, rng.normal(size=3)), *map(float, rng.uniform(0.01, 2, 3)), *map(float, q / np.linalg.norm(q)), *map(float, rng.uniform(0.1, 0.9, 4))))
+    got = {r.grp: tuple(r)[2:] for r in clouds.merge_gaussians(spark.createDataFrame(rows, f"grp int, {KINDS}"), ["grp"]).collect()}
+    for g in range(40):
+        some = [r[1:] for r in rows if r[0] == g]
+        w = np.array([r[13] * r[3] * r[4] * r[5] for r in some])
+        p = np.array([r[:3] for r in some])
+        m = w @ p / w.sum()
+        want = sum(v * (covariance(r) + np.outer(r[:3] - m, r[:3] - m)) for v, r in zip(w, some)) / w.sum()
+        assert np.allclose(covariance(got[g]), want, rtol=0, atol=1e-9) and np.allclose(got[g][:3], m)
+        if len(some) == 1 and g % 4 == 0:
+            assert np.allclose(got[g][3:10], some[0][3:10])
+
+
 def test_task_writes_a_directory(spark, tmp_path, rows):
     spark.createDataFrame(rows, KINDS).write.parquet(f"{tmp_path}/a.parquet")
     args = ["lod:auto-chunk", "--max-chunk-counts", "100", f"{tmp_path}/a.parquet", f"{tmp_path}/lod"]

@@ -11,14 +11,15 @@ from voxelith.storage import materialise
 
 #: Levels of the finest cells, and of the cells that chunks are made of.
 FINEST, CELLS = 20, 12
-#: Merged Gaussians below this opacity are dropped: 8-bit colours don't show them.
-FAINT = 1 / 255
+#: Merged Gaussians below this opacity are dropped. 1 / 255 drops those that 8-bit colours don't show, at a loss of opacity
+#: with each level; by default all stay.
+FAINT = 0.0
 BODY = [*XYZ, "sx", "sy", "sz", "qx", "qy", "qz", "qw", "r", "g", "b", "a"]
 
 
 def _codes(splats: DataFrame) -> DataFrame:
-    """`splats` with `code`, the Morton code of the finest cell of a cube around the cloud; rows without a place go."""
-    placed = splats.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ))
+    """`splats` with `code`, the Morton code of the finest cell of a cube around the cloud; rows without a finite place go."""
+    placed = splats.where(" AND ".join(f"abs({c}) < double('infinity')" for c in XYZ))
     box = placed.agg(*(F.min(c).alias(f"{c}0") for c in XYZ), *(F.max(c).alias(f"{c}1") for c in XYZ)).first()
     low = [box[f"{c}0"] or 0.0 for c in XYZ]
     side = max((box[f"{c}1"] or 0.0) - v for c, v in zip(XYZ, low)) or 1.0
@@ -29,18 +30,29 @@ def _codes(splats: DataFrame) -> DataFrame:
 def assign(coded: DataFrame, limit: int, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """(`coded` with `chunk_id`, the chunks as `chunk_id, n`); `coded` has `code`, a chunk has at most `limit` rows.
 
-    Chunks are numbered in Morton order. A cell of the level `cells` is not split, so a chunk that is such a cell may have
-    more rows. Chunks are looked up by occupied cells, each of which meets its ancestors by equality.
+    Chunks are numbered in Morton order. Chunks are looked up by occupied cells of the level `cells`, each of which meets
+    its ancestors by equality. Cells of that level with more rows are split further, by the codes of their rows alone.
+    Only a finest cell is not split, so a chunk that is one may have more rows.
     """
     rows = coded.withColumn("cell", F.shiftright("code", 3 * (FINEST - cells)))
-    nodes = octree_chunks(rows.select("cell"), limit, cells, "cell")
-    first = F.call_function("shiftleft", F.col("prefix"), 3 * (F.lit(cells) - F.col("level")))
+    nodes = materialise(octree_chunks(rows.select("cell"), limit, cells, "cell"), "chunk-nodes")
+    crowded = nodes.where((F.col("level") == cells) & (F.col("n") > limit)).select(F.col("prefix").alias("cell"))
+    within = materialise(rows.join(crowded, "cell", "left_semi").select("code"), "chunk-crowded")
+    deeper = octree_chunks(within, limit, FINEST, "code").where(F.col("level") > cells)
+    nodes = nodes.where((F.col("level") < cells) | (F.col("n") <= limit) | (cells == FINEST)).unionByName(deeper)
+    first = F.call_function("shiftleft", F.col("prefix"), 3 * (F.lit(FINEST) - F.col("level")))
     numbered, _, _ = in_order(nodes.withColumn("first", first), [F.col("first")], name="chunks", unique=True)
     chunks = numbered.select(F.col("pos").alias("chunk_id"), "level", "prefix", "n")
-    up = rows.select("cell").distinct().select("cell", F.explode(F.sequence(F.lit(0), F.lit(cells))).alias("level"))
-    up = up.withColumn("prefix", F.call_function("shiftright", F.col("cell"), 3 * (F.lit(cells) - F.col("level"))))
-    at = materialise(up.join(chunks, ["level", "prefix"]).select("cell", "chunk_id"), "chunk-cells")
-    return rows.join(at, "cell").drop("cell"), chunks.select("chunk_id", "n")
+
+    def looked_up(places: DataFrame, key: str, levels: range) -> DataFrame:
+        up = places.distinct().select(key, F.explode(F.array(*map(F.lit, levels))).alias("level"))
+        up = up.withColumn("prefix", F.call_function("shiftright", F.col(key), 3 * (F.lit(levels[-1]) - F.col("level"))))
+        return materialise(up.join(chunks, ["level", "prefix"]).select(key, "chunk_id"), "chunk-cells")
+
+    out = rows.join(looked_up(rows.select("cell"), "cell", range(cells + 1)), "cell").drop("cell")
+    if not within.isEmpty():
+        out = out.unionByName(rows.join(looked_up(within, "code", range(cells + 1, FINEST + 1)), "code").select(out.columns))
+    return out, chunks.select("chunk_id", "n")
 
 
 def prefix_bits(chunked: DataFrame, chunks: DataFrame, shares: list[float]) -> DataFrame:
@@ -49,7 +61,7 @@ def prefix_bits(chunked: DataFrame, chunks: DataFrame, shares: list[float]) -> D
 
     Two neighbours in the order of a chunk's distinct codes are apart from the first bit that differs, so a prefix of k
     bits makes one group more than there are neighbours with such a bit among the first k. A chunk has at most its limit
-    of codes, or those below one unsplit cell, 8 ** (FINEST - CELLS).
+    of codes, or one.
     """
     top = 3 * FINEST
     w = Window.partitionBy("chunk_id").orderBy("code")
@@ -72,8 +84,8 @@ def build(splats: DataFrame, limit: int = 400_000, levels: list[tuple[float, flo
     `levels` are (precision, scale boost): the most that a level keeps of a chunk's Gaussians, and the factor of its
     extents. A level of precision 1 is the cloud; the others are merged from the level before, cell by cell, where cells
     are halved along one axis after another. So a level keeps between about half of its target and all of it, and one
-    Gaussian at least but for faint ones. Merged Gaussians are axis-aligned; columns that merging doesn't know are null.
-    Rows without a place are in no chunk; an empty cloud has no chunks.
+    Gaussian at least unless `faint` drops it. Columns that merging doesn't know are null. Rows whose place is null or not
+    finite are in no chunk; an empty cloud has no chunks.
     """
     levels = LEVELS if levels is None else levels
     coded, chunks = assign(_codes(splats), limit, cells)
@@ -85,9 +97,8 @@ def build(splats: DataFrame, limit: int = 400_000, levels: list[tuple[float, flo
             cut = F.lit(3 * FINEST) - F.col("bits")[i]
             keyed = level.join(bits, "chunk_id").withColumn("cut", cut).withColumn("part", F.call_function("shiftright", F.col("code"), F.col("cut")))
             merged = merge_gaussians(keyed, ["chunk_id", "cut", "part"]).where(F.col("a") >= faint)
-            turn = {q: F.lit(1.0 if q == "qw" else 0.0) for q in ("qx", "qy", "qz", "qw")}
             code = F.call_function("shiftleft", F.col("part"), F.col("cut"))
-            level = materialise(merged.withColumns(turn | {"code": code}).select("chunk_id", "code", *BODY), "lod-level")
+            level = materialise(merged.withColumn("code", code).select("chunk_id", "code", *BODY), "lod-level")
         rows = level.drop("code").withColumns({f"s{c}": F.col(f"s{c}") * boost for c in XYZ} | {"level": F.lit(i)})
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:

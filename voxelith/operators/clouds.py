@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,6 @@ def transform(splats: DataFrame, matrix: list[float], row_major: bool = True, wh
 
 def _turn(r: list[float]) -> list[Column]:
     """The rows' quaternions after the rotation matrix `r`."""
-    import numpy as np
-
     # The quaternion of r: the eigenvector of the greatest eigenvalue of Bar-Itzhack's matrix.
     a = np.array(r).reshape(3, 3)
     k = np.array(
@@ -199,25 +199,87 @@ def forward_box(points: DataFrame, share: float = 0.8, steps: int = 64) -> DataF
     return points.sparkSession.range(1).select(*cols, F.lit(best / n if n else None).cast("double").alias("coverage"))
 
 
-def merge_gaussians(splats: DataFrame, by: list[str]) -> DataFrame:
-    """One Gaussian per group, by moments: weights are opacities times volumes.
+#: The entries of a covariance, by their axes.
+COVARIANCE = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+
+
+def merged_moments(splats: DataFrame, by: list[str]) -> DataFrame:
+    """`by, n, x, y, z, cxx, cxy, cxz, cyy, cyz, czz, r, g, b, a` of each group as one Gaussian: weights are opacities times volumes.
 
     Mean and covariance are those of the mixture: sum(w * (C + (p - m)(p - m)^T)) / sum(w), so the spread of the centres
-    goes into the extents. Extents are standard deviations along the axes; opacity is 1 - prod(1 - a); colours are means.
+    goes into the covariance. Opacity is 1 - prod(1 - a); colours are means. All are sums, taken in tasks first.
     """
     r = quaternion_matrix(tuple(F.col(c) for c in ("qx", "qy", "qz", "qw")))  # type: ignore[arg-type]
-    var = [sum((r[3 * i + k] * r[3 * i + k] * F.col(f"s{XYZ[k]}") * F.col(f"s{XYZ[k]}") for k in range(3)), F.lit(0.0)) for i in range(3)]
+    own = {f"v{XYZ[i]}{XYZ[j]}": sum((r[3 * i + k] * r[3 * j + k] * F.col(f"s{XYZ[k]}") * F.col(f"s{XYZ[k]}") for k in range(3)), F.lit(0.0)) for i, j in COVARIANCE}
     w = F.greatest(F.col("a") * F.col("sx") * F.col("sy") * F.col("sz"), F.lit(1e-300))  # flat ones have no volume
-    rows = splats.withColumn("w", w).withColumns({f"v{c}": v for c, v in zip(XYZ, var)})
-    mean = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum("w")
+    rows = splats.withColumn("w", w).withColumns(own)
+    mean = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    pairs = [(XYZ[i], XYZ[j]) for i, j in COVARIANCE]
     got = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        *(mean(c).alias(c) for c in XYZ),
-        *((F.sum(F.col("w") * (F.col(f"v{c}") + F.col(c) * F.col(c))) / F.sum("w")).alias(f"m2{c}") for c in XYZ),
-        *(mean(c).alias(c) for c in "rgb"),
+        *(mean(F.col(c)).alias(c) for c in XYZ),
+        *(mean(F.col(f"v{x}{y}") + F.col(x) * F.col(y)).alias(f"c{x}{y}") for x, y in pairs),
+        *(mean(F.col(c)).alias(c) for c in "rgb"),
         (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("a"), F.lit(1e-12)))))).alias("a"),
     )
-    return got.select(*by, "n", *XYZ, *(F.sqrt(F.greatest(F.col(f"m2{c}") - F.col(c) * F.col(c), F.lit(0.0))).alias(f"s{c}") for c in XYZ), "r", "g", "b", "a")
+    centred = {f"c{x}{y}": F.col(f"c{x}{y}") - F.col(x) * F.col(y) for x, y in pairs}
+    return got.withColumns({k: F.greatest(v, F.lit(0.0)) if k[1] == k[2] else v for k, v in centred.items()})
+
+
+def principal_axes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(extents n x 3, quaternions n x 4 as x, y, z, w) of n covariances; the axes' order is the one nearest to x, y, z."""
+    values, turns = np.linalg.eigh(c)
+    orders = np.array([(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)])
+    kept = np.abs(turns[:, np.arange(3), :][:, np.arange(3)[None, :], orders]).sum(-1)  # how much stays of each axis
+    order = orders[kept.argmax(1)]
+    values = np.take_along_axis(values, order, 1)
+    turns = np.take_along_axis(turns, order[:, None, :], 2)
+    turns = turns * np.where(np.einsum("nii->ni", turns) < 0, -1.0, 1.0)[:, None, :]
+    turns[np.linalg.det(turns) < 0, :, 2] *= -1
+    # The largest of the quaternion's entries is a root, the others follow from it.
+    d = np.einsum("nii->ni", turns)
+    four = np.stack([1 + d[:, 0] - d[:, 1] - d[:, 2], 1 - d[:, 0] + d[:, 1] - d[:, 2], 1 - d[:, 0] - d[:, 1] + d[:, 2], 1 + d.sum(1)], 1)
+    add = lambda i, j: turns[:, i, j] + turns[:, j, i]
+    sub = lambda i, j: turns[:, i, j] - turns[:, j, i]
+    table = np.stack([
+        np.stack([four[:, 0], add(0, 1), add(0, 2), sub(2, 1)], 1),
+        np.stack([add(0, 1), four[:, 1], add(1, 2), sub(0, 2)], 1),
+        np.stack([add(0, 2), add(1, 2), four[:, 2], sub(1, 0)], 1),
+        np.stack([sub(2, 1), sub(0, 2), sub(1, 0), four[:, 3]], 1),
+    ], 1)
+    q = table[np.arange(len(c)), four.argmax(1)]
+    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    return np.sqrt(np.maximum(values, 0)), q * np.where(q[:, 3:] < 0, -1.0, 1.0)
+
+
+def with_axes(moments: DataFrame) -> DataFrame:
+    """`moments` with extents `sx, sy, sz` and a rotation `qx, qy, qz, qw` in place of the covariance, in batches.
+
+    A covariance with an entry that is null or not finite has null extents and rotation.
+    """
+    new = ["sx", "sy", "sz", "qx", "qy", "qz", "qw"]
+    names = [f"c{XYZ[i]}{XYZ[j]}" for i, j in COVARIANCE]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in new))
+    def axes(*columns: pd.Series) -> pd.DataFrame:
+        flat = np.stack([c.to_numpy(np.float64, na_value=np.nan) for c in columns], 1)
+        good = np.isfinite(flat).all(1)
+        c = np.zeros((int(good.sum()), 3, 3))
+        for k, (i, j) in enumerate(COVARIANCE):
+            c[:, i, j] = c[:, j, i] = flat[good, k]
+        out = np.full((len(flat), 7), np.nan)
+        if len(c):
+            out[good] = np.concatenate(principal_axes(c), 1)
+        return pd.DataFrame(out, columns=new)  # NaN becomes null
+
+    kept = [c for c in moments.columns if c not in names]
+    return moments.withColumn("axes_", axes(*names)).select(*kept, "axes_.*")
+
+
+def merge_gaussians(splats: DataFrame, by: list[str]) -> DataFrame:
+    """One Gaussian per group with the mixture's mean and whole covariance, rotation included; see merged_moments()."""
+    got = with_axes(merged_moments(splats, by))
+    return got.select(*by, "n", *XYZ, *(f"s{c}" for c in XYZ), "qx", "qy", "qz", "qw", "r", "g", "b", "a")
 
 
 def octree_chunks(codes: DataFrame, limit: int, depth: int, code: str = "morton") -> DataFrame:
@@ -250,22 +312,24 @@ def lod_target(n: Column, ratio: float | Column = 0.3, counts: Column | None = N
     return F.least(share, counts) if counts is not None else share
 
 
-def lod_reduce(splats: DataFrame, ratio: float, cell: float, counts: int | None = None, boost: float = 1.0, max_rounds: int = 16) -> DataFrame:
-    """Fewer Gaussians: those of a cell are merged, and cells doubled until the target is met or the rounds are over."""
-    n = splats.count()
-    target = min(int(n * ratio), counts if counts is not None else n)
-    out = splats
-    for _ in range(max_rounds):
-        cells = [F.floor(F.col(c) / cell).cast("bigint").alias(f"k{c}") for c in XYZ]
-        keyed = splats.select("*", *cells)
-        if keyed.select("kx", "ky", "kz").distinct().count() <= target:
-            out = merge_gaussians(keyed, ["kx", "ky", "kz"]).drop("kx", "ky", "kz")
-            break
-        out = None
-        cell *= 2
-    if out is None:
-        out = merge_gaussians(splats.select("*", *cells), ["kx", "ky", "kz"]).drop("kx", "ky", "kz")
-    return out.withColumns({f"s{c}": F.col(f"s{c}") * boost for c in XYZ})
+def lod_reduce(splats: DataFrame, ratio: float, cell: float, counts: int | None = None, boost: float = 1.0) -> DataFrame:
+    """Fewer Gaussians: those of a cell are merged, and cells doubled until there are as many as wanted at most (one is kept).
+
+    Cells are counted from the cloud's least coordinates, so in the end one holds all. Larger cells are found from the
+    cells of half their size, not from the cloud. Gaussians without a finite place are left out.
+    """
+    placed = splats.where(" AND ".join(f"abs({c}) < double('infinity')" for c in XYZ))
+    n = placed.count()
+    target = max(1, min(int(n * ratio), counts if counts is not None else n))
+    low = placed.agg(*(F.min(c).alias(c) for c in XYZ)).first()
+    at = {f"k{c}": F.floor((F.col(c) - F.lit(low[c])) / cell).cast("bigint") for c in XYZ}
+    cells = materialise(placed.select(*(v.alias(k) for k, v in at.items())).distinct(), "lod-cells")
+    halvings = 0
+    while cells.count() > target:
+        halvings += 1
+        cells = materialise(cells.select(*(F.shiftright(k, 1).alias(k) for k in at)).distinct(), "lod-cells")
+    keyed = placed.withColumns({k: F.shiftright(v, halvings) for k, v in at.items()})
+    return merge_gaussians(keyed, list(at)).drop(*at).withColumns({f"s{c}": F.col(f"s{c}") * boost for c in XYZ})
 
 
 def depth_order(splats: DataFrame, camera: tuple[float, float, float], forward: tuple[float, float, float], radial: bool = False) -> Column:

@@ -172,7 +172,22 @@ _MERGE_COLS = ["x", "y", "z", "sx", "sy", "sz", "r", "g", "b", "a"]
 
 @query(f"SELECT source_id, n, {R6(_MERGE_COLS)} FROM ({MERGED})")
 def gaussian_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(C.merge_gaussians(splats(spark, sf_dir), ["source_id"]), ["source_id", "n"], _MERGE_COLS)
+    merged = C.merged_moments(splats(spark, sf_dir), ["source_id"])
+    return r6(merged.withColumns({f"s{c}": F.sqrt(f"c{c}{c}") for c in "xyz"}), ["source_id", "n"], _MERGE_COLS)
+
+
+_OWN = ", ".join(" + ".join(f"({_ROT[3 * i + k]}) * ({_ROT[3 * j + k]}) * pow(s{'xyz'[k]}, 2)" for k in range(3)) + f" AS v{'xyz'[i]}{'xyz'[j]}" for i, j in C.COVARIANCE)
+_COV = ", ".join(f"sum(w * (v{x}{y} + {x} * {y})) / sum(w) - sum(w * {x}) / sum(w) * (sum(w * {y}) / sum(w)) AS c{x}{y}" for x, y in (("xyz"[i], "xyz"[j]) for i, j in C.COVARIANCE))
+_COV_COLS = [f"c{'xyz'[i]}{'xyz'[j]}" for i, j in C.COVARIANCE]
+
+
+@query(f"""SELECT source_id, n, {R6(_COV_COLS)} FROM (SELECT source_id, count(*) AS n, {_COV} FROM (SELECT *, a * sx * sy * sz AS w, {_OWN} FROM ({SPLATS})) GROUP BY source_id)""")
+def gaussian_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The covariance of each source as one Gaussian, taken back from its extents and rotation."""
+    m = C.merge_gaussians(splats(spark, sf_dir), ["source_id"])
+    turn = X.quaternion_matrix(tuple(F.col(c) for c in ("qx", "qy", "qz", "qw")))  # type: ignore[arg-type]
+    back = {f"c{'xyz'[i]}{'xyz'[j]}": sum((turn[3 * i + k] * turn[3 * j + k] * F.col(f"s{'xyz'[k]}") * F.col(f"s{'xyz'[k]}") for k in range(3)), F.lit(0.0)) for i, j in C.COVARIANCE}
+    return r6(m.withColumns(back), ["source_id", "n"], _COV_COLS)
 
 
 @query(
@@ -187,16 +202,14 @@ def lod_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def lod_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each level is made from the one before; its number of Gaussians is the target at most, unless reduction's last
-    round still has more: cells of doubled size keep the octants about the origin apart, so up to 8 Gaussians may be left."""
+    """Each level is made from the one before; its number of Gaussians is the target at most, or one."""
     s, out = splats(spark, sf_dir), None
     n = s.count()
     level = s
     for i, (precision, boost) in enumerate(C.LEVELS[1:], 1):
-        cols = [F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.lit(0.0).alias("qz"), F.lit(1.0).alias("qw")]
         have = level.count()
-        level = C.materialise(C.lod_reduce(level, n * precision / have, 0.05, boost=boost).select("*", *cols), "lod-level")
-        rows = level.select(F.lit(i).alias("level"), "n", *C.XYZ, "sx", "sy", "sz", "a")
+        level = C.materialise(C.lod_reduce(level, n * precision / have, 0.05, boost=boost), "lod-level")
+        rows = level.select(F.lit(i).alias("level"), "n", *C.XYZ, "sx", "sy", "sz", "qx", "qy", "qz", "qw", "a")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -61,8 +61,9 @@ def write(spark: SparkSession, res: Resources, c: dict) -> None:
     kind = _format(c["output"])
     if c.get("mortonSort", True):
         size = c.get("cell", 0.05)
-        low = df.agg(*(F.min(a).alias(a) for a in "xyz")).first()
-        cells = [F.floor((F.col(a) - F.lit(low[a])) / size).cast("bigint") for a in "xyz"]
+        finite = {a: F.when(F.abs(a) < float("inf"), F.col(a)) for a in "xyz"}  # rows without a finite place come first
+        low = df.agg(*(F.min(v).alias(a) for a, v in finite.items())).first()
+        cells = [F.coalesce(F.floor((v - F.lit(low[a])) / size).cast("bigint"), F.lit(0)) for a, v in finite.items()]
         df = C.morton_sorted(df, C.morton(*cells), int(spark.conf.get("spark.sql.shuffle.partitions"))).drop("morton")
     df.write.format(kind).mode("append" if kind != "parquet" else "errorifexists").save(c["output"])
 
