@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,10 @@ class Aligner:
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("the model has pieces with a space behind another character")
         self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(side), np.uint8) for side in (self.a_bytes, self.b_bytes))
+        # An id and what follows it: a comma within a side of a group, a bar between its sides, a semicolon behind it.
+        self.base = max(len(self.a_bytes), len(self.b_bytes))
+        self.shown = np.array([f"{i}{end}" for end in ",|;" for i in range(self.base)], object)
         self.lone_space = [self.b.piece_to_id(SPACE)]
         self._young: dict[str, tuple | None] = {}
         self._old: dict[str, tuple | None] = {}
@@ -84,8 +89,19 @@ class Aligner:
         b = self.b.encode([s[1:] for s in stretches], num_threads=1)
         return a, [self.lone_space if s == " " else ids for s, ids in zip(stretches, b)]
 
+    def _matching(self, stretches: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
+        """The stretches whose tokens' bytes are theirs, on both sides. All at once first, one by one only if that fails."""
+        given = "".join(stretches).encode()
+        if all(_joined(side, flat, length) == given for side, flat, length in ((a, self.a_flat, self.a_length), (b, self.b_flat, self.b_length))):
+            size = np.array([len(s.encode()) for s in stretches]) if not given.isascii() else np.array(list(map(len, stretches)))
+            sides = [np.add.reduceat(length[_flat(side)], _starts(side)) for side, length in ((a, self.a_length), (b, self.b_length))] if all(a) and all(b) else []
+            if sides and all((size == n).all() for n in sides):
+                return list(range(len(stretches)))
+        return [k for k, (s, x, y) in enumerate(zip(stretches, a, b)) if b"".join([self.a_bytes[i] for i in x]) == s.encode() == b"".join([self.b_bytes[i] for i in y])]
+
     def align(self, stretches: list[str]) -> list[tuple | None]:
-        """(tokens of A, of B, groups, links, the groups as text, a key for each distinct link, how often it occurs) each.
+        """(numbers of tokens of A and B, groups and links as bytes, the groups as text, a key for each distinct link and how
+        often it occurs, both as bytes) each.
 
         None where the bytes of the tokens aren't the stretch. A key is A's id * 2^32 + B's id.
         """
@@ -93,16 +109,13 @@ class Aligner:
             return []
         found: list[tuple | None] = [None] * len(stretches)
         a, b = self._encoded(stretches)
-        good = []
-        for k, (s, x, y) in enumerate(zip(stretches, a, b)):
-            given = s.encode()
-            if b"".join([self.a_bytes[i] for i in x]) == given == b"".join([self.b_bytes[i] for i in y]):
-                good.append(k)
+        good = self._matching(stretches, a, b)
         if not good:
             return found
-        a, b = [a[k] for k in good], [b[k] for k in good]
-        na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        fa, fb = np.concatenate([np.array(x, np.int64) for x in a]), np.concatenate([np.array(x, np.int64) for x in b])
+        if len(good) < len(stretches):
+            a, b = [a[k] for k in good], [b[k] for k in good]
+        na, nb = np.array(list(map(len, a))), np.array(list(map(len, b)))
+        fa, fb = _flat(a), _flat(b)
         # The stretches stand one after another, so ends of stretches are common cuts too.
         a_end, b_end = np.cumsum(self.a_length[fa]), np.cumsum(self.b_length[fb])
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -122,57 +135,75 @@ class Aligner:
             many.append((nx[:, None] * ny).ravel())
             group.append(np.full(len(keys[-1]), g))
         keys, group, many = np.concatenate(keys), np.concatenate(group), np.concatenate(many)
-        own = np.repeat(np.arange(len(good)), na)[a_from][group]  # each link's stretch
+        of_group = np.repeat(np.arange(len(good)), na)[a_from]  # each group's stretch
+        own = of_group[group]
         order = np.lexsort((keys, own))
         keys, own, many = keys[order], own[order], many[order]
         first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])
         keys, own, many = keys[first], own[first], np.add.reduceat(many, first)
-        n_groups = np.bincount(np.repeat(np.arange(len(good)), na)[a_from], minlength=len(good))
-        n_links = np.bincount(np.repeat(np.arange(len(good)), na)[a_from], weights=(ga * gb).astype(np.float64), minlength=len(good))
-        sa, sb = list(map(str, fa.tolist())), list(map(str, fb.tolist()))
-        shown = [",".join(sa[p : p + m]) + "|" + ",".join(sb[q : q + n]) for p, m, q, n in zip(a_from.tolist(), ga.tolist(), b_from.tolist(), gb.tolist())]
-        g_from, k_from = (np.r_[0, np.cumsum(c)].tolist() for c in (n_groups, np.bincount(own, minlength=len(good))))
+        n_groups = np.bincount(of_group, minlength=len(good))
+        n_links = np.add.reduceat(ga * gb, np.cumsum(n_groups) - n_groups)
+        # All ids as they are shown: those of A, then those of B of each group.
+        shown = np.empty(len(fa) + len(fb), np.int64)
+        at_a, at_b = np.arange(len(fa)) + b_from[a_group], np.arange(len(fb)) + (a_from + ga)[b_group]
+        shown[at_a] = fa + self.base * np.r_[a_group[1:] != a_group[:-1], True]
+        shown[at_b] = fb + 2 * self.base * np.r_[b_group[1:] != b_group[:-1], True]
+        texts = self.shown[shown].tolist()
+        s_from, k_from = (np.r_[0, np.cumsum(c)].tolist() for c in (na + nb, np.bincount(own, minlength=len(good))))
+        counts = np.stack([na, nb, n_groups, n_links], 1).astype(np.int64).tobytes()
+        keys, many = keys.tobytes(), many.tobytes()
         for k, of in enumerate(good):
-            g, h = slice(g_from[k], g_from[k + 1]), slice(k_from[k], k_from[k + 1])
-            found[of] = (int(na[k]), int(nb[k]), int(n_groups[k]), int(n_links[k]), ";".join(shown[g]), keys[h].tobytes(), many[h].tobytes())
+            h = slice(8 * k_from[k], 8 * k_from[k + 1])
+            found[of] = (counts[32 * k : 32 * k + 32], "".join(texts[s_from[k] : s_from[k + 1]]), keys[h], many[h])
         return found
 
     def texts(self, texts: list[str]) -> list[list]:
         """Columns n_a, n_b, n_groups, n_links, groups_sha256, keys (sorted) and how often each occurs, a value for each text."""
         cut = [self.stretches(t) if t else [] for t in texts]
-        now: dict[str, tuple | None] = {}
-        new: dict[str, None] = {}
-        for s in (s for some in cut for s in some):
-            if s not in now:
-                if s in self._young:
-                    now[s] = self._young[s]
-                elif s in self._old:
-                    now[s] = self._young[s] = self._old[s]
-                else:
-                    now[s] = None
-                    new[s] = None
-        made = dict(zip(new, self.align(list(new))))
-        now.update(made)
-        if len(self._young) + len(made) > CACHE:
+        if len(self._young) > CACHE:
             self._old, self._young = self._young, {}
-        self._young.update(made)
+        asked = set().union(*cut) - self._young.keys()
+        old = asked & self._old.keys()
+        self._young.update((s, self._old[s]) for s in old)
+        new = list(asked - old)
+        self._young.update(zip(new, self.align(new)))
+        known = self._young.__getitem__
         out: list[list] = [[] for _ in range(7)]
         for some in cut:
-            parts = [now[s] for s in some]
+            parts = list(map(known, some))
             if not parts or None in parts:
                 row = (0, 0, 0, 0, "", [], [])
             else:
-                a, b, g, links, shown, keys, many = zip(*parts)
+                counts, shown, keys, many = zip(*parts)
                 k, n = np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(many), np.int64)
-                order = np.argsort(k, kind="stable")
-                k, n = k[order], n[order]
+                order = np.argsort(k)
+                k = k[order]
                 first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                row = (sum(a), sum(b), sum(g), sum(links), hashlib.sha256(";".join(shown).encode()).hexdigest(), k[first], np.add.reduceat(n, first))
+                total = np.frombuffer(b"".join(counts), np.int64).reshape(-1, 4).sum(0).tolist()
+                row = (*total, hashlib.sha256("".join(shown)[:-1].encode()).hexdigest(), k[first], np.add.reduceat(n[order], first))
             for column, value in zip(out, row):
                 column.append(value)
         return out
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+
+
+def _starts(lists: list[list[int]]) -> np.ndarray:
+    size = np.array(list(map(len, lists)))
+    return np.cumsum(size) - size
+
+
+def _joined(lists: list[list[int]], flat: np.ndarray, length: np.ndarray) -> bytes:
+    """The bytes of all tokens; `flat` has those of the vocabulary one after another."""
+    ids = _flat(lists)
+    n = length[ids]
+    upto = np.cumsum(n)
+    start = np.cumsum(length) - length
+    return flat[np.repeat(start[ids] - upto + n, n) + np.arange(int(n.sum()))].tobytes()
+
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
