@@ -14,6 +14,7 @@ from voxelith.operators import clouds as C
 from voxelith.operators import corpus as K
 from voxelith.operators import manifests as L
 from voxelith.operators import meshes as M
+from voxelith.operators import ray_paths as P
 from voxelith.operators import voxels as V
 from voxelith.plans import tasks
 from voxelith.streaming import folds as S
@@ -53,7 +54,7 @@ def test_rays(spark):
         (8, -5.0, 0.5, 0.5, 1.0, 0.0, 0.0, 100.0),  # enters the box
     ]
     df = spark.createDataFrame(rays, "ray_id bigint, ox double, oy double, oz double, dx double, dy double, dz double, max_t double")
-    got = {r.ray_id: (round(r.t, 9), r.ix, r.iy, r.iz) for r in V.first_hit(df, some, GRID, (0, 0, 0), (10, 10, 10)).collect()}
+    got = {r.ray_id: (round(r.t, 9), r.ix, r.iy, r.iz) for r in P.first_hit(df, some, GRID, (0, 0, 0), (10, 10, 10)).collect()}
     assert got == {1: (2.5, 3, 0, 0), 3: (0.0, 3, 0, 0), 4: (6.5, 0, 2, 0), 5: (2.5, 3, 0, 0), 7: (2.0, 2, 2, 2), 8: (8.0, 3, 0, 0)}
     down = V.first_hit_down(df.where("ray_id = 4"), some, GRID).first()
     assert (down.hit_y, down.t, down.iy) == (3.0, 6.5, 2)

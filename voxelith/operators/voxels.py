@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +17,8 @@ BLOCK = ["kx", "ky", "kz"]
 LEAF = 4
 #: Pushes of this length or less don't count.
 PENETRATION = 1e-4
+#: Cell numbers are under this, either way, where three of them are put into one number.
+SIDE = 1 << 20
 NEIGHBOURS = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
@@ -139,65 +138,12 @@ def first_hit_down(rays: DataFrame, voxels: DataFrame, grid: Grid) -> DataFrame:
     return got.select("ray_id", (F.col("oy") - F.col("t")).alias("hit_y"), "t", "iy")
 
 
-def ray_cells(rays: DataFrame, grid: Grid, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
-    """`ray_id, step, t, ix, iy, iz`: the cells that each ray (`ray_id, ox, oy, oz, dx, dy, dz, max_t`) passes, in order.
-
-    A 3D digital differential analyser over the box of cells from `low` up to but without `high`. `t` is where the ray
-    enters the cell, in lengths of its direction, which need not be a unit vector. On a tie of axes z goes before y
-    before x. A ray along an axis is inside the box from its lower border up to but without its upper one.
-    """
-    lo = np.array(grid.origin) + np.array(low) * np.array(grid.cell)
-    hi = np.array(grid.origin) + np.array(high) * np.array(grid.cell)
-
-    def walk(r: tuple) -> list[tuple]:
-        rid, o, d, max_t = r[0], np.array(r[1:4], float), np.array(r[4:7], float), float(r[7])
-        flat = np.abs(d) <= 1e-12
-        if np.any(flat & ((o < lo) | (o >= hi))):
-            return []
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a, b = (lo - o) / d, (hi - o) / d
-        near = max(0.0, *np.where(flat, -np.inf, np.minimum(a, b)))
-        far = min(max_t, *np.where(flat, np.inf, np.maximum(a, b)))
-        if near > far:
-            return []
-        size = np.array(grid.cell)
-        cell = np.clip(np.floor((o + d * near - np.array(grid.origin)) / size).astype(int), low, np.array(high) - 1)
-        step = np.sign(np.where(flat, 0, d)).astype(int)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            nxt = np.where(flat, np.inf, (np.array(grid.origin) + (cell + (d > 0)) * size - o) / d)
-            delta = np.where(flat, np.inf, size / np.abs(d))
-        out, t = [], near
-        for n in range(int(sum(h - w for h, w in zip(high, low)))):
-            out.append((rid, n, t, *map(int, cell)))
-            k = 0 if nxt[0] < nxt[1] and nxt[0] < nxt[2] else 1 if nxt[1] < nxt[2] and nxt[1] <= nxt[0] else 2
-            t = float(nxt[k])
-            cell[k] += step[k]
-            nxt[k] += delta[k]
-            if not low[k] <= cell[k] < high[k] or t > max_t:
-                break
-        return out
-
-    cols = ["ray_id", "ox", "oy", "oz", "dx", "dy", "dz", "max_t"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([row for r in b[cols].itertuples(index=False) for row in walk(r)], columns=["ray_id", "step", "t", *CELL])
-
-    return rays.select(cols).mapInPandas(run, "ray_id bigint, step int, t double, ix bigint, iy bigint, iz bigint")
-
-
-def first_hit(rays: DataFrame, voxels: DataFrame, grid: Grid, low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
-    """`ray_id, t, ix, iy, iz` of the first solid voxel on each ray; rays that hit none give no row."""
-    got = ray_cells(rays, grid, low, high).join(voxels.select(CELL), CELL)
-    return got.groupBy("ray_id").agg(F.min(F.struct("step", "t", *CELL)).alias("h")).select("ray_id", "h.t", *(f"h.{c}" for c in CELL))
-
-
 def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFrame:
     """`capsule_id, px, py, pz, depth`: the deepest push that takes an upright capsule out of a voxel.
 
     `capsules`: `capsule_id, x, y, z, half_height, radius`. Each is dealt to the cells that its box meets and joined to
     the voxels by cell, so nothing is compared that doesn't touch. Of equal depths the voxel first in order of z, y, x
-    counts. Pushes of PENETRATION or less don't; such capsules give no row.
+    counts (cell numbers under 2^20). Pushes of PENETRATION or less don't; such capsules give no row.
     """
     c = Vec(F.col("x"), F.col("y"), F.col("z"))
     r, h = F.col("radius"), F.col("half_height")
@@ -235,9 +181,19 @@ def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFram
         F.when(~inside, out.z).when(~take_x & ~take_y, signed.z).otherwise(zero),
     )
     depth = F.when(~inside, r - F.col("dist")).otherwise(F.least(*way))
-    got = rows.select("capsule_id", depth.alias("depth"), *push.named("p"), *CELL).where(F.col("depth") > PENETRATION)
-    best = F.min(F.struct((-F.col("depth")).alias("d"), F.col("iz"), F.col("iy"), F.col("ix"), F.col("px"), F.col("py"), F.col("pz")))
-    return got.groupBy("capsule_id").agg(best.alias("b")).select("capsule_id", "b.px", "b.py", "b.pz", (-F.col("b.d")).alias("depth"))
+    place = F.shiftleft(F.col("iz") + SIDE, 42) + F.shiftleft(F.col("iy") + SIDE, 21) + F.col("ix") + SIDE
+    got = rows.select("capsule_id", depth.alias("depth"), *push.named("p"), place.alias("place")).where(F.col("depth") > PENETRATION)
+    return deepest(got, "place")
+
+
+def deepest(pushes: DataFrame, tie: str) -> DataFrame:
+    """`capsule_id, px, py, pz, depth`: each capsule's deepest push; of equal depths the one of least `tie`, a number.
+
+    The depth is found first and then the push that has it, so that both are aggregated as plain numbers, in hash tables.
+    """
+    pushes = materialise(pushes, "pushes")
+    most = pushes.groupBy("capsule_id").agg(F.max("depth").alias("depth"))
+    return pushes.join(most, ["capsule_id", "depth"]).groupBy("capsule_id", "depth").agg(*(F.min_by(c, tie).alias(c) for c in ("px", "py", "pz"))).select("capsule_id", "px", "py", "pz", "depth")
 
 
 def depenetrate(capsules: DataFrame, voxels: DataFrame, grid: Grid, rounds: int = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import vec
+from voxelith.operators import ray_paths as P
 from voxelith.operators import voxels as V
 from voxelith.plans.carriers import GRID, POINTS, VOXELS, points, table, voxels
 from voxelith.plans.registry import query
@@ -102,8 +103,9 @@ def ground_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.median_height(hits.withColumn("row_id", F.expr("ray_id div 100")), "row_id")
 
 
-#: Slanted rays whose starts and slopes keep them off cell borders.
-RAYS = "SELECT n_nationkey::BIGINT AS ray_id, 1.37 + n_nationkey * 1.913 AS ox, 119.3 AS oy, 0.71 + n_nationkey * 0.317 AS oz, 0.0913 AS dx, -1.0 AS dy, 0.0371 AS dz, 150.0 AS max_t FROM nation"
+#: Slanted rays whose starts and slopes keep them off cell borders, one for each order.
+RAYS = """SELECT o_orderkey AS ray_id, 1.37 + o_custkey % 25 * 1.913 + o_orderkey % 1000 * 0.0031 AS ox, 119.3 AS oy, 0.71 + o_custkey % 25 * 0.317 AS oz,
+  0.0913 + o_orderkey % 100 * 0.0017 AS dx, -1.0 AS dy, 0.0371 - o_orderkey % 77 * 0.0007 AS dz, 150.0 AS max_t FROM orders"""
 
 
 @query(
@@ -112,20 +114,25 @@ RAYS = "SELECT n_nationkey::BIGINT AS ray_id, 1.37 + n_nationkey * 1.913 AS ox,
   SELECT ray_id, ix, iy, iz, max_t,
     greatest(least((ix * 5 - ox) / dx, (ix * 5 + 5 - ox) / dx), least((iy * 5 - oy) / dy, (iy * 5 + 5 - oy) / dy), least((iz * 2 - oz) / dz, (iz * 2 + 2 - oz) / dz), 0) AS near,
     least(greatest((ix * 5 - ox) / dx, (ix * 5 + 5 - ox) / dx), greatest((iy * 5 - oy) / dy, (iy * 5 + 5 - oy) / dy), greatest((iz * 2 - oz) / dz, (iz * 2 + 2 - oz) / dz)) AS far
-  FROM r, v WHERE ix BETWEEN 0 AND 15 AND iy BETWEEN 0 AND 30 AND iz BETWEEN 0 AND 9
+  FROM r, v
 ), h AS (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY near) AS k FROM s WHERE near < far AND near <= max_t)
 SELECT ray_id, round(near, 6) AS t, ix, iy, iz FROM h WHERE k = 1"""
 )
 def ray_march(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    rays = table(spark, sf_dir, "nation").select(
-        n.cast("bigint").alias("ray_id"), (n * 1.913 + 1.37).alias("ox"), F.lit(119.3).alias("oy"), (n * 0.317 + 0.71).alias("oz"), F.lit(0.0913).alias("dx"), F.lit(-1.0).alias("dy"), F.lit(0.0371).alias("dz"), F.lit(150.0).alias("max_t")
-    )
-    return V.first_hit(rays, voxels(spark, sf_dir), GRID, (0, 0, 0), (16, 31, 10)).withColumn("t", F.round("t", 6))
+    """The first voxel that a ray of each order meets, in the box of all voxels."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 25
+    slanted = {"ox": 1.37 + c * 1.913 + k % 1000 * 0.0031, "oy": F.lit(119.3), "oz": 0.71 + c * 0.317, "dx": 0.0913 + k % 100 * 0.0017, "dy": F.lit(-1.0), "dz": 0.0371 - k % 77 * 0.0007, "max_t": F.lit(150.0)}
+    rays = table(spark, sf_dir, "orders").select(k.alias("ray_id"), *(v.alias(n) for n, v in slanted.items()))
+    v = voxels(spark, sf_dir).select(V.CELL)
+    box = v.agg(*(F.min(n).alias(f"{n}0") for n in V.CELL), *((F.max(n) + 1).alias(f"{n}1") for n in V.CELL)).first()
+    low, high = (tuple(box[f"{n}{e}"] for n in V.CELL) for e in (0, 1))
+    if None in low:
+        return P.first_hit(rays, v, GRID, (0, 0, 0), (0, 0, 0))
+    return P.first_hit(rays, v, GRID, low, high).withColumn("t", F.round("t", 6))
 
 
 CAPSULES = """SELECT o_orderkey AS capsule_id, (o_custkey % 55)::DOUBLE + 0.37 AS x, o_totalprice / 4000 AS y, (o_orderkey % 12)::DOUBLE + 0.21 AS z, 1.5::DOUBLE AS half_height, 0.8::DOUBLE AS radius
-FROM orders WHERE o_orderkey % 7 = 0"""
+FROM orders"""
 
 
 def _capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +147,7 @@ def _capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{V_CTE}, c AS ({CAPSULES.replace(" WHERE o_orderkey % 7 = 0", "")}), e AS (
+    f"""{V_CTE}, c AS ({CAPSULES}), e AS (
   SELECT capsule_id, x, z, y - half_height AS bot, y + half_height AS top, radius AS r, ix, iy, iz, ix * 5.0::DOUBLE AS x0, iy * 5.0::DOUBLE AS y0, iz * 2.0::DOUBLE AS z0
   FROM c JOIN v ON ix BETWEEN floor((x - radius) / 5) AND floor((x + radius) / 5) AND iy BETWEEN floor((y - (radius + half_height)) / 5) AND floor((y + (radius + half_height)) / 5)
     AND iz BETWEEN floor((z - radius) / 2) AND floor((z + radius) / 2)
