@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import Vec, closest_on_segment, vec
+from voxelith.operators.ray_paths import Rays
+from voxelith.operators.voxels import Grid, deepest
 from voxelith.storage import materialise
 
+#: Cells of the finest level, the cells that a triangle's box is wide at most, and the waves in which rays go through them.
+CELL_SIZE, ACROSS, WAVES = 1.0, 4, 4
+#: Share of a cell by which cells overlap, so that rounding loses nothing.
+NEAR = 1e-9
 CORNERS = ["ka", "kb", "kc"]
 
 
@@ -65,31 +76,99 @@ def ray_t(o: Vec, d: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     return F.when((u >= 0) & (u <= 1) & (v >= 0) & (u + v <= 1) & (t >= 0), t)
 
 
-def _cells(prefix0: str, prefix1: str, cell: float) -> list[Column]:
-    return [F.explode(F.sequence(F.floor(F.col(f"{a}{prefix0}") / cell).cast("bigint"), F.floor(F.col(f"{a}{prefix1}") / cell).cast("bigint"))).alias(f"k{a}") for a in "xz"]
+def dealt(tris: DataFrame, cell: float = CELL_SIZE, across: int = ACROSS) -> DataFrame:
+    """`level, kx, ky, kz` and `tris` with bounds: each triangle in the cells that it meets, at the level that fits it.
+
+    Cells of a level are twice as large as those of the one below; level 0 has cells of `cell`. A triangle belongs to the
+    first level in which its box is at most `across` cells wide, so it's in a bounded number of cells however large it is.
+    Cells of its box that its plane doesn't touch are left out. Triangles with a corner that isn't finite are in none.
+    """
+    t = boxes(tris).where(" AND ".join(f"abs({n}{a}) < double('infinity')" for n in CORNERS for a in "xyz"))
+    wide = F.greatest(*(F.col(f"{a}1") - F.col(f"{a}0") for a in "xyz"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.when(wide > 0, wide) / (cell * across)))).cast("int")
+    t = t.withColumn("level", F.coalesce(level, F.lit(0))).withColumn("size_", F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))
+    for a in "xyz":
+        low, high = (F.floor((F.col(f"{a}{e}") + side * NEAR * F.col("size_")) / F.col("size_")).cast("bigint") for e, side in ((0, -1), (1, 1)))
+        t = t.withColumn(f"k{a}", F.explode(F.sequence(low, high)))
+    # The plane passes a cell if its distance from the middle is within the cell's half diagonal along the normal.
+    a, b, c = (vec(n) for n in CORNERS)
+    t = t.select("*", *(b - a).cross(c - a).named("m"))
+    m, half = vec("m"), F.col("size_") * (0.5 + NEAR)
+    middle = Vec(*((F.col(f"k{k}") + 0.5) * F.col("size_") for k in "xyz"))
+    reach = (F.abs(m.x) + F.abs(m.y) + F.abs(m.z)) * half
+    return t.where(F.abs(m.dot(middle - a)) <= reach * (1 + NEAR)).drop("mx", "my", "mz", "size_")
+
 
+def _levels(t: DataFrame) -> list[int]:
+    """The levels in use: not more than a number has exponents."""
+    return sorted(r.level for r in t.select("level").distinct().collect())
 
-def first_hit(rays: DataFrame, tris: DataFrame, cell: float = 8.0) -> DataFrame:
+
+def first_hit(rays: DataFrame, tris: DataFrame, cell: float = CELL_SIZE, waves: int = WAVES) -> DataFrame:
     """`ray_id, t, tri_id`: the nearest triangle on each ray (`ray_id, ox.., dx.., max_t`) and the distance to it.
 
-    Directions are made unit vectors; rays shorter than 1e-8 hit nothing. Rays and triangles meet in the cells of the XZ
-    plane that their bounds share. Of equal distances the least tri_id counts.
+    Directions are made unit vectors; rays shorter than 1e-8 or not finite hit nothing. Of equal distances the least tri_id
+    counts. `ray_id` is unique.
+
+    Triangles lie in cells of several sizes, see dealt(). Rays go through the cells of each size in waves, each twice as
+    long as the one before, and are joined to the triangles by cell. A ray whose nearest hit is within its waves so far is
+    done; one with a farther hit goes no further than that.
     """
     size = vec("d").length()
-    r = rays.where(size >= 1e-8)
-    r = r.withColumns({f"d{a}": F.col(f"d{a}") / size for a in "xyz"})
-    ends = {f"{a}{k}": f(F.col(f"o{a}"), F.col(f"o{a}") + F.col(f"d{a}") * F.col("max_t")) for a in "xz" for k, f in ((0, F.least), (1, F.greatest))}
-    r = _dealt(r.withColumns(ends), cell).drop("x0", "x1", "z0", "z1")
-    t = _dealt(boxes(tris), cell).drop("x0", "x1", "y0", "y1", "z0", "z1")
-    hit = ray_t(vec("o"), vec("d"), *(vec(n) for n in CORNERS))
-    got = r.join(t, ["kx", "kz"]).withColumn("t", hit).where(F.col("t") <= F.col("max_t"))
-    return got.groupBy("ray_id").agg(F.min(F.struct("t", "tri_id")).alias("m")).select("ray_id", "m.t", "m.tri_id")
-
-
-def _dealt(df: DataFrame, cell: float) -> DataFrame:
-    for c in _cells("0", "1", cell):
-        df = df.select("*", c)
-    return df
+    finite = F.lit(True)
+    for c in ("ox", "oy", "oz", "dx", "dy", "dz"):
+        finite = finite & (F.abs(c) < float("inf"))
+    r = rays.where((size >= 1e-8) & finite & (F.col("max_t") >= 0))
+    left = materialise(r.select("ray_id", *(F.col(f"o{a}").cast("double") for a in "xyz"), *((F.col(f"d{a}") / size).alias(f"d{a}") for a in "xyz"), F.col("max_t").cast("double")), "mesh-rays")
+    t = materialise(dealt(tris, cell), "mesh-cells")
+    box = t.agg(*(f(f"{a}{e}").alias(f"{a}{e}") for a in "xyz" for e, f in ((0, F.min), (1, F.max)))).first()
+    none = left.select("ray_id", F.lit(0.0).alias("t"), F.lit(None).cast(t.schema["tri_id"].dataType).alias("tri_id")).where("false")
+    if box.x0 is None:
+        return none
+    # No ray has a hit beyond the far side of the box.
+    far = sum((F.greatest(F.abs(F.col(f"o{a}") - box[f"{a}0"]), F.abs(F.col(f"o{a}") - box[f"{a}1"])) ** 2 for a in "xyz"), F.lit(0.0))
+    longest = left.agg(F.max(F.least(F.sqrt(far), "max_t"))).first()[0]
+    if longest is None:
+        return none
+    levels = _levels(t)
+    grids = [(lv, Grid((0.0,) * 3, (cell * 2.0**lv,) * 3)) for lv in levels]
+    edge = [tuple(math.floor((box[f"{a}{e}"] + s * NEAR * g.cell[0]) / g.cell[0]) + e for a in "xyz") for _, g in grids for e, s in ((0, -1), (1, 1))]
+
+    def cut(start: float, stop: float):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                some = b.assign(**{f"o{a}": b[f"o{a}"] + b[f"d{a}"] * start for a in "xyz"}, max_t=np.minimum(b["max_t"], stop) - start)
+                for k, (level, grid) in enumerate(grids):
+                    ray, _, _, _, at = Rays(some, grid, edge[2 * k], edge[2 * k + 1]).path(1, 0, 1 << 62)
+                    out = b.iloc[ray].reset_index(drop=True)
+                    yield out.assign(level=level, **{f"k{a}": at[:, i] for i, a in enumerate("xyz")})
+
+        return run
+
+    ray = ["ox", "oy", "oz", "dx", "dy", "dz", "max_t"]
+    key = left.schema["ray_id"].dataType.simpleString()
+    kinds = f"ray_id {key}, " + ", ".join(f"{c} double" for c in ray) + ", level int, kx bigint, ky bigint, kz bigint"
+    found = best = None
+    for w in range(waves):
+        start, stop = (longest * ((1 << k) - 1) / ((1 << waves) - 1) for k in (w, w + 1))
+        met = left.mapInPandas(cut(start, stop * (1 + NEAR)), kinds).join(t.select("level", "kx", "ky", "kz", "tri_id", *(f"{n}{a}" for n in CORNERS for a in "xyz")), ["level", "kx", "ky", "kz"])
+        hits = materialise(met.withColumn("t", ray_t(vec("o"), vec("d"), *(vec(n) for n in CORNERS))).where(F.col("t") <= F.col("max_t")).select("ray_id", "t", "tri_id"), "mesh-hits")
+        if best is not None:
+            hits = hits.unionByName(best)
+        near = hits.groupBy("ray_id").agg(F.min("t").alias("t"))
+        near = materialise(hits.join(near, ["ray_id", "t"]).groupBy("ray_id", "t").agg(F.min("tri_id").alias("tri_id")), "mesh-nearest")
+        last = w == waves - 1
+        done = near if last else near.where(F.col("t") <= stop)
+        found = done if found is None else found.unionByName(done)
+        if last:
+            break
+        best = near.where(F.col("t") > stop)
+        on = left.join(near.select("ray_id", F.col("t").alias("t_")), "ray_id", "left").where(F.col("t_").isNull() | (F.col("t_") > stop))
+        left = materialise(on.where(F.col("max_t") > stop).withColumn("max_t", F.least("max_t", "t_")).drop("t_"), "mesh-rays")
+        if left.isEmpty():
+            found = found.unionByName(best)
+            break
+    return found.select("ray_id", "t", "tri_id")
 
 
 def nearest(rows: DataFrame, point: str, out: str) -> DataFrame:
@@ -118,17 +197,21 @@ def nearest(rows: DataFrame, point: str, out: str) -> DataFrame:
     return rows.select(*keep, *q.named(out))
 
 
-def capsule_push(capsules: DataFrame, tris: DataFrame, cell: float = 8.0, samples: int = 5) -> DataFrame:
+def capsule_push(capsules: DataFrame, tris: DataFrame, cell: float = CELL_SIZE, samples: int = 5) -> DataFrame:
     """`capsule_id, px, py, pz, depth`: the deepest push that takes an upright capsule out of a triangle.
 
     Near points of the capsule's middle line and the triangle are the best of evenly spaced samples, refined once by the
     line's point nearest to the sample's point on the triangle. The push is along their difference, or the triangle's
-    normal where they coincide. Pushes of 1e-4 or less give no row; of equal depths the least tri_id counts.
+    normal where they coincide. Pushes of 1e-4 or less give no row; of equal depths the least tri_id counts. Capsules look up
+    the cells that their boxes meet at each level of dealt().
     """
     r = F.col("radius")
-    c = capsules.withColumns({"x0": F.col("x") - r, "x1": F.col("x") + r, "z0": F.col("z") - r, "z1": F.col("z") + r})
-    c = _dealt(c, cell).select("capsule_id", "x", "y", "z", "half_height", "radius", "kx", "kz")
-    t = _dealt(boxes(prepared(tris)), cell)
+    t = materialise(dealt(prepared(tris), cell), "mesh-cells")
+    c = capsules.select("capsule_id", "x", "y", "z", "half_height", "radius", F.explode(F.array(*map(F.lit, _levels(t))).cast("array<int>")).alias("level"))
+    c = c.withColumn("size_", F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))
+    for a, reach in (("x", r), ("y", F.col("half_height") + r), ("z", r)):
+        c = c.withColumn(f"k{a}", F.explode(F.sequence(*(F.floor((F.col(a) + side * reach) / F.col("size_")).cast("bigint") for side in (-1, 1)))))
+    c = c.drop("size_")
     box = (
         (F.col("x1") >= F.col("x") - r) & (F.col("x0") <= F.col("x") + r) & (F.col("z1") >= F.col("z") - r) & (F.col("z0") <= F.col("z") + r)
         & (F.col("y1") >= F.col("y") - F.col("half_height") - r) & (F.col("y0") <= F.col("y") + F.col("half_height") + r)
@@ -136,7 +219,7 @@ def capsule_push(capsules: DataFrame, tris: DataFrame, cell: float = 8.0, sample
     corners = [f"{n}{a}" for n in CORNERS for a in "xyz"]
     own = ["capsule_id", "tri_id", "x", "y", "z", "half_height", "radius", "nx", "ny", "nz", *corners]
     # Written after each step: inlined into one another, the steps' expressions would grow beyond what can be compiled.
-    rows = materialise(c.join(t, ["kx", "kz"]).where(box).dropDuplicates(["capsule_id", "tri_id"]).select(own), "capsule-pairs")
+    rows = materialise(c.join(t, ["level", "kx", "ky", "kz"]).where(box).dropDuplicates(["capsule_id", "tri_id"]).select(own), "capsule-pairs")
     at = rows.select(*own, F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("nth"))
     at = at.withColumns({"sx": F.col("x"), "sy": F.col("y") + F.col("half_height") * (F.col("nth") * (2.0 / samples) - 1.0), "sz": F.col("z")})
     at = materialise(nearest(at, "s", "t"), "capsule-samples")
@@ -157,5 +240,4 @@ def capsule_push(capsules: DataFrame, tris: DataFrame, cell: float = 8.0, sample
     way = Vec(*(F.when(away, o / F.when(away, F.col("dist"))).otherwise(n) for o, n in zip(vec("o"), vec("n"))))
     depth = F.col("radius") - F.col("dist")
     got = rows.select(*keys, depth.alias("depth"), *(way * depth).named("p")).where("depth > 1e-4")
-    best = F.min(F.struct((-F.col("depth")).alias("d"), "tri_id", "px", "py", "pz"))
-    return got.groupBy("capsule_id").agg(best.alias("b")).select("capsule_id", "b.px", "b.py", "b.pz", (-F.col("b.d")).alias("depth"))
+    return deepest(got, "tri_id")
