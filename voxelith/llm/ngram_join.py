@@ -215,6 +215,14 @@ def _mixed_pairs(tiles: DataFrame, below: DataFrame, sketches: DataFrame, percen
     return out
 
 
+def _joined(below: DataFrame, pairs: DataFrame, given: DataFrame, nodes: DataFrame, width: int, percent: int, n: int) -> DataFrame:
+    """The classes `below` with those of `pairs` that are linked."""
+    if pairs.isEmpty():
+        return below
+    stars = below.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return forest(stars.unionByName(_linked(pairs, given, nodes, width, percent)), "ngram-forest", n)
+
+
 def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """`doc_id, n_shingles, component_id` per row of `docs`.
 
@@ -223,9 +231,9 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id that links lead to, the row's own included.
 
     Rows of equal sets are one node. Nodes are first compared with the least node of the tiles where they meet it most
-    often, and classes of linked nodes found. Then nodes of different classes are compared with the leads of their other
-    tiles, and with each other where a tile has several classes; nodes of one class needn't be. So all links that join
-    classes are found; links within a class aren't all listed.
+    often, then with the least nodes of their other tiles that are of other classes, then with all nodes of other classes
+    in tiles that still have several. Classes are found after each step, since nodes of one class needn't be compared. So
+    all links that join classes are found; links within a class aren't all listed.
 
     Null and empty texts and those without words have no shingles and are linked with nothing. Null ids lose to others; a
     component of null ids only has none. Repeated rows are linked with each other. Texts of any length are read whole.
@@ -259,13 +267,10 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = votes.join(label("node"), "node", "left").join(label("lead"), "lead", "left")
     rest = rest.where(F.coalesce("node_label", "node") != F.coalesce("lead_label", "lead")).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     rest = _reaching(rest, sketches, percent, "ngram-rest")
+    below = _joined(below, rest, given, nodes, width, percent, n)
     mixed = _mixed_pairs(tiles, below, sketches, percent)
-    more = materialise(rest.unionByName(mixed).distinct(), "ngram-pairs")
-    if not more.isEmpty():
-        found = _linked(more, given, nodes, width, percent)
-        stars = below.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        below = forest(stars.unionByName(found), "ngram-forest", n)
-    discard(leads, tiles, votes, first, links, rest, mixed, more)
+    below = _joined(below, mixed, given, nodes, width, percent, n)
+    discard(leads, tiles, votes, first, links, rest, mixed)
 
     named = nodes.select("same", "copies", "node", "doc_id").join(with_roots(below), "node", "left")
     named = materialise(named, "ngram-named", n)
