@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.ordering import in_order
+from voxelith.ordering import in_groups, in_order, with_neighbours
 
 
 def parity(pages: DataFrame, locale: str, slug: str, default: str) -> DataFrame:
@@ -59,15 +59,14 @@ def groups_first_seen(rows: DataFrame, by: list[str], ordinal: str, item: str) -
 
 
 def neighbours(rows: DataFrame, by: list[str], order: list[Column], item: str) -> DataFrame:
-    """`rows` with the items before and after in their group, `prev` and `next`."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("prev", F.lag(item).over(w)).withColumn("next", F.lead(item).over(w))
+    """`rows` with the items before and after in their group, `prev` and `next`. The order is total."""
+    return with_neighbours(rows, by, order, [item]).withColumns({"prev": F.col("prev")[item], "next": F.col("next")[item]})
 
 
 def numbered_slugs(rows: DataFrame, scope: list[str], slug: str, order: str) -> DataFrame:
     """`rows` with `unique_slug`: later ones of a slug get -2, -3, ..."""
-    n = F.row_number().over(Window.partitionBy(*scope, slug).orderBy(order))
-    return rows.withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), n.cast("string"))))
+    n = F.col("place") + 1
+    return in_groups(rows, [*scope, slug], [F.col(order)]).withColumn("unique_slug", F.when(n == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), n.cast("string")))).drop("place")
 
 
 def ranked_by_list(rows: DataFrame, column: str, order: list[str]) -> DataFrame:

@@ -45,8 +45,8 @@ def chunks(manifests: DataFrame, m: str = "m", key: str = "manifest_id") -> Data
 
 def with_offsets(pieces: DataFrame, file: list[str], order: list[str], count: str = "count") -> DataFrame:
     """`pieces` with `offset`: the rows before each in its file."""
-    w = Window.partitionBy(*file).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("offset", F.coalesce(F.sum(count).over(w), F.lit(0)).cast("bigint"))
+    got = in_groups(pieces, file, [F.col(c) for c in order], size=count, name="offsets")
+    return got.withColumn("offset", F.col("before").cast("bigint")).drop("place", "before")
 
 
 def merge(parts: DataFrame, files: DataFrame, key: str = "manifest_id") -> DataFrame:

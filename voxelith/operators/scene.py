@@ -6,10 +6,11 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import Vec, clamp, orbit_offset
+from voxelith.ordering import with_neighbours
 
 #: Axes of coordinate presets (up vector, camera position) and settings of render presets.
 AXES = {"z-up": ((0.0, 0.0, 1.0), (0.0, -3.0, 1.2)), "opengl": ((0.0, 1.0, 0.0), (0.0, 1.2, 3.0)), "opencv": ((0.0, -1.0, 0.0), (0.0, -1.2, 3.0))}
@@ -36,8 +37,9 @@ def body_nodes(nodes: DataFrame, model: str, name: str) -> DataFrame:
     """The nodes that make a model's body: names with `surface`; if there are none, names without `joint`."""
     low = F.lower(name)
     tier = F.when(F.contains(low, F.lit("surface")), 1).when(~F.contains(low, F.lit("joint")), 2)
-    best = F.min("tier").over(Window.partitionBy(model))
-    return nodes.withColumn("tier", tier).withColumn("best", best).where("tier = best").drop("tier", "best")
+    tiered = nodes.withColumn("tier", tier)
+    best = tiered.groupBy(F.col(model).alias("of_")).agg(F.min("tier").alias("best"))
+    return tiered.join(best, F.col(model).eqNullSafe(F.col("of_")) & (F.col("tier") == F.col("best"))).select(nodes.columns)
 
 
 def find_clips(clips: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -69,10 +71,9 @@ def aspect(width: Column, height: Column) -> Column:
 
 def aspect_changes(frames: DataFrame, key: str, order: str) -> DataFrame:
     """Frames whose aspect is over 0.001 off that of the frame before, and first frames."""
-    w = Window.partitionBy(key).orderBy(order)
-    a = aspect(F.col("width"), F.col("height"))
-    before = F.lag("aspect").over(w)
-    return frames.withColumn("aspect", a).withColumn("was", before).where(F.col("was").isNull() | (F.abs(F.col("aspect") - F.col("was")) > 0.001)).drop("was")
+    shaped = frames.withColumn("aspect", aspect(F.col("width"), F.col("height")))
+    was = F.col("prev.aspect")
+    return with_neighbours(shaped, [key], [F.col(order)], ["aspect"]).where(was.isNull() | (F.abs(F.col("aspect") - was) > 0.001)).drop("prev", "next")
 
 
 def third_person(target: Vec, azimuth: Column, elevation: Column, distance: Column | float) -> Vec:
@@ -160,11 +161,11 @@ def pinch(pointers: DataFrame, key: str, order: str) -> DataFrame:
 
     `pointers`: `x0, y0, x1, y1` of both fingers per row.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    mid = lambda a: (F.col(f"{a}0") + F.col(f"{a}1")) / 2
-    dist = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    change = dist - F.lag(dist).over(w)
-    return pointers.select(key, order, (mid("x") - F.lag(mid("x")).over(w)).alias("pan_x"), (mid("y") - F.lag(mid("y")).over(w)).alias("pan_y"), F.when(F.abs(change) > 0.001, change).otherwise(F.when(change.isNotNull(), F.lit(0.0))).alias("dolly"))
+    got = with_neighbours(pointers, [key], [F.col(order)], ["x0", "y0", "x1", "y1"])
+    mid = lambda a, at="": (F.col(f"{at}{a}0") + F.col(f"{at}{a}1")) / 2
+    dist = lambda at="": F.hypot(F.col(f"{at}x1") - F.col(f"{at}x0"), F.col(f"{at}y1") - F.col(f"{at}y0"))
+    change = dist() - dist("prev.")
+    return got.select(key, order, (mid("x") - mid("x", "prev.")).alias("pan_x"), (mid("y") - mid("y", "prev.")).alias("pan_y"), F.when(F.abs(change) > 0.001, change).otherwise(F.when(change.isNotNull(), F.lit(0.0))).alias("dolly"))
 
 
 def key_move(axis: Vec, speed: Column, dt: Column) -> Vec:

@@ -11,9 +11,14 @@ from voxelith.storage import clashless, columns, materialise
 GROUP_ROWS = 200_000
 
 
-def in_order(df: DataFrame, order: list[Column], size: str | None = None, name: str = "ordered", unique: bool = False) -> tuple[DataFrame, int, int]:
+def in_order(
+    df: DataFrame, order: list[Column], size: str | None = None, name: str = "ordered", unique: bool = False, beside: list[str] | None = None
+) -> tuple[DataFrame, int, int]:
     """(`df` with `pos` and, for a `size` column, `before`; number of rows; sum of `size`).
 
+    With `beside`, rows have these columns of the row before and of the row behind them, as the structs `prev` and `next`.
+    Partitions get the last row of the one before and the first of the next one, so there's no window over all rows.
+
     `pos` is the row's place from 0 in the order, `before` the sum of the sizes of the rows before it. Unless the keys are
     `unique`, rows with equal keys are dealt over partitions by their place in the input, so a key that many rows share
     is no hot spot; make the order total if such rows differ, and let the input be a scan, whose rows keep their places
@@ -30,23 +35,31 @@ def in_order(df: DataFrame, order: list[Column], size: str | None = None, name:
     t = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(tie)
     t = materialise(t.withColumn(part, F.spark_partition_id()).withColumn(seq, F.monotonically_increasing_id()), name)
     value = F.coalesce(F.col(size), F.lit(0)).cast("bigint") if size else F.lit(0).cast("bigint")
-    totals = t.groupBy(part).agg(F.count(F.lit(1)).alias(rows0), F.sum(value).alias(size0))
+    near = F.struct(*(F.col(c) for c in beside)) if beside else None
+    edge0, edge1 = clashless(df, "edge0_"), clashless(df, "edge1_")
+    ends = [f(near, F.col(seq)).alias(e) for f, e in ((F.min_by, edge0), (F.max_by, edge1))] if beside else []
+    totals = t.groupBy(part).agg(F.count(F.lit(1)).alias(rows0), F.sum(value).alias(size0), *ends)
     all_rows, all_size = totals.agg(F.coalesce(F.sum(rows0), F.lit(0)), F.coalesce(F.sum(size0), F.lit(0))).first()
     ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    offsets = totals.select(part, *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in (rows0, size0)))
+    row = Window.orderBy(part)
+    halo = [F.lag(edge1).over(row).alias(edge1), F.lead(edge0).over(row).alias(edge0)] if beside else []
+    offsets = totals.select(part, *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in (rows0, size0)), *halo)
     inside = Window.partitionBy(part).orderBy(seq)
     out = t.join(F.broadcast(offsets), part).withColumn("pos", F.col(rows0) + F.row_number().over(inside) - 1)
     if size:
         out = out.withColumn("before", F.col(size0) + F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - value)
-    return out.drop(part, seq, rows0, size0), all_rows, all_size
+    if beside:
+        out = out.withColumns({"prev": F.coalesce(F.lag(near).over(inside), F.col(edge1)), "next": F.coalesce(F.lead(near).over(inside), F.col(edge0))})
+    return out.drop(part, seq, rows0, size0, edge0, edge1), all_rows, all_size
 
 
-def in_groups(df: DataFrame, by: list[str], order: list[Column], size: str | None = None, name: str = "grouped", unique: bool = False) -> DataFrame:
+def in_groups(df: DataFrame, by: list[str], order: list[Column], size: str | None = None, name: str = "grouped", unique: bool = False, pos: bool = False) -> DataFrame:
     """`df` with `place`, the row's place from 0 in its group, and for a `size` column `before`, the sum ahead of it there.
 
     Groups are runs of one global order, so a group that holds most rows lies in many partitions. Each group's first place
     is a minimum, and so is its first sum (kept with the place, as sizes may be negative). Null keys are groups too. The
-    figures of up to GROUP_ROWS groups are broadcast; more are joined by a shuffle, in which AQE splits large keys.
+    figures of up to GROUP_ROWS groups are broadcast; more are joined by a shuffle, in which AQE splits large keys. With
+    `pos`, rows keep their places in the global order too.
     """
     first, base = (clashless(df, c) for c in ("first_", "base_"))
     keys = [clashless(df, f"key{i}_") for i in range(len(by))]
@@ -61,7 +74,26 @@ def in_groups(df: DataFrame, by: list[str], order: list[Column], size: str | Non
     got = ordered.join(starts, same).withColumn("place", F.col("pos") - F.col(first))
     if size:
         got = got.withColumn("before", F.col("before") - F.col(base))
-    return got.select(*columns(df), "place", *(["before"] if size else []))
+    return got.select(*columns(df), "place", *(["before"] if size else []), *(["pos"] if pos else []))
+
+
+def with_neighbours(df: DataFrame, by: list[str], order: list[Column], beside: list[str], name: str = "beside", pos: bool = False) -> DataFrame:
+    """`df` with `prev` and `next`: structs of the columns `beside` of the rows before and behind in the group, or null.
+
+    Groups are runs of one global order, see in_order(), so a group that holds most rows is many tasks' work. Null keys are
+    groups too. Make the order total if rows of equal keys differ. With `pos`, rows have their places in the global order.
+    """
+    keys = [clashless(df, f"key{i}_") for i in range(len(by))]
+    given = df.withColumns({k: F.col(c) for k, c in zip(keys, by)})
+    got, _, _ = in_order(given, [*(F.col(c) for c in by), *order], name=name, unique=True, beside=list(dict.fromkeys([*keys, *beside])))
+
+    def held(side: str) -> Column:
+        same = F.col(side).isNotNull()
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(side)[k])
+        return F.when(same, F.struct(*(F.col(side)[c].alias(c) for c in beside)))
+
+    return got.select(*columns(df), held("prev").alias("prev"), held("next").alias("next"), *(["pos"] if pos else []))
 
 
 def group_quantiles(df: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:

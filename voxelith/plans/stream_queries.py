@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.functions import vectors as X
+from voxelith.ordering import in_groups, with_neighbours
 from voxelith.plans.carriers import table
 from voxelith.plans.registry import query
 from voxelith.streaming import folds as S
+from voxelith.streaming import scans as A
 from voxelith.streaming import windows as W
 
 
@@ -22,11 +24,9 @@ NUMBERED = """e AS (SELECT user_id, event_id, ts, value, event_type, epoch_us(ts
 
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").withColumn("dt", F.coalesce((us - F.lag(us).over(w)) / 1000000, F.lit(0.0)))
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = with_neighbours(e, ["user_id"], [F.col("event_id")], ["us"])
+    return e.withColumn("dt", F.coalesce((F.col("us") - F.col("prev.us")) / 1000000, F.lit(0.0))).drop("us", "prev", "next")
 
 
 @query(
@@ -55,6 +55,55 @@ def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fold(rows, "user_id", ["event_id"], ["dt", "target"], start, step, out).withColumn("smoothed", F.round("smoothed", 6))
 
 
+@query(
+    f"""WITH RECURSIVE {NUMBERED}, r AS (
+  SELECT user_id, event_id, n, ms AS last, 0.0::DOUBLE AS fps FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, e.ms, CASE WHEN r.n = 1 THEN 1000 / greatest(1, e.ms - r.last) ELSE r.fps + (1000 / greatest(1, e.ms - r.last) - r.fps) * 0.08::DOUBLE END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, round(fps, 9) AS fps FROM r"""
+)
+def ewma_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of ewma_fps as a composition of affine maps; a user's first rate resets it."""
+    e = with_neighbours(events(spark, sf_dir).select("user_id", "event_id", "ms"), ["user_id"], [F.col("event_id")], ["ms"])
+    now = F.when(F.col("prev").isNotNull(), 1000 / F.greatest(F.lit(1.0), F.col("ms") - F.col("prev.ms")))
+    e = with_neighbours(e.select("user_id", "event_id", now.alias("now")), ["user_id"], [F.col("event_id")], ["now"])
+    gain = F.when(F.col("now").isNull() | F.col("prev.now").isNull(), F.lit(0.0)).otherwise(F.lit(1 - 0.08))
+    shift = F.when(F.col("now").isNull(), F.lit(0.0)).when(F.col("prev.now").isNull(), F.col("now")).otherwise(F.col("now") * 0.08)
+    got = A.affine(e.select("user_id", "event_id", gain.alias("gain"), shift.alias("shift")), ["user_id"], [F.col("event_id")], F.col("gain"), F.col("shift"), "fps")
+    return got.select("user_id", "event_id", F.round("fps", 9).alias("fps"))
+
+
+@query(
+    f"""WITH RECURSIVE {NUMBERED}, t AS (SELECT *, CASE WHEN event_type <> 'error' THEN value END AS target FROM e), r AS (
+  SELECT user_id, event_id, n, target AS v FROM t WHERE n = 1
+  UNION ALL SELECT t.user_id, t.event_id, t.n, CASE WHEN t.target IS NULL THEN NULL WHEN r.v IS NULL THEN t.target ELSE r.v + (t.target - r.v) * (1 - exp(-greatest(0, t.dt) * 0.014::DOUBLE)) END
+  FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1)
+SELECT user_id, event_id, round(v, 6) AS smoothed FROM r"""
+)
+def smoothed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that follow their targets at one rate, taken anew after errors."""
+    rows = timed(spark, sf_dir).withColumn("target", F.when(F.col("event_type") != "error", F.col("value"))).select("user_id", "event_id", "dt", "target")
+    got = A.follow(rows, ["user_id"], [F.col("event_id")], F.col("target"), F.col("dt"), 0.014, "smoothed")
+    return got.select("user_id", "event_id", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query(
+    f"""WITH RECURSIVE {NUMBERED}, t AS (SELECT *, sin(value / 200) AS s, cos(value / 200) AS c FROM e), r AS (
+  SELECT user_id, event_id, n, s AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, c AS w FROM t WHERE n = 1
+  UNION ALL SELECT t.user_id, t.event_id, t.n,
+    CASE WHEN t.n % 2 = 1 THEN r.w * s + r.x * c ELSE r.x * c - r.z * s END, CASE WHEN t.n % 2 = 1 THEN r.y * c + r.z * s ELSE r.w * s + r.y * c END,
+    CASE WHEN t.n % 2 = 1 THEN r.z * c - r.y * s ELSE r.z * c + r.x * s END, CASE WHEN t.n % 2 = 1 THEN r.w * c - r.x * s ELSE r.w * c - r.y * s END
+  FROM r JOIN t ON t.user_id = r.user_id AND t.n = r.n + 1)
+SELECT user_id, event_id, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z, round(w, 9) AS w FROM r"""
+)
+def camera_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orientations of each user's camera after turns about its own x and y axes in turn."""
+    e = in_groups(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], [F.col("event_id")], unique=True)
+    turn = {"qx": F.when(F.col("place") % 2 == 0, F.sin(F.col("value") / 200)).otherwise(0.0), "qy": F.when(F.col("place") % 2 == 1, F.sin(F.col("value") / 200)).otherwise(0.0), "qz": F.lit(0.0), "qw": F.cos(F.col("value") / 200)}
+    got = A.orientations(e.select("user_id", "event_id", *(v.alias(k) for k, v in turn.items())), ["user_id"], [F.col("event_id")])
+    return got.select("user_id", "event_id", *((F.round(f"q.{k}", 9) + F.lit(0.0)).alias(k) for k in "xyzw"))
+
+
 @query(
     f"""WITH RECURSIVE {NUMBERED}, t AS (SELECT *, value / 100 AS speed, event_type <> 'view' AS grounded, value / 10 - 3 AS vertical FROM e), r AS (
   SELECT user_id, event_id, n, CASE WHEN NOT grounded AND speed < 0.12 AND vertical <= -0.85 THEN 'Idle' WHEN speed > 0.12 THEN 'Walk' ELSE 'Idle' END AS mode,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.ordering import with_neighbours
+
 
 def _late(rows: DataFrame, ts: str, watermark: str | None) -> DataFrame:
     return rows.withWatermark(ts, watermark) if watermark and rows.isStreaming else rows
@@ -46,10 +48,10 @@ def rendered(frames: DataFrame, dirty: list[Column]) -> DataFrame:
 def resorts(poses: DataFrame, key: str, order: list[str], moved: float = 0.1, turned: float = 0.99999) -> DataFrame:
     """`poses` (`x, y, z` and a direction `fx, fy, fz`) with `resort`: whether a pose is so far from the one before, in
     place or direction, that its splats are sorted anew; the first always is."""
-    w = Window.partitionBy(key).orderBy(*order)
-    d2 = sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in "xyz"), F.lit(0.0))
-    cos = sum((F.col(f"f{c}") * F.lag(f"f{c}").over(w) for c in "xyz"), F.lit(0.0))
-    return poses.withColumn("resort", F.coalesce((d2 > moved**2) | (cos < turned), F.lit(True)))
+    got = with_neighbours(poses, [key], [F.col(c) for c in order], ["x", "y", "z", "fx", "fy", "fz"])
+    d2 = sum(((F.col(c) - F.col(f"prev.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    cos = sum((F.col(f"f{c}") * F.col(f"prev.f{c}") for c in "xyz"), F.lit(0.0))
+    return got.withColumn("resort", F.coalesce((d2 > moved**2) | (cos < turned), F.lit(True))).drop("prev", "next")
 
 
 def cached(wanted: DataFrame, cache: DataFrame, key: str, version: str | None = None) -> DataFrame:
