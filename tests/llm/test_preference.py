@@ -53,12 +53,32 @@ def test_pair_records(spark):
     chosen = [(1, 0, "user", "q", ""), (1, 1, "assistant", "yes", ""), (1, 2, "user", "so", ""), (1, 3, "assistant", "fine", ""), (None, 0, "user", "n", ""), (5, 0, "assistant", "z" * 900, "")]
     rejected = [(1, 0, "user", "q", ""), (1, 1, "assistant", "no", ""), (None, 0, "user", "n", ""), (5, 0, "assistant", "y" * 900, "")]
     segments = format_preferences(spark.createDataFrame(chosen, TURNS), spark.createDataFrame(rejected, TURNS))
-    records, long = pair_records(segments, 1000)
-    got = {r.pair_id: r for r in records.collect()}
-    assert set(got) == {1, None} and {r.pair_id for r in long.collect()} == {5} and long.columns == segments.columns
+    records = pair_records(segments, 1000)
+    rows = sorted(records.collect(), key=lambda r: r.piece)
+    got = {r.pair_id: r for r in rows if r.piece == 0}
+    assert set(got) == {1, None, 5}
     assert (got[1].prompt, got[1].rejected) == (seg("user", "q"), seg("assistant", "no"))
     assert got[1].chosen == seg("assistant", "yes") + seg("user", "so") + seg("assistant", "fine")
     trained = lambda text, masks: [text[m["from"] : m["to"]] for m in masks]
     assert trained(got[1].chosen, got[1].chosen_masks) == ["yes<|end|>\n", "fine<|end|>\n"] and trained(got[1].rejected, got[1].rejected_masks) == ["no<|end|>\n"]
     assert (got[None].prompt, got[None].chosen, got[None].chosen_masks) == (seg("user", "n"), "", [])
-    assert pair_records(segments.where("false"))[0].count() == 0
+    long = [r for r in rows if r.pair_id == 5]
+    assert "".join(r.chosen for r in long) == seg("assistant", "z" * 900) and "".join(r.rejected for r in long) == seg("assistant", "y" * 900)
+    assert [t for r in long for side in ("chosen", "rejected") for t in trained(r[side], r[f"{side}_masks"])] == ["z" * 900 + "<|end|>\n", "y" * 900 + "<|end|>\n"]
+    assert pair_records(segments.where("false")).count() == 0
+
+
+def test_long_pairs_come_in_pieces(spark):
+    """Pieces joined are the whole pair, whatever their size, with repeated rows and null turns."""
+    turns = [(k, i if i else None, ["user", "assistant"][i % 2], f"turn {i} of {k} " * (i % 5), "") for k in (1, 2, None) for i in range(30)] + [(1, 4, "user", "again", "")] * 2
+    other = [(k, t, r, x + "!" if t and t > 9 else x, "") for k, t, r, x, _ in turns]
+    segments = format_preferences(spark.createDataFrame(turns, TURNS), spark.createDataFrame(other, TURNS))
+    whole = {r.pair_id: r for r in pair_records(segments).collect()}
+    for size in (1, 100, 700):
+        for pair, want in whole.items():
+            rows = sorted((r for r in pair_records(segments, size).collect() if r.pair_id == pair), key=lambda r: r.piece)
+            assert len(rows) > 1
+            for c in ("prompt", "chosen", "rejected"):
+                assert "".join(r[c] for r in rows) == want[c]
+            for c in ("chosen", "rejected"):
+                assert [r[c][m["from"] : m["to"]] for r in rows for m in r[f"{c}_masks"]] == [want[c][m["from"] : m["to"]] for m in want[f"{c}_masks"]]

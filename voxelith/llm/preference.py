@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelith.ordering import in_groups
+from voxelith.storage import materialise
+
 #: Marks of a rendered turn; the text stands between HEAD and TAIL.
 HEAD, TAIL = "<|{role}|>\n", "<|end|>\n"
-#: Characters of a pair that fit into one record.
+#: Characters of a pair that fit into one record, and of a longer pair's pieces.
 MAX_CHARS = 4 << 20
 
 
@@ -60,18 +63,29 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, trained_role: str
     )
 
 
-def pair_records(segments: DataFrame, max_chars: int = MAX_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(`pair_id, prompt, chosen, rejected, chosen_masks, rejected_masks` per pair, the segments of pairs that are too long).
+def pair_records(segments: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """`pair_id, piece, prompt, chosen, rejected, chosen_masks, rejected_masks`: a row per pair, piece 0.
 
     A record holds what format_preferences() gave as rows: the prompt, and two completions with the spans `from, to` of
-    each that are trained on. Pairs of more than `max_chars` characters stay as rows, which is what they are whole in; no
-    pair is lost. No segments of a part make an empty text without spans. Null pair_ids are one pair.
+    each that are trained on. Pairs of more than `max_chars` characters come in pieces of about that many, numbered from
+    0: prompt, then chosen, then rejected. A pair's texts are those of its pieces one after another, and spans count from
+    the start of their piece's text; a segment is never cut. No segments of a part make an empty text without spans. Null
+    pair_ids are one pair. Pieces of long pairs are found by one order of all their segments, so no pair is one task's work.
     """
+    segments = materialise(segments, "preference-segments")
     size = segments.groupBy(F.col("pair_id").alias("z_id")).agg(F.sum("n_chars").alias("chars"))
-    sized = segments.join(size, F.col("pair_id").eqNullSafe(F.col("z_id")))
+    long = materialise(size.where(F.col("chars") > max_chars).select("z_id"), "preference-long")
+    same = F.col("pair_id").eqNullSafe(F.col("z_id"))
+    whole = segments.join(long, same, "left_anti").withColumn("piece", F.lit(0).cast("bigint"))
+    if not long.isEmpty():
+        part = F.array_position(F.array(*map(F.lit, ("prompt", "chosen", "rejected"))), F.col("part"))
+        cut = segments.join(long, same, "left_semi").withColumnRenamed("place", "nth")
+        cut = in_groups(cut, ["pair_id"], [part, F.col("turn"), F.col("nth")], size="n_chars", name="preference-pieces")
+        cut = cut.drop("place").withColumnRenamed("nth", "place").withColumn("piece", F.expr(f"before div {max_chars}"))
+        whole = whole.unionByName(cut.select(whole.columns))
     row = F.struct(F.col("turn").isNotNull().alias("known"), "turn", "place", "rendered", "mask_from", "mask_to", "n_chars")
     of = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, row))).alias(part)
-    out = sized.where(F.col("chars") <= max_chars).groupBy("pair_id").agg(*map(of, ("prompt", "chosen", "rejected")))
+    out = whole.groupBy("pair_id", "piece").agg(*map(of, ("prompt", "chosen", "rejected")))
     text = lambda part: F.concat_ws("", F.transform(part, lambda r: r["rendered"]))
 
     def masks(part: str) -> Column:
@@ -80,8 +94,7 @@ def pair_records(segments: DataFrame, max_chars: int = MAX_CHARS) -> tuple[DataF
         step = lambda acc, r: F.struct((acc["at"] + r["n_chars"]).alias("at"), F.when(r["mask_to"] > 0, F.concat(acc["spans"], F.array(span(acc, r)))).otherwise(acc["spans"]).alias("spans"))
         return F.aggregate(part, start, step, lambda acc: acc["spans"])
 
-    records = out.select("pair_id", *(text(p).alias(p) for p in ("prompt", "chosen", "rejected")), *(masks(p).alias(f"{p}_masks") for p in ("chosen", "rejected")))
-    return records, sized.where(F.col("chars") > max_chars).select(segments.columns)
+    return out.select("pair_id", "piece", *(text(p).alias(p) for p in ("prompt", "chosen", "rejected")), *(masks(p).alias(f"{p}_masks") for p in ("chosen", "rejected")))
 
 
 def reply_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

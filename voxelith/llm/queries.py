@@ -15,7 +15,7 @@ from voxelith.llm.mixing import mix_report
 from voxelith.llm.near_dedup import near_report
 from voxelith.llm.ngram_join import join_report
 from voxelith.llm.pieces import encode
-from voxelith.llm.preference import format_preferences, reply_pairs
+from voxelith.llm.preference import format_preferences, pair_records, reply_pairs
 from voxelith.llm.quality import quality_report
 from voxelith.llm.sharding import assign_shards
 from voxelith.llm.toxicity import toxicity_report
@@ -59,7 +59,10 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(*reply_pairs(table(spark, sf_dir, "conversations")))
+    """A row per pair: its prompt, and both completions with the spans of them that are trained on, as from:to in order."""
+    pairs = pair_records(format_preferences(*reply_pairs(table(spark, sf_dir, "conversations"))))
+    told = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["from"].cast("string"), m["to"].cast("string"))), ",")
+    return pairs.withColumns({c: told(c) for c in ("chosen_masks", "rejected_masks")})
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +163,11 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   FROM b JOIN s USING (pair_id), LATERAL (VALUES ('chosen', chosen), ('rejected', rejected)) v(side, txt)
   WHERE side = 'chosen' OR coalesce(turn >= split, false)
 ), o AS (SELECT *, '<|' || role || '|>' || chr(10) || txt || '<|end|>' || chr(10) AS rendered, part <> 'prompt' AND role = 'assistant' AS trained FROM u)
-SELECT pair_id, part, turn, 0 AS place, role, rendered, (CASE WHEN trained THEN 5 + length(role) ELSE 0 END)::INT AS mask_from,
-  (CASE WHEN trained THEN length(rendered) ELSE 0 END)::INT AS mask_to, length(rendered)::INT AS n_chars FROM o
+SELECT pair_id, 0::BIGINT AS piece, coalesce(string_agg(rendered, '' ORDER BY turn NULLS FIRST) FILTER (part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(rendered, '' ORDER BY turn NULLS FIRST) FILTER (part = 'chosen'), '') AS chosen, coalesce(string_agg(rendered, '' ORDER BY turn NULLS FIRST) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY turn NULLS FIRST) FILTER (part = 'chosen' AND trained), '') AS chosen_masks, coalesce(string_agg(span, ',' ORDER BY turn NULLS FIRST) FILTER (part = 'rejected' AND trained), '') AS rejected_masks
+FROM (SELECT *, (upto - length(rendered) + 5 + length(role))::BIGINT || ':' || upto::BIGINT AS span
+  FROM (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto FROM o)) GROUP BY pair_id
 """,
     "op8_warc": """
 WITH d AS (
