@@ -8,8 +8,6 @@ import numpy as np
 
 #: Buckets of feature hashes (a power of two) and characters of the buffers that are worked on at once.
 BITS, PIECE = 22, 1 << 17
-#: A word that crosses the end of a buffer is cut if it's longer than this; the parts count as words.
-LONG_WORD = 1_000
 GRAMS = (4, 5)
 ENDS = ".!?\n"
 U32, U64 = np.uint32, np.uint64
@@ -86,14 +84,14 @@ def _features(lowered: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
 
 
 def _cuts(text: str) -> Iterator[str]:
-    """Parts of a long text; they end between words where there's a word end within LONG_WORD characters."""
+    """Parts of a long text. They end between words, so a word of up to PIECE characters is never cut; a longer one is cut
+    into parts of PIECE characters from its own start, wherever in the text it stands."""
     at = 0
     while len(text) - at > PIECE:
-        stop = at + PIECE
-        back = stop
-        while back > stop - LONG_WORD and (text[back - 1].isalnum() or text[back - 1] == "_"):
+        stop = back = at + PIECE
+        while back > at and (text[back - 1].isalnum() or text[back - 1] == "_"):
             back -= 1
-        if back > stop - LONG_WORD:
+        if back > at:
             stop = back
         yield text[at:stop]
         at = stop
