@@ -1,10 +1,14 @@
 """The Markdown corpus: files kept in step with pages, indexes, reports, and what is scraped from sources."""
 
+import time
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from voxelith.functions import text as T
 from voxelith.operators import corpus as C
+from voxelith.operators import corpus_pages as P
 from voxelith.sources import markdown_corpus
 from voxelith.sources.files import listed
 
@@ -65,11 +69,85 @@ def test_manual_and_api_links(spark):
 
 def test_scraped_sources(spark, tmp_path):
     text = "export const all = [{ code: 'en' }, {code:  \"zh\"}] as const;"
-    row = spark.createDataFrame([(text,), ("none",)], "s string").select(T.locale_codes(F.col("s")).alias("c"), T.json_part(F.col("s")).alias("j")).collect()
-    assert [tuple(r) for r in row] == [(["en", "zh"], "{ code: 'en' }, {code:  \"zh\"}"), ([], None)]
+    df = spark.createDataFrame([(text,), ("none",), (None,)], "s string")
+    assert [r.j for r in df.select(T.json_part(F.col("s")).alias("j")).collect()] == ["{ code: 'en' }, {code:  \"zh\"}", None, None]
+    assert [r.c for r in df.where("s IS NULL OR s <> 'none'").select(T.locale_codes(F.col("s")).alias("c")).collect()] == [["en", "zh"], None]
+    with pytest.raises(PySparkException, match="no locale"):
+        df.select(T.locale_codes(F.col("s"))).collect()
     for name in ("a.md", "x/b.md", "node/c.md", "x/node/d.md", "x/e.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("")
     names = lambda **k: [p.removeprefix(f"{tmp_path}/") for p, _ in listed(str(tmp_path), ".md", **k)]
     assert names() == ["a.md", "node/c.md", "x/b.md", "x/node/d.md"]
     assert names(skip=("node",)) == ["a.md", "x/b.md"]
+
+
+def test_constants_of_sources(spark):
+    good = 'export const manifest = {"entries": [{"slug": "a/b", "title": "b"}]} as const;\n\nexport type M = 1;'
+    rows = [(good,), (good.replace("manifest", "other"),), ("x" + good,), (good.replace('"entries"', "entries: {"),), (None,)]
+    kind = "entries array<struct<slug:string,title:string>>"
+    got = [r.m for r in spark.createDataFrame(rows, "s string").select(T.constant_json(F.col("s"), "manifest", kind).alias("m")).collect()]
+    assert [(e.slug, e.title) for e in got[0].entries] == [("a/b", "b")]
+    assert all(m is None or m.entries is None for m in got[1:])
+
+
+def test_manual_links_by_segments(spark):
+    links = {
+        "../../examples/a/": "../examples/a.md", "../../api/": "../api/index.md", "../../manual/x/y?q#h": "../manual/x/y.md?q#h", "../../other/x": None, "../examples/a": None, "b.md#h": "b.md#h", "b.MD": None,
+        "": None, "#h": None, "/root/x.md": None, "https://a/x.md": None, "api:N.T#m": "../api/n/t.md", "img.png": None, "../../api/t.md": "../api/t.md.md",
+    }
+    df = spark.createDataFrame([(h,) for h in links], "h string").select("h", T.manual_href(F.col("h"), F.lit("n/t")).alias("t"))
+    assert {r.h: r.t for r in df.collect()} == links
+
+
+def test_nested_marks_are_linear():
+    def took(n):
+        began = time.perf_counter()
+        T.markdown_of("<b> " * n + "x" + "</b>" * n)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 16 * 4 * max(took(1000), 0.005)
+    assert T.markdown_of("<p><b><i> a</i> b </b> c</p>") == "***a* b** c"
+
+
+def test_violations_are_named(spark):
+    bad = spark.createDataFrame([(1, "x"), (2, "y")], "id int, what string")
+    got = C.violations({"a": (bad, F.col("what")), "b": (bad.where("id > 1"), F.concat_ws(":", "id", "what")), "c": (bad.where("false"), F.col("id"))})
+    assert sorted(map(tuple, got.collect())) == [("a", "x"), ("a", "y"), ("b", "2:y")]
+
+
+def test_a_corpus_from_its_sources(spark, tmp_path):
+    """Files of all three kinds, read, converted, indexed and written."""
+    source = {
+        "manual/start.md": "---\ntitle: Start\ndescription: How to begin\norder: 2\n---\n\nSee [it](api:Box), [ex](../../examples/one/#run) \"quoted\" and ![pic](./img/a.png \"A\").\n[![logo](logo.png)](https://a.example/)\n",
+        "manual/deep/more.md": "no front matter, [gone](api:None) and ![root](/r.png)",
+        "examples/one.json": '{"title": {"en": "One", "de": "Eins"}, "tags": ["a", "b"], "order": 1}',
+        "examples/one.ts": "const x = 1;\n\n",
+        "examples/two.json": "{}",
+    }
+    for name, text in source.items():
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_text(text)
+    read = lambda folder, pattern: P.read_sources(spark, f"{tmp_path}/src/{folder}", pattern)
+    entries = spark.createDataFrame([(1, "Box", "geo", "geo/box"), (2, "Ball", "geo", "geo/ball")], "entry_id bigint, title string, namespace string, slug string")
+    manual = P.manual_pages(read("manual", "*.md"), entries, "../src/manual")
+    html = '<h2>Box</h2><p>Like <a href="/de/api/geo/ball/#r">a ball</a> or <a href="https://a.example/">that</a>.</p>'
+    about = [("geo/box", "Box", "class Box", "A box", "Shapes", "geo", html), ("geo/ball", "Ball", None, None, "geo", "geo", None)]
+    api = P.api_pages(spark.createDataFrame(about, "slug string, title string, signature string, description string, category string, namespace string, html string"), "de")
+    examples = P.example_pages(read("examples", "*.json"), read("examples", "*.ts"), "de", "en")
+    pages = P.corpus({"manual": manual, "api": api, "examples": examples})
+    markdown_corpus.sync(pages, str(tmp_path / "out"))
+    got = files(tmp_path / "out")
+    assert got["manual/start.md"] == (
+        "# Start\n\n> How to begin\n\nSee [it](../api/geo/box.md), [ex](../examples/one.md#run) \"quoted\" and ![pic](../src/manual/img/a.png \"A\").\n[![logo](../src/manual/logo.png)](https://a.example/)\n"
+    )
+    assert got["manual/deep/more.md"] == "# deep/more\n\nno front matter, [gone](api:None) and ![root](/r.png)\n"
+    assert got["manual/index.md"] == "- [deep/more](deep/more.md)\n- [Start](start.md): How to begin\n"
+    assert got["api/geo/box.md"] == "# Box\n\n```ts\nclass Box\n```\n\nCategory: `Shapes` · Namespace: `geo`\n\n> A box\n\n## Box\n\nLike [a ball](./ball.md#r) or [that](https://a.example/).\n"
+    assert got["api/geo/ball.md"] == "# Ball\n\nCategory: `geo`\n"
+    assert got["examples/one.md"] == "# Eins\n\nTags: `a`, `b`\n\nSource: `one.ts`\n\n```ts\nconst x = 1;\n```\n"
+    assert got["examples/two.md"] == "# two\n\nSource: `two.ts`\n\n```ts\n\n```\n"
+    assert got["examples/index.md"] == "- [Eins](one.md)\n- [two](two.md)\n"
+    assert got["index.md"] == "- [manual](manual/index.md): 2 pages\n- [api](api/index.md): 2 pages\n- [examples](examples/index.md): 2 pages\n"
+    assert len(got) == 10

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -191,18 +192,43 @@ def relative_md(source: Column, target: Column) -> Column:
     return F.concat(F.when(ups == 0, F.lit("./")).otherwise(F.repeat(F.lit("../"), ups)), down, F.lit(".md"))
 
 
+#: The sections that a manual page may point to.
+SECTIONS = ("examples", "api", "manual")
+
+
 def manual_href(href: Column, slug: Column) -> Column:
     """A manual page's link as the Markdown corpus has it, null if it stays as it is; `slug` is the page of an api: link.
 
-    Links to other sections (fixed form: up twice, then the section) become pages of that section, a section alone its
-    index. Links to Markdown pages stay; external links, root links and fragments aren't rewritten.
+    Links to other sections (two folders up, then the section) become pages of that section, a section alone its index.
+    Links to Markdown pages stay; external links, root links and fragments aren't rewritten.
     """
-    place = r"^\.\./\.\./(examples|api|manual)/([^?#]*?)/{0,2}([?#].*)?$"
-    section, page, rest = (F.regexp_extract(href, place, i) for i in (1, 2, 3))
-    other = F.concat(F.lit("../"), section, F.lit("/"), F.when(page == "", F.lit("index")).otherwise(page), F.lit(".md"), rest)
-    untouched = href.rlike("^(https?://|[#/]|$)")
+    path, tail = split_trailing(href)
+    parts = F.split(path, "/")
+    outside = (F.size(parts) > 3) & (F.get(parts, F.lit(0)) == "..") & (F.get(parts, F.lit(1)) == "..") & F.get(parts, F.lit(2)).isin(*SECTIONS)
+    page = F.array_join(F.filter(F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0))), lambda p: p != ""), "/")
+    page = F.concat(F.lit("../"), F.get(parts, F.lit(2)), F.lit("/"), F.when(page == "", "index").otherwise(page), F.lit(".md"), tail)
+    untouched = (href == "") | is_external(href) | F.startswith(href, F.lit("/")) | F.startswith(href, F.lit("#"))
     api = F.concat(F.lit("../api/"), slug, F.lit(".md"))
-    return F.when(untouched, F.lit(None)).when(is_api(href), api).when(section != "", other).when(href.rlike(r"\.md([?#]|$)"), href)
+    return F.when(is_api(href), api).when(untouched, F.lit(None)).when(outside, page).when(F.endswith(path, F.lit(".md")), href)
+
+
+def site_href(href: Column, page: Column, locale: Column, slug: Column) -> Column:
+    """A manual page's link as the web site has it, null if it stays as it is.
+
+    `page` is the Markdown page's path in its locale's folder, `slug` the page of an api: link. Links to Markdown pages
+    inside that folder become routes of the manual, others that lead out of it, to other files or to the web stay. What
+    follows from the first ? or # is kept.
+    """
+    path, tail = split_trailing(href)
+    folder = F.regexp_replace(page, "[^/]*$", "")
+    parts = F.split(F.concat(folder, path), "/")
+    depth = lambda acc, p: F.when(p == "..", acc - 1).when((p == "") | (p == "."), acc).otherwise(acc + 1)
+    step = lambda acc, p: F.struct(depth(acc["at"], p).alias("at"), F.least(acc["least"], depth(acc["at"], p)).alias("least"))
+    inside = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), step, lambda acc: acc["least"]) >= 0
+    to = F.regexp_replace(normalise_path(F.lit(""), F.concat(folder, path)), r"(?i)\.md$", "")
+    route = F.concat(F.lit("/"), locale, F.lit("/manual/"), to, F.lit("/"), tail)
+    api = F.concat(F.lit("/"), locale, F.lit("/api/"), slug, F.lit("/"), tail)
+    return F.when(is_api(href), api).when(is_local(href) & F.lower(path).endswith(".md") & inside & (to != ""), route)
 
 
 def api_symbol(href: Column) -> Column:
@@ -221,8 +247,9 @@ def api_href(href: Column, current: Column, locale: str) -> Column:
 
 
 def locale_codes(source: Column) -> Column:
-    """The codes in a source text that lists locales as `code: '...'`, in order."""
-    return F.regexp_extract_all(source, F.lit(r"""code:\s*["']([^"']+)["']"""), F.lit(1))
+    """The codes in a source text that lists locales as `code: '...'`, in order; a text without one is an error, null stays null."""
+    found = F.regexp_extract_all(source, F.lit(r"""code:\s*["']([^"']+)["']"""), F.lit(1))
+    return F.when(F.size(found) == 0, F.raise_error(F.lit("no locale in the source"))).otherwise(found)
 
 
 def json_part(source: Column) -> Column:
@@ -231,6 +258,15 @@ def json_part(source: Column) -> Column:
     return F.when(found != "", found)
 
 
+def constant_json(source: Column, name: str, schema: str) -> Column:
+    """The value of `export const <name> = ... as const;` in a source text, parsed by `schema`.
+
+    Null without such a constant at the text's start, and where it's no JSON of that schema's kind.
+    """
+    value = F.regexp_extract(source, rf"(?s)^export const {re.escape(name)} = (.*?) as const;\s*export type ", 1)
+    return F.from_json(F.when(value != "", value), schema)
+
+
 def split_urls(c: Column) -> Column:
     return F.filter(F.split(c, r"[\s,]+"), lambda x: x != "")
 
@@ -272,7 +308,7 @@ class _Fence(str):
 class _Page(HTMLParser):
     """Markdown of one page, in one pass over its events.
 
-    `out` has the pieces so far, `open` the open tags with the place of each in `out`, where a mark can be put when the
+    `out` has the pieces so far, `filled` the places of those that aren't blank, `open` the open tags with the place of each in `out`, where a mark can be put when the
     end tag comes; a tag that is never closed leaves no mark. Work is linear in the page's length.
     """
 
@@ -284,14 +320,21 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
+        self.filled: list[int] = []
         self.open: list[tuple[str, int, str]] = []
         self.count: Counter[str] = Counter()
         self.lists: list[list] = []
         self.item: int | None = None
 
+    def _put(self, piece: str) -> None:
+        if piece.strip():
+            self.filled.append(len(self.out))
+        self.out.append(piece)
+
     def _take(self, at: int) -> str:
         text = "".join(self.out[at:])
         del self.out[at:]
+        del self.filled[bisect_left(self.filled, at) :]
         return text
 
     def _end_item(self) -> None:
@@ -303,30 +346,30 @@ class _Page(HTMLParser):
         self.item = None
         if text:
             self.lists[-1][1] = n + 1
-            self.out.append("  " * min(len(self.lists) - 1, 20) + (f"{n + 1}. " if kind == "ol" else "- ") + text + "\n")
+            self._put("  " * min(len(self.lists) - 1, 20) + (f"{n + 1}. " if kind == "ol" else "- ") + text + "\n")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         about = dict(attrs)
         if tag in ("br", "wbr", "img", "hr", "input", "meta", "link"):
             if tag == "br" and not self.count["svg"]:
-                self.out.append("\n")
+                self._put("\n")
             return
         if tag == "a" and self.count["a"]:
             self.handle_endtag("a")
         if tag in ("ul", "ol"):
             self._end_item()
-            self.out.append("\n\n" if not self.lists else "")
+            self._put("\n\n" if not self.lists else "")
             self.lists.append([tag, 0])
         elif tag == "li" and self.lists:
             self._end_item()
             self.item = len(self.out)
         elif tag in self.BLOCKS or tag in self.HEADINGS or tag == "pre":
-            self.out.append("\n\n")
+            self._put("\n\n")
         note = about.get("href") if tag == "a" else about.get("class") if tag == "code" else None
         self.open.append((tag, len(self.out), note or ""))
         self.count[tag] += 1
         if tag in self.MARKS:
-            self.out.append("")
+            self._put("")
 
     def handle_endtag(self, tag: str) -> None:
         if not self.count[tag]:
@@ -337,40 +380,43 @@ class _Page(HTMLParser):
             if name in ("ul", "ol") and self.lists:
                 self._end_item()
                 self.lists.pop()
-                self.out.append("\n" if not self.lists else "")
+                self._put("\n" if not self.lists else "")
             if name == tag:
                 break
         if tag in self.MARKS:
             self._wrap(at, self.MARKS[tag])
         elif tag == "a":
             text = self._take(at).strip()
-            self.out.append(f"[{text}]({note})" if text and note else text or note)
+            self._put(f"[{text}]({note})" if text and note else text or note)
         elif tag == "code" and not self.count["pre"]:
-            self.out.append("`" + self._take(at).replace("`", "\\`") + "`")
+            self._put("`" + self._take(at).replace("`", "\\`") + "`")
         elif tag == "code":
             self.language = re.search(r"language-([\w-]+)", note)
         elif tag == "pre":
             language, self.language = getattr(self, "language", None), None
-            self.out += [_Fence(f"```{language[1] if language else ''}\n{self._take(at).strip(chr(10))}\n```"), "\n\n"]
+            self._put(_Fence(f"```{language[1] if language else ''}\n{self._take(at).strip(chr(10))}\n```"))
+            self._put("\n\n")
         elif tag in self.HEADINGS:
             text = " ".join(self._take(at).split())
-            self.out.append(f"{'#' * int(tag[1])} {text}\n\n" if text else "")
+            self._put(f"{'#' * int(tag[1])} {text}\n\n" if text else "")
         elif tag == "li":
             self._end_item()
         elif tag in self.BLOCKS:
-            self.out.append("\n\n")
+            self._put("\n\n")
 
     def _wrap(self, at: int, mark: str) -> None:
-        first = next((k for k in range(at + 1, len(self.out)) if self.out[k].strip()), None)
-        if first is not None:
+        k = bisect_left(self.filled, at + 1)
+        if k < len(self.filled):
+            first = self.filled[k]
             self.out[first] = self.out[first].lstrip()
             self.out[-1] = self.out[-1].rstrip()
             self.out[at] = mark
-            self.out.append(mark)
+            self.filled.insert(k, at)
+            self._put(mark)
 
     def handle_data(self, data: str) -> None:
         if not any(self.count[t] for t in self.UNSEEN):
-            self.out.append(data)
+            self._put(data)
 
     def markdown(self) -> str:
         self.close()

@@ -120,6 +120,17 @@ def report(checks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def violations(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """`rule, subject`: a row for each row that breaks a check, with a text that names it; see report() for the counts."""
+    out = None
+    for rule, (rows, subject) in checks.items():
+        some = rows.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"))
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        raise ValueError("no checks")
+    return out
+
+
 def index_pages(entries: DataFrame, section: str, per_page: int = 5000) -> DataFrame:
     """`path, content`: a section's index of `entries` (`slug, title, description, order`), in order, `per_page` to a page.
 

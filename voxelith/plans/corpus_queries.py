@@ -136,10 +136,10 @@ def missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.broken(links(spark, sf_dir), paths, "href", "path")
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity < 1.5)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def orphan_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "lineitem").where("l_quantity < 1.5")
-    return C.orphans(table(spark, sf_dir, "supplier").select("s_suppkey"), used, "s_suppkey", "l_suppkey")
+    """Customers that no order names."""
+    return C.orphans(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
 
 
 @query(
@@ -303,6 +303,30 @@ def content_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report({rule: f(spark, sf_dir) for rule, f in _RULES.items()})
 
 
+#: How a row that breaks a rule is named, in SQL that both engines know.
+_SUBJECTS = {"links": "page_id || ' ' || href", "assets": "'customer ' || c_custkey", "parity": "lang || '/' || slug || ' ' || problem", "outputs": "action || ' ' || key"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, {_SUBJECTS[rule]} AS subject FROM ({SQL[f.__name__]})" for rule, f in _RULES.items()))
+def content_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each violation of the content report's checks."""
+    return C.violations({rule: (f(spark, sf_dir), F.expr(_SUBJECTS[rule])) for rule, f in _RULES.items()})
+
+
+_PAGE = """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'api:T#m' WHEN 1 THEN 'p' || o_custkey || '.md?q' WHEN 2 THEN './a/../b' || o_custkey || '.MD' WHEN 3 THEN '../up' || o_custkey || '.md#h' WHEN 4 THEN '../../out.md'
+  WHEN 5 THEN 'https://a.example/x.md' WHEN 6 THEN '/root.md' WHEN 7 THEN '#h' ELSE 'image.png' END AS href FROM {orders}"""
+
+
+@query(
+    rf"""SELECT o_orderkey, href, CASE o_orderkey % 9 WHEN 0 THEN '/de/api/ns/t/#m' WHEN 1 THEN '/de/manual/guide/p' || replace(substr(href, 2), '.md?q', '') || '/?q' WHEN 2 THEN '/de/manual/guide/b' || replace(substr(href, 9), '.MD', '') || '/'
+  WHEN 3 THEN '/de/manual/up' || replace(substr(href, 6), '.md#h', '') || '/#h' END AS target FROM ({_PAGE.format(orders="orders")})"""
+)
+def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the manual page guide/page.md as the web site has them."""
+    asked = spark.sql(_PAGE, orders=table(spark, sf_dir, "orders"))
+    return asked.select("o_orderkey", "href", T.site_href(F.col("href"), F.lit("guide/page.md"), F.lit("de"), F.lit("ns/t")).alias("target"))
+
+
 @query(
     """SELECT s_suppkey, ['PLY', 'SPLAT', 'NAME', 'Unknown'][s_suppkey % 4 + 1] AS label, ['2,3', '', '2,6', '4'][s_suppkey % 4 + 1] AS signature FROM supplier"""
 )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxelith.functions import text as T
 from voxelith.functions.vectors import Vec
 from voxelith.operators import scene as N
+from voxelith.operators.trees import from_root
 from voxelith.plans.carriers import table
 from voxelith.plans.registry import SQL, query
 
@@ -19,6 +20,19 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), F.when(F.col("s_suppkey") <= 1, F.lit(0)).otherwise(F.expr("s_suppkey div 3")).alias("parent_id"), kind.alias("kind"))
 
 
+@query(
+    f"""WITH RECURSIVE n AS ({NODES}), t AS (
+  SELECT node_id, node_id AS root, 0::BIGINT AS depth, node_id AS total FROM n WHERE parent_id = node_id OR parent_id NOT IN (SELECT node_id FROM n)
+  UNION ALL SELECT n.node_id, root, depth + 1, total + n.node_id FROM t JOIN n ON n.parent_id = t.node_id AND n.parent_id <> n.node_id)
+SELECT node_id, root, depth, total::BIGINT AS total FROM t"""
+)
+def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's root, how deep it is and the sum of the ids on the way, in as many rounds as the depth's logarithm."""
+    n = nodes(spark, sf_dir).withColumn("parent_id", F.nullif("parent_id", "node_id"))  # a node above itself is a root
+    got = from_root(n, [], "node_id", "parent_id", F.col("node_id"), lambda above, own: above + own, "total")
+    return got.select("node_id", "root", "depth", "total")
+
+
 @query(
     f"""WITH RECURSIVE n AS ({NODES}), t AS (SELECT node_id, 1 AS depth FROM n WHERE parent_id = 1 UNION ALL SELECT n.node_id, depth + 1 FROM t JOIN n ON n.parent_id = t.node_id)
 SELECT depth, count(*) AS n FROM t JOIN n USING (node_id) WHERE kind IN ('mesh', 'splat', 'sprite', 'points', 'line') GROUP BY depth"""

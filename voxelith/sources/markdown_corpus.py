@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.operators.corpus import stale
-from voxelith.sources.files import listed, opened
+from voxelith.sources.files import opened
 from voxelith.storage import materialise
 
 
@@ -42,9 +42,19 @@ def sync(pages: DataFrame, root: str, path: str = "path", content: str = "conten
                 out.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["path", "hash"])
 
-    names = [(p[len(base.rstrip("/")) + 1 :],) for p, _ in listed(root, "")]  # as Spark's own readers list files
-    parts = spark.createDataFrame(names, "path string").repartition(max(1, len(names) // 1000), "path")
-    have = parts.mapInArrow(hashed, "path string, hash string")
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opened(root)
+        for b in batches:
+            for folder, deep in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = store.get_file_info(pafs.FileSelector(f"{top}/{folder}", recursive=True)) if deep else [store.get_file_info(f"{top}/{folder}")]
+                names = [f.path[len(top.rstrip("/")) + 1 :] for f in found if f.type == pafs.FileType.File]
+                for i in range(0, len(names), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 10_000], pa.string())], names=["path"])
+
+    # The driver only lists what is in the folder itself; tasks list the folders in it.
+    top = [(f.path[len(base.rstrip("/")) + 1 :], f.type == pafs.FileType.Directory) for f in fs.get_file_info(pafs.FileSelector(base))]
+    some = spark.createDataFrame(top, "path string, deep boolean").repartition(max(1, min(len(top), 1000)), "path")
+    have = some.mapInArrow(below, "path string").repartition("path").mapInArrow(hashed, "path string, hash string")
     actions = stale(have, want.select("path", F.sha2(F.col("content"), 256).alias("hash")), "path", "hash")
     actions = materialise(actions, "corpus-actions")
 

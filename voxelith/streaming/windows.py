@@ -13,7 +13,11 @@ def _late(rows: DataFrame, ts: str, watermark: str | None) -> DataFrame:
 
 
 def throttle(rows: DataFrame, key: str, ts: str, every: str, value: str, order: list[str], watermark: str | None = None) -> DataFrame:
-    """`key, at, n, value`: the latest value of each key in every window in which it had one."""
+    """`key, at, n, value`: the latest value of each key in every window in which it had one.
+
+    Windows are aligned to the clock, so that they don't depend on each other; a throttle whose windows begin with the first
+    row after the last one's end fires at other times, as often at most.
+    """
     got = _late(rows, ts, watermark).groupBy(F.window(ts, every).alias("w"), key)
     return got.agg(F.count(F.lit(1)).alias("n"), F.max_by(value, F.struct(*order)).alias(value)).select(key, F.col("w.start").alias("at"), "n", value)
 
