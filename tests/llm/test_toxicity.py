@@ -146,6 +146,6 @@ def test_grams_by_sentence():
 def test_features_of_a_long_word_do_not_depend_on_its_place():
     words = lambda t: set(np.concatenate([told[-1][0] for _, _, told in grams.by_sentence([t])]).tolist())
     for size in (3000, grams.PIECE - 5, 2 * grams.PIECE + 77):
-        long = "".join(random.Random(size).choice("abcdefgh") for _ in range(size))
+        long = "".join(random.Random(size).choices("abcdefgh", k=size))
         told = [words("ab " * n + long + " cd") for n in (1, 40_000, 43_600, 44_000, 65_000, 90_001)]
         assert all(t == told[0] for t in told) and len(told[0]) == 3 + (size - 1) // grams.PIECE

@@ -65,6 +65,7 @@ def _features(lowered: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
     for size in GRAMS:
         m = len(c) - size + 1
         if m <= 0:
+            out.append((np.empty(0, U32), np.empty(0, np.int32)))
             continue
         inside = w[1 : m + 1].copy()
         for j in range(2, size - 1):
