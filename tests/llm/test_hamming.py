@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from voxelith.llm import hamming
 from voxelith.llm.hamming import sign_code, top_k
 
 
@@ -60,3 +61,13 @@ def test_null_codes_and_other_columns_through_the_search(spark):
     of = lambda q: sorted((r["rank"], str(r.id), r.distance) for r in got if r.query_id == q)
     assert of(1) == of(None) == [(1, "1", 0), (2, "None", 0), (3, "3", 1)] and of(2) == []
     assert of(3) == sorted([(1, "3", 0), (2, "3", 0), (3, "1", 1)] * 2)
+
+
+def test_probes_are_all_masks_of_a_distance(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "MASKS", 7)
+    monkeypatch.setattr(hamming, "NUMBERS", 16)
+    active = spark.createDataFrame([(-5, None), (77, 3)], "q bigint, kth int")
+    for radius in (0, 1, 3):
+        got = hamming._probes(active, [(0, 6), (58, 6)], radius).collect()
+        want = {(i, q >> shift & 63 ^ m, q, kth) for i, shift in ((0, 0), (1, 58)) for q, kth in ((-5, None), (77, 3)) for m in range(64) if bin(m).count("1") == radius}
+        assert {tuple(r) for r in got} == want and len(got) == len(want)

@@ -9,16 +9,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+#: Tasks, and so vectors, of one sum.
+TASKS = 8
+
 
 def summed(rows: DataFrame, work: Callable[[np.ndarray, Iterator[pa.RecordBatch]], np.ndarray], w: np.ndarray) -> np.ndarray:
-    """The sum of work(w, batches) over the tasks of `rows`, a written table, in order of the tasks, so that reruns agree."""
+    """The sum of work(w, batches) over the tasks of `rows`, a written table, in order of the tasks, so that reruns agree.
+
+    `rows` is a sample of bounded size, so TASKS tasks do; so many vectors come to the driver, however many files it has.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = work(shared.value, batches)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([got.tobytes()])], names=["part", "total"])
 
-    parts = rows.mapInArrow(run, "part bigint, total binary").collect()
+    parts = rows.coalesce(TASKS).mapInArrow(run, "part bigint, total binary").collect()
     shared.destroy()
     total = np.zeros(0)
     for r in sorted(parts, key=lambda r: r.part):

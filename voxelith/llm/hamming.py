@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations, islice
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.storage import materialise
 
-#: Masks that one expression probes; more are probed by several.
-MASKS = 4_000
+#: Probes of a batch, and numbers that are looked through for masks at once.
+MASKS, NUMBERS = 1 << 15, 1 << 20
 
 
 def sign_code(embedding: Column) -> Column:
@@ -34,16 +36,32 @@ def _part(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
 
+def _masks(width: int, radius: int) -> Iterator[np.ndarray]:
+    """All numbers of `width` bits with `radius` of them set, in arrays of bounded size."""
+    for start in range(0, 1 << width, NUMBERS):
+        some = np.arange(start, min(start + NUMBERS, 1 << width), dtype=np.int64)
+        some = some[np.bitwise_count(some) == radius]
+        for k in range(0, len(some), MASKS):
+            yield some[k : k + MASKS]
+
+
 def _probes(active: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
-    """`seg, value, q, kth`: the segment values at this Hamming distance from each query's."""
-    out = None
-    for i, (shift, width) in enumerate(segments):
-        masks = (sum(1 << b for b in c) for c in combinations(range(width), radius))
-        while some := list(islice(masks, MASKS)):
-            flips = F.explode(F.from_json(F.lit(str(some)), "array<bigint>"))
-            rows = active.select(F.lit(i).alias("seg"), flips.alias("mask"), "q", "kth").withColumn("value", _part(F.col("q"), shift, width).bitwiseXOR(F.col("mask"))).drop("mask")
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    """`seg, value, q, kth`: the segment values at this Hamming distance from each query's. Tasks make them, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, kth = b.column(0).to_numpy(), b.column(1)
+            for i, (shift, width) in enumerate(segments):
+                own = (q.view(np.uint64) >> np.uint64(shift)).view(np.int64) & ((1 << width) - 1)
+                for masks in _masks(width, radius):
+                    step = max(1, MASKS // len(masks))
+                    for k in range(0, len(q), step):
+                        n = len(own[k : k + step])
+                        at = np.repeat(np.arange(k, k + n), len(masks))
+                        value = (own[k : k + step, None] ^ masks).ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(value), pa.array(q[at]), kth.take(pa.array(at))], names=["seg", "value", "q", "kth"])
+
+    return active.select("q", "kth").mapInArrow(run, "seg int, value bigint, q bigint, kth int")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id_col: str = "id", code_col: str = "code") -> DataFrame:
