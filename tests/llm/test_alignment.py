@@ -89,7 +89,9 @@ def test_stretches_are_encoded_as_in_their_text(monkeypatch):
     rnd = random.Random(7)
     for _ in range(3000):
         text = "".join(rnd.choice("ab zé'\n\t   \x1c\x85​1.s日🙂") for _ in range(rnd.randrange(1, 14)))
-        a, b = model._encoded(model.stretches(text))
+        stretches = model.stretches(text)
+        assert " " + " ".join(stretches) == " " + text
+        a, b = model._encoded(stretches)
         assert sum(a, []) == model.a.encode(" " + text, add_special_tokens=False).ids, text
         assert sum(b, []) == model.b.encode(text), text
 

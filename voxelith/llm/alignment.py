@@ -25,7 +25,7 @@ from voxelith.llm.texts import with_columns
 from voxelith.storage import materialise
 
 #: Stretches whose alignments a worker keeps at most in each of two generations; they only save time.
-CACHE = 150_000
+CACHE = 190_000
 #: Links of one group beyond which equal tokens of it are expanded together.
 GROUP_LINKS = 1 << 16
 #: Groups that a pair's rows are dealt to before they are summed.
@@ -68,8 +68,9 @@ class Aligner:
                 normal.append(p)
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("the model has pieces with a space behind another character")
+        if {i for x in self.a_bytes if len(x) == 1 for i in x} != set(range(256)) or sum(map(self.b.is_byte, range(len(self.b_bytes)))) != 256:
+            raise ValueError("a vocabulary lacks bytes")
         self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.a_flat, self.b_flat = (np.frombuffer(b"".join(side), np.uint8) for side in (self.a_bytes, self.b_bytes))
         # An id and what follows it: a comma within a side of a group, a bar between its sides, a semicolon behind it.
         self.base = max(len(self.a_bytes), len(self.b_bytes))
         self.shown = np.array([f"{i}{end}" for end in ",|;" for i in range(self.base)], object)
@@ -78,26 +79,29 @@ class Aligner:
         self._old: dict[str, tuple | None] = {}
 
     def stretches(self, text: str) -> list[str]:
-        """`text` with a space before it, cut before each space that is behind another character."""
-        text = " " + text
-        if ODD.search(text):
-            return BETWEEN.split(text)
-        return [" " + w for w in text[1:].split(" ")]
+        """`text` with a space before it, cut before each space that is behind another character; without these spaces."""
+        if ODD.search(text) or text.startswith(" "):
+            return [s[1:] for s in BETWEEN.split(" " + text)]
+        return text.split(" ")
 
     def _encoded(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
-        b = self.b.encode([s[1:] for s in stretches], num_threads=1)
-        return a, [self.lone_space if s == " " else ids for s, ids in zip(stretches, b)]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
+        b = self.b.encode(stretches, num_threads=1)
+        return a, [ids if s else self.lone_space for s, ids in zip(stretches, b)]
 
     def _matching(self, stretches: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
-        """The stretches whose tokens' bytes are theirs, on both sides. All at once first, one by one only if that fails."""
-        given = "".join(stretches).encode()
-        if all(_joined(side, flat, length) == given for side, flat, length in ((a, self.a_flat, self.a_length), (b, self.b_flat, self.b_length))):
-            size = np.array([len(s.encode()) for s in stretches]) if not given.isascii() else np.array(list(map(len, stretches)))
-            sides = [np.add.reduceat(length[_flat(side)], _starts(side)) for side, length in ((a, self.a_length), (b, self.b_length))] if all(a) and all(b) else []
-            if sides and all((size == n).all() for n in sides):
-                return list(range(len(stretches)))
-        return [k for k, (s, x, y) in enumerate(zip(stretches, a, b)) if b"".join([self.a_bytes[i] for i in x]) == s.encode() == b"".join([self.b_bytes[i] for i in y])]
+        """The stretches whose tokens' bytes are theirs, on both sides.
+
+        Tokens stand for their texts in order, and all bytes have tokens, so the bytes can only differ where a character
+        that isn't a space is written as one, and then their number differs: lengths tell.
+        """
+        size = np.array([1 + (len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass"))) for s in stretches])
+        good = np.ones(len(stretches), bool)
+        for side, length in ((a, self.a_length), (b, self.b_length)):
+            upto = np.concatenate([[0], np.cumsum(length[_flat(side)])])
+            ends = np.cumsum(np.array(list(map(len, side))))
+            good &= np.diff(np.concatenate([[0], upto[ends]])) == size
+        return np.flatnonzero(good).tolist()
 
     def align(self, stretches: list[str]) -> list[tuple | None]:
         """(numbers of tokens of A and B, groups and links as bytes, the groups as text, a key for each distinct link and how
@@ -190,20 +194,6 @@ def _flat(lists: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
 
 
-def _starts(lists: list[list[int]]) -> np.ndarray:
-    size = np.array(list(map(len, lists)))
-    return np.cumsum(size) - size
-
-
-def _joined(lists: list[list[int]], flat: np.ndarray, length: np.ndarray) -> bytes:
-    """The bytes of all tokens; `flat` has those of the vocabulary one after another."""
-    ids = _flat(lists)
-    n = length[ids]
-    upto = np.cumsum(n)
-    start = np.cumsum(length) - length
-    return flat[np.repeat(start[ids] - upto + n, n) + np.arange(int(n.sum()))].tobytes()
-
-
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
