@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import Vec, clamp
+from voxelith.graphs import contract, forest
 from voxelith.ordering import group_quantiles
 from voxelith.storage import materialise
 
@@ -15,6 +20,8 @@ CELL = ["ix", "iy", "iz"]
 BLOCK = ["kx", "ky", "kz"]
 #: Voxels along an edge of a leaf block.
 LEAF = 4
+#: Cells along an edge of the blocks that empty space is labelled in.
+SIDE_CELLS = 32
 #: Pushes of this length or less don't count.
 PENETRATION = 1e-4
 #: Cell numbers are under this, either way, where three of them are put into one number.
@@ -251,6 +258,77 @@ def reachable(voxels: DataFrame, seed: tuple[int, int, int], low: tuple[int, int
     return seen
 
 
+def blocked(voxels: DataFrame, radius: int, height: int) -> DataFrame:
+    """`ix, iy, iz`: cells where an upright cylinder can't stand: `height` cells from there up, those within `radius` cells.
+
+    A solid voxel blocks the cells below it that the cylinder would reach up from, and then the disc around each of them;
+    what many voxels block is one row after each of the two steps. A radius of 0 and a height of 1 give the voxels.
+    """
+    disc = [(x, z) for x in range(-radius, radius + 1) for z in range(-radius, radius + 1) if x * x + z * z <= radius * radius]
+    tall = voxels.select("ix", F.explode(F.sequence(F.col("iy") - (height - 1), F.col("iy"))).alias("iy"), "iz").distinct()
+    around = F.explode(F.array(*(F.struct((F.col("ix") + x).alias("ix"), (F.col("iz") + z).alias("iz")) for x, z in disc))).alias("at")
+    return tall.select("iy", around).select("at.ix", "iy", "at.iz").distinct()
+
+
+def connected(solid: DataFrame, seed: tuple[int, int, int], low: tuple[int, int, int], high: tuple[int, int, int]) -> DataFrame:
+    """`ix, iy, iz`: cells of the box without a row in `solid` that are connected with `seed` over faces.
+
+    Empty cells are labelled within blocks of SIDE_CELLS cells a side, each block by itself; labels that touch over the
+    blocks' faces are linked, and the links' components found in rounds as few as the logarithm of the way. A solid seed,
+    or one outside the box, is connected with nothing. The box has 2^62 cells at most.
+    """
+    spark = solid.sparkSession
+    size = [h - w for w, h in zip(low, high)]
+    across = [-(-n // SIDE_CELLS) for n in size]
+    if min(size) <= 0:
+        return solid.select(CELL).limit(0)
+    inside = solid.where(" AND ".join(f"{c} >= {a} AND {c} < {b}" for c, a, b in zip(CELL, low, high)))
+    off = [F.col(c) - a for c, a in zip(CELL, low)]
+    block = (F.floor(off[2] / SIDE_CELLS) * across[1] + F.floor(off[1] / SIDE_CELLS)) * across[0] + F.floor(off[0] / SIDE_CELLS)
+    within = (off[2] % SIDE_CELLS * SIDE_CELLS + off[1] % SIDE_CELLS) * SIDE_CELLS + off[0] % SIDE_CELLS
+    walls = inside.groupBy(block.cast("bigint").alias("block")).agg(F.collect_set(within.cast("int")).alias("walls"))  # a block's cells at most
+    blocks = spark.range(math.prod(across)).withColumnRenamed("id", "block").join(walls, "block", "left")
+
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = np.arange(SIDE_CELLS**3).reshape((SIDE_CELLS,) * 3)  # z, y, x
+        for b in batches:
+            for k, w in zip(b["block"].tolist(), b["walls"]):
+                at = [k % across[0], k // across[0] % across[1], k // across[0] // across[1]]
+                free = np.ones(SIDE_CELLS**3, bool)
+                if w is not None:
+                    free[np.asarray(w, np.int64)] = False
+                free = free.reshape(place.shape)
+                for axis, a in ((2, 0), (1, 1), (0, 2)):  # beyond the box nothing is free
+                    rest = size[a] - at[a] * SIDE_CELLS
+                    free[(slice(None),) * axis + (slice(max(0, rest), None),)] = False
+                pairs = []
+                for axis in range(3):
+                    one, two = ((slice(None),) * axis + (s,) for s in (slice(None, -1), slice(1, None)))
+                    both = free[one] & free[two]
+                    pairs.append((place[one][both], place[two][both]))
+                node, root = contract(*(np.concatenate([p[i] for p in pairs]) for i in (0, 1)))
+                label = place.ravel().copy()
+                label[node] = root
+                cells = np.flatnonzero(free.ravel())
+                x, y, z = (at[i] * SIDE_CELLS + cells // SIDE_CELLS**i % SIDE_CELLS for i in range(3))
+                lx, ly, lz = (at[i] * SIDE_CELLS + label[cells] // SIDE_CELLS**i % SIDE_CELLS for i in range(3))
+                yield pd.DataFrame({"cell": (z * size[1] + y) * size[0] + x, "label": (lz * size[1] + ly) * size[0] + lx})
+
+    cells = materialise(blocks.mapInPandas(labelled, "cell bigint, label bigint"), "free-cells")
+    x, y, z = F.col("cell") % size[0], F.expr(f"cell div {size[0]}") % size[1], F.expr(f"cell div {size[0] * size[1]}")
+    links = None
+    for c, n, step in ((x, size[0], 1), (y, size[1], size[0]), (z, size[2], size[0] * size[1])):
+        face = cells.where((c % SIDE_CELLS == SIDE_CELLS - 1) & (c < n - 1)).select((F.col("cell") + step).alias("cell"), F.col("label").alias("a"))
+        links = face if links is None else links.unionByName(face)
+    links = materialise(links.join(cells, "cell").select("a", F.col("label").alias("b")).distinct(), "face-links")
+    below = forest(links, "free-forest")
+    start = sum((s - a) * k for s, a, k in zip(seed, low, (1, size[0], size[0] * size[1]))) if all(a <= s < b for s, a, b in zip(seed, low, high)) else -1
+    named = lambda df: df.join(below.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("root", F.coalesce("root", "label"))
+    home = named(cells.where(F.col("cell") == start)).first()
+    found = named(cells).where(F.col("root") == (home.root if home else -1))
+    return found.select(*((v + a).cast("bigint").alias(c) for v, a, c in zip((x, y, z), low, CELL)))
+
+
 def median_height(hits: DataFrame, key: str, value: str = "hit_y") -> DataFrame:
     """`key, ground`: the exact median of each group's hits, the mean of the middle two for an even number."""
     return group_quantiles(hits, [key], value, {"ground": 0.5})

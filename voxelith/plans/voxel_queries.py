@@ -173,14 +173,33 @@ def capsule_depenetration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.depenetrate(_capsules(spark, sf_dir), voxels(spark, sf_dir), GRID)
 
 
-@query(
-    f"""{V_CTE.replace("WITH", "WITH RECURSIVE")}, f(ix, iy, iz) AS (
-  SELECT 0::BIGINT, 24::BIGINT, 0::BIGINT
+def _reached(solid: str) -> str:
+    """SQL: cells without a row in `solid` that a flood from outside reaches, in the voxels' box and a cell around it."""
+    return f"""{V_CTE.replace("WITH", "WITH RECURSIVE")}, w AS ({solid}), x AS (SELECT min(ix) - 1 AS x0, max(ix) + 1 AS x1, min(iy) - 1 AS y0, max(iy) + 1 AS y1, min(iz) - 1 AS z0, max(iz) + 1 AS z1 FROM v), f(ix, iy, iz) AS (
+  SELECT x0, y1, z0 FROM x LEFT JOIN w ON w.ix = x0 AND w.iy = y1 AND w.iz = z0 WHERE w.ix IS NULL
   UNION SELECT n.ix, n.iy, n.iz FROM (
     SELECT f.ix + d.dx AS ix, f.iy + d.dy AS iy, f.iz + d.dz AS iz FROM f, (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) d(dx, dy, dz)
-  ) n LEFT JOIN v ON n.ix = v.ix AND n.iy = v.iy AND n.iz = v.iz
-  WHERE v.ix IS NULL AND n.ix BETWEEN 0 AND 11 AND n.iy BETWEEN 0 AND 24 AND n.iz BETWEEN 0 AND 6
+  ) n JOIN x ON n.ix BETWEEN x0 AND x1 AND n.iy BETWEEN y0 AND y1 AND n.iz BETWEEN z0 AND z1 LEFT JOIN w ON n.ix = w.ix AND n.iy = w.iy AND n.iz = w.iz
+  WHERE w.ix IS NULL
 ) SELECT ix, iy, iz FROM f"""
-)
+
+
+def _flooded(spark: SparkSession, sf_dir: str, radius: int, height: int) -> DataFrame:
+    v = voxels(spark, sf_dir).select(V.CELL)
+    box = v.agg(*((F.min(n) - 1).alias(f"{n}0") for n in V.CELL), *((F.max(n) + 2).alias(f"{n}1") for n in V.CELL)).first()
+    low, high = (tuple(box[f"{n}{e}"] for n in V.CELL) for e in (0, 1))
+    if None in low:
+        return v.limit(0)
+    return V.connected(V.blocked(v, radius, height), (low[0], high[1] - 1, low[2]), low, high)
+
+
+@query(_reached("SELECT ix, iy, iz FROM v"))
 def nav_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.reachable(voxels(spark, sf_dir), (0, 24, 0), (0, 0, 0), (12, 25, 7)).select(V.CELL)
+    """Empty cells that are reached from above the voxels' box."""
+    return _flooded(spark, sf_dir, 0, 1)
+
+
+@query(_reached("SELECT DISTINCT ix + dx AS ix, iy - h AS iy, iz + dz AS iz FROM v, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dz), range(3) r(h)"))
+def nav_capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a walker three cells tall and a cell around comes to from above."""
+    return _flooded(spark, sf_dir, 1, 3)
