@@ -5,8 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from voxelith.graphs import components
 from voxelith.llm import near_dedup
-from voxelith.llm.components import components
 from voxelith.llm.dart_minhash import signatures
 from voxelith.llm.near_dedup import drop_near_duplicates, near_report
 

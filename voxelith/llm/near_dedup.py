@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.components import forest, with_roots
+from voxelith.graphs import forest, with_roots
 from voxelith.llm.dart_minhash import GOLDEN, MASK, U, mix, signatures
 from voxelith.llm.heavy import SUPPORT, attach
 from voxelith.llm.texts import with_columns

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.components import forest, with_roots
+from voxelith.graphs import forest, with_roots
 from voxelith.llm.dart_minhash import U, mix
 from voxelith.llm.heavy import SUPPORT, attach, bounded
 from voxelith.llm.texts import with_columns
