@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelith import ordering
-from voxelith.streaming import scans
+from voxelith.streaming import folds, scans, windows
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,49 @@ def test_neighbours_equal_a_loop(spark, rows):
 def test_no_rows(spark):
     df = spark.createDataFrame([], KINDS)
     assert scans.affine(df, ["k"], [F.col("id")], F.lit(1.0), F.lit(1.0), "x").count() == 0
+
+
+def starts(rows, gap):
+    out, since = {}, {}
+    for i, k, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        out[i] = k not in since or at >= since[k] + gap
+        if out[i]:
+            since[k] = at
+    return out
+
+
+@pytest.mark.parametrize("gap", [700, 10**6])
+def test_windows_start_as_in_a_loop(spark, gap):
+    rnd = random.Random(gap)
+    rows = [(i, rnd.choice(["hot"] * 9 + ["b", None]), rnd.randrange(3000)) for i in range(500)] + [(900 + i, "same", 7) for i in range(9)]
+    df = spark.createDataFrame(rows, "id int, k string, t bigint").repartition(4)
+    want = starts(rows, gap)
+    assert {r.id: r.starts for r in windows.chain(df, "k", "t", gap, ["id"]).collect()} == want
+    start, step, out, _ = folds.window_starts(gap)
+    assert {r.id: r.starts for r in folds.fold(df, "k", ["t", "id"], ["t"], start, step, out).collect()} == want
+    told = sorted((str(r.k), r.start, r.n, r.id) for r in windows.throttle_from_first(df, "k", "t", gap, "id", ["id"]).collect())
+    loop, at = [], {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if want[i]:
+            at[k] = len(loop)
+            loop.append([str(k), t, 0, 0])
+        loop[at[k]][2:] = [loop[at[k]][2] + 1, i]
+    assert told == sorted(map(tuple, loop))
+
+
+def test_windows_start_alike_in_a_stream(spark, tmp_path):
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice("ab"), i * 3 + rnd.randrange(3)) for i in range(200)]
+    kinds = "id int, k string, t bigint"
+    for part in range(4):
+        spark.createDataFrame(rows[part * 50 : part * 50 + 50], kinds).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    start, step, out, state = folds.window_starts(20)
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(f"{tmp_path}/in")
+    folds.fold_stream(stream, "k", ["t", "id"], ["t"], start, step, out, state).writeStream.format("memory").queryName("window_starts").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(200)
+    got = {r.id: r.starts for r in spark.table("window_starts").collect()}
+    assert got == {r.id: r.starts for r in windows.chain(spark.createDataFrame(rows, kinds), "k", "t", 20, ["id"]).collect()}
+
+
+def test_no_windows_without_rows(spark):
+    df = spark.createDataFrame([], "id int, k string, t bigint")
+    assert windows.chain(df, "k", "t", 5, ["id"]).count() == 0 and windows.throttle_from_first(df, "k", "t", 5, "id", ["id"]).count() == 0

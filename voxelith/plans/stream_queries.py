@@ -152,6 +152,19 @@ def throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.throttle(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours", "value", ["event_id"])
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_id, value FROM events), s AS (
+  SELECT a.user_id, a.us, min(b.us) AS following FROM (SELECT DISTINCT user_id, us FROM e) a LEFT JOIN e b ON a.user_id = b.user_id AND b.us >= a.us + 43200000000 GROUP BY ALL
+), c AS (SELECT user_id, min(us) AS start FROM e GROUP BY user_id UNION ALL SELECT c.user_id, s.following FROM c JOIN s ON c.user_id = s.user_id AND c.start = s.us WHERE s.following IS NOT NULL
+), w AS (SELECT e.*, (SELECT max(start) FROM c WHERE c.user_id = e.user_id AND c.start <= e.us) AS start FROM e)
+SELECT user_id, start, count(*) AS n, arg_max(value, us::HUGEINT * 1000000000 + event_id) AS value FROM w GROUP BY user_id, start"""
+)
+def throttled_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throttling by windows of 12 hours that begin with the first event after the last window."""
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "value")
+    return W.throttle_from_first(e, "user_id", "us", 43_200_000_000, "value", ["event_id"])
+
+
 @query(
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)

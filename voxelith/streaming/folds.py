@@ -108,6 +108,21 @@ def approach(rate_in: float = 14.0, rate_out: float = 7.0) -> tuple[State, Step,
     return (-1.0,), step, "smoothed double", "now double"
 
 
+def window_starts(gap: float) -> tuple[State, Step, str, str]:
+    """Whether a window starts with a row: the first, and each that is `gap` or more after the last start. Values: (time,).
+
+    The same as windows.chain() for streams, one row after another.
+    """
+
+    def step(s: State, v: tuple) -> tuple[State, tuple]:
+        (start, known), (now,) = s, v
+        if known and now < start + gap:
+            return (start, known), (False,)
+        return (float(now), True), (True,)
+
+    return (0.0, False), step, "starts boolean", "start double, known boolean"
+
+
 def locomotion(leave: float = 0.05, enter: float = 0.12, fall: float = -0.85) -> tuple[State, Step, str, str]:
     """Idle and Walk with hysteresis on speed; Fall in the air when slow and sinking fast. Values: (speed, grounded, vertical)."""
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.ordering import with_neighbours
+from voxelith.ordering import in_groups, with_neighbours
+from voxelith.storage import clashless, columns, discard, materialise
+
+
+#: Rounds of links that are twice as long each time: enough for any table.
+ROUNDS = 64
 
 
 def _late(rows: DataFrame, ts: str, watermark: str | None) -> DataFrame:
@@ -22,6 +27,48 @@ def throttle(rows: DataFrame, key: str, ts: str, every: str, value: str, order:
     return got.agg(F.count(F.lit(1)).alias("n"), F.max_by(value, F.struct(*order)).alias(value)).select(key, F.col("w.start").alias("at"), "n", value)
 
 
+def chain(rows: DataFrame, key: str, at: str, gap: int, order: list[str]) -> DataFrame:
+    """`rows` with `starts`: whether a window starts with the row. A key's first window starts with its first row, the next
+    with the first row `gap` or more after that, and so on; `at` is a number, and rows are in order of it and `order`.
+
+    Each start decides the next, but every row knows which start would follow it: the first row `gap` later, found by
+    putting rows and the times they wait for in one order. Starts are then reached from the first rows by links that
+    become twice as long in each round (pointer doubling), so rounds are few and no key's rows are one task's work.
+    """
+    real, pos, own = (clashless(rows, c) for c in ("real_", "pos_", "own_"))
+    placed = in_groups(rows, [key], [F.col(c) for c in (at, *order)], name="chain-rows", unique=True, pos=True)
+    placed = materialise(placed.withColumnsRenamed({"pos": pos, "place": own}), "chain-rows")
+    asked = placed.select(key, F.col(at).alias("t_"), F.lit(1).alias(real), pos, own).unionByName(placed.select(key, (F.col(at) + gap).alias("t_"), F.lit(0).alias(real), pos, own))
+    # Behind what a row waits for come the rows that may start the next window; `before` counts the real ones ahead.
+    ranked = in_groups(asked, [key], [F.col("t_"), F.col(real), F.col(pos)], size=real, name="chain-order", unique=True)
+    last = placed.groupBy(F.col(key).alias("k_")).agg(F.max(own).alias("last_"))
+    links = ranked.where(F.col(real) == 0).join(last, F.col(key).eqNullSafe(F.col("k_")))
+    state = links.select(pos, F.when(F.col("before") <= F.col("last_"), F.col(pos) - F.col(own) + F.col("before")).alias("next"), (F.col(own) == 0).alias("starts"))
+    state = materialise(state, "chain-links")
+    for _ in range(ROUNDS):
+        if state.where("next IS NOT NULL").isEmpty():
+            break
+        ahead = state.select(F.col(pos).alias("p_"), F.col("next").alias("next2_"))
+        reached = state.where("starts AND next IS NOT NULL").select(F.col("next").alias("r_")).distinct()
+        new = state.join(ahead, F.col("next") == F.col("p_"), "left").join(reached, F.col(pos) == F.col("r_"), "left")
+        new = materialise(new.select(pos, F.col("next2_").alias("next"), (F.col("starts") | F.col("r_").isNotNull()).alias("starts")), "chain-links")
+        discard(state)
+        state = new
+    return placed.join(state.select(pos, "starts"), pos).select(*columns(rows), "starts")
+
+
+def throttle_from_first(rows: DataFrame, key: str, at: str, gap: int, value: str, order: list[str]) -> DataFrame:
+    """`key, start, n, value`: windows of `gap` that begin with the first row after the last one's end, see chain(): how many
+    rows each has and the value of its last one, which is told when the window ends.
+    """
+    flag = clashless(rows, "flag_")
+    marked = chain(rows.select(key, at, value, *(c for c in order if c not in (key, at, value))), key, at, gap, order).withColumn(flag, F.col("starts").cast("int"))
+    numbered = in_groups(marked, [key], [F.col(c) for c in (at, *order)], size=flag, name="throttle", unique=True)
+    window = (F.col("before") + F.col(flag)).alias("window_")
+    got = numbered.groupBy(key, window).agg(F.min(at).alias("start"), F.count(F.lit(1)).alias("n"), F.max_by(value, "place").alias(value))
+    return got.select(key, "start", "n", value)
+
+
 def debounce(rows: DataFrame, key: str, ts: str, quiet: str, watermark: str | None = None) -> DataFrame:
     """`key, first, last, n`: bursts of rows, each ended by `quiet` time without one."""
     got = _late(rows, ts, watermark).groupBy(F.session_window(ts, quiet).alias("w"), key)
