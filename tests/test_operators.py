@@ -16,6 +16,7 @@ from voxelith.operators import manifests as L
 from voxelith.operators import meshes as M
 from voxelith.operators import ray_paths as P
 from voxelith.operators import voxels as V
+from voxelith.operators import octree
 from voxelith.plans import tasks
 from voxelith.streaming import folds as S
 from voxelith.streaming import windows as W
@@ -262,11 +263,14 @@ def test_task_pipeline(spark, tmp_path):
         {"id": "m", "type": "Modify", "config": {"input": "c", "output": "c", "deletedIndices": [0b101], "transform": [1, 0, 0, 5, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1], "indicesTransform": [{"indices": [0b1000], "transform": [1, 0, 0, 0, 0, 1, 0, 100, 0, 0, 1, 0, 0, 0, 0, 1]}]}},
         {"id": "l", "type": "AutoLod", "config": {"input": "c", "output": "s", "ratio": 0.2, "cell": 0.5}},
         {"id": "v", "type": "Voxel", "config": {"input": "c", "output": f"file://{tmp_path}/v", "voxelResolution": 0.5, "box": [[-100] * 3, [50] * 3]}},
+        {"id": "e", "type": "Voxel", "config": {"input": "c", "output": f"file://{tmp_path}/e", "voxelResolution": 0.5, "box": [[-100] * 3, [50] * 3], "extentSigmas": 3}},
         {"id": "w", "type": "Write", "config": {"input": "s", "output": f"{tmp_path}/s.parquet"}},
     ]})
     moved = res["c"].where("splat_id = 3").select("y", "x").collect()
     assert res["c"].count() == 396 and all(r.y > 99 and r.x >= 5 for r in moved)
     assert 0 < spark.read.parquet(f"{tmp_path}/s.parquet").count() <= 79
     assert (tmp_path / "v" / "voxel.bin").stat().st_size > 0
+    bits = {k: octree.read_pair(spark, f"file://{tmp_path}/{k}")[1].selectExpr("sum(bit_count(lo) + bit_count(hi)) AS n").first().n for k in "ve"}
+    assert bits["e"] > bits["v"] > 0
     with pytest.raises(ValueError, match="no such type"):
         tasks.run(spark, {"tasks": [{"id": "x", "type": "Nope", "config": {}}]})

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.operators import chunk_lod, octree
+from voxelith.operators import chunk_lod, extents, octree
 from voxelith.operators import clouds as C
 from voxelith.operators import voxels as V
 from voxelith.sources import lod_directory
@@ -100,18 +100,31 @@ def auto_chunk_lod(spark: SparkSession, res: Resources, c: dict) -> None:
 
 
 def voxel(spark: SparkSession, res: Resources, c: dict) -> None:
-    """Voxelises a cloud and writes the octree's pair of files."""
+    """Voxelises a cloud and writes the octree's pair of files.
+
+    A splat is in the cell of its centre, or with `extentSigmas` in all cells that its ellipsoid of so many deviations meets.
+    """
     size = c.get("voxelResolution", 0.05)
-    low, high = c.get("box", [[-100.0] * 3, [100.0] * 3])
-    df = res[c["input"]].where(V.in_box(V.Vec(F.col("x"), F.col("y"), F.col("z")), tuple(low), tuple(high)))
-    box = df.agg(*(F.min(a).alias(f"{a}0") for a in "xyz"), *(F.max(a).alias(f"{a}1") for a in "xyz")).first()
-    origin = tuple(box[f"{a}0"] for a in "xyz")
-    blocks = max(int((box[f"{a}1"] - box[f"{a}0"]) / size) // V.LEAF + 1 for a in "xyz")
+    low, high = (tuple(float(v) for v in side) for side in c.get("box", [[-100.0] * 3, [100.0] * 3]))
+    cutoff = c.get("opacityCutoff", 0.1)
+    if sigmas := c.get("extentSigmas"):
+        cells = materialise(extents.extent_occupancy(res[c["input"]], V.Grid(low, (size,) * 3), sigmas, cutoff, low, high), "voxels")
+        held = cells.agg(*(F.min(i).alias(f"{i}0") for i in V.CELL), *(F.max(i).alias(f"{i}1") for i in V.CELL)).first()
+        if held["ix0"] is None:
+            raise ValueError("Voxel: no splat reaches into the box")
+        origin = tuple(a + held[f"{i}0"] * size for a, i in zip(low, V.CELL))
+        blocks = max((held[f"{i}1"] - held[f"{i}0"]) // V.LEAF + 1 for i in V.CELL)
+        cells = cells.withColumns({i: F.col(i) - held[f"{i}0"] for i in V.CELL})
+    else:
+        df = res[c["input"]].where(V.in_box(V.Vec(F.col("x"), F.col("y"), F.col("z")), low, high))
+        box = df.agg(*(F.min(a).alias(f"{a}0") for a in "xyz"), *(F.max(a).alias(f"{a}1") for a in "xyz")).first()
+        origin = tuple(box[f"{a}0"] for a in "xyz")
+        blocks = max(int((box[f"{a}1"] - box[f"{a}0"]) / size) // V.LEAF + 1 for a in "xyz")
+        cells = V.occupancy(df, V.Grid(origin, (size,) * 3), cutoff)
     depth = max(1, (blocks - 1).bit_length())
-    masks = V.leaf_masks(V.occupancy(df, V.Grid(origin, (size,) * 3), c.get("opacityCutoff", 0.1)))
     side = 2**depth * V.LEAF * size
     meta = {"version": "1", "gridBounds": {"min": list(origin), "max": [o + side for o in origin]}, "voxelResolution": size, "leafSize": V.LEAF, "treeDepth": depth}
-    octree.write_pair(*octree.build(masks, depth), meta, c["output"])
+    octree.write_pair(*octree.build(V.leaf_masks(cells), depth), meta, c["output"])
 
 
 TASKS: dict[str, Callable[[SparkSession, Resources, dict], None]] = {"Read": read, "Write": write, "Modify": modify, "AutoLod": auto_lod, "AutoChunkLod": auto_chunk_lod, "Voxel": voxel}

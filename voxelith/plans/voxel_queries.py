@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import vec
+from voxelith.operators import extents as E
 from voxelith.operators import ray_paths as P
 from voxelith.operators import voxels as V
-from voxelith.plans.carriers import GRID, POINTS, VOXELS, points, table, voxels
+from voxelith.plans.carriers import GRID, POINTS, SPLATS, VOXELS, points, splats, table, voxels
 from voxelith.plans.registry import query
 
 V_CTE = f"WITH v AS ({VOXELS})"
@@ -203,3 +204,39 @@ def nav_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nav_capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a walker three cells tall and a cell around comes to from above."""
     return _flooded(spark, sf_dir, 1, 3)
+
+
+EXTENTS = V.Grid(cell=(0.125, 0.125, 0.25))
+_TURN = ["1 - 2 * (qy * qy + qz * qz)", "2 * (qx * qy - qz * qw)", "2 * (qx * qz + qy * qw)", "2 * (qx * qy + qz * qw)", "1 - 2 * (qx * qx + qz * qz)", "2 * (qy * qz - qx * qw)", "2 * (qx * qz - qy * qw)", "2 * (qy * qz + qx * qw)", "1 - 2 * (qx * qx + qy * qy)"]
+_COV = {f"v{i}{j}": " + ".join(f"({_TURN[3 * i + k]}) * ({_TURN[3 * j + k]}) * s{'xyz'[k]} * s{'xyz'[k]}" for k in range(3)) for i in range(3) for j in range(i, 3)}
+_V = lambda i, j: f"v{min(i, j)}{max(i, j)}"
+
+
+def _nearest_sql() -> str:
+    """The least Mahalanobis distance of a cell, squared: coordinates at an end `b` of the cell or free, 27 cases."""
+    cases = ["CASE WHEN b00 <= 0 AND b01 >= 0 AND b10 <= 0 AND b11 >= 0 AND b20 <= 0 AND b21 >= 0 THEN 0 END"]
+    for i in range(3):
+        j, k = (i + 1) % 3, (i + 2) % 3
+        cases += [f"CASE WHEN b{i}{e} * {_V(i, j)} / v{i}{i} BETWEEN b{j}0 AND b{j}1 AND b{i}{e} * {_V(i, k)} / v{i}{i} BETWEEN b{k}0 AND b{k}1 THEN b{i}{e} * b{i}{e} / v{i}{i} END" for e in (0, 1)]
+        for e, f in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            det = f"(v{j}{j} * v{k}{k} - {_V(j, k)} * {_V(j, k)})"
+            first, second = (f"(b{j}{e} * {_V(k, k)} - b{k}{f} * {_V(j, k)}) / {det}", f"(b{k}{f} * {_V(j, j)} - b{j}{e} * {_V(j, k)}) / {det}")
+            cases.append(f"CASE WHEN {_V(i, j)} * {first} + {_V(i, k)} * {second} BETWEEN b{i}0 AND b{i}1 THEN b{j}{e} * {first} + b{k}{f} * {second} END")
+    inverse = {(i, j): f"({_V((i + 1) % 3, (j + 1) % 3)} * {_V((i + 2) % 3, (j + 2) % 3)} - {_V((i + 1) % 3, (j + 2) % 3)} * {_V((i + 2) % 3, (j + 1) % 3)})" for i in range(3) for j in range(3)}
+    det = " + ".join(f"v0{j} * {inverse[0, j]}" for j in range(3))
+    for e in ((a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)):
+        cases.append("(" + " + ".join(f"b{i}{e[i]} * b{j}{e[j]} * {inverse[i, j]}" for i in range(3) for j in range(3)) + f") / ({det})")
+    return f"least({', '.join(cases)})"
+
+
+@query(
+    f"""WITH g AS (SELECT splat_id, a, x, y, z, {", ".join(f"{c} AS {n}" for n, c in _COV.items())} FROM ({SPLATS}) WHERE a >= 0.3),
+c AS (SELECT g.*, unnest(range(floor((x - 2 * sqrt(v00)) / {EXTENTS.cell[0]})::BIGINT, floor((x + 2 * sqrt(v00)) / {EXTENTS.cell[0]})::BIGINT + 1)) AS ix FROM g),
+d AS (SELECT c.*, unnest(range(floor((y - 2 * sqrt(v11)) / {EXTENTS.cell[1]})::BIGINT, floor((y + 2 * sqrt(v11)) / {EXTENTS.cell[1]})::BIGINT + 1)) AS iy FROM c),
+e AS (SELECT d.*, unnest(range(floor((z - 2 * sqrt(v22)) / {EXTENTS.cell[2]})::BIGINT, floor((z + 2 * sqrt(v22)) / {EXTENTS.cell[2]})::BIGINT + 1)) AS iz FROM d),
+f AS (SELECT *, {", ".join(f"(i{c} + {e}) * {s}::DOUBLE - {c} AS b{i}{e}" for i, (c, s) in enumerate(zip("xyz", EXTENTS.cell)) for e in (0, 1))} FROM e)
+SELECT ix, iy, iz, count(*) AS n, round(max(a), 6) AS opacity FROM f WHERE {_nearest_sql()} <= 4 GROUP BY ALL"""
+)
+def voxel_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that the Gaussians meet within two standard deviations."""
+    return E.extent_occupancy(splats(spark, sf_dir), EXTENTS, 2.0, 0.3).withColumn("opacity", F.round("opacity", 6))
