@@ -66,6 +66,18 @@ def test_clips_by_parts_of_names(spark):
     assert sorted(tuple(r) for r in N.find_clips(clips, wanted).collect()) == [("m", "any", "Run_run"), ("m", "go", "Run_run"), ("m", "stay", "Idle")]
 
 
+@pytest.mark.parametrize("most", [N.PATTERNS, 0])
+def test_parts_of_names_are_not_broadcast(spark, monkeypatch, most):
+    """Every name is in many parts: only patterns may be broadcast, and only if they are few."""
+    monkeypatch.setattr(N, "PATTERNS", most)
+    clips = spark.createDataFrame([("m", k, f"Run_{k % 3}") for k in range(9)] + [("m", None, "Run_2"), (None, 1, "run")], "model string, ordinal int, clip string")
+    wanted = spark.createDataFrame([("go", 0, "run"), ("go", 1, ""), ("end", 0, "_1")], "action string, rank int, pattern string")
+    got = N.find_clips(clips.limit(20), wanted)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert ("BuildLeft" not in plan) and ("BroadcastHashJoin" in plan) == (most > 0)
+    assert {(r.model, r.action): r.clip for r in got.collect()} == {("m", "go"): "Run_2", ("m", "end"): "Run_1", (None, "go"): "run"}
+
+
 def test_null_key_is_one_key(spark):
     big = 2**60 + 1
     rows = spark.createDataFrame([(k, t, 1.0) for k in (None, 1, big) for t in range(4)], "k bigint, t int, v double")

@@ -16,6 +16,8 @@ from voxelith.ordering import with_neighbours
 AXES = {"z-up": ((0.0, 0.0, 1.0), (0.0, -3.0, 1.2)), "opengl": ((0.0, 1.0, 0.0), (0.0, 1.2, 3.0)), "opencv": ((0.0, -1.0, 0.0), (0.0, -1.2, 3.0))}
 DRAWN = ["mesh", "splat", "sprite", "points", "line"]
 SURFACES = ["examples", "playground"]
+#: Patterns of clips that are broadcast at most; more are joined by a shuffle.
+PATTERNS = 100_000
 
 
 def descendants(nodes: DataFrame, root: int, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
@@ -47,13 +49,18 @@ def find_clips(clips: DataFrame, wanted: DataFrame) -> DataFrame:
 
     `clips`: `model, ordinal, clip`; `wanted`: `action, rank, pattern`. Names are short: each is dealt to its parts of up
     to the longest pattern's length and joined by equality, so any number of patterns will do. Null names match nothing.
+
+    Each name of a model is taken once, with its first ordinal. A name has many parts, which Spark's estimate doesn't know:
+    they must not be broadcast. Patterns are, up to PATTERNS of them; more are joined by a shuffle.
     """
-    longest = wanted.agg(F.max(F.length("pattern"))).first()[0] or 0
+    known = wanted.agg(F.max(F.length("pattern")).alias("longest"), F.count(F.lit(1)).alias("n")).first()
     name = F.lower("clip")
     starts = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(longest)), lambda n: F.transform(starts, lambda i: F.substring(name, i, n))))
-    dealt = clips.select("model", "ordinal", "clip", F.explode(F.array_distinct(parts)).alias("pattern"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(known.longest or 0)), lambda n: F.transform(starts, lambda i: F.substring(name, i, n))))
+    once = clips.where(F.col("clip").isNotNull()).groupBy("model", "clip").agg(F.min(F.struct("ordinal")).alias("o")).select("model", "o.ordinal", "clip")
+    dealt = once.select("model", "ordinal", "clip", F.explode(F.array_distinct(parts)).alias("pattern"))
     first = F.min(F.struct("rank", "ordinal", "clip")).alias("m")
+    wanted = F.broadcast(wanted) if known.n <= PATTERNS else wanted.hint("shuffle_hash")
     return dealt.join(wanted, "pattern").groupBy("model", "action").agg(first).select("model", "action", "m.clip")
 
 
