@@ -118,6 +118,24 @@ def test_small_triangles_meet_few_rays(spark):
     assert {(r.ray_id, r.tri_id, r.t) for r in got} == {(i, 2 * i, 40.0) for i in range(n * n)}
 
 
+def test_far_rays_meet_the_first_sheets_only(spark, monkeypatch):
+    """Twenty sheets of triangles, rays from far above: a ray isn't compared with what lies behind its hit, nor rows made of pairs."""
+    met, pieces = [], M.in_pieces
+
+    def counted(left, right, *rest):
+        met.append(left.join(right, M.KEY).count())
+        return pieces(left, right, *rest)
+
+    monkeypatch.setattr(M, "in_pieces", counted)
+    monkeypatch.setattr(M, "PIECE", 7)
+    monkeypatch.setattr(M, "GROUP_ROWS", 50)
+    tris = [(10 * y + k, -9.0, float(y), -9.0, 9.0, float(y), -9.0, -9.0, float(y), 9.0) for y in range(20) for k in range(5)]
+    rays = [(i, -8 + i % 10 * 0.7, 500.0, -8 + i // 10 * 0.7, 0.0, -1.0, 0.0, 1e4) for i in range(100)]
+    got = M.first_hit(spark.createDataFrame(rays, RAY), spark.createDataFrame(tris, TRI)).collect()
+    assert {(r.ray_id, r.tri_id, r.t) for r in got} == {(i, 190, 481.0) for i in range(100)}
+    assert sum(met) < len(rays) * len(tris) / 3
+
+
 def test_no_triangles_and_no_rays(spark):
     t, r = spark.createDataFrame(soup(1, 3), TRI), spark.createDataFrame([(1, 0.0, 9.0, 0.0, 0.0, -1.0, 0.0, 50.0)], RAY)
     assert M.first_hit(r, t.where("false")).count() == 0

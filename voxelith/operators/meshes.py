@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.functions.vectors import Vec, closest_on_segment, vec
-from voxelith.operators.ray_paths import Rays
+from voxelith.operators.ray_paths import FLAT, Rays
 from voxelith.operators.voxels import Grid, deepest
-from voxelith.storage import materialise
+from voxelith.storage import discard, materialise
 
 #: Cells of the finest level, the cells that a triangle's box is wide at most, and the waves in which rays go through them.
 CELL_SIZE, ACROSS, WAVES = 1.0, 4, 4
@@ -104,6 +104,88 @@ def _levels(t: DataFrame) -> list[int]:
     return sorted(r.level for r in t.select("level").distinct().collect())
 
 
+KEY = ["level", "kx", "ky", "kz"]
+#: Rows of a cell, on either side, that meet in one piece at most (about), and rows and pairs of a group of pieces.
+PIECE, GROUP_ROWS, GROUP_PAIRS = 2048, 20_000, 20_000_000
+#: Pairs that numpy looks at in one step.
+PAIRS = 1 << 17
+
+
+def in_pieces(left: DataFrame, right: DataFrame, left_id: str, right_id: str, meet: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame | None], kinds: str) -> DataFrame:
+    """What `meet` says of each pair of pieces of `left` and `right`, written tables with the columns KEY, in the same cell.
+
+    A cell's rows are cut by their ids into pieces of about PIECE rows, and each piece of one side meets each of the other:
+    every pair of rows of a cell is in one call of `meet`, and no call grows with a cell. Pairs are never rows. `meet` may get
+    a pair of pieces of different cells, if their hashes are equal.
+    """
+    count = lambda df, n: df.groupBy(KEY).agg(F.count(F.lit(1)).alias(n))
+    cells = count(left, "n_").join(count(right, "m_"), KEY)
+    cells = materialise(cells.select(*KEY, "n_", "m_", F.ceil(F.col("n_") / PIECE).alias("a_n"), F.ceil(F.col("m_") / PIECE).alias("b_n")), "mesh-pieces")
+    told = cells.agg(F.sum(F.col("n_") * F.col("b_n") + F.col("m_") * F.col("a_n")).alias("rows"), F.sum(F.col("n_").cast("double") * F.col("m_")).alias("pairs")).first()
+    n = max(1, (told.rows or 0) // GROUP_ROWS, int(told.pairs or 0) // GROUP_PAIRS)
+
+    def cut(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        rows = df.join(cells.select(*KEY, "a_n", "b_n"), KEY)
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}n"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}n") - 1)))
+        rows = rows.withColumn("piece", F.xxhash64(*KEY, "a_", "b_")).drop("a_", "b_", "a_n", "b_n")
+        return rows.withColumn("group_", F.pmod("piece", F.lit(n)))
+
+    def run(some: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        parts = {k: v for k, v in other.groupby("piece", sort=False)}
+        out = [meet(v, parts[k]) for k, v in some.groupby("piece", sort=False) if k in parts]
+        out = [o for o in out if o is not None and len(o)]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
+
+    names = [k.split()[0] for k in kinds.split(", ")]
+    return cut(left, left_id, "a_", "b_").groupBy("group_").cogroup(cut(right, right_id, "b_", "a_").groupBy("group_")).applyInPandas(run, kinds)
+
+
+def _corners(b: pd.DataFrame) -> list[list[np.ndarray]]:
+    return [[b[f"{n}{a}"].to_numpy(float) for a in "xyz"] for n in CORNERS]
+
+
+def _cross(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _dot(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _minus(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    return [p - q for p, q in zip(a, b)]
+
+
+def _rays_meet(rays: pd.DataFrame, tris: pd.DataFrame) -> pd.DataFrame:
+    """`ray_id, near, t, tri_id`: the nearest of `tris` on each of `rays`; the same arithmetic as ray_t()."""
+    tris = tris.sort_values("tri_id")
+    a, b, c = _corners(tris)
+    e1, e2 = _minus(b, a), _minus(c, a)
+    o, d = ([rays[f"{n}{x}"].to_numpy(float)[:, None] for x in "xyz"] for n in "od")
+    most = rays["max_t"].to_numpy(float)
+    ray, tri, at = [], [], []
+    step = max(1, PAIRS // max(1, len(tris)))
+    with np.errstate(all="ignore"):
+        for k in range(0, len(rays), step):
+            o_, d_ = [v[k : k + step] for v in o], [v[k : k + step] for v in d]
+            p = _cross(d_, e2)
+            det = _dot(e1, p)
+            u = _dot(_minus(o_, a), p) / det
+            i, j = np.nonzero((np.abs(det) >= 1e-10) & (u >= 0) & (u <= 1))
+            u, det, t0 = u[i, j], det[i, j], [q[i, 0] - w[j] for q, w in zip(o_, a)]
+            q = _cross(t0, [w[j] for w in e1])
+            v = _dot([w[i, 0] for w in d_], q) / det
+            t = _dot([w[j] for w in e2], q) / det + 0.0
+            keep = (v >= 0) & (u + v <= 1) & (t >= 0) & (t <= most[k + i])
+            ray.append(k + i[keep])
+            tri.append(j[keep])
+            at.append(t[keep])
+    ray, tri, at = np.concatenate(ray), np.concatenate(tri), np.concatenate(at)
+    order = np.lexsort((tri, at, ray))
+    order = order[np.r_[True, ray[order][1:] != ray[order][:-1]]] if len(order) else order
+    return pd.DataFrame({c: rays[c].to_numpy()[ray[order]] for c in ("ray_id", "near")} | {"t": at[order], "tri_id": tris["tri_id"].to_numpy()[tri[order]]})
+
+
 def first_hit(rays: DataFrame, tris: DataFrame, cell: float = CELL_SIZE, waves: int = WAVES) -> DataFrame:
     """`ray_id, t, tri_id`: the nearest triangle on each ray (`ray_id, ox.., dx.., max_t`) and the distance to it.
 
@@ -111,23 +193,30 @@ def first_hit(rays: DataFrame, tris: DataFrame, cell: float = CELL_SIZE, waves:
     counts. `ray_id` is unique.
 
     Triangles lie in cells of several sizes, see dealt(). Rays go through the cells of each size in waves, each twice as
-    long as the one before, and are joined to the triangles by cell. A ray whose nearest hit is within its waves so far is
-    done; one with a farther hit goes no further than that.
+    long as the one before, from where they enter the box of all triangles, and meet the triangles of their cells. A ray
+    whose nearest hit is within its waves so far is done; one with a farther hit goes no further than that.
     """
     size = vec("d").length()
     finite = F.lit(True)
     for c in ("ox", "oy", "oz", "dx", "dy", "dz"):
         finite = finite & (F.abs(c) < float("inf"))
     r = rays.where((size >= 1e-8) & finite & (F.col("max_t") >= 0))
-    left = materialise(r.select("ray_id", *(F.col(f"o{a}").cast("double") for a in "xyz"), *((F.col(f"d{a}") / size).alias(f"d{a}") for a in "xyz"), F.col("max_t").cast("double")), "mesh-rays")
+    left = r.select("ray_id", *(F.col(f"o{a}").cast("double") for a in "xyz"), *((F.col(f"d{a}") / size).alias(f"d{a}") for a in "xyz"), F.col("max_t").cast("double"))
+    corners = [f"{n}{a}" for n in CORNERS for a in "xyz"]
     t = materialise(dealt(tris, cell), "mesh-cells")
     box = t.agg(*(f(f"{a}{e}").alias(f"{a}{e}") for a in "xyz" for e, f in ((0, F.min), (1, F.max)))).first()
     none = left.select("ray_id", F.lit(0.0).alias("t"), F.lit(None).cast(t.schema["tri_id"].dataType).alias("tri_id")).where("false")
     if box.x0 is None:
         return none
-    # No ray has a hit beyond the far side of the box.
-    far = sum((F.greatest(F.abs(F.col(f"o{a}") - box[f"{a}0"]), F.abs(F.col(f"o{a}") - box[f"{a}1"])) ** 2 for a in "xyz"), F.lit(0.0))
-    longest = left.agg(F.max(F.least(F.sqrt(far), "max_t"))).first()[0]
+    t = t.select(*KEY, "tri_id", *corners)
+    # Where a ray enters the box and leaves it, with a margin for rounding.
+    pad = NEAR * max(cell, *(abs(v) for v in box))
+    sides = [((F.lit(box[f"{a}0"] - pad) - F.col(f"o{a}")) / F.col(f"d{a}"), (F.lit(box[f"{a}1"] + pad) - F.col(f"o{a}")) / F.col(f"d{a}"), F.abs(f"d{a}") > FLAT) for a in "xyz"]
+    near = F.greatest(F.lit(0.0), *(F.when(on, F.least(p, q)).otherwise(0.0) for p, q, on in sides))
+    far = F.least("max_t", *(F.when(on, F.greatest(p, q)).otherwise(float("inf")) for p, q, on in sides))
+    left = left.withColumns({"near": near * (1 - NEAR), "far": far * (1 + NEAR)})
+    left = materialise(left.where("near <= far"), "mesh-rays")
+    longest = left.agg(F.max(F.col("far") - F.col("near"))).first()[0]
     if longest is None:
         return none
     levels = _levels(t)
@@ -137,7 +226,8 @@ def first_hit(rays: DataFrame, tris: DataFrame, cell: float = CELL_SIZE, waves:
     def cut(start: float, stop: float):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                some = b.assign(**{f"o{a}": b[f"o{a}"] + b[f"d{a}"] * start for a in "xyz"}, max_t=np.minimum(b["max_t"], stop) - start)
+                begin = b["near"] + start
+                some = b.assign(**{f"o{a}": b[f"o{a}"] + b[f"d{a}"] * begin for a in "xyz"}, max_t=np.minimum(b["far"], (b["near"] + stop) * (1 + NEAR)) - begin)
                 for k, (level, grid) in enumerate(grids):
                     ray, _, _, _, at = Rays(some, grid, edge[2 * k], edge[2 * k + 1]).path(1, 0, 1 << 62)
                     out = b.iloc[ray].reset_index(drop=True)
@@ -145,26 +235,27 @@ def first_hit(rays: DataFrame, tris: DataFrame, cell: float = CELL_SIZE, waves:
 
         return run
 
-    ray = ["ox", "oy", "oz", "dx", "dy", "dz", "max_t"]
-    key = left.schema["ray_id"].dataType.simpleString()
-    kinds = f"ray_id {key}, " + ", ".join(f"{c} double" for c in ray) + ", level int, kx bigint, ky bigint, kz bigint"
+    key, tri = (df.schema[n].dataType.simpleString() for df, n in ((left, "ray_id"), (t, "tri_id")))
+    kinds = f"ray_id {key}, " + ", ".join(f"{c} double" for c in ("ox", "oy", "oz", "dx", "dy", "dz", "max_t", "near", "far")) + ", level int, kx bigint, ky bigint, kz bigint"
     found = best = None
     for w in range(waves):
         start, stop = (longest * ((1 << k) - 1) / ((1 << waves) - 1) for k in (w, w + 1))
-        met = left.mapInPandas(cut(start, stop * (1 + NEAR)), kinds).join(t.select("level", "kx", "ky", "kz", "tri_id", *(f"{n}{a}" for n in CORNERS for a in "xyz")), ["level", "kx", "ky", "kz"])
-        hits = materialise(met.withColumn("t", ray_t(vec("o"), vec("d"), *(vec(n) for n in CORNERS))).where(F.col("t") <= F.col("max_t")).select("ray_id", "t", "tri_id"), "mesh-hits")
+        passed = materialise(left.mapInPandas(cut(start, stop), kinds).drop("far"), "mesh-passed")
+        hits = in_pieces(passed, t, "ray_id", "tri_id", _rays_meet, f"ray_id {key}, near double, t double, tri_id {tri}")
         if best is not None:
             hits = hits.unionByName(best)
-        near = hits.groupBy("ray_id").agg(F.min("t").alias("t"))
-        near = materialise(hits.join(near, ["ray_id", "t"]).groupBy("ray_id", "t").agg(F.min("tri_id").alias("tri_id")), "mesh-nearest")
-        last = w == waves - 1
-        done = near if last else near.where(F.col("t") <= stop)
+        got = materialise(hits.groupBy("ray_id", "near").agg(F.min(F.struct("t", "tri_id")).alias("m")).select("ray_id", "near", "m.t", "m.tri_id"), "mesh-nearest")
+        last, reached = w == waves - 1, F.col("near") + stop
+        done = got if last else got.where(F.col("t") <= reached)
         found = done if found is None else found.unionByName(done)
         if last:
             break
-        best = near.where(F.col("t") > stop)
-        on = left.join(near.select("ray_id", F.col("t").alias("t_")), "ray_id", "left").where(F.col("t_").isNull() | (F.col("t_") > stop))
-        left = materialise(on.where(F.col("max_t") > stop).withColumn("max_t", F.least("max_t", "t_")).drop("t_"), "mesh-rays")
+        best = got.where(F.col("t") > reached)
+        on = left.join(got.select("ray_id", F.col("t").alias("t_")), "ray_id", "left").where(F.col("t_").isNull() | (F.col("t_") > reached))
+        on = on.where(F.col("far") > reached).withColumns({"max_t": F.least("max_t", "t_"), "far": F.least("far", F.col("t_") * (1 + NEAR))}).drop("t_")
+        rest = materialise(on, "mesh-rays")
+        discard(left, passed)
+        left = rest
         if left.isEmpty():
             found = found.unionByName(best)
             break
