@@ -98,6 +98,30 @@ def test_capsules_equal_all_pairs(spark):
             assert np.linalg.norm([got[c[0]].px, got[c[0]].py, got[c[0]].pz]) == pytest.approx(depth, abs=1e-5)
 
 
+def test_capsules_among_crossing_triangles_write_no_pairs(spark, monkeypatch):
+    """Every triangle crosses every capsule's box; in pieces of a few rows. Some capsules are close to one, some aren't."""
+    wrote, write = [], M.materialise
+
+    def counted(df, *rest):
+        out = write(df, *rest)
+        wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "materialise", counted)
+    monkeypatch.setattr(M, "PIECE", 9)
+    rnd = random.Random(8)
+    tris = [(i, *(v for _ in range(3) for v in (rnd.uniform(-1, 1), rnd.uniform(-1, 1), rnd.uniform(-1, 1)))) for i in range(150)]
+    tris += [(1000 + i, *k[1:]) for i, k in enumerate(tris[:20])] + [(2000, 0.4, -1.0, -1.0, 0.4, 1.0, -1.0, 0.4, 0.0, 1.0)]
+    capsules = [(i, *(rnd.uniform(-1.6, 1.6) for _ in range(3)), rnd.choice([0.0, 0.9]), rnd.choice([0.3, 0.6])) for i in range(60)]
+    df = spark.createDataFrame(capsules, "capsule_id bigint, x double, y double, z double, half_height double, radius double")
+    got = {r.capsule_id: r for r in M.capsule_push(df, spark.createDataFrame(tris, TRI)).collect()}
+    for c in capsules:
+        depth = max(push(c, k[1:]) for k in tris)
+        assert (c[0] in got) == (depth > 0)
+        assert depth == 0 or got[c[0]].depth == pytest.approx(depth, abs=1e-9)
+    assert max(wrote) < len(capsules) * len(tris) / 3
+
+
 def test_the_query_of_all_splats_equals_all_pairs(spark):
     tris = [tuple(r[c] for c in ("tri_id", *(f"{n}{a}" for n in M.CORNERS for a in "xyz"))) for r in Q.tris(spark, SF).collect()]
     got = {r.capsule_id: r.depth for r in QUERIES["capsule_mesh"](spark, SF).collect()}

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.functions.vectors import Vec, closest_on_segment, vec
+from voxelith.functions.vectors import Vec, vec
 from voxelith.operators.ray_paths import FLAT, Rays
 from voxelith.operators.voxels import Grid, deepest
 from voxelith.storage import discard, materialise
@@ -288,47 +288,145 @@ def nearest(rows: DataFrame, point: str, out: str) -> DataFrame:
     return rows.select(*keep, *q.named(out))
 
 
+def _nearest_points(p: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray], c: list[np.ndarray]) -> list[np.ndarray]:
+    """nearest() for arrays of points and triangles."""
+    ab, ac = _minus(b, a), _minus(c, a)
+    d1, d2, d3, d4, d5, d6 = (_dot(e, q) for q in (_minus(p, k) for k in (a, b, c)) for e in (ab, ac))
+    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+    zero, one, total, far = np.zeros(len(d1)), np.ones(len(d1)), va + vb + vc, (d4 - d3) / (d4 - d3 + d5 - d6)
+    region = [(d1 <= 0) & (d2 <= 0), (d3 >= 0) & (d4 <= d3), (vc <= 0) & (d1 >= 0) & (d3 <= 0), (d6 >= 0) & (d5 <= d6), (vb <= 0) & (d2 >= 0) & (d6 <= 0), (va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0)]
+    s = np.select(region, [zero, one, d1 / (d1 - d3), zero, zero, 1 - far], vb / total)
+    t = np.select(region, [zero, zero, zero, one, d2 / (d2 - d6), far], vc / total)
+    return [k + e * s + f * t for k, e, f in zip(a, ab, ac)]
+
+
+def _capsules_meet(reach: float, samples: int):
+    """Gives the function that finds, for a piece of capsules and one of triangles, each capsule's deepest push."""
+
+    def rejects(tris: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Unit normals with the plane's offset (4 x m), and for each edge, seen along Y, how far inside of it (3 x m) a point is."""
+        a, b, c = _corners(tris)
+        n = _cross(_minus(b, a), _minus(c, a))
+        size = np.sqrt(_dot(n, n))
+        scale = np.max([np.abs(v) for k in (a, b, c) for v in k], 0)
+        n = [np.where(size > 1e-6 * scale**2, v / size, 0.0) for v in n]  # planes and edges that rounding may turn reject nothing
+        area = (b[0] - a[0]) * (c[2] - a[2]) - (b[2] - a[2]) * (c[0] - a[0])
+        sign = np.where(np.abs(area) > 1e-9 * scale**2, np.sign(area), 0.0)
+        edges = []
+        for p, q in ((a, b), (b, c), (c, a)):
+            ex, ez = q[0] - p[0], q[2] - p[2]
+            long = np.hypot(ex, ez)
+            w = np.where(long > 1e-9 * scale, sign / long, 0.0)
+            edges.append(np.stack([-ez * w, ex * w, (ez * p[0] - ex * p[2]) * w]))
+        return np.stack([*n, -_dot(n, a)]), edges
+
+    def meet(caps: pd.DataFrame, tris: pd.DataFrame) -> pd.DataFrame | None:
+        tris = tris.sort_values("tri_id")
+        a, b, c = _corners(tris)
+        unit = [tris[f"n{k}"].to_numpy(float) for k in "xyz"]
+        x, y, z, half, radius = (caps[k].to_numpy(float) for k in ("x", "y", "z", "half_height", "radius"))
+        most = radius * reach
+        slack = 1e-9 * (1 + np.abs(np.stack([x, y, z])).max(0) + half + radius)
+        # The part of the middle line that is near the cell: what touches a triangle elsewhere does so in another cell.
+        low, high = np.maximum(y - half, caps["low"] - most - slack), np.minimum(y + half, caps["high"] + most + slack)
+        low, high = np.minimum(low, y + half).to_numpy(float), np.maximum(high, y - half).to_numpy(float)
+        least = most.copy()
+        own, tri, dist, push = [], [], [], []
+        with np.errstate(all="ignore"):
+            plane, edges = rejects(tris)
+            flat = np.stack([x, z, np.ones(len(x))], 1)
+            line = np.stack([x, low, z, np.ones(len(x))], 1)
+            step = max(1, PAIRS // max(1, len(caps)))
+            for k in range(0, len(tris), step):
+                part = slice(k, k + step)
+                bound = (least + slack)[:, None]
+                h0 = line @ plane[:, part]
+                h1 = h0 + plane[1, part] * (high - low)[:, None]
+                off = (np.minimum(h0, h1) > bound) | (np.maximum(h0, h1) < -bound)
+                for e in edges:
+                    off |= flat @ e[:, part] < -bound
+                i, j = np.nonzero(~off)
+                if not len(i):
+                    continue
+                j = j + k
+                at = [[v[j] for v in w] for w in (a, b, c)]
+                d2 = np.full(len(i), np.inf)
+                best = [np.zeros(len(i)) for _ in range(6)]
+                for nth in range(samples + 1):
+                    p = [x[i], y[i] + half[i] * (nth * (2.0 / samples) - 1.0), z[i]]
+                    q = _nearest_points(p, *at)
+                    o = _minus(p, q)
+                    now = _dot(o, o)
+                    nearer = now < d2
+                    d2 = np.where(nearer, now, d2)
+                    best = [np.where(nearer, v, w) for v, w in zip([*p, *q], best)]
+                # The line's point nearest to the sample's point on the triangle.
+                up = (y + half - (y - half))[i]
+                part_y = np.where(up * up < 1e-20, 0.0, np.clip((best[4] - (y - half)[i]) * up / (up * up), 0.0, 1.0))
+                g = [x[i], (y - half)[i] + up * part_y, z[i]]
+                h = _nearest_points(g, *at)
+                o = _minus(g, h)
+                better = _dot(o, o) < d2
+                o = [np.where(better, v, p - q) for v, p, q in zip(o, best[:3], best[3:])]
+                d = np.sqrt(_dot(o, o))
+                keep = (d < radius[i]) & (radius[i] - d > 1e-4)
+                i, j, d, o = i[keep], j[keep], d[keep], [v[keep] for v in o]
+                np.minimum.at(least, i, d)
+                keep = radius[i] - d >= radius[i] - least[i]
+                i, j, d, o = i[keep], j[keep], d[keep], [v[keep] for v in o]
+                depth = radius[i] - d
+                own.append(i)
+                tri.append(j)
+                dist.append(depth)
+                push.append(np.stack([np.where(d > 1e-10, v / d, n[j]) * depth for v, n in zip(o, unit)]))
+        if not own:
+            return None
+        own, tri, depth, push = np.concatenate(own), np.concatenate(tri), np.concatenate(dist), np.concatenate(push, 1)
+        order = np.lexsort((tri, -depth, own))
+        order = order[np.r_[True, own[order][1:] != own[order][:-1]]] if len(order) else order
+        told = {"capsule_id": caps["capsule_id"].to_numpy()[own[order]], "tri_id": tris["tri_id"].to_numpy()[tri[order]], "depth": depth[order]}
+        return pd.DataFrame(told | {f"p{k}": push[n][order] for n, k in enumerate("xyz")})
+
+    return meet
+
+
+#: The share of a capsule's radius that its middle line looks around itself first; see capsule_push().
+CLOSE = 1 / 16
+
+
 def capsule_push(capsules: DataFrame, tris: DataFrame, cell: float = CELL_SIZE, samples: int = 5) -> DataFrame:
     """`capsule_id, px, py, pz, depth`: the deepest push that takes an upright capsule out of a triangle.
 
     Near points of the capsule's middle line and the triangle are the best of evenly spaced samples, refined once by the
     line's point nearest to the sample's point on the triangle. The push is along their difference, or the triangle's
-    normal where they coincide. Pushes of 1e-4 or less give no row; of equal depths the least tri_id counts. Capsules look up
-    the cells that their boxes meet at each level of dealt().
+    normal where they coincide. Pushes of 1e-4 or less give no row; of equal depths the least tri_id counts. `capsule_id` is
+    unique.
+
+    Capsules look up the cells that the boxes around their middle lines meet at each level of dealt(): first at a small
+    share of the radius, and those that have no push by a triangle so close again at the whole radius. No triangle farther
+    from the line than that gives a deeper push.
     """
-    r = F.col("radius")
     t = materialise(dealt(prepared(tris), cell), "mesh-cells")
-    c = capsules.select("capsule_id", "x", "y", "z", "half_height", "radius", F.explode(F.array(*map(F.lit, _levels(t))).cast("array<int>")).alias("level"))
-    c = c.withColumn("size_", F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))
-    for a, reach in (("x", r), ("y", F.col("half_height") + r), ("z", r)):
-        c = c.withColumn(f"k{a}", F.explode(F.sequence(*(F.floor((F.col(a) + side * reach) / F.col("size_")).cast("bigint") for side in (-1, 1)))))
-    c = c.drop("size_")
-    box = (
-        (F.col("x1") >= F.col("x") - r) & (F.col("x0") <= F.col("x") + r) & (F.col("z1") >= F.col("z") - r) & (F.col("z0") <= F.col("z") + r)
-        & (F.col("y1") >= F.col("y") - F.col("half_height") - r) & (F.col("y0") <= F.col("y") + F.col("half_height") + r)
-    )
-    corners = [f"{n}{a}" for n in CORNERS for a in "xyz"]
-    own = ["capsule_id", "tri_id", "x", "y", "z", "half_height", "radius", "nx", "ny", "nz", *corners]
-    # Written after each step: inlined into one another, the steps' expressions would grow beyond what can be compiled.
-    rows = materialise(c.join(t, ["level", "kx", "ky", "kz"]).where(box).dropDuplicates(["capsule_id", "tri_id"]).select(own), "capsule-pairs")
-    at = rows.select(*own, F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("nth"))
-    at = at.withColumns({"sx": F.col("x"), "sy": F.col("y") + F.col("half_height") * (F.col("nth") * (2.0 / samples) - 1.0), "sz": F.col("z")})
-    at = materialise(nearest(at, "s", "t"), "capsule-samples")
-    d = vec("s") - vec("t")
-    keys = ["capsule_id", "tri_id"]
-    first = at.withColumn("d2", d.dot(d)).groupBy(keys).agg(F.min(F.struct("d2", "nth", "sx", "sy", "sz", "tx", "ty", "tz")).alias("m")).select(*keys, "m.*").drop("nth")
-    rows = rows.join(first, keys)
-    up = Vec(F.lit(0.0), F.col("half_height"), F.lit(0.0))
-    seg = closest_on_segment(vec("t"), vec() - up, vec() + up)
-    rows = materialise(rows.select("*", *seg.named("g")), "capsule-segments")
-    rows = materialise(nearest(rows, "g", "h"), "capsule-near")
-    d = vec("g") - vec("h")
-    rows = rows.withColumn("better", d.dot(d) < F.col("d2"))
-    pick = lambda a, b: Vec(*(F.when(F.col("better"), x).otherwise(y) for x, y in zip(vec(a), vec(b))))
-    rows = rows.select(*keys, "radius", "nx", "ny", "nz", *(pick("g", "s") - pick("h", "t")).named("o"))
-    rows = rows.withColumn("dist", vec("o").length()).where("dist < radius")
-    away = F.col("dist") > 1e-10
-    way = Vec(*(F.when(away, o / F.when(away, F.col("dist"))).otherwise(n) for o, n in zip(vec("o"), vec("n"))))
-    depth = F.col("radius") - F.col("dist")
-    got = rows.select(*keys, depth.alias("depth"), *(way * depth).named("p")).where("depth > 1e-4")
-    return deepest(got, "tri_id")
+    levels = _levels(t)
+    t = t.select(*KEY, "tri_id", "nx", "ny", "nz", *(f"{n}{a}" for n in CORNERS for a in "xyz"))
+    left = materialise(capsules.select("capsule_id", *(F.col(c).cast("double") for c in ("x", "y", "z", "half_height", "radius"))), "capsules")
+    key, tri = (df.schema[n].dataType.simpleString() for df, n in ((left, "capsule_id"), (t, "tri_id")))
+    found = None
+    for share in (CLOSE, 1.0):
+        c = left.select("*", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+        c = c.withColumn("size_", F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))
+        reach = F.col("radius") * share * (1 + NEAR)
+        for a, r in (("x", reach), ("y", F.col("half_height") + reach), ("z", reach)):
+            c = c.withColumn(f"k{a}", F.explode(F.sequence(*(F.floor((F.col(a) + side * r) / F.col("size_")).cast("bigint") for side in (-1, 1)))))
+        c = c.withColumns({"low": F.col("ky") * F.col("size_"), "high": (F.col("ky") + 1) * F.col("size_")}).drop("size_")
+        looked = materialise(c, "capsule-cells")
+        got = in_pieces(looked, t, "capsule_id", "tri_id", _capsules_meet(share, samples), f"capsule_id {key}, tri_id {tri}, depth double, px double, py double, pz double")
+        if share < 1:
+            got = got.join(left.select("capsule_id", "radius"), "capsule_id").where(F.col("depth") > F.col("radius") * (1 - share)).drop("radius")
+        got = materialise(deepest(got, "tri_id"), "capsule-pushes")
+        found = got if found is None else found.unionByName(got)
+        rest = materialise(left.join(got, "capsule_id", "left_anti"), "capsules") if share < 1 else left
+        discard(left, looked)
+        left = rest
+    discard(t)
+    return found
