@@ -18,6 +18,7 @@ from voxelith.operators import ray_paths as P
 from voxelith.operators import voxels as V
 from voxelith.operators import octree
 from voxelith.plans import tasks
+from voxelith.storage import written
 from voxelith.streaming import folds as S
 from voxelith.streaming import windows as W
 
@@ -72,6 +73,93 @@ def test_capsules(spark):
     assert out[1].py == pytest.approx(0.3, abs=1e-3)
 
 
+def pushed_out(p, half, r, solid, size):
+    """The deepest push of a capsule out of voxels by a plain loop: depth and vector, or None."""
+    best = None
+    for c in sorted(solid, key=lambda c: c[::-1]):  # z, y, x: of equal depths the first counts
+        lo = [i * s for i, s in zip(c, size)]
+        hi = [v + s for v, s in zip(lo, size)]
+        bottom, top = p[1] - half, p[1] + half
+        y = top if top < lo[1] else bottom if bottom > hi[1] else max(bottom, min(top, (lo[1] + hi[1]) * 0.5))
+        q = [p[0], y, p[2]]
+        off = [v - max(a, min(b, v)) for v, a, b in zip(q, lo, hi)]
+        d2 = off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+        if d2 >= r * r:
+            continue
+        if d2 > 1e-12:
+            d = math.sqrt(d2)
+            depth, push = r - d, [v * ((r - d) / d) for v in off]
+        else:
+            way = [min(v - a, b - v) + r for v, a, b in zip(q, lo, hi)]
+            depth, push = min(way), [0.0, 0.0, 0.0]
+            k = way.index(depth)
+            push[k] = -depth if q[k] - lo[k] < hi[k] - q[k] else depth
+        if depth > 1e-4 and (best is None or depth > best[0]):
+            best = depth, push
+    return best
+
+
+def taken_out(p, half, r, solid, size, rounds=4):
+    total, normals = [0.0] * 3, []
+    for _ in range(rounds):
+        got = pushed_out([a + b for a, b in zip(p, total)], half, r, solid, size)
+        if got is None:
+            break
+        push = got[1]
+        for n in normals:
+            dot = min(sum(a * b for a, b in zip(push, n)), 0.0)
+            push = [a - dot * b for a, b in zip(push, n)]
+        if len(normals) < 3:
+            normals.append([v / math.hypot(*got[1]) for v in got[1]])
+        total = [a + b for a, b in zip(total, push)]
+    return total if math.hypot(*total) > 1e-4 else None
+
+
+CAPSULES = "capsule_id bigint, x double, y double, z double, half_height double, radius double"
+
+
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_capsules_of_all_sizes_as_a_plain_loop_has_them(spark, monkeypatch, few):
+    monkeypatch.setattr(V, "FEW_WINDOWS", few)  # 0: windows are joined by a shuffle
+    rng, size = random.Random(5), (1.0, 2.0, 0.75)
+    grid = V.Grid(cell=size)
+    solid = {c for c in itertools.product(range(-4, 4), range(-3, 3), range(-5, 5)) if rng.random() < 0.4}
+    caps = [(i, *(rng.uniform(-4.5, 4.5) for _ in range(3)), *((rng.uniform(0, 1), rng.uniform(0, 0.7)) if i % 5 else (rng.uniform(1, 3), rng.uniform(0.75, 2)))) for i in range(300)]
+    caps += [(300, 0.5, 1.0, 0.375, 0.25, 0.25), (301, -1.0, -2.0, -0.75, 0.5, 0.5), (302, 1.0, 0.0, 0.0, 0.0, 0.0)]  # in the middle and on corners, where depths are equal
+    df, some = spark.createDataFrame(caps, CAPSULES), cells(spark, solid)
+    once = {c[0]: got for c in caps if (got := pushed_out(c[1:4], *c[4:], solid, size))}
+    found = {r.capsule_id: r for r in V.capsule_push(df, some, grid).collect()}
+    assert set(found) == set(once) and len(once) > 150
+    for i, (depth, push) in once.items():
+        assert found[i].depth == pytest.approx(depth) and [found[i].px, found[i].py, found[i].pz] == pytest.approx(push)
+    whole = {c[0]: got for c in caps if (got := taken_out(c[1:4], *c[4:], solid, size))}
+    found = {r.capsule_id: [r.px, r.py, r.pz] for r in V.depenetrate(df, some, grid).collect()}
+    assert set(found) == set(whole) and all(found[i] == pytest.approx(t) for i, t in whole.items())
+    assert all(sum((i % 5 == 0) == wide for i in whole) > 30 for wide in (True, False))
+
+
+def test_rounds_of_pushes_write_no_row_for_each_capsule(spark):
+    floor = cells(spark, set(itertools.product(range(-3, 4), [0], range(-3, 4))))
+    df = spark.createDataFrame([(i, 0.5, 2.2, 0.5, 0.3, 0.6) for i in range(50)], CAPSULES)
+    since = written()
+    got = V.depenetrate(df, floor, GRID)
+    assert got.count() == 0 and written() - since == 1  # the windows; it was two tables for each round before
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_capsules_that_share_an_id_or_have_none(spark):
+    floor = cells(spark, set(itertools.product(range(-3, 4), [0], range(-3, 4))))
+    odd = [(1, 0.5, 1.7, 0.5, 0.3, 0.6), (1, 0.5, 1.8, 0.5, 0.3, 0.6), (None, 0.5, 1.6, 0.5, 0.3, 0.6), (2, None, 1.5, 0.5, 0.3, 0.6), (3, 0.5, math.nan, 0.5, 0.3, 0.6), (4, 0.5, 1.5, 0.5, 0.3, None), (5, math.inf, 1.5, 0.5, 0.3, 0.6)]
+    for far in (0.0, 0.5):  # reaching less than a cell, and more
+        df = spark.createDataFrame([(*c[:2], c[2] and c[2] + far, c[3], c[4] + far, c[5]) for c in odd], CAPSULES)
+        got = sorted((r.capsule_id or 0, round(r.py, 6)) for r in V.depenetrate(df.where("capsule_id IS NULL OR capsule_id < 5"), floor, GRID).collect())
+        assert got == [(0, 0.3), (1, 0.1), (1, 0.2)]
+        one = {r.capsule_id: round(r.py, 6) for r in V.capsule_push(df.where("capsule_id < 5"), floor, GRID).collect()}
+        assert one == {1: 0.2}  # a row for each id, the deepest
+    assert V.depenetrate(df.where("false"), floor, GRID).count() == V.depenetrate(df, floor.where("false"), GRID).count() == 0
+
+
 def test_reachable(spark):
     wall = {(2, y, 0) for y in range(4)} | {(x, 4, 0) for x in range(3)}
     got = {(r.ix, r.iy): r.steps for r in V.reachable(cells(spark, wall), (0, 0, 0), (0, 0, 0), (5, 6, 1)).collect()}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelith.functions.vectors import Vec, clamp
 from voxelith.graphs import contract, forest
@@ -26,6 +29,13 @@ SIDE_CELLS = 32
 PENETRATION = 1e-4
 #: Cell numbers are under this, either way, where three of them are put into one number.
 SIDE = 1 << 20
+#: A capsule of less than this many cells from its middle to an end of its box meets three cells in a row at most.
+NARROW = 0.99
+#: Windows of voxels that are broadcast at most; more are joined by a shuffle.
+FEW_WINDOWS = 1 << 18
+#: Rounds of pushes in one stage: each has a Python worker of its own while the stage runs.
+CHAINED = 4
+CAPSULE = ["capsule_id", "x", "y", "z", "half_height", "radius"]
 NEIGHBOURS = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
@@ -145,13 +155,87 @@ def first_hit_down(rays: DataFrame, voxels: DataFrame, grid: Grid) -> DataFrame:
     return got.select("ray_id", (F.col("oy") - F.col("t")).alias("hit_y"), "t", "iy")
 
 
-def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFrame:
-    """`capsule_id, px, py, pz, depth`: the deepest push that takes an upright capsule out of a voxel.
+def _by_reach(capsules: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
+    """Capsules that reach less than a cell from their middle along each axis, and the rest. Without a size they meet nothing."""
+    rows = capsules.select("capsule_id", *(F.col(c).cast("double") for c in CAPSULE[1:])).where("half_height IS NOT NULL AND radius IS NOT NULL")
+    r, h = F.col("radius"), F.col("half_height")
+    narrow = (r >= 0) & (h >= 0) & (r < NARROW * grid.cell[0]) & (r + h < NARROW * grid.cell[1]) & (r < NARROW * grid.cell[2])
+    return rows.where(narrow), rows.where(~narrow)
+
+
+def windows(voxels: DataFrame) -> DataFrame:
+    """`kx, ky, kz, mask`: which voxels there are in each window that has some, as bits: z, then y, then x, two bits each.
 
-    `capsules`: `capsule_id, x, y, z, half_height, radius`. Each is dealt to the cells that its box meets and joined to
-    the voxels by cell, so nothing is compared that doesn't touch. Of equal depths the voxel first in order of z, y, x
-    counts (cell numbers under 2^20). Pushes of PENETRATION or less don't; such capsules give no row.
+    Windows are LEAF cells wide and begin with every second cell, so that three cells in a row always lie in one of them.
     """
+    rows, bit = voxels.select(CELL), F.lit(0)
+    for c, k in zip(CELL, BLOCK):
+        half, odd = F.shiftright(c, 1), F.col(c).bitwiseAND(F.lit(1).cast("bigint"))
+        rows = rows.withColumn(f"{k}w", F.explode(F.array(F.struct(half.alias("k"), odd.alias("at")), F.struct((half - 1).alias("k"), (odd + 2).alias("at")))))
+    for k in reversed(BLOCK):
+        bit = bit * LEAF + F.col(f"{k}w.at")
+    lit = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))
+    return rows.select(*(F.col(f"{k}w.k").alias(k) for k in BLOCK), lit.alias("mask")).groupBy(BLOCK).agg(F.bit_or("mask").alias("mask"))
+
+
+def _lookup(voxels: DataFrame) -> DataFrame:
+    """The voxels' windows, written; broadcast if they are few."""
+    out = materialise(windows(voxels), "voxel-windows")
+    return F.broadcast(out) if out.count() <= FEW_WINDOWS else out.hint("shuffle_hash")
+
+
+def _with_window(capsules: DataFrame, lookup: DataFrame, grid: Grid) -> DataFrame:
+    """Narrow capsules with `mask`, the window that begins at or just before the least cell that their boxes meet; 0 if it's empty."""
+    r = F.col("radius")
+    low = grid.index(Vec(F.col("x"), F.col("y"), F.col("z")) - Vec(r, r + F.col("half_height"), r))
+    keyed = capsules.select("*", *(F.shiftright(v, 1).alias(k) for v, k in zip(low, BLOCK)))
+    return keyed.join(lookup, BLOCK, "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("bigint"))).drop(*BLOCK)
+
+
+def _window_pushes(b: pa.RecordBatch, grid: Grid) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which capsules of a batch are pushed out of their windows' voxels, the deepest pushes' depths, vectors and cells.
+
+    The steps are those of _cell_pushes() in the same order, so that pushes are the same to the last bit.
+    """
+    mask, *p, h, r = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", *CAPSULE[1:]))
+    live = np.flatnonzero((mask != 0) & np.isfinite(p).all(0))
+    mask, h, r, p = mask[live], h[live], r[live], [v[live] for v in p]
+    at = lambda sign: [np.floor((v + sign * e - o) / s).astype(np.int64) for v, e, o, s in zip(p, (r, r + h, r), grid.origin, grid.cell)]
+    first, last = at(-1), at(1)
+    depth, push, cell = np.full(len(live), PENETRATION), np.zeros((3, len(live))), np.zeros((3, len(live)), np.int64)
+    for step in itertools.product(range(3), repeat=3):  # z, y, x: of equal depths the first stays
+        step = step[::-1]
+        bit = sum(((f & 1) + n) * LEAF**k for k, (f, n) in enumerate(zip(first, step)))
+        own = np.flatnonzero((mask >> bit & 1 == 1) & np.all([f + n <= e for f, n, e in zip(first, step, last)], 0))
+        if not len(own):
+            continue
+        q, high, rad, idx = [v[own] for v in p], h[own], r[own], [f[own] + n for f, n in zip(first, step)]
+        lo = [o + i * s for i, o, s in zip(idx, grid.origin, grid.cell)]
+        hi = [v + s for v, s in zip(lo, grid.cell)]
+        bottom, top = q[1] - high, q[1] + high
+        middle = np.maximum(bottom, np.minimum(top, (lo[1] + hi[1]) * 0.5))
+        q[1] = np.where(top < lo[1], top, np.where(bottom > hi[1], bottom, middle))
+        off = [v - np.maximum(a, np.minimum(c, v)) for v, a, c in zip(q, lo, hi)]
+        d2 = off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+        dist = np.sqrt(d2)
+        way = [np.minimum(v - a, c - v) + rad for v, a, c in zip(q, lo, hi)]
+        inside = d2 <= 1e-12
+        deep = np.where(inside, np.minimum(np.minimum(way[0], way[1]), way[2]), rad - dist)
+        better = (d2 < rad * rad) & (deep > depth[own])
+        scale = (rad - dist) / np.where(inside, 1.0, dist)
+        take_x = (way[0] <= way[1]) & (way[0] <= way[2])
+        take_y = ~take_x & (way[1] <= way[2])
+        for axis, taken in enumerate((take_x, take_y, ~take_x & ~take_y)):
+            signed = np.where(q[axis] - lo[axis] < hi[axis] - q[axis], -way[axis], way[axis])
+            push[axis, own[better]] = np.where(inside, np.where(taken, signed, 0.0), off[axis] * scale)[better]
+            cell[axis, own[better]] = idx[axis][better]
+        depth[own[better]] = deep[better]
+    hit = depth > PENETRATION
+    return live[hit], depth[hit], push[:, hit], cell[:, hit]
+
+
+def _cell_pushes(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFrame:
+    """`capsule_id, depth, px, py, pz, place`: pushes of capsules of any size, which are dealt to the cells that their boxes meet."""
     c = Vec(F.col("x"), F.col("y"), F.col("z"))
     r, h = F.col("radius"), F.col("half_height")
     reach = Vec(r, r + h, r)
@@ -189,8 +273,30 @@ def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFram
     )
     depth = F.when(~inside, r - F.col("dist")).otherwise(F.least(*way))
     place = F.shiftleft(F.col("iz") + SIDE, 42) + F.shiftleft(F.col("iy") + SIDE, 21) + F.col("ix") + SIDE
-    got = rows.select("capsule_id", depth.alias("depth"), *push.named("p"), place.alias("place")).where(F.col("depth") > PENETRATION)
-    return deepest(got, "place")
+    return rows.select("capsule_id", depth.alias("depth"), *push.named("p"), place.alias("place")).where(F.col("depth") > PENETRATION)
+
+
+def capsule_push(capsules: DataFrame, voxels: DataFrame, grid: Grid) -> DataFrame:
+    """`capsule_id, px, py, pz, depth`: the deepest push that takes an upright capsule out of a voxel.
+
+    `capsules`: `capsule_id, x, y, z, half_height, radius`. One that reaches less than a cell from its middle looks up one
+    window of voxels and stays one row; each of the others is dealt to the cells that its box meets and joined to the voxels
+    by cell. So nothing is compared that doesn't touch. Of equal depths the voxel first in order of z, y, x counts (cell
+    numbers under 2^20). Pushes of PENETRATION or less don't; such capsules give no row.
+    """
+    narrow, wide = _by_reach(capsules, grid)
+    out = T.StructType([capsules.schema["capsule_id"], *(T.StructField(c, T.DoubleType()) for c in ("depth", "px", "py", "pz")), T.StructField("place", T.LongType())])
+
+    def pushed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit, depth, push, cell = _window_pushes(b, grid)
+            place = (cell[2] + SIDE << 42) + (cell[1] + SIDE << 21) + cell[0] + SIDE
+            yield pa.RecordBatch.from_arrays([b.column("capsule_id").take(pa.array(hit)), *map(pa.array, (depth, *push, place))], names=out.names)
+
+    pushes = _with_window(narrow.repartition(*CAPSULE), _lookup(voxels), grid).mapInArrow(pushed, out)
+    if not wide.isEmpty():
+        pushes = pushes.unionByName(_cell_pushes(wide, voxels, grid))
+    return deepest(pushes, "place")
 
 
 def deepest(pushes: DataFrame, tie: str) -> DataFrame:
@@ -206,17 +312,64 @@ def deepest(pushes: DataFrame, tie: str) -> DataFrame:
 def depenetrate(capsules: DataFrame, voxels: DataFrame, grid: Grid, rounds: int = 4) -> DataFrame:
     """`capsule_id, px, py, pz`: the total push of up to `rounds` deepest pushes, each after the ones before.
 
-    Each round's state is written, so that plans don't grow from round to round.
-
     A push doesn't undo an earlier one: its part against the direction of any of the first three pushes is taken out.
-    Totals of PENETRATION or less give no row.
+    Totals of PENETRATION or less give no row. Each row is pushed by itself, also where an id repeats or is null.
+
+    Capsules that reach less than a cell from their middle stay one row in each round, as in capsule_push(), and nothing is
+    dealt or grouped by capsule; a window's lookup is a broadcast while windows are few. CHAINED rounds go by without a
+    written table. The others go through _by_cells().
     """
-    zero = F.lit(0.0)
+    narrow, wide = _by_reach(capsules, grid)
+    lookup = _lookup(voxels)
+    moved = ["x", "y", "z", "tx", "ty", "tz"]
+    normals = [f"n{k}{a}" for k in range(3) for a in "xyz"]  # those that aren't there yet are zero and take nothing out
+    state = narrow.repartition(*CAPSULE).select("*", *(F.lit(0.0).alias(c) for c in (*moved[3:], *normals)), F.lit(0).alias("known"))
+    out = state.schema
+
+    def pushed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit, _, raw, _ = _window_pushes(b, grid)
+            at = {c: b.column(c).to_numpy(zero_copy_only=False).copy() for c in (*moved, *normals, "known")}
+            push = raw
+            for k in range(3):
+                n = np.array([at[f"n{k}{a}"][hit] for a in "xyz"])
+                dot = np.minimum(push[0] * n[0] + push[1] * n[1] + push[2] * n[2], 0.0)
+                push = push - dot * n
+            size = np.sqrt(raw[0] * raw[0] + raw[1] * raw[1] + raw[2] * raw[2])
+            more = (size > PENETRATION) & (at["known"][hit] < 3)
+            for k in range(3):
+                new = more & (at["known"][hit] == k)
+                for j, a in enumerate("xyz"):
+                    at[f"n{k}{a}"][hit[new]] = raw[j][new] / size[new]
+            at["known"][hit[more]] += 1
+            for j, a in enumerate("xyz"):
+                at[a][hit] += push[j]
+                at[f"t{a}"][hit] += push[j]
+            yield pa.RecordBatch.from_arrays([pa.array(at[c]) if c in at else b.column(c) for c in out.names], names=out.names)
+
+    for n in range(rounds):
+        if n and n % CHAINED == 0:
+            state = materialise(state, "capsule-state")
+        state = _with_window(state, lookup, grid).mapInArrow(pushed, out)
+    got = _totals(state)
+    return got if wide.isEmpty() else got.unionByName(_by_cells(wide, voxels, grid, rounds))
+
+
+def _totals(state: DataFrame) -> DataFrame:
+    total = Vec(F.col("tx"), F.col("ty"), F.col("tz"))
+    return state.where(total.dot(total) > PENETRATION**2).select("capsule_id", *(F.col(f"t{a}").alias(f"p{a}") for a in "xyz"))
+
+
+def _by_cells(capsules: DataFrame, voxels: DataFrame, grid: Grid, rounds: int) -> DataFrame:
+    """The rounds of depenetrate() for capsules of any size. Each round's state is written, so that plans don't grow."""
     voxels = materialise(voxels.select(CELL), "capsule-voxels")
-    state = capsules.select("*", *(zero.alias(f"t{a}") for a in "xyz"), F.array().cast("array<struct<x:double,y:double,z:double>>").alias("normals"))
+    zero = F.lit(0.0)
+    numbered = capsules.withColumnRenamed("capsule_id", "own_id").withColumn("capsule_id", F.monotonically_increasing_id())
+    state = numbered.select("*", *(zero.alias(f"t{a}") for a in "xyz"), F.array().cast("array<struct<x:double,y:double,z:double>>").alias("normals"))
+    state = materialise(state, "capsule-state")
     keep = state.columns
     for _ in range(rounds):
-        hit = capsule_push(state.select("capsule_id", "x", "y", "z", "half_height", "radius"), voxels, grid)
+        hit = deepest(_cell_pushes(state.select(CAPSULE), voxels, grid), "place")
         state = state.join(hit, "capsule_id", "left")
         raw = F.struct(*(F.coalesce(F.col(f"p{a}"), zero).alias(a) for a in "xyz"))
 
@@ -232,8 +385,7 @@ def depenetrate(capsules: DataFrame, voxels: DataFrame, grid: Grid, rounds: int
         for a in "xyz":
             state = state.withColumn(a, F.col(a) + F.col(f"push.{a}")).withColumn(f"t{a}", F.col(f"t{a}") + F.col(f"push.{a}"))
         state = materialise(state.select(keep), "capsule-state")
-    total = Vec(F.col("tx"), F.col("ty"), F.col("tz"))
-    return state.where(total.dot(total) > PENETRATION**2).select("capsule_id", *(F.col(f"t{a}").alias(f"p{a}") for a in "xyz"))
+    return _totals(state.drop("capsule_id").withColumnRenamed("own_id", "capsule_id"))
 
 
 def reachable(voxels: DataFrame, seed: tuple[int, int, int], low: tuple[int, int, int], high: tuple[int, int, int], max_rounds: int | None = None) -> DataFrame:
